@@ -25,4 +25,18 @@ SELECT doc_id, size, source_size, target,
 FROM m
 """
 
-ORACLES = {"op2_source_mixing": MIX}
+# SHA-1 in base 32: eight groups of five hexadecimal digits, each four letters of five bits.
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS hex FROM p),
+b AS (
+  SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest FROM d),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS largest FROM b)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN largest IS NULL OR page_id IS NOT DISTINCT FROM largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN largest IS NULL OR page_id IS NOT DISTINCT FROM largest THEN NULL ELSE largest END AS refers_to
+FROM g
+"""
+
+ORACLES = {"op5_warc_bundles": WARC, "op2_source_mixing": MIX}
