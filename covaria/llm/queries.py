@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import mixing, packing, quality, simhash, tokens, warc
+from covaria.llm import ann, mixing, packing, quality, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,4 +41,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op5_warc_bundles, op6_simhash, op7_length_buckets, op9_quality_rules)}
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op5_warc_bundles, op6_simhash, op7_length_buckets, op9_quality_rules, op10_nearest_vectors)}
