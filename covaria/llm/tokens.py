@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,46 +33,82 @@ from covaria.llm.files import local_path, read_bytes, writing
 MAGIC = b"CVTOKENS"
 END_ID = 1
 #: Distinct chunks of text whose ids a worker remembers; beyond that it starts afresh.  Only speed depends on it.
-REMEMBERED = 600_000
-#: A token that splits batches of chunks; it is in the vocabulary, has one id and never merges with its neighbours.
-MARK = "<|startoftext|>"
+REMEMBERED = 1_000_000
+# Fixed value: the split pattern of lower-casing word tokenizers, for which the short cuts below are exact.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A full stop or comma that ends a word but belongs to a longer run of marks.
+_LONGER_MARK = re.compile(r"(?:[^\w \n]|_)[.,](?:[ \n]|$)")
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Encodes texts with a tokenizer that drops white space, chunk by chunk: text between white space is encoded alike wherever it stands."""
+    """Encodes whole texts and remembers pieces.
+
+    A tokenizer that lower-cases, drops white space and splits by WORDS encodes the text between two blanks alike wherever it
+    stands, so ids are looked up by such chunks.  To meet the same chunk more often, texts in Latin-1 are lower-cased first (there
+    Python and the tokenizer agree) and single full stops and commas are set apart.  A chunk of letters is one word, for
+    which the vocabulary's merges are asked directly; any other chunk passes the whole tokenizer, and so does every text if the
+    tokenizer is of another kind.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        splits = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_words = (
+            steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": WORDS}
+            and splits[0]["invert"] and made["model"]["type"] == "BPE" and all(x["content"].startswith("<|") and not x["normalized"] for x in made["added_tokens"])
+        )
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<|" not in c]
-        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(["", *plain, ""]), add_special_tokens=False).ids, self.dtype)
-        at = np.flatnonzero(ids == self.mark)
-        if len(at) != len(plain) + 1:  # a chunk holds the mark in some disguise
-            plain, at = [], at[:1]
-        for c, a, b in zip(plain, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            self.known[c] = ids[a + 1 : b].tobytes()
-        for c in chunks:
-            if c not in self.known:
-                self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.end = np.array([END_ID], self.dtype).tobytes()
+        self.known: dict[str, bytes] = {"": b""}
+        # how byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, chunk: str, lowered: bool) -> None:
+        if lowered and chunk.isalpha():
+            word = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+            self.known[chunk] = np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+        else:
+            self.known[chunk] = self._whole(chunk)
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text and the end id, in bytes."""
-        chunks = (text or "").replace("\n", " ").split(" ")
-        if new := [c for c in set(chunks) if c not in self.known]:
-            if len(self.known) > REMEMBERED:
-                self.known = {}
-                new = list(set(chunks))
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, chunks)) + np.array([END_ID], self.dtype).tobytes()
+        text = text or ""
+        if not self.by_words:
+            return self._whole(text) + self.end
+        lowered = "<|" not in text and (text.isascii() or _latin(text))
+        if lowered:
+            text = text.lower()
+            if not _LONGER_MARK.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
+        chunks = text.replace("\n", " ").split(" ")
+        known = self.known
+        if len(known) > REMEMBERED:
+            known = self.known = {"": b""}
+        for c in chunks:
+            if c not in known:
+                self._learn(c, lowered)
+        return b"".join(map(known.__getitem__, chunks)) + self.end
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def encoder(path: str) -> Encoder:
