@@ -112,7 +112,7 @@ class CentroidGraph:
             if not live.any():
                 break
             nodes = np.where(live, ids[rows, step], 0)
-            opened[rows, nodes] |= live
+            opened[np.nonzero(live)[0], nodes[live]] = True
             found = self.next[nodes].reshape(len(x), -1)
             fresh = np.repeat(live, self.next.shape[1], axis=1) & ~seen[rows, found]
             r, c = np.nonzero(fresh)

@@ -88,16 +88,17 @@ def parse(data: bytes) -> dict:
 class Bundle:
     """Writes records to an open stream; finish() appends the index and the seek table."""
 
-    def __init__(self, out):
+    def __init__(self, out, frame_bytes: int = FRAME_BYTES):
         import zstandard
 
+        self.frame_bytes = frame_bytes
         self.compressor = zstandard.ZstdCompressor(level=LEVEL)
         self.out, self.held, self.size = out, [], 0
         self.frames: list[tuple[int, int]] = []
         self.index: list[tuple[str, int, int, int]] = []
 
     def add(self, record_id: str, data: bytes) -> None:
-        if self.size and self.size + len(data) > FRAME_BYTES:
+        if self.size and self.size + len(data) > self.frame_bytes:
             self._flush()
         self.index.append((record_id, len(self.frames), self.size, len(data)))
         self.held.append(data)
@@ -166,7 +167,7 @@ def revisits(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", htm
     return materialize(spark, found.select("__id", "__digest", "__refers_to").distinct(), "warc-revisits")
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, target: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[str]:
+def write_archives(spark: SparkSession, pages: DataFrame, target: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", frame_bytes: int = FRAME_BYTES) -> list[str]:
     """Write one archive for each partition of ``pages`` below the URI ``target``; returns the archives' URIs."""
     again = revisits(spark, pages, id_col, html_col)
     payload = F.coalesce(F.col(html_col), F.lit(""))
@@ -181,7 +182,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, target: str, id_col: s
             return
         n = 0
         with writing(name) as out:
-            bundle = Bundle(out)
+            bundle = Bundle(out, frame_bytes)
             while first is not None:
                 for at in range(0, first.num_rows, ROWS_AT_ONCE):
                     for r in first.slice(at, ROWS_AT_ONCE).to_pylist():
