@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from covaria.llm import language, pii, quality, tokens
 from tests.llm.helpers import SPACE, documents, empty, prose, rows, words
@@ -160,7 +161,7 @@ def labelled(spark, n=240):
 def test_language_held_out(spark):
     docs = labelled(spark)
     model = language.learn(docs)
-    got = language.predict(docs, model).withColumn("held_out", language.held_out(docs["doc_id"])).collect()
+    got = language.predict(docs, model).withColumn("held_out", language.held_out(F.col("doc_id"))).collect()
     truth = {r.doc_id: r.lang for r in docs.collect()}
     held = [r for r in got if r.held_out and r.lang_pred != "und"]
     assert all((r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == r.held_out for r in got)
