@@ -34,7 +34,7 @@ SHINGLE = 3
 SEED = 42
 CELL_ROWS = 2048
 #: Pairs of nodes that are expanded at once.
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 17
 BLOCKS = RADIUS + 1
 ALL_BITS = (1 << 64) - 1
 
