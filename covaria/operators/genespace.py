@@ -11,6 +11,7 @@ from covaria.operators.crossop import cross_operator
 from covaria.operators.kernel import compute_kernel
 from covaria.operators.scores import dense
 from covaria.operators.subset import clip_values, pairs_of, prevalent_genes, sufficient_slides
+from covaria.sources.store import materialize
 
 MOST_GENES = 3000
 
@@ -66,15 +67,16 @@ def run_gene_space(expression: DataFrame, cells: DataFrame, cell_types: list[str
         raise ValueError("at least two cell types are needed")
     cells = cells.where(F.col("cell_type").isin(list(cell_types)))
     slides = sufficient_slides(cells, cell_types, slide_cells)
-    cells = cells.join(slides, "slide", "left_semi").cache()
+    cells = materialize(cells.join(slides, "slide", "left_semi"), "cells")
     expression = expression.join(cells.select("cell_id"), "cell_id", "left_semi")
-    genes = prevalent_genes(expression, cells, min_prevalence, min_cells).select("gene").cache()
+    genes = prevalent_genes(expression, cells, min_prevalence, min_cells).select("gene")
+    genes = materialize(genes, "genes")
     names = sorted(r[0] for r in genes.collect())
     if not names or len(names) > MOST_GENES:
         raise ValueError(f"{len(names)} genes pass the filter; between 1 and {MOST_GENES} are needed")
-    z = standardized(clip_values(expression.join(genes, "gene", "left_semi"), clip), cells, genes).cache()
+    z = materialize(standardized(clip_values(expression.join(genes, "gene", "left_semi"), clip), cells, genes), "z")
     kernel, _ = compute_kernel(cells, pairs_of(cell_types), [sigma], **({"skip_few": True} | kernel_options))
-    own, cross = self_covariances(z).cache(), cross_covariances(kernel, z).cache()
+    own, cross = materialize(self_covariances(z), "own"), materialize(cross_covariances(kernel, z), "cross")
     at = {g: k for k, g in enumerate(names)}
 
     def matrices(df: DataFrame, keys: list[str], symmetric: bool) -> dict:

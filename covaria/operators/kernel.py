@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from covaria.functions.quantiles import exact_quantile
 from covaria.operators.neighbors import PAIR, block_sizes, conditioned, distance_edges, low_quantiles, scale_factor, scaled
 from covaria.operators.subset import BLOCK, warn_dropped
+from covaria.sources.store import materialize
 
 NORMALIZATIONS = ("none", "median", "row", "col")
 
@@ -64,7 +64,7 @@ def compute_kernel(
     are dropped with a warning, and it is an error if nothing is left.
     """
     at = scaled(cells, dist_type, scales)
-    low = low_quantiles(at, pairs, skip_few).cache()
+    low = low_quantiles(at, pairs, skip_few)
     factor = scale_factor(low, normalize_target, normalize_distance) if factor is None else factor
     radius = None
     if method != "dense" and lower_limit > 0:
@@ -72,7 +72,7 @@ def compute_kernel(
         box = at.agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz" if a in at.columns]).first()
         if method == "auto" and radius >= max(v or 0.0 for v in box) / 2:
             radius = None
-    raw = gaussian(conditioned(distance_edges(at, pairs, radius), low, factor, truncate), sigmas, lower_limit)
+    raw = materialize(gaussian(conditioned(distance_edges(at, pairs, radius), low, factor, truncate), sigmas, lower_limit), "kernel-raw")
     if check:
         states = support(raw, block_sizes(at, pairs, skip_few), lower_limit, min_ave_cell_neighbor).collect()
         good = [tuple(r[c] for c in BLOCK) for r in states if r["valid"]]
@@ -81,7 +81,10 @@ def compute_kernel(
         warn_dropped("blocks without support", [tuple(r[c] for c in BLOCK) for r in states if not r["valid"]])
         valid = cells.sparkSession.createDataFrame(good, "sigma double, slide string, ct_1 string, ct_2 string")
         raw = raw.join(valid, BLOCK, "left_semi")
-    return normalize_kernel(clip_kernel(raw, upper_quantile), normalization, lower_limit), factor
+    clipped = clip_kernel(raw, upper_quantile)
+    if normalization != "none":
+        clipped = materialize(clipped, "kernel-clipped")
+    return materialize(normalize_kernel(clipped, normalization, lower_limit), "kernel"), factor
 
 
 def symmetrized(kernel: DataFrame) -> DataFrame:
@@ -96,22 +99,12 @@ def sinkhorn(kernel: DataFrame, max_iter: int = 100, tol: float = 1e-6) -> DataF
     Each round is two aggregates over the edges; the vectors are written to the checkpoint folder now and then, which
     cuts the lineage and survives lost executors.
     """
-    spark = kernel.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="covaria-")
-    edges = kernel.select(*BLOCK, "i", "j", F.greatest("k", F.lit(0.0)).alias("k")).cache()
+    edges = kernel.select(*BLOCK, "i", "j", F.greatest("k", F.lit(0.0)).alias("k"))
     safe = lambda s: F.when(s < 1e-12, F.lit(1.0)).otherwise(s)
     columns = edges.select(*BLOCK, "j").distinct().withColumn("c", F.lit(1.0))
     for _ in range(max_iter):
-        rows = edges.join(columns, [*BLOCK, "j"]).groupBy(*BLOCK, "i").agg((1 / safe(F.sum(F.col("k") * F.col("c")))).alias("r"))
-        path = f"{folder.rstrip('/')}/covaria-sinkhorn/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{path}/r")
-        rows = spark.read.parquet(f"{path}/r")
-        edges.join(rows, [*BLOCK, "i"]).groupBy(*BLOCK, "j").agg((1 / safe(F.sum(F.col("k") * F.col("r")))).alias("c")).write.parquet(f"{path}/c")
-        columns = spark.read.parquet(f"{path}/c")
+        rows = materialize(edges.join(columns, [*BLOCK, "j"]).groupBy(*BLOCK, "i").agg((1 / safe(F.sum(F.col("k") * F.col("c")))).alias("r")), "rows")
+        columns = materialize(edges.join(rows, [*BLOCK, "i"]).groupBy(*BLOCK, "j").agg((1 / safe(F.sum(F.col("k") * F.col("r")))).alias("c")), "columns")
         both = edges.join(rows, [*BLOCK, "i"]).join(columns, [*BLOCK, "j"])
         off = both.groupBy(*BLOCK, "i").agg(F.abs(F.sum(F.col("k") * F.col("r") * F.col("c")) - 1).alias("e")).agg(F.max("e")).first()[0]
         if off is None or off < tol:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covaria.functions.quantiles import exact_quantile
+from covaria.sources.store import materialize
 
 AXES = {"Euclidean2D": "xy", "Euclidean3D": "xyz"}
 PAIR = ["slide", "ct_1", "ct_2"]
@@ -77,7 +78,7 @@ def low_quantiles(cells: DataFrame, pairs: list[tuple[str, str]], skip_few: bool
     Only the smallest distances matter, so the range join is tried with a small radius that is doubled until every
     block has enough of them.
     """
-    sizes = block_sizes(cells, pairs, skip_few).cache()
+    sizes = materialize(block_sizes(cells, pairs, skip_few), "blocks")
     axes = [a for a in "xyz" if a in cells.columns]
     box = cells.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
     extent = math.sqrt(sum((box[a] or 0.0) ** 2 for a in axes))
@@ -86,6 +87,7 @@ def low_quantiles(cells: DataFrame, pairs: list[tuple[str, str]], skip_few: bool
         whole = radius is None or radius >= extent / 2
         edges = distance_edges(cells, pairs, None if whole else radius)
         near = edges.groupBy(*PAIR).agg(F.count("*").alias("seen"), F.count_if(F.col("d") > 0).alias("positive"), F.min(F.when(F.col("d") > 0, F.col("d"))).alias("least"))
+        near = materialize(near, "near")
         # the order statistics asked for, counted from 0, are at most ceil((n - 1) * level)
         short = sizes.where("n_pairs > 0").join(near, PAIR, "left").where("positive IS NULL OR positive = 0 OR seen < ceil((n_pairs - 1) * level) + 1")
         if whole or not short.limit(1).count():
@@ -95,8 +97,9 @@ def low_quantiles(cells: DataFrame, pairs: list[tuple[str, str]], skip_few: bool
     values = filled.select(*PAIR, F.when(F.col("d") == 0, F.col("least")).otherwise(F.col("d")).alias("d"), ((F.col("n_pairs") - 1) * F.col("level")).alias("h"))
     # among the pairs seen, all others being farther, the wanted rank is at share h / (seen - 1)
     shares = values.join(near.select(*PAIR, "seen"), PAIR).withColumn("p", F.coalesce(F.try_divide(F.col("h"), F.col("seen") - 1), F.lit(0.0)))
+    shares = materialize(shares.select(*PAIR, "d", "p"), "shares")
     low = exact_quantile(shares, PAIR, "d", F.col("p"), "low")
-    return sizes.join(near.select(*PAIR, "least"), PAIR, "left").join(low, PAIR, "left")
+    return materialize(sizes.join(near.select(*PAIR, "least"), PAIR, "left").join(low, PAIR, "left"), "low")
 
 
 def scale_factor(quantiles: DataFrame, target: float = 0.01, normalize: bool = True) -> float:
@@ -117,5 +120,5 @@ def conditioned(edges: DataFrame, quantiles: DataFrame, factor: float = 1.0, tru
 def compute_distance(cells: DataFrame, pairs: list[tuple[str, str]], dist_type: str = "Euclidean2D", normalize: bool = True, truncate: bool = True, normalize_target: float = 0.01, scales=(1.0, 1.0, 1.0), skip_few: bool = False) -> DataFrame:
     """All distances of the blocks, conditioned and normalised: (slide, ct_1, ct_2, i, j, d)."""
     at = scaled(cells, dist_type, scales)
-    low = low_quantiles(at, pairs, skip_few).cache()
+    low = low_quantiles(at, pairs, skip_few)
     return conditioned(distance_edges(at, pairs), low, scale_factor(low, normalize_target, normalize), truncate)

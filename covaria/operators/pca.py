@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.sources.store import materialize
+
 LEAST_SD = 1e-3
 LEAST_SHARE = 0.01
 #: The covariance of this many genes fits the driver (128 MB); beyond it choose genes first.
@@ -57,7 +59,7 @@ def compute_pca(expression: DataFrame, cells: DataFrame, n_pca: int = 30, center
     largest score of each component is positive.
     """
     spark = cells.sparkSession
-    moments = gene_moments(expression, cells, center_per_slide, center, scale).cache()
+    moments = materialize(gene_moments(expression, cells, center_per_slide, center, scale), "moments")
     entries = gram(expression, cells, moments, center_per_slide)
     if (genes := moments.select("gene").distinct().count()) > MOST_GENES:
         raise ValueError(f"{genes} genes; choose at most {MOST_GENES} before compute_pca")
@@ -81,7 +83,7 @@ def compute_pca(expression: DataFrame, cells: DataFrame, n_pca: int = 30, center
             loadings += [(ct, name, pc, float(v)) for name, v in zip(names, vectors[:, o], strict=True)]
     load = spark.createDataFrame(loadings, "cell_type string, gene string, pc int, loading double")
     sdev = spark.createDataFrame(sdevs, "cell_type string, pc int, sdev double")
-    scores = project(expression, cells, moments, load, center_per_slide).cache()
+    scores = materialize(project(expression, cells, moments, load, center_per_slide), "pc-scores")
     flip = scores.groupBy("cell_type", "pc").agg(F.signum(F.max_by("score", F.abs("score"))).alias("sign")).withColumn("sign", F.when(F.col("sign") < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
     signed = lambda df, c: df.join(flip, ["cell_type", "pc"]).withColumn(c, F.col(c) * F.col("sign")).select(df.columns)
     return signed(scores, "score"), signed(load, "loading"), sdev

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.sources.store import materialize
+
 METHODS = ("bin", "global", "toroidal", "pc")
 
 
@@ -82,7 +84,8 @@ def resample_spatial(cells: DataFrame, n: int = 1, bins_x: int = 10, bins_y: int
 
     Cells are drawn with replacement only if even then there are too few, so a draw is no bijection.
     """
-    placed = tiles(cells, bins_x, bins_y).select("slide", "cell_type", "cell_id", "x", "y", "tx", "ty").cache()
+    placed = tiles(cells, bins_x, bins_y).select("slide", "cell_type", "cell_id", "x", "y", "tx", "ty")
+    placed = materialize(placed, "tiles")
     group = ["slide", "cell_type"]
     occupied = _draws(placed.groupBy(*group, "tx", "ty").agg(F.count("*").alias("n")), n)
     w = lambda *c: Window.partitionBy("draw", *group).orderBy(*c)

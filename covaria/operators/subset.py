@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from covaria.functions.quantiles import exact_quantile
 from covaria.sources.cells import CellSet
+from covaria.sources.store import materialize
 
 
 def pairs_of(cell_types: list[str] | tuple[str, ...]) -> list[tuple[str, str]]:
@@ -69,7 +70,7 @@ def filter_kernel(kernel: DataFrame, row_cutoff: float = 5e-3, col_cutoff: float
     c = own.groupBy(*BLOCK, "j").agg(F.sum("k").alias("s")).where(F.col("s") > col_cutoff).drop("s").withColumnRenamed("j", "i")
     both = r.join(c, [*BLOCK, "i"])
     own = own.join(both, [*BLOCK, "i"], "left_semi").join(both.withColumnRenamed("i", "j"), [*BLOCK, "j"], "left_semi").select(kernel.columns)
-    return cross.unionByName(own)
+    return materialize(cross.unionByName(own), "kernel-filtered")
 
 
 def warn_dropped(what: str, dropped: list) -> None:

@@ -1,15 +1,504 @@
-"""Registered queries over the fixture tables."""
+"""Registered queries: one or more for each operator family, over the fixture view of the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from covaria.operators import association, crossop, genespace, genetest, kernel, neighbors, pca, resample, scores, subset
+from covaria.plans import analysis, fixture, report
+from covaria.plans.oracles import ORACLES as ORACLES
+from covaria.sources.cells import cap_and_log, create_cell_set, split_slides
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+PAIR01 = [("T0", "T1")]
+PAIRS = subset.pairs_of(fixture.TYPES)
+SELVES = subset.self_pairs(fixture.TYPES)
+SIGMAS = [0.01, 0.02]
+#: Distances are used as they are, so that the oracles need not repeat the search for a scale.
+RAW = {"normalize_distance": False, "truncate": False}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """From tables to the normalised correlation of two types along their canonical axes, for a grid of bandwidths."""
+    made = create_cell_set(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir, slides=False))
+    run = analysis.Analysis(subset.subset_data(made, ["T0", "T1"])).compute_pca(n_pca=10).compute_kernel_matrix([0.01, 0.02, 0.05, 0.1, 0.2]).run_kernel_cca(n_cc=2)
+    return rounded(run.compute_normalized_correlation().association, "normalized_correlation")
+
+
+QUERIES["kernel_cca_flagship"] = flagship
+
+
+@query
+def create_cells(spark, sf_dir):
+    made = create_cell_set(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir).drop("slide").withColumnsRenamed({"x": "X", "y": "Y"}).withColumn("batch", F.lit(7)), slide_col="batch")
+    counts = made.cells.groupBy("slide", "cell_type").agg(F.count("*").alias("n"), F.min("x").alias("x_min"), F.max("y").alias("y_max"))
+    return rounded(counts, "x_min", "y_max")
+
+
+@query
+def subset_types(spark, sf_dir):
+    kept = subset.subset_data(create_cell_set(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir), validate=False), ["T0", "T2"])
+    return rounded(kept.expression.groupBy("gene").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
+
+
+@query
+def pair_enumeration(spark, sf_dir):
+    return spark.createDataFrame(PAIRS, "ct_1 string, ct_2 string")
+
+
+@query
+def block_sizes(spark, sf_dir):
+    return rounded(neighbors.block_sizes(fixture.cells(spark, sf_dir), PAIRS + SELVES, skip_few=True), "level", digits=10)
+
+
+@query
+def prevalent_genes(spark, sf_dir):
+    return subset.prevalent_genes(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir), 0.45, 20)
+
+
+@query
+def clip_values(spark, sf_dir):
+    return rounded(subset.clip_values(fixture.expression(spark, sf_dir)).groupBy("gene").agg(F.max("value").alias("largest"), F.sum("value").alias("total")), "largest", "total")
+
+
+@query
+def sufficient_slides(spark, sf_dir):
+    return subset.sufficient_slides(fixture.cells(spark, sf_dir), list(fixture.TYPES), 60)
+
+
+@query
+def cap_and_log_genes(spark, sf_dir):
+    positive = fixture.expression(spark, sf_dir).where("value > 0")
+    n = fixture.cells(spark, sf_dir).count()
+    return rounded(cap_and_log(positive, n).groupBy("gene").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
+
+
+@query
+def split_large_slides(spark, sf_dir):
+    return split_slides(fixture.cells(spark, sf_dir), 100).groupBy("slide").agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("largest"), F.sum("n").alias("cells"))
+
+
+@query
+def distance_cross(spark, sf_dir):
+    edges = neighbors.distance_edges(neighbors.scaled(fixture.cells(spark, sf_dir)), PAIRS)
+    return rounded(edges.groupBy("slide", "ct_1", "ct_2").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.min("d").alias("least")), "total", "least")
+
+
+@query
+def distance_self(spark, sf_dir):
+    edges = neighbors.distance_edges(neighbors.scaled(fixture.cells(spark, sf_dir)), SELVES)
+    return rounded(edges.groupBy("slide", "ct_1", "ct_2").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.min("d").alias("least")), "total", "least")
+
+
+@query
+def distance_three_axes(spark, sf_dir):
+    edges = neighbors.distance_edges(neighbors.scaled(fixture.cells(spark, sf_dir), "Euclidean3D", (1.0, 2.0, 0.5)), PAIR01)
+    return rounded(edges.groupBy("slide").agg(F.count("*").alias("n"), F.sum("d").alias("total")), "total")
+
+
+@query
+def range_join(spark, sf_dir):
+    return rounded(neighbors.distance_edges(neighbors.scaled(fixture.cells(spark, sf_dir)), PAIRS, 0.02).select("slide", "ct_1", "ct_2", "i", "j", "d"), "d", digits=10)
+
+
+@query
+def range_join_events(spark, sf_dir):
+    """Events as points (hour of day, value) of their type: pairs of one type within a small radius."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hours = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")) / 3600.0
+    points = e.select(F.lit("day").alias("slide"), F.col("event_type").alias("cell_type"), F.col("event_id").alias("cell_id"), hours.alias("x"), F.col("value").alias("y"))
+    types = [r[0] for r in points.select("cell_type").distinct().orderBy("cell_type").collect()]
+    edges = neighbors.distance_edges(points, subset.self_pairs(types), 0.05)
+    return edges.groupBy("ct_1").agg(F.count("*").alias("n"))
+
+
+@query
+def low_quantiles(spark, sf_dir):
+    low = neighbors.low_quantiles(neighbors.scaled(fixture.cells(spark, sf_dir)), PAIRS + SELVES)
+    return rounded(low.select("slide", "ct_1", "ct_2", "n_pairs", "low"), "low", digits=10)
+
+
+@query
+def conditioned_distances(spark, sf_dir):
+    d = neighbors.compute_distance(fixture.cells(spark, sf_dir), PAIR01)
+    return rounded(d.groupBy("slide").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.sum("d").alias("total")), "least", "total", digits=5)
+
+
+def _raw_kernel(spark, sf_dir, pairs, normalization="none", **options):
+    k, _ = kernel.compute_kernel(fixture.cells(spark, sf_dir), pairs, SIGMAS, normalization=normalization, check=False, **(RAW | options))
+    return k
+
+
+def _summary(k):
+    return rounded(k.groupBy("sigma", "slide", "ct_1", "ct_2").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.max("k").alias("largest")), "total", "largest")
+
+
+@query
+def kernel_edges(spark, sf_dir):
+    return rounded(_raw_kernel(spark, sf_dir, PAIRS), "k", digits=8)
+
+
+@query
+def kernel_self(spark, sf_dir):
+    return _summary(_raw_kernel(spark, sf_dir, SELVES))
+
+
+@query
+def kernel_row_normalized(spark, sf_dir):
+    return _summary(_raw_kernel(spark, sf_dir, PAIRS, "row"))
+
+
+@query
+def kernel_col_normalized(spark, sf_dir):
+    return _summary(_raw_kernel(spark, sf_dir, PAIRS, "col"))
+
+
+@query
+def kernel_median_normalized(spark, sf_dir):
+    return _summary(_raw_kernel(spark, sf_dir, PAIRS, "median"))
+
+
+@query
+def kernel_dense_path(spark, sf_dir):
+    return _summary(_raw_kernel(spark, sf_dir, PAIRS, method="dense"))
+
+
+@query
+def kernel_support(spark, sf_dir):
+    cells = fixture.cells(spark, sf_dir)
+    raw = kernel.gaussian(neighbors.distance_edges(neighbors.scaled(cells), PAIRS, 0.06), [0.001, 0.01])
+    return rounded(kernel.support(raw, neighbors.block_sizes(cells, PAIRS)), "required")
+
+
+@query
+def kernel_filter_cross(spark, sf_dir):
+    return _summary(subset.filter_kernel(_raw_kernel(spark, sf_dir, PAIRS), 0.5, 0.5))
+
+
+@query
+def kernel_filter_self(spark, sf_dir):
+    return _summary(subset.filter_kernel(_raw_kernel(spark, sf_dir, SELVES), 0.5, 0.5))
+
+
+@query
+def kernel_doubly_stochastic(spark, sf_dir):
+    k = kernel.sinkhorn(kernel.compute_kernel(fixture.cells(spark, sf_dir), PAIR01, [0.2], check=False, **RAW)[0])
+    return rounded(k.groupBy("sigma", "slide", "ct_1", "ct_2", "i").agg(F.sum("k").alias("total")).groupBy("slide").agg(F.count("*").alias("n"), F.max(F.abs(F.col("total") - 1)).alias("off")), "off", digits=4)
+
+
+@query
+def gene_moments(spark, sf_dir):
+    m = pca.gene_moments(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir))
+    return rounded(m, "center", "scale")
+
+
+@query
+def gene_moments_pooled(spark, sf_dir):
+    m = pca.gene_moments(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir), by_slide=False, center=False)
+    return rounded(m.drop("slide"), "center", "scale")
+
+
+@query
+def gram_matrix(spark, sf_dir):
+    ex, cells = fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir)
+    return rounded(pca.gram(ex, cells, pca.gene_moments(ex, cells)), "g", digits=5)
+
+
+@query
+def principal_components(spark, sf_dir):
+    ex, cells = fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir)
+    s, _, sdev = pca.compute_pca(ex, cells, 5)
+    spread = s.groupBy("cell_type", "pc").agg(F.sum(F.col("score") ** 2).alias("ss"), F.count("*").alias("n"))
+    return rounded(spread.join(sdev, ["cell_type", "pc"]).select("cell_type", "pc", "sdev", F.sqrt(F.col("ss") / (F.col("n") - 1)).alias("spread")), "sdev", "spread", digits=5)
+
+
+def _fixed_pcs(spark, sf_dir):
+    return fixture.fixed_scores(spark, sf_dir).withColumnRenamed("cc", "pc")
+
+
+@query
+def cross_operator(spark, sf_dir):
+    y = crossop.cross_operator(_raw_kernel(spark, sf_dir, PAIRS), _fixed_pcs(spark, sf_dir).select("cell_type", "cell_id", "pc", "score"))
+    return rounded(y, "y")
+
+
+@query
+def cross_operator_by_slide(spark, sf_dir):
+    y = crossop.cross_operator(_raw_kernel(spark, sf_dir, PAIRS), _fixed_pcs(spark, sf_dir).select("cell_type", "cell_id", "pc", "score"), by_slide=True)
+    return rounded(y, "y")
+
+
+@query
+def kernel_norms(spark, sf_dir):
+    k = _raw_kernel(spark, sf_dir, PAIRS)
+    return rounded(association.block_norms(k, neighbors.block_sizes(fixture.cells(spark, sf_dir), PAIRS)), "norm")
+
+
+@query
+def kernel_norms_whitened(spark, sf_dir):
+    k, own = _raw_kernel(spark, sf_dir, PAIR01), _raw_kernel(spark, sf_dir, SELVES)
+    return rounded(association.block_norms(k, neighbors.block_sizes(fixture.cells(spark, sf_dir), PAIR01), own), "norm", digits=5)
+
+
+def _association(spark, sf_dir, mode="per_slide"):
+    k = _raw_kernel(spark, sf_dir, PAIRS)
+    norms = association.block_norms(k, neighbors.block_sizes(fixture.cells(spark, sf_dir), PAIRS))
+    return association.normalized_correlation(k, fixture.fixed_scores(spark, sf_dir), norms, mode)
+
+
+@query
+def normalized_correlation(spark, sf_dir):
+    return rounded(_association(spark, sf_dir), "normalized_correlation")
+
+
+@query
+def normalized_correlation_aggregate(spark, sf_dir):
+    return rounded(_association(spark, sf_dir, "aggregate"), "normalized_correlation")
+
+
+@query
+def choose_sigma(spark, sf_dir):
+    return rounded(association.choose_sigma(_association(spark, sf_dir)), "mean_cc1")
+
+
+@query
+def bidirectional_correlation(spark, sf_dir):
+    return rounded(association.bidirectional_correlation(_raw_kernel(spark, sf_dir, PAIRS), fixture.fixed_scores(spark, sf_dir)), "bidir_correlation")
+
+
+@query
+def bidirectional_unfiltered(spark, sf_dir):
+    return rounded(association.bidirectional_correlation(_raw_kernel(spark, sf_dir, PAIRS), fixture.fixed_scores(spark, sf_dir), "none", False), "bidir_correlation")
+
+
+@query
+def bidirectional_self(spark, sf_dir):
+    return rounded(association.bidirectional_correlation(_raw_kernel(spark, sf_dir, SELVES), fixture.fixed_scores(spark, sf_dir)), "bidir_correlation")
+
+
+def _fixed_weights(spark):
+    return spark.createDataFrame([(t, pc, cc, 1.0 / (pc + cc + k)) for k, t in enumerate(fixture.TYPES) for pc in (1, 2) for cc in (1, 2)], "cell_type string, pc int, cc int, w double")
+
+
+@query
+def cell_scores(spark, sf_dir):
+    return rounded(scores.cell_scores(_fixed_pcs(spark, sf_dir), _fixed_weights(spark)), "score")
+
+
+@query
+def gene_scores(spark, sf_dir):
+    m = pca.gene_moments(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir), by_slide=False)
+    loadings = m.select("cell_type", "gene", F.explode(F.array(F.struct(F.lit(1).alias("pc"), F.col("center").alias("loading")), F.struct(F.lit(2).alias("pc"), F.col("scale").alias("loading")))).alias("l")).select("cell_type", "gene", "l.pc", "l.loading")
+    sdev = spark.createDataFrame([(t, pc, 0.5 * pc) for t in fixture.TYPES for pc in (1, 2)], "cell_type string, pc int, sdev double")
+    return rounded(scores.gene_scores(loadings, sdev, _fixed_weights(spark)), "score")
+
+
+@query
+def regression_gene_scores(spark, sf_dir):
+    return rounded(scores.regression_gene_scores(fixture.expression(spark, sf_dir), fixture.fixed_scores(spark, sf_dir)), "score")
+
+
+def _halves(spark, sf_dir):
+    ex = fixture.expression(spark, sf_dir).where("gene IN ('g4', 'g5', 'g6', 'g7')")
+    cells = fixture.cells(spark, sf_dir)
+    genes = ex.select("gene").distinct()
+    return scores.dense(ex, cells.where("slide = 's0'"), genes), scores.dense(ex, cells.where("slide = 's1'"), genes)
+
+
+@query
+def quantile_normalize(spark, sf_dir):
+    ref, tar = _halves(spark, sf_dir)
+    return rounded(scores.quantile_normalize(ref.select("gene", "value"), tar.select("gene", "cell_id", "value")), "value")
+
+
+def _transferred(spark, sf_dir):
+    ref, tar = _halves(spark, sf_dir)
+    weights = spark.createDataFrame([(t, f"g{g}", 1, 0.1 * g - 0.45) for t in fixture.TYPES for g in range(4, 9)], "cell_type string, gene string, cc int, score double")
+    return scores.transfer_scores(ref, tar, weights, True, 0.1)
+
+
+@query
+def transfer_scores(spark, sf_dir):
+    return rounded(_transferred(spark, sf_dir), "score")
+
+
+@query
+def transfer_correlation(spark, sf_dir):
+    k = _raw_kernel(spark, sf_dir, PAIRS).where("slide = 's1'")
+    norms = association.block_norms(k, neighbors.block_sizes(fixture.cells(spark, sf_dir), PAIRS))
+    return rounded(association.normalized_correlation(k, _transferred(spark, sf_dir), norms, "aggregate"), "normalized_correlation", digits=5)
+
+
+@query
+def transfer_bidirectional(spark, sf_dir):
+    k = _raw_kernel(spark, sf_dir, PAIRS).where("slide = 's1'")
+    return rounded(association.bidirectional_correlation(k, _transferred(spark, sf_dir)), "bidir_correlation", digits=5)
+
+
+@query
+def spatial_tiles(spark, sf_dir):
+    return resample.tiles(fixture.cells(spark, sf_dir), 7, 5).select("cell_id", "tx", "ty")
+
+
+@query
+def global_permutation(spark, sf_dir):
+    return resample.global_permutation(fixture.cells(spark, sf_dir), 3)
+
+
+@query
+def toroidal_permutation(spark, sf_dir):
+    return resample.toroidal_permutation(fixture.cells(spark, sf_dir), 2)
+
+
+@query
+def spatial_resampling(spark, sf_dir):
+    p = resample.resample_spatial(fixture.cells(spark, sf_dir), 3, 6, 6)
+    return p.groupBy("draw", "slide", "cell_type").agg(F.count("*").alias("cells"), F.count_distinct("cell_id").alias("distinct_cells"))
+
+
+@query
+def quantile_matched_resampling(spark, sf_dir):
+    p = resample.resample_spatial(fixture.cells(spark, sf_dir), 2, 6, 6, match_quantile=True)
+    return p.groupBy("draw", "slide", "cell_type").agg(F.count("*").alias("cells"), F.count_distinct("cell_id").alias("distinct_cells"))
+
+
+@query
+def component_permutation(spark, sf_dir):
+    return rounded(resample.permute_each_component(_fixed_pcs(spark, sf_dir), 2), "score")
+
+
+@query
+def permuted_scores(spark, sf_dir):
+    return rounded(resample.permute_scores(_fixed_pcs(spark, sf_dir), resample.global_permutation(fixture.cells(spark, sf_dir), 2)), "score")
+
+
+def _null(spark, sf_dir, n=9):
+    """Correlations of the fixed scores, the second type's shuffled."""
+    k = _raw_kernel(spark, sf_dir, PAIR01)
+    fixed = fixture.fixed_scores(spark, sf_dir).where("cc = 1")
+    perm = resample.global_permutation(fixture.cells(spark, sf_dir).where("cell_type = 'T1'"), n)
+    moved = perm.join(fixed.select(F.col("cell_id").alias("source_id"), "score"), "source_id").select("draw", F.col("cell_id").alias("j"), F.col("score").alias("b"))
+    a = fixed.where("cell_type = 'T0'").select(F.col("cell_id").alias("i"), F.col("score").alias("a"))
+    smooth = k.join(a, "i").groupBy("sigma", "j").agg(F.sum(F.col("k") * F.col("a")).alias("s"))
+    stats = smooth.join(moved, "j").groupBy("draw", "sigma").agg(F.sum(F.col("s") * F.col("b")).alias("normalized_correlation"))
+    observed = smooth.join(fixed.select(F.col("cell_id").alias("j"), F.col("score").alias("b")), "j").groupBy("sigma").agg(F.sum(F.col("s") * F.col("b")).alias("normalized_correlation"))
+    tag = lambda df: df.withColumns({"ct_1": F.lit("T0"), "ct_2": F.lit("T1"), "cc": F.lit(1)})
+    return tag(observed), tag(stats)
+
+
+@query
+def permutation_pvalue(spark, sf_dir):
+    out = association.permutation_pvalue(*_null(spark, sf_dir), alternative="two-sided")
+    return rounded(out, "observed", "p_value", "p_floor", "null_mean", "null_sd")
+
+
+@query
+def step_down_pvalues(spark, sf_dir):
+    axes = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.02), (4, None), (5, 0.001)], "cc int, p_raw double")
+    return association.step_down(axes)
+
+
+@query
+def null_histogram(spark, sf_dir):
+    return rounded(report.null_histogram(_null(spark, sf_dir)[1], 5), "low")
+
+
+def _standardized(spark, sf_dir):
+    ex = fixture.expression(spark, sf_dir).where("gene IN ('g4', 'g5', 'g6')")
+    return genespace.standardized(ex, fixture.cells(spark, sf_dir), ex.select("gene").distinct())
+
+
+@query
+def genespace_self_covariance(spark, sf_dir):
+    return rounded(genespace.self_covariances(_standardized(spark, sf_dir)), "c")
+
+
+@query
+def genespace_cross_covariance(spark, sf_dir):
+    return rounded(genespace.cross_covariances(_raw_kernel(spark, sf_dir, PAIRS), _standardized(spark, sf_dir)), "c")
+
+
+@query
+def genespace_objective(spark, sf_dir):
+    z = _standardized(spark, sf_dir)
+    w = spark.createDataFrame([(t, f"g{g}", 1, 0.3 * (g - 4) + 0.2 * (k + 1)) for k, t in enumerate(fixture.TYPES) for g in (4, 5, 6)], "cell_type string, gene string, cc int, w double")
+    return rounded(genespace.objective(w, genespace.self_covariances(z), genespace.cross_covariances(_raw_kernel(spark, sf_dir, PAIRS), z)), "objective")
+
+
+@query
+def genespace_cca(spark, sf_dir):
+    ex = fixture.expression(spark, sf_dir).where("gene IN ('g4', 'g5', 'g6', 'g7', 'g8')")
+    return genespace.run_gene_space(ex, fixture.cells(spark, sf_dir), ["T0", "T1"], 0.05, 2, check=False)[2]
+
+
+@query
+def gene_slopes(spark, sf_dir):
+    return rounded(genetest.gene_slopes(fixture.expression(spark, sf_dir).where("gene > 'g5'"), fixture.fixed_scores(spark, sf_dir)), "estimate")
+
+
+@query
+def gene_test_glm(spark, sf_dir):
+    t = genetest.test_gene_scores(fixture.expression(spark, sf_dir).where("gene > 'g5'"), fixture.fixed_scores(spark, sf_dir), "glm")
+    return rounded(t.select("cell_type", "cc", "gene", "estimate"), "estimate")
+
+
+@query
+def gene_test_lmm(spark, sf_dir):
+    return genetest.test_gene_scores(fixture.expression(spark, sf_dir).where("gene IN ('g6', 'g7')"), fixture.fixed_scores(spark, sf_dir), "lmm")
+
+
+@query
+def plot_correlation(spark, sf_dir):
+    return rounded(report.correlation_by_sigma(_association(spark, sf_dir, "aggregate")), "normalized_correlation")
+
+
+@query
+def plot_scores_in_place(spark, sf_dir):
+    return rounded(report.scores_in_place(fixture.fixed_scores(spark, sf_dir), fixture.cells(spark, sf_dir)), "score", "x", "y")
+
+
+@query
+def plot_smoothed_scores(spark, sf_dir):
+    return rounded(report.smoothed_against_target(_raw_kernel(spark, sf_dir, PAIR01), fixture.fixed_scores(spark, sf_dir), 0.02, "T0", "T1"), "smoothed", "score")
+
+
+@query
+def plot_top_genes(spark, sf_dir):
+    g = scores.regression_gene_scores(fixture.expression(spark, sf_dir), fixture.fixed_scores(spark, sf_dir))
+    return rounded(report.top_genes(g, "T0", 1, 8), "score")
+
+
+@query
+def plot_type_shares(spark, sf_dir):
+    return rounded(report.type_shares_by_score(fixture.fixed_scores(spark, sf_dir).where("cc = 1"), 10), "share")
+
+
+@query
+def permutation_test(spark, sf_dir):
+    """Observed axes against refitted draws, both bandwidths in one plan."""
+    made = create_cell_set(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir, slides=False), validate=False)
+    run = analysis.Analysis(subset.subset_data(made, ["T0", "T1"])).compute_pca(n_pca=5).compute_kernel_matrix([0.05, 0.1]).run_kernel_cca(n_cc=2).compute_normalized_correlation()
+    return run.permutation_test(n_permu=9, method="global", seed=3).pvalue()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+@query
+def supervised_cca(spark, sf_dir):
+    made = create_cell_set(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir, slides=False), validate=False)
+    run = analysis.Analysis(subset.subset_data(made, ["T0", "T1"])).compute_pca(n_pca=5).compute_kernel_matrix([0.1])
+    label = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("cell_id"), F.col("label").cast("double").alias("y"))
+    axis = scores.supervised_axis(run.pc_scores.where("cell_type IN ('T0', 'T1')"), label)
+    return rounded(run.run_kernel_cca_supervised(axis, n_cc=2).compute_normalized_correlation().association, "normalized_correlation")
