@@ -113,6 +113,7 @@ def resample_spatial(cells: DataFrame, n: int = 1, bins_x: int = 10, bins_y: int
                 got = b["source_id"].to_numpy()[np.arange(len(a)) % max(len(b), 1)]
             return a[["draw", "slide", "cell_type", "cell_id"]].assign(source_id=got)
 
+        pool = materialize(pool, "pool")
         return want.groupBy(*key).cogroup(pool.groupBy(*key)).applyInPandas(match, fit)
     order = Window.partitionBy(*key)
     offered = pool.withColumn("r", F.row_number().over(order.orderBy(_hash(seed, "draw", "tx", "ty", "source_id"), "source_id")) - 1).select(*key, "source_id", "r")

@@ -305,7 +305,7 @@ class Analysis:
                 for cc in range(self.n_cc):
                     wa, wb = axes[a][:, cc], axes[b][:, cc]
                     den = np.sqrt(max(wa @ squares[draw, a] @ wa, 0)) * np.sqrt(max(wb @ squares[draw, b] @ wb, 0)) * norms[sigma, a, b]
-                    rows.append((draw, float(sigma), a, b, cc + 1, float(wa @ m @ wb / den) if abs(den) >= 1e-9 else 0.0))
+                    rows.append((int(draw), float(sigma), a, b, cc + 1, float(wa @ m @ wb / den) if abs(den) >= 1e-9 else 0.0))
         if failed:
             warnings.warn(f"{failed} refits failed", stacklevel=2)
         return self._with(null=self._spark().createDataFrame(rows, "draw int, sigma double, ct_1 string, ct_2 string, cc int, normalized_correlation double"))

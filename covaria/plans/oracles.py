@@ -39,7 +39,7 @@ norms AS (SELECT br.sigma, br.slide, br.ct_1, br.ct_2, sqrt(greatest(k2 - r2 / b
 
 
 def ncorr(scores: str = "fixed") -> str:
-    return f"""num AS (SELECT {BLOCK}, a.cc, sum(k * a.score * b.score) AS num FROM kern JOIN {scores} a ON a.cell_id = i JOIN {scores} b ON b.cell_id = j AND b.cc = a.cc GROUP BY ALL),
+    return f"""num AS (SELECT kern.sigma, kern.slide, ct_1, ct_2, a.cc, sum(k * a.score * b.score) AS num FROM kern JOIN {scores} a ON a.cell_id = i JOIN {scores} b ON b.cell_id = j AND b.cc = a.cc GROUP BY ALL),
 len AS (SELECT slide, ct, cc, sum(score * score) AS q FROM {scores} GROUP BY ALL),
 parts AS (SELECT num.*, norm, a.q AS q1, b.q AS q2 FROM num JOIN norms USING ({BLOCK}) JOIN len a ON a.slide = num.slide AND a.ct = num.ct_1 AND a.cc = num.cc
   JOIN len b ON b.slide = num.slide AND b.ct = num.ct_2 AND b.cc = num.cc),
@@ -98,7 +98,7 @@ moved AS (SELECT slide, ct, cell_id, 1 AS cc, sum((v - m) / CASE WHEN sd IS NULL
 Z = """
 zs AS (SELECT ct, slide, gene, cell_id, CASE WHEN stddev_samp(v) OVER b > 0 THEN (v - avg(v) OVER b) / stddev_samp(v) OVER b ELSE 0 END AS s FROM expr JOIN cells USING (cell_id) WHERE gene IN ('g4', 'g5', 'g6') WINDOW b AS (PARTITION BY slide, ct, gene)),
 own AS (SELECT a.slide, a.ct, a.gene AS gene_1, b.gene AS gene_2, sum(a.s * b.s) / count(DISTINCT a.cell_id) AS c FROM zs a JOIN zs b ON a.cell_id = b.cell_id AND a.gene <= b.gene GROUP BY ALL)"""
-CROSSCOV = f"""xc AS (SELECT {BLOCK}, a.gene AS gene_1, b.gene AS gene_2, sum(k * a.s * b.s) AS y FROM kern JOIN zs a ON a.cell_id = i JOIN zs b ON b.cell_id = j GROUP BY ALL),
+CROSSCOV = f"""xc AS (SELECT kern.sigma, kern.slide, ct_1, ct_2, a.gene AS gene_1, b.gene AS gene_2, sum(k * a.s * b.s) AS y FROM kern JOIN zs a ON a.cell_id = i JOIN zs b ON b.cell_id = j GROUP BY ALL),
 crossed AS (SELECT xc.sigma, xc.slide, ct_1, ct_2, gene_1, gene_2, y / sqrt(a.n * b.n) AS c FROM xc JOIN sizes a ON a.slide = xc.slide AND a.ct = ct_1 JOIN sizes b ON b.slide = xc.slide AND b.ct = ct_2)"""
 NULL_ = f"""{kern(PAIR01)},
 draws AS (SELECT draw::INT AS draw, slide, cell_id FROM cells, range(1, 10) d(draw) WHERE ct = 'T1'),
