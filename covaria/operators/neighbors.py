@@ -82,7 +82,9 @@ def low_quantiles(cells: DataFrame, pairs: list[tuple[str, str]], skip_few: bool
     axes = [a for a in "xyz" if a in cells.columns]
     box = cells.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
     extent = math.sqrt(sum((box[a] or 0.0) ** 2 for a in axes))
-    radius = extent / 1024 if extent else None
+    # where that share of the pairs of evenly spread cells would be found, and some more
+    share = sizes.where("n_pairs > 0").agg(F.max(F.greatest(F.col("level"), 2.0 / F.col("n_pairs")))).first()[0] or 1.0
+    radius = 1.5 * extent * (share / math.pi) ** (1 / max(len(axes), 1)) if extent else None
     while True:
         whole = radius is None or radius >= extent / 2
         edges = distance_edges(cells, pairs, None if whole else radius)
