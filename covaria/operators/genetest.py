@@ -97,7 +97,7 @@ def test_gene_scores(expression: DataFrame, scores: DataFrame, test_type: str =
     every = common.crossJoin(genes).join(with_gene, ["cell_type", "cc", *groups, "gene"], "left").fillna(0.0)
     k = len(covariates)
 
-    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_moments(r, r, k) for _, r in rows.iterrows()]
         estimate, p = _least_squares(*parts[0]) if test_type == "glm" else _random_intercept(parts)
         z = signed_log_p(np.array([estimate]), np.array([p]))[0]

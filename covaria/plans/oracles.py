@@ -226,7 +226,15 @@ ORACLES: dict[str, str] = {
     "plot_top_genes": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(v, score), 6) + 0.0 AS score FROM fixed f JOIN expr USING (cell_id) WHERE ct = 'T0' AND cc = 1 GROUP BY ALL ORDER BY abs(regr_slope(v, score)) DESC, gene LIMIT 8",
     "plot_type_shares": f"""{with_(CELLS)}, b AS (SELECT min(score) AS lo, max(score) AS hi FROM fixed WHERE cc = 1), h AS (SELECT least(floor((score - lo) / ((hi - lo) / 10)), 9)::INT AS bin, ct, count(*) AS n FROM fixed, b WHERE cc = 1 GROUP BY ALL)
   SELECT bin, ct AS cell_type, n::BIGINT AS n, round(n / sum(n) OVER (PARTITION BY bin), 6) AS share FROM h""",
+    "plot_volcano": f"""{with_(CELLS)}, g AS (SELECT f.ct, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS e FROM fixed f JOIN expr USING (cell_id) WHERE gene > 'g5' GROUP BY ALL), t AS (SELECT *, exp(-abs(e) * 20) AS p FROM g)
+  SELECT ct AS cell_type, cc, gene, e AS estimate, round(-log10(greatest(p, 1e-300)), 5) + 0.0 AS log_p, p < 0.05 AS significant, row_number() OVER (PARTITION BY ct, cc ORDER BY p, abs(e) DESC, gene) <= 3 AS labelled FROM t""",
+    "kendall_tau": f"""{with_(CELLS)}, m AS (SELECT gene, median(v) AS x, max(v) AS y FROM expr GROUP BY ALL), d AS (SELECT sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM m a JOIN m b ON a.gene < b.gene)
+  SELECT round(sum(dx * dy) / sqrt(sum(abs(dx))::DOUBLE * sum(abs(dy))), 6) + 0.0 AS tau FROM d""",
+    "dataset_round_trip": f"{with_(CELLS)} SELECT slide, ct AS cell_type, count(*)::BIGINT AS n, round(sum(v), 6) + 0.0 AS total FROM expr JOIN cells USING (cell_id) GROUP BY ALL",
     "split_large_slides": None,
     "kernel_doubly_stochastic": None,
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
+ORACLES["plot_bidirectional"] = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, sigma, slide, ct_1 || '-' || ct_2 AS pair, cc, bidir_correlation FROM ({ORACLES[name]})" for kind, name in (("cross", "bidirectional_correlation"), ("self", "bidirectional_self"))
+)

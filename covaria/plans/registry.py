@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from covaria.operators import association, crossop, genespace, genetest, kernel, neighbors, pca, resample, scores, subset
 from covaria.plans import analysis, fixture, report
 from covaria.plans.oracles import ORACLES as ORACLES
-from covaria.sources.cells import cap_and_log, create_cell_set, split_slides
+from covaria.sources.cells import cap_and_log, create_cell_set, load_dataset, save_dataset, split_slides
+from covaria.sources.store import shared_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -487,6 +489,53 @@ def plot_type_shares(spark, sf_dir):
     return rounded(report.type_shares_by_score(fixture.fixed_scores(spark, sf_dir).where("cc = 1"), 10), "share")
 
 
+@query
+def plot_volcano(spark, sf_dir):
+    """Effects with made-up p-values that need no tail function: the ranks and labels are what is tested."""
+    g = genetest.gene_slopes(fixture.expression(spark, sf_dir).where("gene > 'g5'"), fixture.fixed_scores(spark, sf_dir))
+    tests = rounded(g, "estimate").withColumn("pvalue", F.exp(-F.abs("estimate") * 20))
+    return rounded(report.volcano(tests, 3), "log_p", digits=5)
+
+
+@query
+def plot_bidirectional(spark, sf_dir):
+    s = fixture.fixed_scores(spark, sf_dir)
+    cross = association.bidirectional_correlation(_raw_kernel(spark, sf_dir, PAIRS), s)
+    own = association.bidirectional_correlation(_raw_kernel(spark, sf_dir, SELVES), s)
+    return rounded(report.bidirectional_table(cross, own), "bidir_correlation")
+
+
+@query
+def kendall_tau(spark, sf_dir):
+    medians = fixture.expression(spark, sf_dir).groupBy("gene").agg(F.percentile("value", F.lit(0.5)).alias("m"), F.max("value").alias("top"))
+    return rounded(report.kendall_tau(medians, "m", "top"), "tau")
+
+
+@query
+def dataset_round_trip(spark, sf_dir):
+    """Saved to a local catalogue and loaded again."""
+    made = create_cell_set(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir), validate=False)
+    catalog = f"{shared_root(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    save_dataset(made, f"{catalog}/fixture")
+    again = load_dataset(spark, "fixture", catalog)
+    return rounded(again.expression.join(again.cells, "cell_id").groupBy("slide", "cell_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
+
+
+def _permutable(spark, sf_dir):
+    made = create_cell_set(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir, slides=False), validate=False)
+    return analysis.Analysis(subset.subset_data(made, ["T0", "T1"])).compute_pca(n_pca=5).compute_kernel_matrix([0.05, 0.1]).run_kernel_cca(n_cc=2).compute_normalized_correlation()
+
+
+@query
+def conditional_permutation_test(spark, sf_dir):
+    return _permutable(spark, sf_dir).permutation_test(n_permu=9, method="toroidal", conditional=True, seed=3).pvalue_stepdown()
+
+
+@query
+def fair_sigma_permutation_test(spark, sf_dir):
+    return _permutable(spark, sf_dir).permutation_test(n_permu=9, method="bin", all_sigmas=True, seed=3).pvalue()
+
+
 @query
 def permutation_test(spark, sf_dir):
     """Observed axes against refitted draws, both bandwidths in one plan."""
