@@ -82,16 +82,16 @@ def excerpts(text: str, seed: str) -> list[str]:
 def train_svms(x: np.ndarray, signs: np.ndarray, strength: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Linear machines with squared hinge loss, one for each column of ``signs`` (0: the row is left out), by accelerated descent."""
     x = np.column_stack([x, np.ones(len(x), x.dtype)]).astype(np.float32)
-    used = np.maximum((signs != 0).sum(axis=0), 1)
+    used = np.maximum((signs != 0).sum(axis=0), 1).astype(np.float32)  # else every product would be made in double precision
     y = signs.astype(np.float32)
     w = np.zeros((x.shape[1], y.shape[1]), np.float32)
     ahead, t = w.copy(), 1.0
-    rate = 1 / (2 * 2.0 * strength + 1 / 100)  # rows have norm sqrt 2
+    rate = np.float32(1 / (2 * 2.0 * strength + 1 / 100))  # rows have norm sqrt 2
     for _ in range(rounds):
         short = np.maximum(0, 1 - y * (x @ ahead)) * (y != 0)
-        new = ahead - rate * (ahead / 100 - 2 * strength * (x.T @ (y * short)) / used)
+        new = ahead - rate * (ahead / np.float32(100) - np.float32(2 * strength) * (x.T @ (y * short)) / used)
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        ahead = new + (before - 1) / t * (new - w)
+        ahead = new + np.float32((before - 1) / t) * (new - w)
         w = new
     return w
 
