@@ -1,8 +1,15 @@
-"""Standardisation and principal components from sparse sums; nothing is densified."""
+"""Standardisation and principal components.
+
+The sparse values of a cell are packed into one row once.  A Gram matrix is the sum of dense products of a few hundred
+packed rows at a time, one upper triangle for each type in a task; centering enters as one negative row per block.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +17,12 @@ from covaria.sources.store import materialize
 
 LEAST_SD = 1e-3
 LEAST_SHARE = 0.01
-#: The covariance of this many genes fits the driver (128 MB); beyond it choose genes first.
+#: The covariance of this many genes fits the driver and a task (128 MB); beyond it choose genes first.
 MOST_GENES = 4000
+#: Packed rows that are dense at once (16 MB at most).
+ROWS_AT_ONCE = 512
+#: Rows of a triangle in one Arrow batch (2 MB at most).
+LINES_AT_ONCE = 64
 
 
 def gene_moments(expression: DataFrame, cells: DataFrame, by_slide: bool = True, center: bool = True, scale: bool = True) -> DataFrame:
@@ -33,71 +44,167 @@ def gene_moments(expression: DataFrame, cells: DataFrame, by_slide: bool = True,
     return out.withColumn("scale", F.when(F.col("guarded") | F.lit(not scale), F.lit(1.0)).otherwise(F.col("sd"))).drop("sd")
 
 
-def gram(expression: DataFrame, cells: DataFrame, moments: DataFrame, by_slide: bool = True) -> DataFrame:
-    """(cell_type, gene_1, gene_2, g) with gene_1 <= gene_2: the Gram matrix of the standardised data, from sparse products.
+def genes_by_type(moments: DataFrame) -> dict[str, list[str]]:
+    """The sorted genes of each type; more than MOST_GENES are refused before anything is gathered."""
+    counts = moments.groupBy("cell_type").agg(F.count_distinct("gene").alias("k")).collect()
+    if (most := max((r["k"] for r in counts), default=0)) > MOST_GENES:
+        raise ValueError(f"{most} genes; choose at most {MOST_GENES} before compute_pca")
+    return {r["cell_type"]: list(r["genes"]) for r in moments.groupBy("cell_type").agg(F.array_sort(F.collect_set("gene")).alias("genes")).collect()}
 
-    Sum over slides of D^-1 (X'X - n m m') D^-1; the pairs of genes come from the non-zero values of each cell.
+
+def packed(expression: DataFrame, cells: DataFrame, known: DataFrame, by_slide: bool = True) -> DataFrame:
+    """(cell_type, slide, cell_id, k, v): for each cell with values its gene numbers and scaled values.
+
+    ``known`` is the moments with the number k of each gene within its type.
     """
     cells = cells if by_slide else cells.withColumn("slide", F.lit("*"))
-    rows = expression.where("value <> 0").join(cells.select("cell_id", "cell_type", "slide"), "cell_id")
-    packed = rows.groupBy("cell_type", "slide", "cell_id").agg(F.sort_array(F.collect_list(F.struct("gene", "value"))).alias("v"))
-    first = packed.select("cell_type", "slide", "v", F.posexplode("v").alias("k", "a"))
-    products = first.select("cell_type", "slide", F.col("a.gene").alias("gene_1"), F.col("a.value").alias("v1"), F.explode(F.expr("slice(v, k + 1, size(v))")).alias("b"))
-    raw = products.groupBy("cell_type", "slide", "gene_1", F.col("b.gene").alias("gene_2")).agg(F.sum(F.col("v1") * F.col("b.value")).alias("xx"))
-    m1 = moments.select("cell_type", "slide", F.col("gene").alias("gene_1"), "n", F.col("center").alias("c1"), F.col("scale").alias("s1"))
-    m2 = moments.select("cell_type", "slide", F.col("gene").alias("gene_2"), F.col("center").alias("c2"), F.col("scale").alias("s2"))
-    pairs = m1.join(m2, ["cell_type", "slide"]).where("gene_1 <= gene_2")
-    full = pairs.join(raw, ["cell_type", "slide", "gene_1", "gene_2"], "left")
-    value = (F.coalesce("xx", F.lit(0.0)) - F.col("n") * F.col("c1") * F.col("c2")) / (F.col("s1") * F.col("s2"))
-    return full.groupBy("cell_type", "gene_1", "gene_2").agg(F.sum(value).alias("g"))
+    rows = expression.where("value <> 0").join(cells.select("cell_id", "cell_type", "slide"), "cell_id").join(known.select("cell_type", "slide", "gene", "k", "scale"), ["cell_type", "slide", "gene"])
+    both = rows.groupBy("cell_type", "slide", "cell_id").agg(F.collect_list(F.struct("k", (F.col("value") / F.col("scale")).alias("v"))).alias("kv"))
+    return both.select("cell_type", "slide", "cell_id", F.col("kv.k").alias("k"), F.col("kv.v").alias("v"))
+
+
+def numbered(moments: DataFrame, genes: dict[str, list[str]]) -> DataFrame:
+    spark = moments.sparkSession
+    numbers = spark.createDataFrame([(ct, g, k) for ct, names in genes.items() for k, g in enumerate(names)], "cell_type string, gene string, k int")
+    return moments.join(numbers, ["cell_type", "gene"])
+
+
+def dense_rows(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """The columns k and v of a batch as dense rows; values of one gene that occurs twice in a cell add up."""
+    k, v = batch.column("k"), batch.column("v")
+    out = np.zeros((batch.num_rows, width))
+    at = np.repeat(np.arange(batch.num_rows), np.diff(k.offsets.to_numpy()))
+    np.add.at(out, (at, k.flatten().to_numpy()), v.flatten().to_numpy())
+    return out
+
+
+def one_type_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Pieces of at most ROWS_AT_ONCE rows of one type; the rows of a type follow each other."""
+    for batch in batches:
+        kinds = batch.column("cell_type").to_numpy(zero_copy_only=False)
+        ends = [*(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1), batch.num_rows]
+        begin = 0
+        for end in map(int, ends):
+            for at in range(begin, end, ROWS_AT_ONCE):
+                yield kinds[at], batch.slice(at, min(ROWS_AT_ONCE, end - at))
+            begin = end
+
+
+def gram_lines(rows: DataFrame, known: DataFrame, genes: dict[str, list[str]]) -> DataFrame:
+    """(cell_type, k, line): line k of the upper triangle of each type's Gram matrix, from column k on.
+
+    Sum over slides of D^-1 (X'X - n m m') D^-1.  Rows are dealt by ranges of type and cell, so that a task holds few types and its
+    triangles are hardly larger than what it read; the triangles are added line by line after one more shuffle.
+    """
+    means = known.groupBy("cell_type", "slide").agg(F.collect_list(F.struct("k", (F.sqrt("n") * F.col("center") / F.col("scale")).alias("v"))).alias("kv"))
+    means = means.select("cell_type", F.lit(-1.0).alias("sign"), F.lit(None).cast(rows.schema["cell_id"].dataType).alias("cell_id"), F.col("kv.k").alias("k"), F.col("kv.v").alias("v"))
+    signed = rows.select("cell_type", F.lit(1.0).alias("sign"), "cell_id", "k", "v").unionByName(means)
+    widths = {ct: len(names) for ct, names in genes.items()}
+
+    def triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros((0, 0))
+        for kind, part in one_type_at_once(batches):
+            if kind != now:
+                yield from _lines(now, total)
+                now, total = kind, np.zeros((widths[kind], widths[kind]))
+            x = dense_rows(part, widths[kind])
+            total += (x * part.column("sign").to_numpy()[:, None]).T @ x
+        yield from _lines(now, total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0)
+        for batch in batches:
+            lines = batch.column("line")
+            for j, key in enumerate(zip(batch.column("cell_type").to_pylist(), batch.column("k").to_pylist(), strict=True)):
+                line = lines[j].values.to_numpy()
+                if key == now:
+                    total = total + line
+                else:
+                    if now is not None:
+                        yield _line_batch(now[0], [now[1]], [total])
+                    now, total = key, line
+        if now is not None:
+            yield _line_batch(now[0], [now[1]], [total])
+
+    schema = "cell_type string, k int, line array<double>"
+    parts = signed.repartitionByRange("cell_type", "cell_id").sortWithinPartitions("cell_type").select("cell_type", "sign", "k", "v").mapInArrow(triangles, schema)
+    return parts.repartition("cell_type", "k").sortWithinPartitions("cell_type", "k").mapInArrow(add, schema)
+
+
+def _line_batch(kind: str, ks: list[int], lines: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(ks)), pa.array(ks, pa.int32()), pa.ListArray.from_arrays(offsets, np.concatenate(lines))], names=["cell_type", "k", "line"])
+
+
+def _lines(kind: str | None, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(total), LINES_AT_ONCE):
+        ks = list(range(at, min(at + LINES_AT_ONCE, len(total))))
+        yield _line_batch(kind, ks, [total[k, k:] for k in ks])
+
+
+def gram(expression: DataFrame, cells: DataFrame, moments: DataFrame, by_slide: bool = True) -> DataFrame:
+    """(cell_type, gene_1, gene_2, g) with gene_1 <= gene_2: the Gram matrix of the standardised data in long form."""
+    moments = materialize(moments, "moments")
+    genes = genes_by_type(moments)
+    known = numbered(moments, genes)
+    lines = gram_lines(packed(expression, cells, known, by_slide), known, genes)
+    names = moments.groupBy("cell_type").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+    entries = lines.join(names, "cell_type").select("cell_type", "k", "genes", F.posexplode("line").alias("more", "g"))
+    return entries.select("cell_type", F.expr("genes[k]").alias("gene_1"), F.expr("genes[k + more]").alias("gene_2"), "g")
 
 
 def compute_pca(expression: DataFrame, cells: DataFrame, n_pca: int = 30, center: bool = True, scale: bool = True, center_per_slide: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores (slide, cell_type, cell_id, pc, score), loadings (cell_type, gene, pc, loading) and sdev (cell_type, pc, sdev).
 
-    The Gram matrix, genes times genes for each type, is decomposed on the driver; scores stay distributed.  The
+    The Gram matrix, genes times genes, is decomposed on the driver, one type after another; scores stay distributed.  The
     largest score of each component is positive.
     """
     spark = cells.sparkSession
     moments = materialize(gene_moments(expression, cells, center_per_slide, center, scale), "moments")
-    entries = gram(expression, cells, moments, center_per_slide)
-    if (genes := moments.select("gene").distinct().count()) > MOST_GENES:
-        raise ValueError(f"{genes} genes; choose at most {MOST_GENES} before compute_pca")
+    genes = genes_by_type(moments)
+    known = numbered(moments, genes)
+    rows = materialize(packed(expression, cells, known, center_per_slide), "packed")
+    lines = materialize(gram_lines(rows, known, genes), "gram")
     sizes = {r["cell_type"]: (r["n"], r["k"]) for r in cells.groupBy("cell_type").agg(F.count("*").alias("n"), F.count_distinct("slide").alias("k")).collect()}
-    table = entries.toArrow().to_pandas()
-    loadings, sdevs = [], []
-    for ct, part in table.groupby("cell_type"):
-        names = sorted(set(part["gene_1"]) | set(part["gene_2"]))
-        at = {g: k for k, g in enumerate(names)}
-        g = np.zeros((len(names), len(names)))
-        a, b = part["gene_1"].map(at).to_numpy(), part["gene_2"].map(at).to_numpy()
-        g[a, b] = g[b, a] = part["g"].to_numpy()
+    rotations, sdevs = {}, []
+    for ct, names in genes.items():
         n, k = sizes[ct]
         rank = min(n - (k if center_per_slide and center else 1), len(names) - 1)
         if not 1 <= n_pca <= rank:
             raise ValueError(f"n_pca must be between 1 and {rank} for {ct}")
-        values, vectors = np.linalg.eigh(g)
+        g = np.zeros((len(names), len(names)))
+        mine = lines.where(F.col("cell_type") == ct).select("k", "line").toArrow()
+        for at, line in zip(mine["k"].to_pylist(), mine["line"], strict=True):
+            g[at:, at] = line.values.to_numpy()
+        values, vectors = np.linalg.eigh(g)  # reads the lower triangle
         order = np.argsort(-values)[:n_pca]
-        for pc, o in enumerate(order, 1):
-            sdevs.append((ct, pc, float(np.sqrt(max(values[o], 0.0) / (n - 1)))))
-            loadings += [(ct, name, pc, float(v)) for name, v in zip(names, vectors[:, o], strict=True)]
+        rotations[ct] = vectors[:, order]
+        sdevs += [(ct, pc, float(np.sqrt(max(values[o], 0.0) / (n - 1)))) for pc, o in enumerate(order, 1)]
+    loadings = [(ct, name, pc, float(v)) for ct, w in rotations.items() for name, line in zip(genes[ct], w, strict=True) for pc, v in enumerate(line, 1)]
     load = spark.createDataFrame(loadings, "cell_type string, gene string, pc int, loading double")
     sdev = spark.createDataFrame(sdevs, "cell_type string, pc int, sdev double")
-    scores = materialize(project(expression, cells, moments, load, center_per_slide), "pc-scores")
+    scores = materialize(project(rows, cells, known, load, rotations, center_per_slide), "pc-scores")
     flip = scores.groupBy("cell_type", "pc").agg(F.signum(F.max_by("score", F.abs("score"))).alias("sign")).withColumn("sign", F.when(F.col("sign") < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
     signed = lambda df, c: df.join(flip, ["cell_type", "pc"]).withColumn(c, F.col(c) * F.col("sign")).select(df.columns)
     return signed(scores, "score"), signed(load, "loading"), sdev
 
 
-def project(expression: DataFrame, cells: DataFrame, moments: DataFrame, loadings: DataFrame, by_slide: bool = True) -> DataFrame:
-    """Scores of the standardised data on loadings: the scaling is folded into the loadings, the centering into an offset."""
-    key = cells if by_slide else cells.withColumn("home", F.col("slide")).withColumn("slide", F.lit("*"))
-    folded = loadings.join(moments, ["cell_type", "gene"]).select("cell_type", "slide", "gene", "pc", (F.col("loading") / F.col("scale")).alias("w"), F.col("center"))
-    offset = folded.groupBy("cell_type", "slide", "pc").agg(F.sum(F.col("w") * F.col("center")).alias("offset"))
-    sums = expression.join(key.select("cell_id", "cell_type", "slide"), "cell_id").join(folded.select("cell_type", "slide", "gene", "pc", "w"), ["cell_type", "slide", "gene"]).groupBy("cell_id", "pc").agg(F.sum(F.col("value") * F.col("w")).alias("s"))
-    home = "slide" if by_slide else "home"
-    every = key.select(F.col(home).alias("at"), "slide", "cell_type", "cell_id").join(offset, ["cell_type", "slide"])
-    return every.join(sums, ["cell_id", "pc"], "left").select(F.col("at").alias("slide"), "cell_type", "cell_id", "pc", (F.coalesce("s", F.lit(0.0)) - F.col("offset")).alias("score"))
+def project(rows: DataFrame, cells: DataFrame, known: DataFrame, loadings: DataFrame, rotations: dict[str, np.ndarray], by_slide: bool = True) -> DataFrame:
+    """Scores of the packed rows on the loadings; the centering of a block is one offset for each component."""
+    id_type = rows.schema["cell_id"].dataType.simpleString()
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, part in one_type_at_once(batches):
+            w = rotations[kind]
+            out = dense_rows(part, len(w)) @ w
+            offsets = np.arange(0, out.size + 1, w.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("cell_id"), pa.ListArray.from_arrays(offsets, out.ravel())], names=["cell_id", "s"])
+
+    sums = rows.select("cell_type", "cell_id", "k", "v").mapInArrow(times, f"cell_id {id_type}, s array<double>")
+    folded = loadings.join(known, ["cell_type", "gene"])
+    offset = folded.groupBy("cell_type", "slide", "pc").agg(F.sum(F.col("loading") * F.col("center") / F.col("scale")).alias("offset"))
+    every = cells.select(F.col("slide").alias("at"), (F.col("slide") if by_slide else F.lit("*")).alias("slide"), "cell_type", "cell_id").join(sums, "cell_id", "left").join(offset, ["cell_type", "slide"])
+    return every.select(F.col("at").alias("slide"), "cell_type", "cell_id", "pc", (F.coalesce(F.element_at("s", F.col("pc")), F.lit(0.0)) - F.col("offset")).alias("score"))
 
 
 def whitened(scores: DataFrame, sdev: DataFrame) -> DataFrame:

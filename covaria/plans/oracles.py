@@ -79,7 +79,7 @@ stat AS (SELECT ct, slide, gene, count(*) AS n, avg(v) AS m, sqrt(greatest(sum(v
 mom AS (SELECT *, bool_or(n < 2 OR sd < 1e-3 OR nz / n < 0.01) OVER (PARTITION BY ct, gene) AS guarded FROM stat)"""
 WEIGHTS = "w AS (SELECT t.ct, pc::INT AS pc, cc::INT AS cc, 1.0::DOUBLE / (pc + cc + o) AS w FROM (VALUES ('T0', 0), ('T1', 1), ('T2', 2)) t(ct, o), range(1, 3) a(pc), range(1, 3) b(cc))"
 HALVES = """
-full_ AS (SELECT slide, ct, cell_id, gene, v FROM expr JOIN cells USING (cell_id) WHERE gene IN ('g4', 'g5', 'g6', 'g7')),
+full_ AS (SELECT slide, ct, cell_id, gene, v FROM expr JOIN cells USING (cell_id)),
 ref AS (SELECT * FROM full_ WHERE slide = 's0'), tar AS (SELECT * FROM full_ WHERE slide = 's1')"""
 
 
@@ -96,7 +96,7 @@ st AS (SELECT ct, gene, avg(v) AS m, stddev_samp(v) AS sd FROM ref GROUP BY ALL)
 gw AS (SELECT 'g' || g AS gene, CASE WHEN abs(0.1::DOUBLE * g - 0.45::DOUBLE) < 0.1 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE * g - 0.45::DOUBLE END AS w FROM range(4, 9) r(g)),
 moved AS (SELECT slide, ct, cell_id, 1 AS cc, sum((v - m) / CASE WHEN sd IS NULL OR sd < 1e-8 THEN 1.0 ELSE sd END * w) AS score FROM qn JOIN st USING (ct, gene) JOIN gw USING (gene) GROUP BY ALL)"""
 Z = """
-zs AS (SELECT ct, slide, gene, cell_id, CASE WHEN stddev_samp(v) OVER b > 0 THEN (v - avg(v) OVER b) / stddev_samp(v) OVER b ELSE 0 END AS s FROM expr JOIN cells USING (cell_id) WHERE gene IN ('g4', 'g5', 'g6') WINDOW b AS (PARTITION BY slide, ct, gene)),
+zs AS (SELECT ct, slide, gene, cell_id, CASE WHEN stddev_samp(v) OVER b > 0 THEN (v - avg(v) OVER b) / stddev_samp(v) OVER b ELSE 0 END AS s FROM expr JOIN cells USING (cell_id) WINDOW b AS (PARTITION BY slide, ct, gene)),
 own AS (SELECT a.slide, a.ct, a.gene AS gene_1, b.gene AS gene_2, sum(a.s * b.s) / count(DISTINCT a.cell_id) AS c FROM zs a JOIN zs b ON a.cell_id = b.cell_id AND a.gene <= b.gene GROUP BY ALL)"""
 CROSSCOV = f"""xc AS (SELECT kern.sigma, kern.slide, ct_1, ct_2, a.gene AS gene_1, b.gene AS gene_2, sum(k * a.s * b.s) AS y FROM kern JOIN zs a ON a.cell_id = i JOIN zs b ON b.cell_id = j GROUP BY ALL),
 crossed AS (SELECT xc.sigma, xc.slide, ct_1, ct_2, gene_1, gene_2, y / sqrt(a.n * b.n) AS c FROM xc JOIN sizes a ON a.slide = xc.slide AND a.ct = ct_1 JOIN sizes b ON b.slide = xc.slide AND b.ct = ct_2)"""
@@ -217,8 +217,8 @@ ORACLES: dict[str, str] = {
   dev AS (SELECT slide, own.ct, greatest(sqrt(greatest(sum(CASE WHEN gene_1 = gene_2 THEN 1 ELSE 2 END * c * a.w * b.w), 0)), 1e-12) AS s FROM own JOIN w a ON a.ct = own.ct AND a.gene = gene_1 JOIN w b ON b.ct = own.ct AND b.gene = gene_2 GROUP BY ALL),
   n AS (SELECT {BLOCK}, sum(c * a.w * b.w) AS num FROM crossed JOIN w a ON a.ct = ct_1 AND a.gene = gene_1 JOIN w b ON b.ct = ct_2 AND b.gene = gene_2 GROUP BY ALL),
   v AS (SELECT n.sigma, n.slide, sum(num / (a.s * b.s)) AS v FROM n JOIN dev a ON a.slide = n.slide AND a.ct = ct_1 JOIN dev b ON b.slide = n.slide AND b.ct = ct_2 GROUP BY ALL) SELECT sigma, 1 AS cc, round(avg(v), 6) + 0.0 AS objective FROM v GROUP BY sigma""",
-    "gene_slopes": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS estimate FROM fixed f JOIN expr USING (cell_id) WHERE gene > 'g5' GROUP BY ALL",
-    "gene_test_glm": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS estimate FROM fixed f JOIN expr USING (cell_id) WHERE gene > 'g5' GROUP BY ALL",
+    "gene_slopes": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS estimate FROM fixed f JOIN expr USING (cell_id) GROUP BY ALL",
+    "gene_test_glm": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS estimate FROM fixed f JOIN expr USING (cell_id) GROUP BY ALL",
     "plot_correlation": f"{with_(CELLS, SIZES, kern(PAIRS), norms(), ncorr())} SELECT ct_1 || '-' || ct_2 AS pair, sigma, round(v, 6) + 0.0 AS normalized_correlation FROM agg WHERE cc = 1",
     "plot_scores_in_place": f"{with_(CELLS)} SELECT cell_id, round(score, 6) + 0.0 AS score, c.slide, c.ct AS cell_type, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM fixed JOIN cells c USING (cell_id) WHERE cc = 1",
     "plot_smoothed_scores": f"""{with_(CELLS, kern(PAIR01))}, s AS (SELECT j, sum(k * score) AS s FROM kern JOIN fixed ON cell_id = i AND cc = 1 WHERE sigma = 0.02 GROUP BY ALL)
@@ -226,7 +226,7 @@ ORACLES: dict[str, str] = {
     "plot_top_genes": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(v, score), 6) + 0.0 AS score FROM fixed f JOIN expr USING (cell_id) WHERE ct = 'T0' AND cc = 1 GROUP BY ALL ORDER BY abs(regr_slope(v, score)) DESC, gene LIMIT 8",
     "plot_type_shares": f"""{with_(CELLS)}, b AS (SELECT min(score) AS lo, max(score) AS hi FROM fixed WHERE cc = 1), h AS (SELECT least(floor((score - lo) / ((hi - lo) / 10)), 9)::INT AS bin, ct, count(*) AS n FROM fixed, b WHERE cc = 1 GROUP BY ALL)
   SELECT bin, ct AS cell_type, n::BIGINT AS n, round(n / sum(n) OVER (PARTITION BY bin), 6) AS share FROM h""",
-    "plot_volcano": f"""{with_(CELLS)}, g AS (SELECT f.ct, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS e FROM fixed f JOIN expr USING (cell_id) WHERE gene > 'g5' GROUP BY ALL), t AS (SELECT *, exp(-abs(e) * 20) AS p FROM g)
+    "plot_volcano": f"""{with_(CELLS)}, g AS (SELECT f.ct, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS e FROM fixed f JOIN expr USING (cell_id) GROUP BY ALL), t AS (SELECT *, exp(-abs(e) * 20) AS p FROM g)
   SELECT ct AS cell_type, cc, gene, e AS estimate, round(-log10(greatest(p, 1e-300)), 5) + 0.0 AS log_p, p < 0.05 AS significant, row_number() OVER (PARTITION BY ct, cc ORDER BY p, abs(e) DESC, gene) <= 3 AS labelled FROM t""",
     "kendall_tau": f"""{with_(CELLS)}, m AS (SELECT gene, median(v) AS x, max(v) AS y FROM expr GROUP BY ALL), d AS (SELECT sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM m a JOIN m b ON a.gene < b.gene)
   SELECT round(sum(dx * dy) / sqrt(sum(abs(dx))::DOUBLE * sum(abs(dy))), 6) + 0.0 AS tau FROM d""",

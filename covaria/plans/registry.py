@@ -315,7 +315,7 @@ def regression_gene_scores(spark, sf_dir):
 
 
 def _halves(spark, sf_dir):
-    ex = fixture.expression(spark, sf_dir).where("gene IN ('g4', 'g5', 'g6', 'g7')")
+    ex = fixture.expression(spark, sf_dir)
     cells = fixture.cells(spark, sf_dir)
     genes = ex.select("gene").distinct()
     return scores.dense(ex, cells.where("slide = 's0'"), genes), scores.dense(ex, cells.where("slide = 's1'"), genes)
@@ -420,7 +420,7 @@ def null_histogram(spark, sf_dir):
 
 
 def _standardized(spark, sf_dir):
-    ex = fixture.expression(spark, sf_dir).where("gene IN ('g4', 'g5', 'g6')")
+    ex = fixture.expression(spark, sf_dir)
     return genespace.standardized(ex, fixture.cells(spark, sf_dir), ex.select("gene").distinct())
 
 
@@ -443,24 +443,24 @@ def genespace_objective(spark, sf_dir):
 
 @query
 def genespace_cca(spark, sf_dir):
-    ex = fixture.expression(spark, sf_dir).where("gene IN ('g4', 'g5', 'g6', 'g7', 'g8')")
+    ex = fixture.expression(spark, sf_dir)
     return genespace.run_gene_space(ex, fixture.cells(spark, sf_dir), ["T0", "T1"], 0.05, 2, check=False)[2]
 
 
 @query
 def gene_slopes(spark, sf_dir):
-    return rounded(genetest.gene_slopes(fixture.expression(spark, sf_dir).where("gene > 'g5'"), fixture.fixed_scores(spark, sf_dir)), "estimate")
+    return rounded(genetest.gene_slopes(fixture.expression(spark, sf_dir), fixture.fixed_scores(spark, sf_dir)), "estimate")
 
 
 @query
 def gene_test_glm(spark, sf_dir):
-    t = genetest.test_gene_scores(fixture.expression(spark, sf_dir).where("gene > 'g5'"), fixture.fixed_scores(spark, sf_dir), "glm")
+    t = genetest.test_gene_scores(fixture.expression(spark, sf_dir), fixture.fixed_scores(spark, sf_dir), "glm")
     return rounded(t.select("cell_type", "cc", "gene", "estimate"), "estimate")
 
 
 @query
 def gene_test_lmm(spark, sf_dir):
-    return genetest.test_gene_scores(fixture.expression(spark, sf_dir).where("gene IN ('g6', 'g7')"), fixture.fixed_scores(spark, sf_dir), "lmm")
+    return genetest.test_gene_scores(fixture.expression(spark, sf_dir), fixture.fixed_scores(spark, sf_dir), "lmm")
 
 
 @query
@@ -492,7 +492,7 @@ def plot_type_shares(spark, sf_dir):
 @query
 def plot_volcano(spark, sf_dir):
     """Effects with made-up p-values that need no tail function: the ranks and labels are what is tested."""
-    g = genetest.gene_slopes(fixture.expression(spark, sf_dir).where("gene > 'g5'"), fixture.fixed_scores(spark, sf_dir))
+    g = genetest.gene_slopes(fixture.expression(spark, sf_dir), fixture.fixed_scores(spark, sf_dir))
     tests = rounded(g, "estimate").withColumn("pvalue", F.exp(-F.abs("estimate") * 20))
     return rounded(report.volcano(tests, 3), "log_p", digits=5)
 

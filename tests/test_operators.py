@@ -133,3 +133,34 @@ def test_entry_without_training_data_operators(monkeypatch):
     assert "kernel_edges" in entry.queries() and not any(q.startswith("op") for q in entry.queries())
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_gram_of_dense_products_adds_up_over_slides_types_and_string_ids(spark):
+    """Against NumPy: two slides, two types of different genes, a cell without values."""
+    import numpy as np
+
+    from covaria.operators import pca
+
+    rng = np.random.default_rng(3)
+    cells, values, want = [], [], {}
+    for ct, genes in (("A", ["a", "b", "c"]), ("B", ["b", "d"])):
+        blocks = []
+        for slide in ("s1", "s2"):
+            x = rng.normal(size=(7, len(genes))) * (rng.random((7, len(genes))) < 0.7)
+            x[0] = 0
+            x[1] = 1.5
+            for i, row in enumerate(x):
+                cells.append((slide, ct, f"{ct}{slide}{i}"))
+                for g, v in zip(genes, row, strict=True):
+                    values += [(f"{ct}{slide}{i}", g, float(v))] if v else []
+            blocks.append((x - x.mean(0)) / x.std(0, ddof=1))
+        z = np.concatenate(blocks)
+        want |= {(ct, a, b): (z.T @ z)[i, j] for i, a in enumerate(genes) for j, b in enumerate(genes) if i <= j}
+    cells = spark.createDataFrame(cells, "slide string, cell_type string, cell_id string")
+    ex = spark.createDataFrame(values, "cell_id string, gene string, value double")
+    got = {(r[0], r[1], r[2]): r[3] for r in pca.gram(ex, cells, pca.gene_moments(ex, cells)).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    scores, loadings, _ = pca.compute_pca(ex, cells, 1)
+    assert scores.count() == 28 and loadings.count() == 5
+    assert scores.where("score IS NULL").count() == 0
