@@ -1,5 +1,9 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
+from __future__ import annotations
+
+from covaria.llm import quality
+
 MIX = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -56,4 +60,37 @@ SELECT conv_id, perspective, stretch, count(*)::BIGINT AS n_turns, string_agg(he
 FROM o GROUP BY conv_id, perspective, stretch
 """
 
-ORACLES = {"op3_perspective_rotation": CHAT, "op5_warc_bundles": WARC, "op2_source_mixing": MIX}
+#: What Python's \s matches, as a class of DuckDB's patterns.
+_SPACE = r"\t-\r\x1C-\x20\x{85}\p{Z}"
+_WORD = r"[^\x20\x09-\x0D]+"
+_FURNITURE = "|".join(quality.BOILERPLATE) + r"|(©|\(c\)|copyright) *[12][0-9]{3}"
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+whole AS (
+  SELECT r, doc_id, len(regexp_extract_all(t, '{_WORD}'))::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^{quality.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols FROM d),
+split AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
+lines AS (
+  SELECT r, line, len(regexp_extract_all(line, '{_WORD}')) AS words, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again,
+    regexp_replace(line, '[{_SPACE}]+$', '') AS stripped FROM split),
+judged AS (
+  SELECT r, words, again,
+    again OR (words <= {quality.BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{_FURNITURE}'))
+    OR len(regexp_extract_all(line, '[{_SPACE}]([|»›>•·]|::|->)[{_SPACE}]')) >= 2 OR ends_with(stripped, '|') OR ends_with(stripped, '»')
+    OR (words < {quality.FRAGMENT_WORDS} AND NOT regexp_matches(stripped, '[.!?…:;。]["''”’»)\]]*$'))
+    OR length(regexp_replace(line, '[\p{{L}}\p{{N}}{_SPACE}]', '', 'g')) > {quality.MAX_MARKS}::DOUBLE * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS failed
+  FROM lines WHERE words > 0),
+by_line AS (SELECT r, count(*) FILTER (again) AS n_dup_lines, sum(words) FILTER (NOT failed) AS kept_words FROM judged GROUP BY r),
+words AS (SELECT r, unnest(regexp_extract_all(t, '{_WORD}')) AS a, generate_subscripts(regexp_extract_all(t, '{_WORD}'), 1) AS k FROM d),
+windows AS (SELECT r, k, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY r ORDER BY k)),
+found AS (SELECT r, k, c IS NOT NULL AND count(*) OVER (PARTITION BY r, a, b, c) > 1 AS twice FROM windows),
+covered AS (SELECT r, twice OR coalesce(lag(twice) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS inside FROM found WINDOW o AS (PARTITION BY r ORDER BY k)),
+by_word AS (SELECT r, count(*) FILTER (inside) AS n_repeat_words FROM covered GROUP BY r),
+measured AS (
+  SELECT whole.*, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(kept_words, 0) AS kept_words
+  FROM whole LEFT JOIN by_line USING (r) LEFT JOIN by_word USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND kept_words >= (1 - {quality.MAX_LOST}::DOUBLE) * n_words AS kept
+FROM (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM measured)
+"""
+
+ORACLES = {"op3_perspective_rotation": CHAT, "op5_warc_bundles": WARC, "op2_source_mixing": MIX, "op9_quality_rules": QUALITY}

@@ -211,3 +211,25 @@ def test_token_files_round_trip(spark):
 def test_words_agree():
     assert words("a b \x1c c\x0bd") == ["a b", "\x1c", "c", "d"] == [w.decode() for w in "a b \x1c c\x0bd".encode().split()]
     assert SPACE.pattern
+
+
+def test_the_sql_of_the_quality_rules_agrees_on_odd_texts():
+    """Nulls, empty texts, repeated ids, Unicode spaces, each rule on its own and windows that overlap."""
+    import duckdb
+    import pandas as pd
+
+    from covaria.llm import oracles
+
+    body = "\n".join(f"Sentence {k} walks along the long river number {k * 7} today, quietly." for k in range(9))
+    texts = [
+        None, "", "\n\n", " \t\x0b", "a a a a", "word", body, body + "\nHome | News | Mail | Help", body + "\nshort bit\nIt ends.", body + "\n" + body.split("\n")[0],
+        body + "\n*** --- ### !!! ((( )))", body + "\n© 2020 Someone wrote this", body + "\nMenu » ", body + " \nnext | one · two three four five", body + "\nsnake_case_name _ _ _ _ x y z", "one two three " * 40,
+        body + "\nan éàü ñandú ✓ ✓ ✓ ✓ line", "wörter sind hier. " * 3 + body, body + "\n" + "bad\n" * 80, body + "\r\nAll Rights Reserved by nobody here at all.\r\n", body + "\nwe say \"so it goes.\"\nand 'done'",
+    ]
+    documents = pd.DataFrame({"doc_id": [k // 2 for k in range(len(texts))], "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    got = con.execute(oracles.QUALITY).fetchall()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    want = [(i, *(quality.judge(t)[n] for n in names)) for i, t in zip(documents["doc_id"], texts, strict=True)]
+    assert sorted(got) == sorted(want)
