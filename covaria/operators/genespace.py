@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covaria.functions import solve
-from covaria.operators.crossop import cross_operator
+from covaria.operators.dense import product_lines
 from covaria.operators.kernel import compute_kernel
 from covaria.operators.scores import dense
 from covaria.operators.subset import clip_values, pairs_of, prevalent_genes, sufficient_slides
@@ -24,23 +24,53 @@ def standardized(expression: DataFrame, cells: DataFrame, genes: DataFrame) -> D
     return full.join(stats, ["slide", "cell_type", "gene"]).select("slide", "cell_type", "cell_id", "gene", z.alias("score"))
 
 
+def gene_numbers(z: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(gene, number) and the sorted names; more than MOST_GENES are refused before they are gathered."""
+    distinct = z.select("gene").distinct()
+    if (n := distinct.count()) > MOST_GENES:
+        raise ValueError(f"{n} genes; choose at most {MOST_GENES} before the covariances")
+    names = sorted(r[0] for r in distinct.collect())
+    return z.sparkSession.createDataFrame(list(enumerate(names)), "number int, gene string"), names
+
+
+def _packed(rows: DataFrame, keys: list[str], value: str, k: str = "k", v: str = "v") -> DataFrame:
+    both = rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col("number").alias("k"), F.col(value).alias("v"))).alias("kv"))
+    return both.select(*keys, F.col("kv.k").alias(k), F.col("kv.v").alias(v))
+
+
+def _named(lines: DataFrame, names: list[str], whole: bool) -> DataFrame:
+    genes = F.array(*[F.lit(g) for g in names])
+    cells = lines.withColumn("genes", genes).select("*", F.posexplode("line").alias("at", "value"))
+    second = F.col("at") if whole else F.col("k") + F.col("at")
+    return cells.withColumn("gene_1", F.element_at("genes", F.col("k") + 1)).withColumn("gene_2", F.element_at("genes", second + 1)).drop("genes", "line", "k", "at")
+
+
 def self_covariances(z: DataFrame) -> DataFrame:
-    """(slide, cell_type, gene_1, gene_2, c): Z'Z / n for gene_1 <= gene_2."""
+    """(slide, cell_type, gene_1, gene_2, c): Z'Z / n for gene_1 <= gene_2, from dense products of packed cells."""
     sizes = z.groupBy("slide", "cell_type").agg(F.count_distinct("cell_id").alias("n"))
-    packed = z.groupBy("slide", "cell_type", "cell_id").agg(F.sort_array(F.collect_list(F.struct("gene", "score"))).alias("v"))
-    first = packed.select("slide", "cell_type", "v", F.posexplode("v").alias("k", "a"))
-    products = first.select("slide", "cell_type", F.col("a.gene").alias("gene_1"), F.col("a.score").alias("s"), F.explode(F.expr("slice(v, k + 1, size(v))")).alias("b"))
-    sums = products.groupBy("slide", "cell_type", "gene_1", F.col("b.gene").alias("gene_2")).agg(F.sum(F.col("s") * F.col("b.score")).alias("zz"))
-    return sums.join(sizes, ["slide", "cell_type"]).select("slide", "cell_type", "gene_1", "gene_2", (F.col("zz") / F.col("n")).alias("c"))
+    numbers, names = gene_numbers(z)
+    rows = _packed(z.join(numbers, "gene"), ["slide", "cell_type", "cell_id"], "score").withColumn("weight", F.lit(1.0))
+    sums = _named(product_lines(rows, ["slide", "cell_type"], "cell_id", lambda key, n=len(names): n), names, whole=False)
+    return sums.join(sizes, ["slide", "cell_type"]).select("slide", "cell_type", "gene_1", "gene_2", (F.col("value") / F.col("n")).alias("c"))
 
 
 def cross_covariances(kernel: DataFrame, z: DataFrame) -> DataFrame:
-    """(sigma, slide, ct_1, ct_2, gene_1, gene_2, c): Z1' K Z2 / sqrt(n1 n2)."""
+    """(sigma, slide, ct_1, ct_2, gene_1, gene_2, c): Z1' K Z2 / sqrt(n1 n2).
+
+    The kernel is applied to the left scores; smoothed and right scores of a cell then meet as two packed rows.
+    """
     sizes = z.groupBy("slide", "cell_type").agg(F.count_distinct("cell_id").alias("n"))
-    y = cross_operator(kernel, z.select("cell_type", "cell_id", "gene", "score"), by_slide=True, name="gene")
+    numbers, names = gene_numbers(z)
+    known = z.join(numbers, "gene")
+    left = known.select(F.col("cell_type").alias("ct_1"), F.col("cell_id").alias("i"), "number", "score")
+    block = ["sigma", "slide", "ct_1", "ct_2"]
+    smooth = kernel.join(left, ["ct_1", "i"]).groupBy(*block, "j", "number").agg(F.sum(F.col("k") * F.col("score")).alias("s"))
+    right = _packed(known, ["cell_type", "cell_id"], "score", "k2", "v2").withColumnsRenamed({"cell_type": "ct_2", "cell_id": "j"})
+    rows = _packed(smooth, [*block, "j"], "s").join(right, ["ct_2", "j"]).withColumn("weight", F.lit(1.0))
+    y = _named(product_lines(rows, block, "j", lambda key, n=len(names): n, other=True), names, whole=True)
     n1 = sizes.select("slide", F.col("cell_type").alias("ct_1"), F.col("n").alias("n1"))
     n2 = sizes.select("slide", F.col("cell_type").alias("ct_2"), F.col("n").alias("n2"))
-    return y.join(n1, ["slide", "ct_1"]).join(n2, ["slide", "ct_2"]).select("sigma", "slide", "ct_1", "ct_2", "gene_1", "gene_2", (F.col("y") / F.sqrt(F.col("n1") * F.col("n2"))).alias("c"))
+    return y.join(n1, ["slide", "ct_1"]).join(n2, ["slide", "ct_2"]).select(*block, "gene_1", "gene_2", (F.col("value") / F.sqrt(F.col("n1") * F.col("n2"))).alias("c"))
 
 
 def objective(weights: DataFrame, own: DataFrame, cross: DataFrame) -> DataFrame:

@@ -13,16 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.operators.dense import dense_rows, one_block_at_once, product_lines
 from covaria.sources.store import materialize
 
 LEAST_SD = 1e-3
 LEAST_SHARE = 0.01
 #: The covariance of this many genes fits the driver and a task (128 MB); beyond it choose genes first.
 MOST_GENES = 4000
-#: Packed rows that are dense at once (16 MB at most).
-ROWS_AT_ONCE = 512
-#: Rows of a triangle in one Arrow batch (2 MB at most).
-LINES_AT_ONCE = 64
 
 
 def gene_moments(expression: DataFrame, cells: DataFrame, by_slide: bool = True, center: bool = True, scale: bool = True) -> DataFrame:
@@ -69,77 +66,16 @@ def numbered(moments: DataFrame, genes: dict[str, list[str]]) -> DataFrame:
     return moments.join(numbers, ["cell_type", "gene"])
 
 
-def dense_rows(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    """The columns k and v of a batch as dense rows; values of one gene that occurs twice in a cell add up."""
-    k, v = batch.column("k"), batch.column("v")
-    out = np.zeros((batch.num_rows, width))
-    at = np.repeat(np.arange(batch.num_rows), np.diff(k.offsets.to_numpy()))
-    np.add.at(out, (at, k.flatten().to_numpy()), v.flatten().to_numpy())
-    return out
-
-
-def one_type_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
-    """Pieces of at most ROWS_AT_ONCE rows of one type; the rows of a type follow each other."""
-    for batch in batches:
-        kinds = batch.column("cell_type").to_numpy(zero_copy_only=False)
-        ends = [*(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1), batch.num_rows]
-        begin = 0
-        for end in map(int, ends):
-            for at in range(begin, end, ROWS_AT_ONCE):
-                yield kinds[at], batch.slice(at, min(ROWS_AT_ONCE, end - at))
-            begin = end
-
-
 def gram_lines(rows: DataFrame, known: DataFrame, genes: dict[str, list[str]]) -> DataFrame:
     """(cell_type, k, line): line k of the upper triangle of each type's Gram matrix, from column k on.
 
-    Sum over slides of D^-1 (X'X - n m m') D^-1.  Rows are dealt by ranges of type and cell, so that a task holds few types and its
-    triangles are hardly larger than what it read; the triangles are added line by line after one more shuffle.
+    Sum over slides of D^-1 (X'X - n m m') D^-1.
     """
     means = known.groupBy("cell_type", "slide").agg(F.collect_list(F.struct("k", (F.sqrt("n") * F.col("center") / F.col("scale")).alias("v"))).alias("kv"))
-    means = means.select("cell_type", F.lit(-1.0).alias("sign"), F.lit(None).cast(rows.schema["cell_id"].dataType).alias("cell_id"), F.col("kv.k").alias("k"), F.col("kv.v").alias("v"))
-    signed = rows.select("cell_type", F.lit(1.0).alias("sign"), "cell_id", "k", "v").unionByName(means)
-    widths = {ct: len(names) for ct, names in genes.items()}
-
-    def triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros((0, 0))
-        for kind, part in one_type_at_once(batches):
-            if kind != now:
-                yield from _lines(now, total)
-                now, total = kind, np.zeros((widths[kind], widths[kind]))
-            x = dense_rows(part, widths[kind])
-            total += (x * part.column("sign").to_numpy()[:, None]).T @ x
-        yield from _lines(now, total)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(0)
-        for batch in batches:
-            lines = batch.column("line")
-            for j, key in enumerate(zip(batch.column("cell_type").to_pylist(), batch.column("k").to_pylist(), strict=True)):
-                line = lines[j].values.to_numpy()
-                if key == now:
-                    total = total + line
-                else:
-                    if now is not None:
-                        yield _line_batch(now[0], [now[1]], [total])
-                    now, total = key, line
-        if now is not None:
-            yield _line_batch(now[0], [now[1]], [total])
-
-    schema = "cell_type string, k int, line array<double>"
-    parts = signed.repartitionByRange("cell_type", "cell_id").sortWithinPartitions("cell_type").select("cell_type", "sign", "k", "v").mapInArrow(triangles, schema)
-    return parts.repartition("cell_type", "k").sortWithinPartitions("cell_type", "k").mapInArrow(add, schema)
-
-
-def _line_batch(kind: str, ks: list[int], lines: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(ks)), pa.array(ks, pa.int32()), pa.ListArray.from_arrays(offsets, np.concatenate(lines))], names=["cell_type", "k", "line"])
-
-
-def _lines(kind: str | None, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(total), LINES_AT_ONCE):
-        ks = list(range(at, min(at + LINES_AT_ONCE, len(total))))
-        yield _line_batch(kind, ks, [total[k, k:] for k in ks])
+    means = means.select("cell_type", F.lit(-1.0).alias("weight"), F.lit(None).cast(rows.schema["cell_id"].dataType).alias("cell_id"), F.col("kv.k").alias("k"), F.col("kv.v").alias("v"))
+    weighted = rows.select("cell_type", F.lit(1.0).alias("weight"), "cell_id", "k", "v").unionByName(means)
+    widths = {(ct,): len(names) for ct, names in genes.items()}
+    return product_lines(weighted, ["cell_type"], "cell_id", widths.__getitem__)
 
 
 def gram(expression: DataFrame, cells: DataFrame, moments: DataFrame, by_slide: bool = True) -> DataFrame:
@@ -194,7 +130,7 @@ def project(rows: DataFrame, cells: DataFrame, known: DataFrame, loadings: DataF
     id_type = rows.schema["cell_id"].dataType.simpleString()
 
     def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, part in one_type_at_once(batches):
+        for (kind,), part in one_block_at_once(batches, ["cell_type"]):
             w = rotations[kind]
             out = dense_rows(part, len(w)) @ w
             offsets = np.arange(0, out.size + 1, w.shape[1], dtype=np.int32)
