@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, SimHash near-duplicates, private data, mixing of sources, packing.
+"""The corpus pipeline: quality rules, near-duplicates, private data, mixing of sources, packing.
 
 Each stage is a function of (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the
 last return the columns of documents.  run() writes each stage's result as Parquet into the shared folder and reads it
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covaria.llm import mixing, packing, pii, quality, simhash
+from covaria.llm import mixing, neardup, packing, pii, quality
 from covaria.llm.common import materialize
 
 
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays."""
-    return simhash.keep_one(spark, docs)
+    """One document of each component of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return neardup.keep_one(spark, docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

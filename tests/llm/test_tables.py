@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from covaria.llm import ann, chat, mixing, packing, pii, quality, simhash, warc
+from covaria.llm import ann, chat, mixing, neardup, packing, pii, quality, simhash, warc
 from covaria.llm.common import shared_path
 from covaria.llm.files import read_bytes
 from tests.llm.helpers import documents, empty, prose, rows, words
@@ -228,6 +228,55 @@ def test_keep_one(spark):
     assert ids == {c for _, _, c in want if c is not None} | ({None} if any(c is None for *_, c in want) else set())
 
 
+def plain_jaccard(a, b):
+    def grams(text):
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("each", [8, 0])
+def test_near_copies_of_the_stage(spark, monkeypatch, each):
+    """Replaced words up to a similarity of 0.8, chains, and a large group; with pivots (each = 0) and without."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(neardup, "PAIRS_EACH", each)
+    rng = random.Random(31)
+    vocab = [f"w{k}" for k in range(3000)]
+    made = []
+    for _ in range(12):
+        base = [rng.choice(vocab) for _ in range(200)]
+        made.append(base)
+        for changes in (1, 2, 3, 4, 5, 7, 12):
+            copy = list(base)
+            for at in rng.sample(range(200), changes):
+                copy[at] = rng.choice(vocab)
+            made.append(copy)
+    for _ in range(60):
+        copy = list(made[0])
+        for at in rng.sample(range(200), rng.randint(1, 6)):
+            copy[at] = rng.choice(vocab)
+        made.append(copy)
+    texts = [" ".join(m) for m in made] + [None, "", "two words", "Two Words", " ".join(made[0])]
+    data = [(k, t) for k, t in enumerate(texts)] + [(None, texts[-1]), (0, texts[0])]
+    parent = list(range(len(data)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(data)), 2):
+        if plain_jaccard(data[a][1], data[b][1]) >= 0.8:
+            parent[find(a)] = find(b)
+    want = Counter(min(data[k][0] for k in range(len(data)) if find(k) == r and data[k][0] is not None) for r in {find(k) for k in range(len(data))})
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = corpus_pipeline.dedup_stage(spark, docs, "")
+    assert got.columns == docs.columns and Counter(r.doc_id for r in got.collect()) == want
+    assert corpus_pipeline.dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_bucket_ends_against_all():
     rng = random.Random(8)
     for _ in range(60):
