@@ -11,6 +11,8 @@ for itself; very long texts are read whole; an empty table gives an empty table;
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,17 @@ MAX_REPEATED_PERCENT = 50
 MAX_LOST = 0.5
 #: A line of fewer words than this must end like a sentence.
 FRAGMENT_WORDS = 5
-#: Largest share of a line's visible characters that may be neither letters nor digits.
+#: Largest share of a line's visible characters that may be neither letters (with their combining marks) nor digits.
 MAX_MARKS = 0.2
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 
-_SENTENCE_END = re.compile(r"[.!?…:;。][\"'”’»)\]]*$")
+# Full stops, question and exclamation marks of other scripts: full-width, Arabic, Devanagari, Armenian, Ethiopic, Khmer, Burmese, Tibetan.
+_SENTENCE_END = re.compile(r"[.!?…:;。．！？｡؟۔।॥։።፧፨។៕။།༎][\"'”’»)\]」』]*$")
+# Python's \w leaves out combining marks (category M) and the two joiners, which are parts of letters.
+_COMBINING = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M") + "\u200c\u200d"
 _MARK = re.compile(r"[^\w\s]|_")
+_MARK_NOT_COMBINING = re.compile(rf"[^\w\s{_COMBINING}]|_")
 _NAVIGATION = re.compile(r"\s(?:[|»›>•·]|::|->)\s")
 # Phrases of page furniture.
 BOILERPLATE = (
@@ -90,7 +96,8 @@ def line_verdict(line: str, n_words: int) -> str:
     if n_words < FRAGMENT_WORDS and not _SENTENCE_END.search(line.rstrip()):
         return "punctuation"
     visible = len(line) - sum(line.count(c) for c in SPACES)
-    if len(_MARK.findall(line)) > MAX_MARKS * visible:
+    # the second pattern is slow and finds no more than the first
+    if len(_MARK.findall(line)) > MAX_MARKS * visible and len(_MARK_NOT_COMBINING.findall(line)) > MAX_MARKS * visible:
         return "punctuation"
     return ""
 

@@ -59,6 +59,26 @@ def test_line_rules():
     assert mixed["kept"] and mixed["cleaned"] == clean
 
 
+def test_other_scripts_are_kept(spark):
+    """Vowel signs and combining accents are parts of letters, and each script ends its sentences in its own way."""
+    import unicodedata
+
+    sentences = [
+        "किताब में नदी के किनारे रहने वाले लोगों की कहानियाँ लिखी हुई हैं।", "নদীর তীরে বসে ছেলেমেয়েরা প্রতিদিন গল্পের বই পড়ে এবং গান গায়।", "ஆற்றின் கரையில் குழந்தைகள் ஒவ்வொரு நாளும் புத்தகங்கள் படிக்கிறார்கள்.",
+        "ذَهَبَ الوَلَدُ إِلَى المَدْرَسَةِ فِي الصَّبَاحِ مَعَ صَدِيقِهِ؟", unicodedata.normalize("NFD", "Đường phố ở thành phố này rất đông người vào mỗi buổi sáng."),
+    ]
+    rng = random.Random(6)
+    texts = ["\n".join(f"{k} {' '.join(rng.sample(body, len(body)))} {end}" for k in range(16)) for s in sentences for *body, end in [s.split()]]
+    for text in texts:
+        got = quality.judge(text)
+        assert got["kept"] and got["cleaned"] == text and not got["n_bad_punctuation"], text[:60]
+    assert quality.line_verdict("यह एक वाक्य।", 3) == "" and quality.line_verdict("ما هذا؟", 2) == ""
+    assert quality.line_verdict("यह एक वाक्य", 3) == "punctuation" and quality.line_verdict("यह ।।।। ---- एक ॥॥॥॥ **** है ।", 6) == "punctuation"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter(map(tuple, quality.clean(docs).collect())) == Counter(enumerate(texts))
+    assert all(r.kept for r in quality.quality_rules(docs).collect())
+
+
 def test_clean_keeps_columns(spark):
     docs = documents(spark)
     kept = quality.clean(docs)
