@@ -17,8 +17,8 @@ The model is bounded: at most MOST_LISTS centroids from at most SAMPLE_BYTES of
 the executors.
 
 Defined results: null or zero vectors, vectors with a null or non-finite component, rows without id, and vectors of another
-length than the most frequent one take no part; rows that repeat an id are candidates of their own (only a query's
-own id is left out); ties go to the smaller id; fewer than TOP candidates give that many rows; an empty table gives an
+length than the most frequent one take no part; repeated rows count once; an id with several vectors is one candidate,
+and one query, with the best score of any of them (a query's own id is left out); ties go to the smaller id; fewer than TOP candidates give that many rows; an empty table gives an
 empty table; other columns are not looked at.
 """
 
@@ -165,25 +165,32 @@ def _lists_of(graph: CentroidGraph, dim: int, most: float, query: bool):
 
 
 def _search(dim: int, top: int):
-    """Kernel: the ``top`` best candidates of each query within one chunk of one list."""
+    """Kernel: the ``top`` best ids of each query within one chunk of one list."""
 
     def run(key, queries: pd.DataFrame, posts: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(posts):
             return pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        posts = posts.sort_values("id", kind="stable")
         v, ids = _matrix(posts["v"], dim), posts["id"].to_numpy()
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         out = []
         for at in range(0, len(queries), 256):
             part = queries.iloc[at : at + 256]
             q = _matrix(part["v"], dim)
             rough = q @ v.T
-            if rough.shape[1] > top:
-                edge = np.partition(rough, rough.shape[1] - top, axis=1)[:, rough.shape[1] - top]
+            if len(starts) > top:
+                by_id = rough if len(starts) == len(ids) else np.maximum.reduceat(rough, starts, axis=1)
+                edge = np.partition(by_id, len(starts) - top, axis=1)[:, len(starts) - top]
                 r, c = np.nonzero(rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
             else:
                 r, c = np.nonzero(np.ones_like(rough, bool))
             score = (q[r] * v[c]).sum(axis=1)
             order = np.lexsort((ids[c], -score, r))
             r, c, score = r[order], c[order], score[order]
+            if len(starts) < len(ids):  # the best row of each id
+                _, best = np.unique(r * np.int64(len(ids)) + np.searchsorted(ids, ids[c]), return_index=True)
+                best.sort()
+                r, c, score = r[best], c[best], score[best]
             count = np.bincount(r, minlength=len(part))
             rank = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
             keep = rank < top
@@ -208,8 +215,8 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, id_col: str = "v
 
     # equal vectors: the top + 1 smallest ids of each can be among anyone's nearest
     smallest = Window.partitionBy("v").orderBy("id")
-    posts = materialize(spark, sound.select("id", "v").withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= top + 1).select("id", "v"), "ann-posts")
-    queries = sound.where(F.col("id") % query_every == 0).select("id", "v")
+    posts = materialize(spark, sound.select("id", "v").distinct().withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= top + 1).select("id", "v"), "ann-posts")
+    queries = sound.where(F.col("id") % query_every == 0).select("id", "v").distinct()
     asked = materialize(spark, queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "ann-asked")
 
     n = posts.count()
@@ -243,6 +250,6 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, id_col: str = "v
     near = once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top + 1).select("query", "id", "score")
 
     leaders = queries.withColumnRenamed("id", "query_id").join(asked.withColumnRenamed("id", "query"), "v").select("query_id", "query")
-    others = leaders.join(near, "query").where("id <> query_id")
+    others = leaders.join(near, "query").where("id <> query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return others.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -349,6 +349,25 @@ def test_nearest_against_all(spark, monkeypatch, chunk):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def test_nearest_with_repeated_rows(spark):
+    """Repeated rows, an id with many vectors, and equal vectors of many ids take nobody's place."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8)).round(3)
+    x[30:36] = x[0]
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    data += [data[k] for k in (30, 31, 0) for _ in range(30)] + data + [(7, (x[0] + 0.001 * k).tolist()) for k in range(40)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann.nearest_neighbours(spark, df).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {0, 20, 40}
+    for q, found in got.items():
+        best = {}
+        for i, v in data:
+            best[i] = max(best.get(i, -math.inf), float(np.dot(x[q], v)))
+        assert found == sorted((i for i in best if i != q), key=lambda i: (-round(best[i], 9), i))[:20]
+
+
 def test_nearest_small_tables(spark):
     df, _ = vectors(spark, 6)
     got = ann.nearest_neighbours(spark, df).collect()
