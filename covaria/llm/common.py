@@ -20,9 +20,11 @@ ROWS_AT_ONCE = 256
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, with a local master only, a fresh one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="covaria-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(_remove, root)
@@ -47,6 +49,14 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many leading underscores as no column of ``df`` has (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def word_count(text) -> F.Column:
     """Number of words of a text column, native; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

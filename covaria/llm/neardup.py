@@ -1,36 +1,47 @@
 """Near copies on five-word shingles: documents whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
-The SimHash index cannot carry this rule: at a similarity of 0.8 about ten of 64 bits differ, and blocks of agreeing
-bits for such a radius are a few bits wide.  Candidates come from MinHash instead: BANDS keys of BAND_ROWS minima
-each; a pair of similarity s shares no key with probability (1 - s^BAND_ROWS)^BANDS, 5e-5 at 0.8.  Every candidate pair
-is then checked on the two sets themselves, and a component is everything that pairs at or above the rule reach.
+Candidates come from two indexes over the distinct sets.  The SimHash of the shingles goes through the Gray-order index, which
+finds what differs in three of 64 bits.  At a similarity of 0.8 about ten bits differ, more than such an index can carry, so
+MinHash adds the rest: BANDS keys of BAND_ROWS minima each; a pair of similarity s shares no key with probability
+(1 - s^BAND_ROWS)^BANDS, 5e-5 at 0.8.  Within a key sets are compared by a byte of each of their minima, and those that agree
+in LEAST_EQUAL of them are linked loosely (a pair at exactly 0.8 agrees in fewer with probability 4e-6).
 
-Only distinct sets are compared, so copies cost nothing.  Pairs inside a component need no check: each round compares
-all sets of a key with a few of them (pivots, picked by a hash) and drops the keys whose sets have become one component;
-what is left is compared pair by pair, so the result is that of all candidate pairs.
+Then whole texts are compared, once for each loose component and not for each pair: every set of a component goes to one task,
+or, in components of many sets, to as many as there are chunks of it, and there all pairs that agree in enough minima and in
+size are checked on the sets of hashes themselves, but for those that are already joined.  Neither step puts out more than
+one link for each set, so nothing grows with the pairs.
+
+Only distinct sets are compared, so copies cost nothing.  A text is read by Python twice at most, and shuffled twice.
 
 Defined results: case is ignored as in SimHash; a text of fewer words than a shingle has one shingle, a null text or
 one without words none, and such texts are equal; of a component the row with the smallest id (nulls last) stays, then
-that with the smallest set hash; repeated rows are one; an empty table gives an empty table.
-Sets are held as 64-bit hashes.
+that with the smallest hash of its columns; rows that repeat in all columns are one; an empty table gives an empty table; any
+other columns are kept.  Sets are held as 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from covaria.llm.common import extend, materialize, scan
-from covaria.llm.simhash import components
+from covaria.llm.common import free_name, materialize, scan
+from covaria.llm.simhash import bits_of, components, links
 
 SHINGLE = 5
 BANDS = 25
 BAND_ROWS = 5
-#: Pivots of a key in each round, and the pairs for each set from which on a round of pivots is worth its cost.
-PIVOTS = (1, 8, 8)
-PAIRS_EACH = 8
+#: Of the BANDS * BAND_ROWS minima of two sets of similarity 0.8, 100 agree on average, with a deviation of 4.5.
+LEAST_EQUAL = 80
+#: Sets of one key, and of one loose component, that a task compares with as many others.
+KEY_CHUNK = 4096
+TEXT_CHUNK = 512
+#: Shingles of the sets of a chunk (8 bytes each), on average.
+CHUNK_SHINGLES = 1 << 20
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.arange(1, BANDS + 1, dtype=np.uint64)
 
@@ -65,90 +76,201 @@ def set_hash(hashes: np.ndarray) -> int:
     return int(np.uint64(digest(hashes.tobytes())).view(np.int64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """The set's key in each band, as signed numbers."""
-    if not len(hashes):
-        return []
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of BANDS * BAND_ROWS hashes over the set."""
     least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         x = hashes[at : at + 4096, None] * _ODD
         np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """The set's key in each band, as signed numbers."""
     keys = _SALT.copy()
     for column in least.reshape(BANDS, BAND_ROWS).T:
         keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) ^ column)
-    return keys.view(np.int64).tolist()
+    return keys.view(np.int64)
+
+
+def _bytes_of(least: np.ndarray) -> bytes:
+    return (_mix(least) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def _row_hash(docs: DataFrame) -> F.Column:
+    """One number for all columns of a row."""
+    return F.xxhash64(*[F.to_json(F.struct(docs[f.name])) if isinstance(f.dataType, T.MapType) else docs[f.name] for f in docs.schema.fields])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, code, n, keys, items) for every row of ``docs``."""
+    """(id, row, code, n, fp, keys, sketch) for every row of ``docs``."""
 
     def kernel(batch: pa.RecordBatch) -> dict[str, list]:
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
-        return {"id": batch.column(0), "code": [set_hash(s) for s in sets], "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets], "items": [s.view(np.int64) for s in sets]}
+        out: dict[str, list] = {"id": batch.column(0), "row": batch.column(1)} | {k: [] for k in ("code", "n", "fp", "keys", "sketch")}
+        for text in batch.column(2).to_pylist():
+            found = shingles(text)
+            least = minima(found)
+            out["code"].append(set_hash(found))
+            out["n"].append(len(found))
+            out["fp"].append(bits_of(found))
+            out["keys"].append(band_keys(least) if len(found) else [])
+            out["sketch"].append(_bytes_of(least))
+        return out
+
+    plain = docs.select(docs[id_col].alias("id"), _row_hash(docs).alias("row"), docs[text_col].alias("text"))
+    return scan(plain, kernel, f"id {docs.schema[id_col].dataType.simpleString()}, row long, code long, n int, fp long, keys array<long>, sketch binary")
+
+
+def _reach(count: int, other: np.ndarray | None, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first member of each one's component, where ``near(x, rest)`` says which of the rest are linked to x.
+
+    With ``other`` (a side for each) only those of different sides are compared.  Members that are reached are compared no more.
+    """
+    label = np.arange(count)
+    rest = np.ones(count, bool)
+    for first in range(count):
+        if not rest[first]:
+            continue
+        rest[first] = False
+        todo = [first]
+        while todo:
+            x = todo.pop()
+            open_ones = np.flatnonzero(rest if other is None else rest & (other != other[x]))
+            found = open_ones[near(x, open_ones)] if len(open_ones) else open_ones
+            label[found], rest[found] = first, False
+            todo += found.tolist()
+    return label
+
+
+def _alike(sketches: np.ndarray, sizes: np.ndarray, x: int, rest: np.ndarray) -> np.ndarray:
+    """Which of ``rest`` agree with x in enough minima, and in size, to have a similarity of 0.8."""
+    small, large = np.minimum(sizes[rest], sizes[x]), np.maximum(sizes[rest], sizes[x])
+    fits = 5 * small >= 4 * large
+    fits[fits] = (sketches[rest[fits]] == sketches[x]).sum(axis=1) >= LEAST_EQUAL
+    return fits
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), len(_ODD))
+
 
-    return scan(docs.select(id_col, text_col), kernel, f"id {docs.schema[id_col].dataType.simpleString()}, code long, n int, keys array<long>, items array<long>")
+def _cell(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Codes, sizes, sketches and sides of the members of one cell."""
+    first, second = rows["a"][0].as_py(), rows["b"][0].as_py()
+    sides = None if first == second else rows["h"].to_numpy()
+    return rows["code"].to_numpy(), rows["n"].to_numpy().astype(np.int64), _matrix(rows["sketch"].combine_chunks()), sides
 
 
-def _alike(spark: SparkSession, pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the distinct (u, v) whose sets have a similarity of 0.8 or more."""
-    pairs = materialize(spark, pairs.distinct(), "neardup-pairs")
-    asked = pairs.select(F.col("u").alias("code")).unionByName(pairs.select(F.col("v").alias("code"))).distinct()
-    sets = rows.select("code", "items").join(asked, "code", "left_semi").groupBy("code").agg(F.first("items").alias("items"))
-    sets = materialize(spark, sets, "neardup-sets")
-    both = pairs.join(sets.select(F.col("code").alias("u"), F.col("items").alias("a")), "u").join(sets.select(F.col("code").alias("v"), F.col("items").alias("b")), "v")
-    # i / (a + b - i) >= 4 / 5 in whole numbers
-    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+def _loose(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    codes, sizes, sketches, sides = _cell(rows)
+    label = _reach(len(codes), sides, lambda x, rest: _alike(sketches, sizes, x, rest))
+    return codes, codes[label]
 
 
-def linked(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def _strict(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    codes, sizes, sketches, sides = _cell(rows)
+    sets = [shingles(t) for t in rows["text"].to_pylist()]
+
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        fits = _alike(sketches, sizes, x, rest)
+        mine = sets[x]
+        for k in np.flatnonzero(fits):
+            theirs = sets[rest[k]]
+            if not len(mine):
+                continue
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            # i / (a + b - i) >= 4 / 5 in whole numbers
+            fits[k] = 9 * int((mine[at] == theirs).sum()) >= 4 * (len(mine) + len(theirs))
+        return fits
+
+    label = _reach(len(codes), sides, near)
+    return codes, codes[label]
+
+
+def _by_cell(df: DataFrame, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(u, v) of every cell (group, a, b) of ``df``; one cell at a time is held, however Arrow batches cut it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sum(b.num_rows for b in held) > 1:
+                u, v = work(pa.Table.from_batches(held))
+                moved = u != v
+                yield pa.RecordBatch.from_arrays([pa.array(u[moved]), pa.array(v[moved])], names=["u", "v"])
+
+        for batch in batches:
+            cells = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "a", "b")])
+            begin = 0
+            for end in [*(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1).tolist(), len(cells)]:
+                if end > begin:
+                    key = tuple(cells[begin])
+                    if key != now:
+                        yield from done()
+                        held, now = [], key
+                    held.append(batch.slice(begin, end - begin))
+                begin = end
+        yield from done()
+
+    keys = ["group", "a", "b"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes can be much work: partitions aren't merged
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+
+
+def _dealt(df: DataFrame, chunks: F.Column) -> DataFrame:
+    """Members of a group in ``chunks`` parts go to every pair of parts that has theirs: columns h, a, b."""
+    mine = F.pmod(F.xxhash64("code", "group"), F.col("c")).cast("int")
+    spread = df.withColumn("c", chunks).withColumn("h", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    return spread.withColumn("a", F.least("h", "o")).withColumn("b", F.greatest("h", "o")).drop("c", "o")
+
+
+def _loose_edges(spark: SparkSession, codes: DataFrame) -> DataFrame:
+    """(u, v) between sets: what share a fingerprint or have close ones, and what agree in enough minima within a key."""
+    keyed = codes.select("code", F.explode("keys").alias("group"))
+    shared = keyed.groupBy("group").count().where("count > 1")
+    members = materialize(spark, keyed.join(shared, "group"), "neardup-members")
+    live = members.join(codes.select("code", "n", "sketch"), "code")
+    by_key = _by_cell(_dealt(live, F.ceil(F.col("count") / KEY_CHUNK).cast("int")).select("group", "a", "b", "h", "code", "n", "sketch"), _loose)
+
+    prints = materialize(spark, codes.where("n > 0").groupBy("fp").agg(F.min("code").alias("first"), F.count("*").alias("k")), "neardup-prints")
+    near = links(spark, prints.select("fp"))
+    ends = prints.select("fp", "first")
+    met = near.join(ends.withColumnsRenamed({"fp": "u", "first": "a"}), "u").join(ends.withColumnsRenamed({"fp": "v", "first": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = codes.where("n > 0").select("code", "fp").join(prints.where("k > 1").select("fp", "first"), "fp").where("code <> first").select(F.col("code").alias("u"), F.col("first").alias("v"))
+    return by_key.unionByName(met).unionByName(same)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    """(node, root) with the roots themselves."""
+    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def linked(spark: SparkSession, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(node, root) of every set that is linked to another, roots included."""
-    codes = rows.groupBy("code").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    banded = materialize(spark, codes.select("code", "n", F.explode("keys").alias("key")), "neardup-bands")
-    shared = banded.groupBy("key").count().where("count > 1").select("key")
-    live = materialize(spark, banded.join(shared, "key").select("key", "code", "n", F.col("code").alias("root")), "neardup-live")
-    sets = banded.select("code").distinct().count()
-    edges: DataFrame | None = None
-    stars = spark.createDataFrame([], "node long, root long")
-    fits = lambda a, b: (5 * F.least(a, b) >= 4 * F.greatest(a, b))
-    for pivots in (*PIVOTS, None):
-        work = live.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-        if not work:
-            break
-        last = pivots is None or work <= PAIRS_EACH * sets
-        if last:
-            other = live.select("key", F.col("code").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-            met = live.join(other, "key").where((F.col("code") < F.col("v")) & (F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")))
-        else:
-            picks = [F.min(F.struct(F.xxhash64("code", F.lit(j)), "code", "n", "root")).alias(f"p{j}") for j in range(pivots)]
-            chosen = live.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.transform(F.array(*[f"p{j}" for j in range(pivots)]), lambda p: F.struct(p["code"].alias("v"), p["n"].alias("m"), p["root"].alias("other"))))).alias("p"))
-            met = live.join(chosen.select("key", "p.*"), "key").where((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")))
-        found = _alike(spark, met.select(F.least("code", "v").alias("u"), F.greatest("code", "v").alias("v")), rows)
-        edges = materialize(spark, found if edges is None else edges.unionByName(found), "neardup-edges")
-        stars = components(spark, edges)
-        if last:
-            break
-        stars = materialize(spark, stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "neardup-stars")
-        named = live.drop("root").join(stars, live["code"] == stars["node"], "left").select("key", "code", "n", F.coalesce("root", "code").alias("root"))
-        named = materialize(spark, named, "neardup-named")
-        open_keys = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        live = materialize(spark, named.join(open_keys, "key"), "neardup-live")
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
+    first = F.first(F.struct("row", "n", "fp", "keys", "sketch")).alias("s")
+    codes = materialize(spark, rows.groupBy("code").agg(first).select("code", "s.*"), "neardup-sets")
+    loose = materialize(spark, _named(components(spark, _loose_edges(spark, codes))), "neardup-loose")
+    sizes = loose.join(codes.select("code", "row", "n", "sketch"), loose["node"] == F.col("code"))
+    groups = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TEXT_CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    asked = sizes.join(groups, "root").select(F.col("root").alias("group"), "code", "row", "n", "sketch", "chunks")
+    asked = materialize(spark, asked, "neardup-asked")
+    texts = docs.select(_row_hash(docs).alias("row"), docs[text_col].alias("text")).join(asked.select("row").distinct(), "row", "left_semi")
+    # rows that repeat, hash and all, have one text
+    texts = materialize(spark, texts.groupBy("row").agg(F.first("text").alias("text")), "neardup-texts")
+    cells = _dealt(asked.join(texts, "row"), F.col("chunks")).select("group", "a", "b", "h", "code", "n", "sketch", "text")
+    return _named(components(spark, _by_cell(cells, _strict)))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component left."""
     rows = materialize(spark, _rows(docs, id_col, text_col), "neardup-rows")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("code")))
-    firsts = rows.groupBy("code").agg(first.alias("own"))
-    roots = linked(spark, rows)
+    firsts = rows.groupBy("code").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("own"))
+    roots = linked(spark, rows, docs, text_col)
     heads = firsts.join(roots, firsts["code"] == roots["node"], "left").groupBy(F.coalesce("root", "code").alias("root")).agg(F.min("own").alias("kept"))
-    heads = materialize(spark, heads.select(F.col("kept.id").alias("__keep_id"), F.col("kept.code").alias("__keep_code")), "neardup-kept")
-
-    def kernel(batch: pa.RecordBatch) -> tuple[None, dict[str, list]]:
-        return None, {"__code": [set_hash(shingles(t)) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]}
-
-    coded = extend(docs, kernel, "__code long")
-    kept = coded.join(heads, coded[id_col].eqNullSafe(F.col("__keep_id")) & (F.col("__code") == F.col("__keep_code")), "left_semi")
-    if rows.groupBy("id", "code").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "__code"])
-    return kept.select(*docs.columns)
+    row, keep_id, keep_row = (free_name(docs, n) for n in ("row", "keep_id", "keep_row"))
+    heads = materialize(spark, heads.select(F.col("kept.id").alias(keep_id), F.col("kept.row").alias(keep_row)), "neardup-kept")
+    coded = docs.withColumn(row, _row_hash(docs))
+    if rows.groupBy("id", "row").count().where("count > 1").limit(1).count():
+        coded = coded.dropDuplicates([id_col, row])
+    return coded.join(heads, coded[id_col].eqNullSafe(F.col(keep_id)) & (F.col(row) == F.col(keep_row)), "left_semi").select(*docs.columns)

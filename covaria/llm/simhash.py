@@ -4,14 +4,19 @@ A document's fingerprint has 64 bits: each of its three-word shingles is hashed,
 the hashes have it.  Documents whose fingerprints differ in at most ``RADIUS`` bits are linked; a component is
 everything that links reach.
 
-Only distinct fingerprints are indexed, so copies cost nothing.  Fingerprints that differ in three bits at most agree
-on one of four blocks of bits, so each is dealt to four cells; cells of over CELL_ROWS fingerprints are split again on
+Only distinct fingerprints are indexed, so copies cost nothing.  The index of a set of fingerprints sorts them by Gray rank,
+in which neighbours share more bits than in plain order (neighbouring codes differ in one bit, and what is on the two
+sides of a change of a leading bit is mirrored).  Each FAN neighbours form a group with the mask of all bits that its members
+share and their pattern; FAN groups form an upper group, to which the part of mask and pattern that they have in common moves
+up, and so on.  Pairs of groups are followed from the top; what the two masked patterns differ in is added up, and a pair of
+groups is dropped with all below it once that exceeds RADIUS.
+
+To spread the index over tasks, fingerprints meet in cells: what differs in three bits at most agrees on one of four blocks
+of bits, so each is dealt to four cells by some bits of each block, as many as make cells of about CELL_TARGET, and every
+cell has an index of its own.  Cells of over CELL_ROWS fingerprints (clusters) are dealt again on
 four blocks of the bits that are left, chosen for each such cell so that the bits which vary there are shared out
-evenly, until they are small or have at most RADIUS varying bits (then all of the cell is linked).  Inside a cell
-the fingerprints are sorted by Gray rank.  In that order those which share leading bits stand together, and the runs
-that share 8, 16, ... bits are the nodes of a tree; pairs of nodes are followed downwards, their differences are added
-up, and a pair is dropped with all below it once they exceed RADIUS.  A cell returns at most one link for each of its
-fingerprints (to the first of its local component), never all pairs.
+evenly, until they are small or have at most RADIUS varying bits (then all of the cell is linked).
+A cell returns at most one link for each of its fingerprints (to the first of its local component), never all pairs.
 
 Defined results: a null text or one without words has fingerprint zero, linked like any other; a text of one or two
 words has one shingle; a component's id is its smallest non-null doc_id (null if it has none); repeated rows share a
@@ -27,15 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm.common import extend, materialize, scan
+from covaria.llm.common import materialize, scan
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-CELL_ROWS = 2048
-#: Pairs of nodes that are expanded at once.
+CELL_TARGET = 2048
+CELL_ROWS = 16_384
+#: Members of a group, and groups of an upper group.
+FAN = 8
+#: Pairs of groups that are expanded at once.
 PAIRS_AT_ONCE = 1 << 17
 BLOCKS = RADIUS + 1
+#: A fingerprint of 1 / HOT_SHARE of all rows is hot; there are at most HOT_SHARE of them.
+HOT_SHARE = 1000
 ALL_BITS = (1 << 64) - 1
 
 
@@ -57,9 +67,14 @@ def fingerprint(text: str | None) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = [0, *ends[: -SHINGLE].tolist()]
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
+    return bits_of(np.array(hashes, np.uint64))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes; zero if there are none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
-        part = np.array(hashes[at : at + 65_536], "<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
@@ -90,48 +105,69 @@ def _cross(first: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return first[a][origin] + within // width, first[b][origin] + within % width, origin
 
 
-def cell_links(cells: np.ndarray, codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+class Level:
+    """Groups of one level: where their members begin, and of each the mask of shared bits and their pattern."""
+
+    def __init__(self, cells: np.ndarray, every: np.ndarray, some: np.ndarray, fan: int):
+        """``every`` and ``some`` are the bits that all and that any codes of each member have."""
+        new = np.ones(len(cells), bool)
+        new[1:] = cells[1:] != cells[:-1]
+        first = np.flatnonzero(new)
+        place = np.arange(len(cells)) - np.repeat(first, np.diff(np.append(first, len(cells))))
+        self.starts = np.flatnonzero(place % fan == 0)
+        self.counts = np.diff(np.append(self.starts, len(cells)))
+        self.cells = cells[self.starts]
+        self.every, self.some = np.bitwise_and.reduceat(every, self.starts), np.bitwise_or.reduceat(some, self.starts)
+
+    @property
+    def masks(self) -> np.ndarray:
+        return ~(self.every ^ self.some)
+
+
+def build_index(cells: np.ndarray, codes: np.ndarray) -> list[Level]:
+    """Levels from the codes themselves up to one group for each cell; members of a cell follow each other."""
+    levels = [Level(cells, codes, codes, 1)]
+    while (levels[-1].cells[1:] == levels[-1].cells[:-1]).any():
+        below = levels[-1]
+        levels.append(Level(below.cells, below.every, below.some, FAN))
+    return levels
+
+
+def cell_links(cells: np.ndarray, codes: np.ndarray, radius: int = RADIUS, rank=gray_rank, visited: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links inside cells: for every code that has a partner, itself and the first code of its local component.
 
-    ``cells`` numbers the cell of each code; codes are distinct within a cell.
+    ``cells`` numbers the cell of each code.  ``rank`` is the order of the index, and ``visited`` gets the numbers of pairs
+    that were looked at.
     """
-    order = np.lexsort((gray_rank(codes), cells))
+    order = np.lexsort((rank(codes), cells))
     cells, codes = cells[order], codes[order]
-    n = len(codes)
-    new = np.ones(n, bool)
-    new[1:] = cells[1:] != cells[:-1]
-    starts = [np.flatnonzero(new)]  # of the nodes of each level, the cells themselves first
-    for depth in range(8, 65, 8):
-        prefix = codes >> np.uint64(64 - depth)
-        new[1:] |= prefix[1:] != prefix[:-1]
-        starts.append(np.flatnonzero(new))
-    label = np.arange(n)
-    roots = np.arange(len(starts[0]))
-    several = np.diff(np.append(starts[0], n)) > 1
-    stack = [(0, roots[several], roots[several], np.zeros(several.sum(), np.int64))]
+    levels = build_index(cells, codes)
+    label = np.arange(len(codes))
+    tops = np.arange(len(levels[-1].cells))
+    stack = [(len(levels) - 1, tops, tops, np.zeros(len(tops), np.int64))]
     while stack:
-        level, a, b, apart = stack.pop()
-        if level == 8:
+        depth, a, b, apart = stack.pop()
+        if depth == 0:
             _join(label, a, b)
             continue
-        below = np.searchsorted(starts[level + 1], starts[level])
-        count = np.diff(np.append(below, len(starts[level + 1])))
-        work = np.cumsum(count[a] * count[b])
+        upper, lower = levels[depth], levels[depth - 1]
+        work = np.cumsum(upper.counts[a] * upper.counts[b])
         cut = max(1, int(np.searchsorted(work, PAIRS_AT_ONCE)))
         if cut < len(a):
-            stack.append((level, a[cut:], b[cut:], apart[cut:]))
+            stack.append((depth, a[cut:], b[cut:], apart[cut:]))
             a, b, apart = a[:cut], b[:cut], apart[:cut]
-        x, y, origin = _cross(below, count, a, b)
-        keep = x <= y
+        x, y, origin = _cross(upper.starts, upper.counts, a, b)
+        keep = (x < y) if depth == 1 else (x <= y)
         x, y, origin = x[keep], y[keep], origin[keep]
-        mask = np.uint64(0xFF << (56 - 8 * level))
-        apart = apart[origin] + np.bitwise_count((codes[starts[level + 1][x]] ^ codes[starts[level + 1][y]]) & mask)
+        if visited is not None:
+            visited.append(len(x))
+        # bits that both groups share among themselves, without those that were counted for the groups above
+        counted = (upper.masks[a] & upper.masks[b])[origin]
+        apart = apart[origin] + np.bitwise_count((lower.every[x] ^ lower.every[y]) & lower.masks[x] & lower.masks[y] & ~counted)
         near = apart <= radius
-        if level == 7:
-            near &= x < y
         if near.any():
-            stack.append((level + 1, x[near], y[near], apart[near]))
-    moved = label != np.arange(n)
+            stack.append((depth - 1, x[near], y[near], apart[near]))
+    moved = label != np.arange(len(codes))
     return codes[moved], codes[label[moved]]
 
 
@@ -211,26 +247,28 @@ def _split(hot: DataFrame) -> DataFrame:
 def links(spark: SparkSession, codes: DataFrame) -> DataFrame:
     """(u, v) between distinct fingerprints (column ``fp``): they join exactly what links of RADIUS bits or less join."""
     width = 64 // BLOCKS
-    masks = F.array(*[F.lit(_signed(((1 << width) - 1) << (width * b))) for b in range(BLOCKS)])
+    used = min(width, max(0, (codes.count() // CELL_TARGET).bit_length()))
+    masks = F.array(*[F.lit(_signed(((1 << used) - 1) << (width * b))) for b in range(BLOCKS if used else 1)])
     cells = codes.select("fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes can be much work: partitions aren't merged
     found: list[DataFrame] = []
     while True:
         crowded = materialize(spark, cells.groupBy("mask", "key").count().where(F.col("count") > CELL_ROWS), "simhash-crowded")
         some = crowded.count() > 0
         calm = cells.join(crowded, ["mask", "key"], "left_anti") if some else cells
-        dealt = calm.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
+        dealt = calm.select("mask", "key", "fp").repartition(parts, "mask", "key").sortWithinPartitions("mask", "key")
         found.append(dealt.mapInArrow(_cells_to_links, "u long, v long"))
         if not some:
             break
         inside = cells.join(crowded.select("mask", "key"), ["mask", "key"])
         bits = [F.sum(F.shiftright("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
         stats = inside.groupBy("mask", "key").agg(F.count("*").alias("n"), *bits).select("mask", "key", "n", F.array(*[f"b{b}" for b in range(64)]).alias("ones"))
-        parts = materialize(spark, _split(stats), "simhash-parts")
-        alike = parts.where("submask is null").select("mask", "key")
+        split = materialize(spark, _split(stats), "simhash-split")
+        alike = split.where("submask is null").select("mask", "key")
         firsts = inside.join(alike, ["mask", "key"]).groupBy("mask", "key").agg(F.min("fp").alias("v"))
         found.append(inside.join(firsts, ["mask", "key"]).where("fp <> v").select(F.col("fp").alias("u"), "v"))
-        deeper = inside.join(parts.where("submask is not null"), ["mask", "key"])
-        cells = materialize(spark, deeper.select("fp", F.col("submask").alias("mask"), F.col("fp").bitwiseAND(F.col("submask")).alias("key")), "simhash-cells")
+        deeper = inside.join(split.where("submask is not null"), ["mask", "key"])
+        cells = materialize(spark, deeper.select("fp", F.col("submask").alias("mask"), F.col("fp").bitwiseAND(F.col("submask")).alias("key")).distinct(), "simhash-cells")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -260,40 +298,20 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         mark = said
 
 
-def _by_code(spark: SparkSession, light: DataFrame) -> DataFrame:
-    """(fp, component_id, keep_null, keep_id, keep_fp) of fingerprints that are linked to others."""
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("fp")))
-    codes = materialize(spark, light.groupBy("fp").agg(F.min("id").alias("first"), first.alias("keep")), "simhash-codes")
-    stars = components(spark, links(spark, codes.select("fp")))
-    linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    members = materialize(spark, linked.join(codes, linked["node"] == codes["fp"]).select("fp", "root", "first", "keep"), "simhash-members")
-    heads = members.groupBy("root").agg(F.min("first").alias("component_id"), F.min("keep").alias("kept"))
-    return materialize(spark, members.join(heads, "root").select("fp", "component_id", "kept"), "simhash-components")
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, fingerprint in hexadecimal, component_id."""
     light = materialize(spark, fingerprints(docs, id_col, text_col), "simhash-rows")
-    table = _by_code(spark, light).select(F.col("fp").alias("code"), F.col("component_id").alias("linked_id"))
-    alone = light.groupBy("fp").agg(F.min("id").alias("own_id")).withColumnRenamed("fp", "code")
-    per_code = alone.join(table, "code", "left").select("code", F.coalesce("linked_id", "own_id").alias("component_id"))
-    return light.join(per_code, light["fp"] == per_code["code"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component left: that with the smallest id (nulls last), then fingerprint."""
-    light = materialize(spark, fingerprints(docs, id_col, text_col), "simhash-rows")
-    table = _by_code(spark, light).select(F.col("fp").alias("code"), F.col("kept").alias("linked"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("fp")))
-    alone = light.groupBy("fp").agg(first.alias("own"), F.count("*").alias("n")).withColumnRenamed("fp", "code")
-    heads = alone.join(table, "code", "left").select(F.coalesce("linked", "own").alias("kept")).distinct().select("kept.id", "kept.fp")
-    heads = materialize(spark, heads.select(F.col("id").alias("__keep_id"), F.col("fp").alias("__keep_fp")), "simhash-kept")
-
-    def kernel(batch: pa.RecordBatch) -> tuple[None, dict[str, list]]:
-        return None, {"__fp": [fingerprint(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]}
-
-    coded = extend(docs, kernel, "__fp long")
-    kept = coded.join(heads, coded[id_col].eqNullSafe(F.col("__keep_id")) & (F.col("__fp") == F.col("__keep_fp")), "left_semi")
-    if light.groupBy("id", "fp").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "__fp"])
-    return kept.select(*docs.columns)
+    codes = materialize(spark, light.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "simhash-codes")
+    stars = components(spark, links(spark, codes.select("fp")))
+    linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    members = materialize(spark, linked.join(codes, linked["node"] == codes["fp"]).select("fp", "root", "first"), "simhash-members")
+    heads = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    table = members.join(heads, "root").select("fp", F.col("component_id").alias("linked_id"))
+    per_code = materialize(spark, codes.join(table, "fp", "left").select(F.col("fp").alias("code"), F.coalesce("linked_id", "first").alias("component_id"), "n"), "simhash-components")
+    # the fingerprints of at least HOT_SHARE of all rows, 1 / HOT_SHARE at most, are joined by a broadcast, the others by a shuffle
+    least = max(2, int(codes.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(per_code.where(F.col("n") >= least).select("code", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot")))
+    marked = light.join(hot, light["fp"] == hot["code"], "left").drop("code")
+    rest = marked.where("hot is null").select("id", "fp").join(per_code.where(F.col("n") < least), F.col("fp") == F.col("code")).select("id", "fp", "component_id")
+    every = rest.unionByName(marked.where("hot").select("id", "fp", F.col("hot_id").alias("component_id")))
+    return every.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

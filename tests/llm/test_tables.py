@@ -196,10 +196,56 @@ def test_cell_links_against_plain():
     assert groups(parent.items()) == groups(union(codes).items())
 
 
+def test_gray_order_prunes_better():
+    """Over fingerprints of texts, groups of Gray neighbours leave fewer pairs to look at than groups in plain order."""
+    rng = random.Random(6)
+    codes = np.array(sorted({simhash.fingerprint(prose(rng, rng.randint(10, 200))) & simhash.ALL_BITS for _ in range(4000)}), np.uint64)
+    counts = {}
+    for name, rank in (("gray", simhash.gray_rank), ("plain", lambda c: c)):
+        visited = []
+        simhash.cell_links(np.zeros(len(codes), int), codes, rank=rank, visited=visited)
+        counts[name] = sum(visited)
+    assert counts["gray"] < counts["plain"] < len(codes) ** 2 / 2
+
+
+def test_index_levels():
+    """A group's mask and pattern hold for every code below it, and upper masks are parts of lower ones."""
+    codes = np.array(some_codes(3), np.uint64)
+    cells = np.arange(len(codes)) // 200
+    codes = codes[np.lexsort((simhash.gray_rank(codes), cells))]
+    levels = simhash.build_index(cells, codes)
+    below = [np.arange(k, k + 1) for k in range(len(codes))]
+    for k, level in enumerate(levels[1:], 1):
+        below = [np.concatenate(below[s : s + n]) for s, n in zip(level.starts, level.counts, strict=True)]
+        assert all(n <= simhash.FAN for n in level.counts)
+        for g, members in enumerate(below):
+            assert len(set(cells[members])) == 1 and len(set((codes[members] & level.masks[g]).tolist())) == 1
+        for g, (s, n) in enumerate(zip(level.starts, level.counts, strict=True)):
+            assert all(level.masks[g] & ~levels[k - 1].masks[c] == 0 for c in range(s, s + n))
+    assert [len(m) for m in below] == np.bincount(cells).tolist()
+
+
+def test_links_of_a_tight_cluster(spark, monkeypatch):
+    """Thousands of codes that vary in few bits of one block, dealt again and again."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 256)
+    monkeypatch.setattr(simhash, "CELL_TARGET", 64)
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    codes = sorted({base ^ (rng.getrandbits(13) << 3) for _ in range(3000)} | {rng.getrandbits(64) for _ in range(50)})
+    df = spark.createDataFrame([(simhash._signed(c),) for c in codes], "fp long")
+    stars = {r.node: r.root for r in simhash.components(spark, simhash.links(spark, df)).collect()}
+    mine = {c: stars.get(simhash._signed(c), simhash._signed(c)) for c in codes}
+    parent = {c: c for c in codes}
+    u, v = simhash.cell_links(np.zeros(len(codes), int), np.array(codes, np.uint64))
+    parent |= dict(zip(u.tolist(), v.tolist(), strict=True))
+    assert groups(mine.items()) == groups(parent.items())
+
+
 @pytest.mark.parametrize("cell_rows", [2048, 20])
 def test_links_whole_and_split(spark, monkeypatch, cell_rows):
     """Crowded cells are split without losing a link."""
     monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(simhash, "CELL_TARGET", cell_rows)
     codes = some_codes(1)
     df = spark.createDataFrame([(simhash._signed(c),) for c in codes], "fp long")
     stars = {r.node: r.root for r in simhash.components(spark, simhash.links(spark, df)).collect()}
@@ -215,19 +261,6 @@ def test_components_of_chains(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and got[200] == 100 and got[301] == 300 and 0 not in got
 
 
-def test_keep_one(spark):
-    docs = documents(spark)
-    kept = simhash.keep_one(spark, docs)
-    data = [(r[0], r[1]) for r in rows()]
-    want = plain_components(data)
-    assert kept.columns == docs.columns
-    got = Counter(plain_fingerprint(r.text) for r in kept.collect())
-    roots = union({plain_fingerprint(t) for _, t in data})
-    assert Counter(roots[f] for f in got.elements()) == Counter(set(roots.values()))
-    ids = {r.doc_id for r in kept.collect()}
-    assert ids == {c for _, _, c in want if c is not None} | ({None} if any(c is None for *_, c in want) else set())
-
-
 def plain_jaccard(a, b):
     def grams(text):
         w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
@@ -237,11 +270,12 @@ def plain_jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-@pytest.mark.parametrize("each", [8, 0])
-def test_near_copies_of_the_stage(spark, monkeypatch, each):
-    """Replaced words up to a similarity of 0.8, chains, and a large group; with pivots (each = 0) and without."""
+@pytest.mark.parametrize("chunk", [512, 10])
+def test_near_copies_of_the_stage(spark, monkeypatch, chunk):
+    """Replaced words up to a similarity of 0.8, chains, and a large group; in one chunk and in many."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    monkeypatch.setattr(neardup, "PAIRS_EACH", each)
+    monkeypatch.setattr(neardup, "TEXT_CHUNK", chunk)
+    monkeypatch.setattr(neardup, "KEY_CHUNK", chunk)
     rng = random.Random(31)
     vocab = [f"w{k}" for k in range(3000)]
     made = []
