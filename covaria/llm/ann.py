@@ -3,10 +3,13 @@
 Inner products become distances: with M the largest norm, x gets the component sqrt(M^2 - |x|^2) and a query the component 0,
 and the largest product is the smallest distance.  Centroids come from a bounded sample, split again and again into equal halves,
 so that the lists are balanced; every vector is indexed.  A vector goes to the list of its nearest centroid and, near a
-boundary, to up to REPLICAS lists whose centroids are at most REPLICA_RATIO times as far.  A query searches the lists
-whose centroids are at most PROBE_RATIO times as far as its nearest, at least LEAST_PROBES and at most MOST_PROBES of them.
+boundary, to up to REPLICAS lists whose centroids are at most REPLICA_RATIO times as far.  A query searches all lists
+whose centroids are at most ``probe_ratio`` times as far as its BASIS-th nearest, and LEAST_PROBES of them at least; there is
+no upper limit, so that queries without near neighbours search as many lists as that takes.  ``exact`` searches every list.
 Nearest centroids are found in memory, by a best-first walk over the graph that links each centroid to its
-neighbours, started at the best of a few pivots.
+neighbours, started at the best of a few pivots.  The walk keeps at least twice as many centroids as lie within the
+ratio: it is repeated with a wider beam for vectors that need it, and those that need over a quarter of all centroids are
+compared with all of them.
 
 Skew: equal vectors cannot all matter, only the TOP + 1 smallest ids of each can be among the nearest, so the
 others are left out before indexing (exact, and decided by a partial limit before the shuffle), and equal queries are
@@ -42,13 +45,13 @@ SAMPLE_BYTES = 32 << 20
 SAMPLE_ROWS = 65_536
 REPLICAS = 4
 REPLICA_RATIO = 1.1
-PROBE_RATIO = 1.35
+PROBE_RATIO = 1.1
 #: A query's distances are compared with its BASIS-th nearest centroid: the nearest may be the query itself, or its copy.
 BASIS = 4
 LEAST_PROBES = 16
-MOST_PROBES = 48
 CHUNK = 4096
 DEGREE = 16
+#: Beam of the first walk; it grows with what a vector needs.
 WALK = 64
 QUERY_EVERY = 20
 
@@ -135,31 +138,56 @@ class CentroidGraph:
         return ids[rows, order], np.maximum(far[rows, order] + (x**2).sum(axis=1)[:, None], 0)
 
 
+    def all_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids for each row of x, nearest first, and their squared distances."""
+        far = self.sq - 2 * (x @ self.c.T) + (x**2).sum(axis=1)[:, None]
+        order = np.argsort(far, axis=1, kind="stable")
+        return order.astype(np.int32), np.maximum(np.take_along_axis(far, order, axis=1), 0)
+
+    def within(self, x: np.ndarray, ratio: float, basis: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) for all centroids at most ``ratio`` times as far as the ``basis``-th nearest, ``least`` of them at least."""
+        n = len(self.c)
+        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        open_rows, width = np.arange(len(x)), max(WALK, 2 * least)
+        while len(open_rows):
+            whole = 4 * width > n
+            ids, far = self.all_of(x[open_rows]) if whole else self.nearest(x[open_rows], width)
+            take = (far <= ratio**2 * far[:, min(basis, far.shape[1]) - 1 :][:, :1] + 1e-12) & (ids >= 0)
+            done = np.full(len(open_rows), True) if whole else 2 * take.sum(axis=1) <= width
+            take[:, :least] = ids[:, :least] >= 0
+            r, c = np.nonzero(take & done[:, None])
+            rows.append(open_rows[r])
+            found.append(ids[r, c])
+            open_rows, width = open_rows[~done], 4 * width
+        return np.concatenate(rows), np.concatenate(found)
+
+
 def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
     if isinstance(column, pa.Array):
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, dim))
 
 
-def _lists_of(graph: CentroidGraph, dim: int, most: float, query: bool):
-    """Kernel: (id, v) -> one row (list, id, v) for each list that a vector belongs to or a query searches."""
+def _lists_of(graph: CentroidGraph, dim: int, most: float, probe_ratio: float | None = None):
+    """Kernel: (id, v) -> one row (list, id, v) for each list that a vector belongs to or, with ``probe_ratio``, a query searches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = _matrix(part.column(1), dim)
-                extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(most**2 - (x**2).sum(axis=1), 0))
-                ids, far = graph.nearest(np.column_stack([x, extra]), WALK)
-                ratio = PROBE_RATIO if query else REPLICA_RATIO
-                basis = min(BASIS, far.shape[1]) - 1 if query else 0
-                take = far <= ratio**2 * far[:, basis : basis + 1] + 1e-12
-                if query:
-                    take[:, :LEAST_PROBES] = True
-                take[:, MOST_PROBES if query else REPLICAS :] = False
-                r, c = np.nonzero(take & (ids >= 0))
-                chosen = part.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r, c].astype(np.int32)), chosen.column(0), chosen.column(1)], names=["list", "id", "v"])
+                if probe_ratio is None:
+                    extra = np.sqrt(np.maximum(most**2 - (x**2).sum(axis=1), 0))
+                    ids, far = graph.nearest(np.column_stack([x, extra]), WALK)
+                    take = (far <= REPLICA_RATIO**2 * far[:, :1] + 1e-12) & (ids >= 0)
+                    take[:, REPLICAS:] = False
+                    r, c = np.nonzero(take)
+                    lists = ids[r, c]
+                else:
+                    r, lists = graph.within(np.column_stack([x, np.zeros(len(x))]), probe_ratio, BASIS, LEAST_PROBES)
+                for cut in range(0, len(r), 8192):
+                    chosen = part.take(pa.array(r[cut : cut + 8192]))
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[cut : cut + 8192].astype(np.int32)), chosen.column(0), chosen.column(1)], names=["list", "id", "v"])
 
     return run
 
@@ -200,8 +228,11 @@ def _search(dim: int, top: int):
     return run
 
 
-def nearest_neighbours(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, query_every: int = QUERY_EVERY) -> DataFrame:
-    """For each row whose id is divisible by ``query_every``: query_id, rank, vec_id and score of its nearest found."""
+def nearest_neighbours(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, query_every: int = QUERY_EVERY, probe_ratio: float = PROBE_RATIO, exact: bool = False) -> DataFrame:
+    """For each row whose id is divisible by ``query_every``: query_id, rank, vec_id and score of its nearest found.
+
+    A larger ``probe_ratio`` finds more and costs more; with ``exact`` every list is searched and nothing is missed.
+    """
     v = F.col("v")
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -231,8 +262,8 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, id_col: str = "v
     graph = CentroidGraph(balanced_centroids(x, lists))
 
     schema = "list int, id long, v array<double>"
-    posted = materialize(spark, posts.mapInArrow(_lists_of(graph, dim, most, False), schema), "ann-lists")
-    probes = materialize(spark, asked.repartition(F.col("id")).mapInArrow(_lists_of(graph, dim, most, True), schema), "ann-probes")
+    posted = materialize(spark, posts.mapInArrow(_lists_of(graph, dim, most), schema), "ann-lists")
+    probes = materialize(spark, asked.repartition(F.col("id")).mapInArrow(_lists_of(graph, dim, most, math.inf if exact else probe_ratio), schema), "ann-probes")
     # at most MOST_LISTS rows each
     chunks = posted.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("post_chunks")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("query_chunks")), "list")
     chunks = F.broadcast(materialize(spark, chunks, "ann-chunks"))

@@ -383,6 +383,41 @@ def test_nearest_against_all(spark, monkeypatch, chunk):
     assert hit >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("n, exact, least", [(60_000, False, 0.95), (6_000, True, 1.0)])
+def test_nearest_without_neighbourhoods(spark, tmp_path, monkeypatch, n, exact, least):
+    """Directions spread evenly over a sphere, many more lists than the first walk keeps: no cap spoils the recall."""
+    if exact:
+        monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}), tmp_path / "v.parquet")
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(spark, spark.read.parquet(str(tmp_path / "v.parquet")), query_every=200, exact=exact).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, n, 200):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(got[q] & set(np.argpartition(-score, 20)[:20].tolist()))
+    assert hit >= least * 20 * len(got) and len(got) == n // 200
+
+
+def test_centroids_within():
+    """The graph's walk finds what comparing with all centroids finds, but for a few."""
+    rng = np.random.default_rng(4)
+    graph = ann.CentroidGraph(rng.normal(size=(3000, 8)))
+    x = rng.normal(size=(50, 8))
+    r, c = graph.within(x, 1.2, 4, 16)
+    ids, far = graph.all_of(x)
+    want = {(i, int(ids[i, j])) for i in range(50) for j in range(3000) if j < 16 or far[i, j] <= 1.44 * far[i, 3]}
+    found = set(zip(r.tolist(), c.tolist(), strict=True))
+    assert len(found) == len(r) and len(found & want) >= 0.98 * len(want)
+
+
 def test_nearest_with_repeated_rows(spark):
     """Repeated rows, an id with many vectors, and equal vectors of many ids take nobody's place."""
     rng = np.random.default_rng(5)
