@@ -11,7 +11,9 @@ or, in components of many sets, to as many as there are chunks of it, and there
 size are checked on the sets of hashes themselves, but for those that are already joined.  Neither step puts out more than
 one link for each set, so nothing grows with the pairs.
 
-Only distinct sets are compared, so copies cost nothing.  A text is read by Python twice at most, and shuffled twice.
+Only distinct sets are compared, so copies cost nothing.  A text is read by Python twice at most.  Rows are told apart by a hash
+of all their columns; up to BROADCAST_ROWS such hashes (8 bytes each) are broadcast to pick the texts to compare and to leave out
+the rows that go, so that no other text is shuffled; beyond that the same joins shuffle.
 
 Defined results: case is ignored as in SimHash; a text of fewer words than a shingle has one shingle, a null text or
 one without words none, and such texts are equal; of a component the row with the smallest id (nulls last) stays, then
@@ -42,6 +44,8 @@ KEY_CHUNK = 4096
 TEXT_CHUNK = 512
 #: Shingles of the sets of a chunk (8 bytes each), on average.
 CHUNK_SHINGLES = 1 << 20
+#: Row hashes that are broadcast at most: 16 MB, some 64 MB as a hash table.
+BROADCAST_ROWS = 2_000_000
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.arange(1, BANDS + 1, dtype=np.uint64)
 
@@ -246,6 +250,11 @@ def _named(stars: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _small(hashes: DataFrame) -> DataFrame:
+    """A written table of row hashes, to be broadcast if it has few rows."""
+    return F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes
+
+
 def linked(spark: SparkSession, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(node, root) of every set that is linked to another, roots included."""
     first = F.first(F.struct("row", "n", "fp", "keys", "sketch")).alias("s")
@@ -255,7 +264,8 @@ def linked(spark: SparkSession, rows: DataFrame, docs: DataFrame, text_col: str)
     groups = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TEXT_CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     asked = sizes.join(groups, "root").select(F.col("root").alias("group"), "code", "row", "n", "sketch", "chunks")
     asked = materialize(spark, asked, "neardup-asked")
-    texts = docs.select(_row_hash(docs).alias("row"), docs[text_col].alias("text")).join(asked.select("row").distinct(), "row", "left_semi")
+    wanted = _small(materialize(spark, asked.select("row"), "neardup-wanted"))
+    texts = docs.select(_row_hash(docs).alias("row"), docs[text_col].alias("text")).join(wanted, "row", "left_semi")
     # rows that repeat, hash and all, have one text
     texts = materialize(spark, texts.groupBy("row").agg(F.first("text").alias("text")), "neardup-texts")
     cells = _dealt(asked.join(texts, "row"), F.col("chunks")).select("group", "a", "b", "h", "code", "n", "sketch", "text")
@@ -267,10 +277,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     rows = materialize(spark, _rows(docs, id_col, text_col), "neardup-rows")
     firsts = rows.groupBy("code").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("own"))
     roots = linked(spark, rows, docs, text_col)
-    heads = firsts.join(roots, firsts["code"] == roots["node"], "left").groupBy(F.coalesce("root", "code").alias("root")).agg(F.min("own").alias("kept"))
-    row, keep_id, keep_row = (free_name(docs, n) for n in ("row", "keep_id", "keep_row"))
-    heads = materialize(spark, heads.select(F.col("kept.id").alias(keep_id), F.col("kept.row").alias(keep_row)), "neardup-kept")
+    named = materialize(spark, firsts.join(roots, firsts["code"] == roots["node"], "left").select("code", F.coalesce("root", "code").alias("root"), "own"), "neardup-named")
+    kept = named.groupBy("root").agg(F.min("own").alias("own")).select("root", F.col("own.row").alias("kept"))
+    # of the rows of a code one at most stays: that of its component, if it is among them
+    codes = named.join(kept, "root").select("code", "kept")
+    row = free_name(docs, "row")
+    gone = rows.select("code", "row").join(codes, "code").where("row <> kept").select(F.col("row").alias(row))
+    gone = _small(materialize(spark, gone.distinct(), "neardup-gone"))
     coded = docs.withColumn(row, _row_hash(docs))
-    if rows.groupBy("id", "row").count().where("count > 1").limit(1).count():
-        coded = coded.dropDuplicates([id_col, row])
-    return coded.join(heads, coded[id_col].eqNullSafe(F.col(keep_id)) & (F.col(row) == F.col(keep_row)), "left_semi").select(*docs.columns)
+    if rows.groupBy("row").count().where("count > 1").limit(1).count():
+        coded = coded.dropDuplicates([row])
+    return coded.join(gone, row, "left_anti").select(*docs.columns)
