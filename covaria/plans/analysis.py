@@ -11,15 +11,19 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covaria.functions import solve
 from covaria.operators import association, crossop, genespace, genetest, neighbors, pca, resample, scores, subset
 from covaria.operators import kernel as kernels
+from covaria.operators.dense import product_lines
 from covaria.sources.cells import CellSet
 from covaria.sources.store import materialize
 
+#: Draws in which every cell's scores occur once.
+BIJECTIONS = ("global", "toroidal")
 PERMU_WHICH = ("second_only", "first_only", "both")
 
 
@@ -46,6 +50,7 @@ class Analysis:
     regression_score: DataFrame | None = None
     gene_space: DataFrame | None = None
     null: DataFrame | None = None
+    tested: DataFrame | None = None
     n_cc: int = 2
     n_pca: int = 30
     scale_pcs: bool = True
@@ -92,11 +97,14 @@ class Analysis:
         return self._with(distances=neighbors.conditioned(neighbors.distance_edges(at, self.pairs), low, factor, truncate), scale_factor=factor)
 
     def compute_self_distance(self, dist_type: str = "Euclidean2D", normalize: bool = True, truncate: bool = True, normalize_target: float = 0.01, scales=(1.0, 1.0, 1.0)) -> Analysis:
-        """Within types; has its own scale factor, which stands in for the other only where that is unset."""
+        """Within types; always has its own scale factor, which stands in for the other only where that is unset."""
+        if len(self.types) == 1:
+            warnings.warn("one type: its distances are its own distances", stacklevel=2)
+            return self
         at = neighbors.scaled(self.data.cells, dist_type, scales)
         own = subset.self_pairs(self.types)
         low = neighbors.low_quantiles(at, own, True)
-        factor = self.scale_factor or neighbors.scale_factor(low, normalize_target, normalize)
+        factor = neighbors.scale_factor(low, normalize_target, normalize)
         made = neighbors.conditioned(neighbors.distance_edges(at, own), low, factor, truncate)
         return self._with(self_distances=made, self_scale_factor=factor, scale_factor=self.scale_factor or factor)
 
@@ -108,12 +116,19 @@ class Analysis:
     def compute_sparse_kernel(self, sigmas: list[float], **options) -> Analysis:
         return self.compute_kernel_matrix(sigmas, method="sparse", **options)
 
-    def compute_self_kernel(self, sigmas: list[float] | None = None, **options) -> Analysis:
+    def compute_self_kernel(self, sigmas: list[float] | None = None, overwrite: bool = False, **options) -> Analysis:
+        """Kernels within types, in distances of their own scale factor.
+
+        Bandwidths that are there already and are not asked for stay, unless ``overwrite`` is set.
+        """
         if len(self.types) == 1:
             warnings.warn("one type: its kernel is its own kernel", stacklevel=2)
             return self
-        k, factor = kernels.compute_kernel(self.data.cells, subset.self_pairs(self.types), list(sigmas or self.sigmas), skip_few=True, factor=options.pop("factor", self.scale_factor), **options)
-        return self._with(self_kernel=k, self_scale_factor=factor)
+        chosen = [float(s) for s in (sigmas or self.sigmas)]
+        k, factor = kernels.compute_kernel(self.data.cells, subset.self_pairs(self.types), chosen, skip_few=True, factor=options.pop("factor", self.self_scale_factor), **options)
+        if self.self_kernel is not None and not overwrite:
+            k = self.self_kernel.where(~F.col("sigma").isin(chosen)).unionByName(k)
+        return self._with(self_kernel=k, self_scale_factor=factor, scale_factor=self.scale_factor or factor, sigmas=self.sigmas or tuple(sorted(chosen)))
 
     # ---- canonical correlation -----------------------------------------------------------------------------------
 
@@ -129,22 +144,35 @@ class Analysis:
 
     def _starts(self) -> solve.Weights:
         """Leading right singular vector of each type's scores, from sums over pairs of components."""
-        p = self._pcs()
-        xx = p.alias("a").join(p.alias("b"), ["cell_type", "cell_id"]).groupBy("cell_type", F.col("a.pc").alias("p"), F.col("b.pc").alias("q")).agg(F.sum(F.col("a.score") * F.col("b.score")).alias("v"))
-        out = {}
-        for ct, part in xx.toPandas().groupby("cell_type"):
-            m = part.pivot(index="p", columns="q", values="v").to_numpy()
-            out[ct] = np.linalg.eigh(m)[1][:, -1]
-        return out
+        found = _matrices(self._squares(self._pcs(), ["cell_type"]), ["cell_type"], "p", "q", "v", self.n_pca)
+        return {key[0]: np.linalg.eigh(m)[1][:, -1] for key, m in found.items()}
+
+    def _squares(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """(*keys, p, q, v): X'X of each block, from dense products of one packed row for each cell."""
+        packed = rows.groupBy(*keys, "cell_id").agg(F.collect_list(F.struct((F.col("pc") - 1).alias("k"), F.col("score").alias("v"))).alias("kv"))
+        packed = packed.select(*keys, "cell_id", F.lit(1.0).alias("weight"), F.col("kv.k").alias("k"), F.col("kv.v").alias("v"))
+        lines = product_lines(packed, keys, "cell_id", lambda key, n=self.n_pca: n)
+        upper = lines.select(*keys, F.col("k").alias("i"), F.posexplode("line").alias("more", "v")).select(*keys, (F.col("i") + 1).alias("p"), (F.col("i") + F.col("more") + 1).alias("q"), "v")
+        return upper.unionByName(upper.where("p <> q").select(*keys, F.col("q").alias("p"), F.col("p").alias("q"), "v"))
 
     def _weight_rows(self, sigma: float, w: solve.Weights) -> list[tuple]:
         return [(float(sigma), t, pc + 1, cc + 1, float(w[t][pc, cc])) for t in self.types for pc in range(w[t].shape[0]) for cc in range(w[t].shape[1])]
 
+    def _complete(self) -> None:
+        """Shared weights need every type on every slide."""
+        found = {(r["slide"], r["cell_type"]) for r in self.pc_scores.select("slide", "cell_type").distinct().collect()}
+        for slide in sorted({s for s, _ in found}):
+            for t in self.types:
+                if (slide, t) not in found:
+                    raise ValueError(f"no components of cell type '{t}' on slide '{slide}'")
+
     def run_kernel_cca(self, n_cc: int = 2, scale_pcs: bool = True, tol: float = 1e-5, max_iter: int = 500, step_size: float = 1.0, sigma_choice: float | None = None) -> Analysis:
         """Weights for every bandwidth; all operators come from one plan.  A bandwidth that fails is noted in ``status``."""
         me = self._with(scale_pcs=scale_pcs, n_cc=n_cc)
         if tol <= 0 or max_iter < 1 or not 0 < step_size <= 1 or not 1 <= n_cc <= self.n_pca:
             raise ValueError("n_cc must not exceed the components, tol and max_iter be positive and step_size in (0, 1]")
+        me._need("kernel", "pc_scores")
+        me._complete()
         rows, status = [], []
         start = me._starts() if len(self.types) > 2 else None
         for sigma, y in sorted(me._operators().items()):
@@ -160,13 +188,21 @@ class Analysis:
     def run_kernel_cca_supervised(self, supervised: DataFrame, n_cc: int = 4, scale_pcs: bool = True, tol: float = 1e-5, max_iter: int = 500, step_size: float = 1.0) -> Analysis:
         """The first axis is given (cell_type, pc, w); the others are found around it."""
         me = self._with(scale_pcs=scale_pcs, n_cc=n_cc)
+        me._need("kernel", "pc_scores")
+        me._complete()
         given = {t: np.zeros(self.n_pca) for t in self.types}
         for r in supervised.collect():
             given[r["cell_type"]][r["pc"] - 1] = r["w"]
         metrics = me._metrics()
         first = {t: (v / np.sqrt(v @ (v if metrics is None else metrics[t] * v)))[:, None] for t, v in given.items()}
-        rows = [x for sigma, y in sorted(me._operators().items()) for x in me._weight_rows(sigma, solve.Problem(y, self.types, metrics).solve(n_cc, max_iter, tol, step_size, first=first))]
-        return me._with(weights=self._spark().createDataFrame(rows, "sigma double, cell_type string, pc int, cc int, w double"))
+        rows, status = [], []
+        for sigma, y in sorted(me._operators().items()):
+            try:
+                rows += me._weight_rows(sigma, solve.Problem(y, self.types, metrics).solve(n_cc, max_iter, tol, step_size, first=first))
+            except (ValueError, KeyError, StopIteration, np.linalg.LinAlgError) as error:
+                status.append((sigma, str(error)))
+                warnings.warn(f"sigma {sigma}: {error}", stacklevel=2)
+        return me._with(weights=self._spark().createDataFrame(rows, "sigma double, cell_type string, pc int, cc int, w double"), status=tuple(status))
 
     def _spark(self):
         return self.data.cells.sparkSession
@@ -217,15 +253,26 @@ class Analysis:
 
     # ---- transfer ------------------------------------------------------------------------------------------------
 
-    def transfer_cell_scores(self, target: CellSet, sigma: float | None = None, use_quantile_normalization: bool = True, weight_threshold: float = 0.0, gene_score_type: str = "PCA") -> DataFrame:
-        """Scores of another set's cells by this one's gene scores of a kind: PCA, gene_space or regression."""
+    def transfer_cell_scores(self, target: CellSet, sigma: float | None = None, use_quantile_normalization: bool = True, weight_threshold: float = 0.0, gene_score_type: str = "PCA", agg_cell_type: bool = False) -> DataFrame:
+        """Scores of another set's cells by this one's gene scores of a kind: PCA, gene_space or regression.
+
+        ``agg_cell_type`` returns one row for each cell, (slide, cell_type, cell_id, cc_1, cc_2, ...), instead of one for each component.
+        """
+        if gene_score_type not in ("PCA", "gene_space", "regression"):
+            raise ValueError("gene_score_type must be PCA, gene_space or regression")
+        if sorted(self.types) != sorted(target.cell_types):
+            raise ValueError(f"cell types differ: {self.types} here, {list(target.cell_types)} in the target")
         source = {"PCA": self.gene_score, "regression": self.regression_score, "gene_space": None if self.gene_space is None else self.gene_space.withColumnRenamed("w", "score")}[gene_score_type]
         if source is None:
             raise ValueError(f"no {gene_score_type} gene scores yet")
         chosen = sigma or self.sigma_choice
         w = source if chosen is None else source.where(F.col("sigma") == chosen)
         genes = w.select("gene").distinct()
-        return scores.transfer_scores(scores.dense(self.data.expression, self.data.cells, genes), scores.dense(target.expression, target.cells, genes), w.drop("sigma"), use_quantile_normalization, weight_threshold)
+        out = scores.transfer_scores(scores.dense(self.data.expression, self.data.cells, genes), scores.dense(target.expression, target.cells, genes), w.drop("sigma"), use_quantile_normalization, weight_threshold)
+        if not agg_cell_type:
+            return out
+        axes = sorted(r[0] for r in w.select("cc").distinct().collect())
+        return out.groupBy("slide", "cell_type", "cell_id").pivot("cc", axes).agg(F.first("score")).withColumnsRenamed({str(c): f"cc_{c}" for c in axes})
 
     def transferred_correlation(self, transferred: DataFrame, mode: str = "aggregate", sigma: float | None = None) -> DataFrame:
         """Normalised correlation of transferred scores through this (the target's) kernel."""
@@ -268,47 +315,59 @@ class Analysis:
         smooth = kernel.join(lhs, ["ct_1", "i"]).groupBy("draw", "sigma", "ct_1", "ct_2", "j", "pc_1").agg(F.sum(F.col("k") * F.col("s1")).alias("s"))
         return smooth.join(rhs, ["draw", "ct_2", "j"]).groupBy("draw", "sigma", "ct_1", "ct_2", "pc_1", "pc_2").agg(F.sum(F.col("s") * F.col("s2")).alias("y"))
 
-    def _squares(self, draws: DataFrame) -> dict:
-        """X'X of each type in each draw, as the lengths of scores along any axis need it."""
-        xx = draws.alias("a").join(draws.alias("b"), ["draw", "cell_type", "cell_id"]).groupBy("draw", "cell_type", F.col("a.pc").alias("p"), F.col("b.pc").alias("q")).agg(F.sum(F.col("a.score") * F.col("b.score")).alias("v"))
-        return _matrices(xx, ["draw", "cell_type"], "p", "q", "v", self.n_pca)
-
     def permutation_test(self, n_permu: int = 20, method: str = "bin", which: str = "second_only", bins: tuple[int, int] | None = None, match_quantile: bool = False, conservative: bool = False, all_sigmas: bool = False, conditional: bool = False, max_iter: int = 200, tol: float = 1e-5, seed: int = 1) -> Analysis:
         """Refit on permuted scores: ``null`` has (draw, sigma, ct_1, ct_2, cc, normalized_correlation).
 
         At the chosen bandwidth, or with ``all_sigmas`` at every one (each draw may then pick its own).  ``conditional``
-        fixes the observed earlier axes when it refits a later one.  All draws are one plan; only components-squared
-        numbers for each draw, bandwidth and pair reach the driver.
+        fixes the observed earlier axes when it refits a later one.  All draws are one plan, and each draw and bandwidth is
+        fitted by a task of its own.  ``tested`` has the observed statistics in the very form of the draws': sums over all
+        slides, divided by the mean norm, whatever form ``association`` has.
         """
-        self._need("association")
+        self._need("association", "weights")
         if conservative:
             bins, match_quantile, which = bins or (15, 15), True, "second_only"
         used = self.kernel if all_sigmas or conditional else self.kernel.where(F.col("sigma") == self.sigma_choice)
-        draws = self._draws(n_permu, method, which, bins, match_quantile, seed)
-        draws = materialize(draws, "draws")
-        y = _matrices(self._draw_operators(draws, which, used), ["draw", "sigma", "ct_1", "ct_2"], "pc_1", "pc_2", "y", self.n_pca)
-        squares = self._squares(draws)
+        used = materialize(used, "kernel-used")
+        draws = materialize(self._draws(n_permu, method, which, bins, match_quantile, seed), "draws")
         norms = {(r["sigma"], r["ct_1"], r["ct_2"]): r["norm"] for r in self._norms().groupBy("sigma", "ct_1", "ct_2").agg(F.avg("norm").alias("norm")).collect()}
-        observed = self._observed_weights() if conditional else {}
-        rows, failed = [], 0
-        for draw, sigma in sorted({(d, s) for d, s, _, _ in y}):
-            ops = {(a, b): m for (d, s, a, b), m in y.items() if (d, s) == (draw, sigma)}
+        observed = self._observed_weights()
+        sigmas = F.array(*[F.lit(s) for s in sorted({s for s, _, _ in norms})])
+        base = self._squares(self._pcs(), ["cell_type"])
+        if method in BIJECTIONS:  # no sum over a type's cells changes
+            squares = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_permu))))
+        else:
+            squares = self._squares(draws, ["draw", "cell_type"])
+        y0 = crossop.cross_operator(used, self._pcs().select("cell_type", "cell_id", "pc", "score")).withColumn("draw", F.lit(0))
+        squares = squares.select("draw", "cell_type", "p", "q", "v").unionByName(base.select(F.lit(0).alias("draw"), "cell_type", "p", "q", "v"))
+        operators = self._draw_operators(draws, which, used).unionByName(y0)
+        # of each draw and bandwidth a few numbers for each pair of components
+        rows = operators.select("draw", "sigma", "ct_1", "ct_2", F.col("pc_1").alias("p"), F.col("pc_2").alias("q"), F.col("y").alias("v"))
+        rows = rows.unionByName(squares.select("draw", F.explode(sigmas).alias("sigma"), F.col("cell_type").alias("ct_1"), F.lit(None).cast("string").alias("ct_2"), "p", "q", "v"))
+        types, n_pca, n_cc = self.types, self.n_pca, self.n_cc
+
+        def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            draw, sigma = int(key[0]), float(key[1])
+            own = {t: m for (t,), m in _filled(part[part["ct_2"].isna()], ["ct_1"], n_pca).items()}
+            ops = _filled(part[part["ct_2"].notna()], ["ct_1", "ct_2"], n_pca)
+            columns = ["draw", "sigma", "ct_1", "ct_2", "cc", "normalized_correlation"]
             try:
-                if conditional:
-                    axes = self._conditional_axes(ops, observed[sigma], max_iter, tol)
+                if not ops:
+                    return pd.DataFrame([], columns=columns)
+                if draw == 0:
+                    axes = observed[sigma]
+                elif conditional:
+                    axes = conditional_axes(ops, observed[sigma], types, n_cc, max_iter, tol)
                 else:
-                    axes = solve.Problem(ops, self.types).solve(self.n_cc, max_iter, tol, start=None)
-            except (ValueError, np.linalg.LinAlgError, StopIteration):
-                failed += 1
-                continue
-            for (a, b), m in ops.items():
-                for cc in range(self.n_cc):
-                    wa, wb = axes[a][:, cc], axes[b][:, cc]
-                    den = np.sqrt(max(wa @ squares[draw, a] @ wa, 0)) * np.sqrt(max(wb @ squares[draw, b] @ wb, 0)) * norms[sigma, a, b]
-                    rows.append((int(draw), float(sigma), a, b, cc + 1, float(wa @ m @ wb / den) if abs(den) >= 1e-9 else 0.0))
-        if failed:
-            warnings.warn(f"{failed} refits failed", stacklevel=2)
-        return self._with(null=self._spark().createDataFrame(rows, "draw int, sigma double, ct_1 string, ct_2 string, cc int, normalized_correlation double"))
+                    axes = solve.Problem(ops, types).solve(n_cc, max_iter, tol)
+            except (ValueError, KeyError, np.linalg.LinAlgError, StopIteration):
+                return pd.DataFrame([], columns=columns)
+            return pd.DataFrame([(draw, sigma, a, b, cc + 1, _statistic(m, axes[a][:, cc], axes[b][:, cc], own[a], own[b], norms[sigma, a, b])) for (a, b), m in ops.items() for cc in range(n_cc)], columns=columns)
+
+        fitted = materialize(rows.groupBy("draw", "sigma").applyInPandas(fit, "draw int, sigma double, ct_1 string, ct_2 string, cc int, normalized_correlation double"), "null")
+        null = fitted.where("draw > 0")
+        if failed := n_permu - null.select("draw").distinct().count():
+            warnings.warn(f"{failed} draws could not be fitted", stacklevel=2)
+        return self._with(null=null, tested=fitted.where("draw = 0").drop("draw"))
 
     def _observed_weights(self) -> dict[float, solve.Weights]:
         out: dict[float, solve.Weights] = {}
@@ -316,32 +375,48 @@ class Analysis:
             out.setdefault(r["sigma"], {t: np.zeros((self.n_pca, self.n_cc)) for t in self.types})[r["cell_type"]][r["pc"] - 1, r["cc"] - 1] = r["w"]
         return out
 
-    def _conditional_axes(self, ops: dict, observed: solve.Weights, max_iter: int, tol: float) -> solve.Weights:
-        """For each axis the best one left after the observed earlier axes are taken out by rank one."""
-        out = {t: [] for t in self.types}
-        left = {pair: m.copy() for pair, m in ops.items()}
-        for cc in range(self.n_cc):
-            w = solve.Problem(left, self.types).solve(1, max_iter, tol)
-            for t in self.types:
-                out[t].append(w[t][:, 0])
-            for (a, b), m in left.items():
-                u, v = observed[a][:, cc], observed[b][:, cc]
-                left[a, b] = m - (u @ m @ v) * np.outer(u, v)
-        return {t: np.column_stack(v) for t, v in out.items()}
-
     def pvalue(self, cc: int = 1, pair: tuple[str, str] | None = None, alternative: str = "greater") -> DataFrame:
-        self._need("null", "association")
-        return association.permutation_pvalue(self.association, self.null, cc, pair, alternative)
+        self._need("null", "tested")
+        return association.permutation_pvalue(self.tested, self.null, cc, pair, alternative)
 
     def pvalue_stepdown(self, alpha: float = 0.05) -> DataFrame:
         """(cc, observed, p_raw, p_value, significant) over all axes, each against its own null."""
-        self._need("null", "association")
+        self._need("null", "tested")
         null = self.null.groupBy("draw", "cc").agg(F.max("normalized_correlation").alias("v"))
-        seen = self.association.join(self.null.select("sigma").distinct(), "sigma", "left_semi").groupBy("cc").agg(F.max("normalized_correlation").alias("observed"))
+        seen = self.tested.join(self.null.select("sigma").distinct(), "sigma", "left_semi").groupBy("cc").agg(F.max("normalized_correlation").alias("observed"))
         raw = null.join(seen, "cc").groupBy("cc", "observed").agg(((1.0 + F.count_if(F.col("v") >= F.col("observed"))) / (F.count("*") + 1)).alias("p_raw"))
         return association.step_down(raw, alpha)
 
 
+def conditional_axes(ops: solve.Operators, observed: solve.Weights, types: list[str], n_cc: int, max_iter: int, tol: float) -> solve.Weights:
+    """For each axis the best one left after the observed earlier axes are taken out by rank one."""
+    out: dict[str, list[np.ndarray]] = {t: [] for t in types}
+    left = {pair: m.copy() for pair, m in ops.items()}
+    for cc in range(n_cc):
+        w = solve.Problem(left, types).solve(1, max_iter, tol)
+        for t in types:
+            out[t].append(w[t][:, 0])
+        for (a, b), m in left.items():
+            u, v = observed[a][:, cc], observed[b][:, cc]
+            left[a, b] = m - (u @ m @ v) * np.outer(u, v)
+    return {t: np.column_stack(v) for t, v in out.items()}
+
+
+def _statistic(m: np.ndarray, wa: np.ndarray, wb: np.ndarray, xa: np.ndarray, xb: np.ndarray, norm: float) -> float:
+    """wa' M wb over the lengths of the scores and the kernel's norm."""
+    den = np.sqrt(max(wa @ xa @ wa, 0)) * np.sqrt(max(wb @ xb @ wb, 0)) * norm
+    return float(wa @ m @ wb / den) if abs(den) >= 1e-9 else 0.0
+
+
+def _filled(part: pd.DataFrame, keys: list[str], size: int) -> dict:
+    out: dict = {}
+    for key, rows in part.groupby(keys):
+        m = np.zeros((size, size))
+        m[rows["p"].to_numpy() - 1, rows["q"].to_numpy() - 1] = rows["v"].to_numpy()
+        out[key] = m
+    return out
+
+
 def _matrices(df: DataFrame, keys: list[str], p: str, q: str, v: str, size: int) -> dict:
     out: dict = {}
     for key, part in df.toPandas().groupby(keys):
