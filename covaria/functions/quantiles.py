@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,11 +70,3 @@ def student_t_two_sided(t: float, df: float) -> float:
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
-
-
-def signed_log_p(estimate: np.ndarray, pvalue: np.ndarray) -> np.ndarray:
-    """Signed -log10 of the one-sided p-value: positive for positive effects."""
-    up = np.where(np.isnan(estimate), np.nan, np.where(estimate > 0, pvalue / 2, 1 - pvalue / 2))
-    down = np.where(np.isnan(estimate), np.nan, np.where(-estimate > 0, pvalue / 2, 1 - pvalue / 2))
-    with np.errstate(divide="ignore"):
-        return np.where(up > 0.5, np.log10(down), -np.log10(up))

@@ -24,6 +24,8 @@ def block_norms(kernel: DataFrame, sizes: DataFrame, own: DataFrame | None = Non
     stats = by_row.join(by_col, BLOCK).join(sizes.select("slide", "ct_1", "ct_2", "n_1", "n_2"), ["slide", "ct_1", "ct_2"])
     plain = F.col("k2") - F.col("r2") / F.col("n_2") - F.col("c2") / F.col("n_1") + F.col("total") ** 2 / (F.col("n_1") * F.col("n_2"))
     out = stats.select(*BLOCK, F.sqrt(F.greatest(plain, F.lit(0.0))).alias("plain"))
+    if own is None and not sizes.where("ct_1 = ct_2").limit(1).count():  # nothing to whiten with
+        return out.withColumnRenamed("plain", "norm")
     self_kernel = kernel.where("ct_1 = ct_2") if own is None else own
     white = _whitened(kernel, self_kernel, sizes)
     return out.join(white, BLOCK, "left").select(*BLOCK, F.coalesce("white", "plain").alias("norm"))
@@ -77,8 +79,9 @@ def _with_sigma(scores: DataFrame, kernel: DataFrame) -> DataFrame:
 
 def normalized_correlation(kernel: DataFrame, scores: DataFrame, norms: DataFrame, mode: str = "per_slide") -> DataFrame:
     """a'K b / (|a| |b| norm) per slide, or with the sums and the mean norm taken over all slides (``aggregate``)."""
-    edges = _scored(_scored(kernel, scores, "i", "a"), scores, "j", "b")
-    num = edges.groupBy(*BLOCK, "cc").agg(F.sum(F.col("k") * F.col("a") * F.col("b")).alias("num"))
+    # the kernel is applied to the left scores first: edges are shuffled once and combine by their right end
+    smooth = _scored(kernel, scores, "i", "a").groupBy(*BLOCK, "j", "cc").agg(F.sum(F.col("k") * F.col("a")).alias("s"))
+    num = _scored(smooth, scores, "j", "b").groupBy(*BLOCK, "cc").agg(F.sum(F.col("s") * F.col("b")).alias("num"))
     sizes = _with_sigma(scores, kernel).groupBy("sigma", "slide", "cell_type", "cc").agg(F.sum(F.col("score") ** 2).alias("q"))
     full = num.join(norms, BLOCK)
     for n in ("1", "2"):

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covaria.functions.quantiles import normal_two_sided, signed_log_p, student_t_two_sided
+from covaria.functions.quantiles import normal_two_sided, student_t_two_sided
+from covaria.sources.store import materialize
 
 
 def _sums(expression: DataFrame, scores: DataFrame, covariates: list[str], groups: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -22,12 +23,12 @@ def _sums(expression: DataFrame, scores: DataFrame, covariates: list[str], group
     return common, with_gene
 
 
-def _moments(row: pd.Series, gene: pd.Series | None, k: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+def _moments(row: dict[str, float], gene: dict[str, float], k: int) -> tuple[np.ndarray, np.ndarray, float, float]:
     """X'X and X'y for X = (1, gene, covariates), y'y and n, from the sums."""
     order = [0, None, *range(1, k + 1)]
     y = k + 1
     s = lambda i, j: float(row[f"s_{min(i, j)}_{max(i, j)}"])
-    g = lambda name: 0.0 if gene is None else float(gene[name])
+    g = lambda name: float(gene[name])
     xx = np.array([[g("g_g") if a is None and b is None else g(f"g_{b if a is None else a}") if a is None or b is None else s(a, b) for b in order] for a in order])
     xy = np.array([g(f"g_{y}") if a is None else s(a, y) for a in order])
     return xx, xy, s(y, y), s(0, 0)
@@ -96,14 +97,27 @@ def test_gene_scores(expression: DataFrame, scores: DataFrame, test_type: str =
     genes = with_gene.select("gene").distinct()
     every = common.crossJoin(genes).join(with_gene, ["cell_type", "cc", *groups, "gene"], "left").fillna(0.0)
     k = len(covariates)
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [_moments(r, r, k) for _, r in rows.iterrows()]
-        estimate, p = _least_squares(*parts[0]) if test_type == "glm" else _random_intercept(parts)
-        z = signed_log_p(np.array([estimate]), np.array([p]))[0]
-        return pd.DataFrame([(*key, estimate, p, z)], columns=["cell_type", "cc", "gene", "estimate", "pvalue", "z_score"])
-
-    return every.groupBy("cell_type", "cc", "gene").applyInPandas(fit, "cell_type string, cc int, gene string, estimate double, pvalue double, z_score double")
+    sums = [f"s_{i}_{j}" for i in range(k + 2) for j in range(i, k + 2)]
+    own = ["g_g", *[f"g_{i}" for i in range(k + 2)]]
+    # the sums of all groups of a gene in one row: as many numbers as groups times pairs of covariates
+    packed = every.groupBy("cell_type", "cc", "gene").agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in [*sums, *own]])).alias("parts"))
+
+    @F.pandas_udf("estimate double, pvalue double")
+    def fit(parts: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows in parts:
+            found = [_moments(dict(zip(sums, r, strict=False)), dict(zip(own, r[len(sums) :], strict=True)), k) for r in map(np.asarray, rows)]
+            out.append(_least_squares(*found[0]) if test_type == "glm" else _random_intercept(found))
+        return pd.DataFrame(out, columns=["estimate", "pvalue"], dtype=float)
+
+    fitted = materialize(packed.select("cell_type", "cc", "gene", fit("parts").alias("f")).select("cell_type", "cc", "gene", "f.*"), "gene-tests")
+    p, estimate = F.col("pvalue"), F.col("estimate")
+    # a p-value of zero counts as the smallest positive one of its type and component
+    floor = fitted.where(p > 0).groupBy("cell_type", "cc").agg(F.min("pvalue").alias("least"))
+    half = F.when(p == 0, F.coalesce("least", F.lit(1e-300))).otherwise(p) / 2
+    upper, lower = F.when(estimate > 0, half).otherwise(1 - half), F.when(estimate < 0, half).otherwise(1 - half)
+    z = F.when(F.isnan(estimate) | F.isnan(p), F.lit(float("nan"))).when(upper > 0.5, F.log10(lower)).otherwise(-F.log10(upper))
+    return fitted.join(floor, ["cell_type", "cc"], "left").select("cell_type", "cc", "gene", "estimate", "pvalue", z.alias("z_score"))
 
 
 test_gene_scores.__test__ = False

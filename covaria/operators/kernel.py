@@ -64,15 +64,30 @@ def compute_kernel(
     are dropped with a warning, and it is an error if nothing is left.
     """
     at = scaled(cells, dist_type, scales)
-    low = low_quantiles(at, pairs, skip_few)
-    factor = scale_factor(low, normalize_target, normalize_distance) if factor is None else factor
+    if not (normalize_target > 0 and math.isfinite(normalize_target)) or not 0 < upper_quantile <= 1:
+        raise ValueError("normalize_target must be positive and upper_quantile in (0, 1]")
+    if method not in ("auto", "dense", "sparse"):
+        raise ValueError("method must be auto, dense or sparse")
+    low = None
+    if truncate or (normalize_distance and factor is None):
+        low = low_quantiles(at, pairs, skip_few)
+    factor = (scale_factor(low, normalize_target, normalize_distance) if low is not None else 1.0) if factor is None else factor
     radius = None
     if method != "dense" and lower_limit > 0:
         radius = max(sigmas) * math.sqrt(-2 * math.log(lower_limit)) / factor * (1 + 1e-9)
         box = at.agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz" if a in at.columns]).first()
         if method == "auto" and radius >= max(v or 0.0 for v in box) / 2:
             radius = None
-    raw = materialize(gaussian(conditioned(distance_edges(at, pairs, radius), low, factor, truncate), sigmas, lower_limit), "kernel-raw")
+    edges = distance_edges(at, pairs, radius)
+    if skip_few:
+        edges = edges.join(F.broadcast(block_sizes(at, pairs, True).select(*PAIR)), PAIR, "left_semi")  # a row for each block
+    if low is None:  # distances are used as they are, but for zeros
+        edges = materialize(edges, "edges")
+        blocks = edges.groupBy(*PAIR).agg(F.count_if(F.col("d") == 0).alias("zeros"), F.min(F.when(F.col("d") > 0, F.col("d"))).alias("least"), F.lit(None).cast("double").alias("low"))
+        blocks = materialize(blocks, "blocks")
+        # a zero without any positive distance within the radius needs the wider search
+        low = low_quantiles(at, pairs, skip_few) if blocks.where("zeros > 0 AND least IS NULL").limit(1).count() else blocks
+    raw = materialize(gaussian(conditioned(edges, low, factor, truncate), sigmas, lower_limit), "kernel-raw")
     if check:
         states = support(raw, block_sizes(at, pairs, skip_few), lower_limit, min_ave_cell_neighbor).collect()
         good = [tuple(r[c] for c in BLOCK) for r in states if r["valid"]]
@@ -96,17 +111,19 @@ def symmetrized(kernel: DataFrame) -> DataFrame:
 def sinkhorn(kernel: DataFrame, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """Kernel with rows and columns that sum to one, by iterating on the two scaling vectors only.
 
-    Each round is two aggregates over the edges; the vectors are written to the checkpoint folder now and then, which
-    cuts the lineage and survives lost executors.
+    Each round is two aggregates over the edges; the vectors are written to the checkpoint folder, which
+    cuts the lineage and survives lost executors.  How far a row's sum is from one before its scale is renewed is a
+    by-product of the renewal.
     """
     edges = kernel.select(*BLOCK, "i", "j", F.greatest("k", F.lit(0.0)).alias("k"))
     safe = lambda s: F.when(s < 1e-12, F.lit(1.0)).otherwise(s)
     columns = edges.select(*BLOCK, "j").distinct().withColumn("c", F.lit(1.0))
-    for _ in range(max_iter):
-        rows = materialize(edges.join(columns, [*BLOCK, "j"]).groupBy(*BLOCK, "i").agg((1 / safe(F.sum(F.col("k") * F.col("c")))).alias("r")), "rows")
-        columns = materialize(edges.join(rows, [*BLOCK, "i"]).groupBy(*BLOCK, "j").agg((1 / safe(F.sum(F.col("k") * F.col("r")))).alias("c")), "columns")
-        both = edges.join(rows, [*BLOCK, "i"]).join(columns, [*BLOCK, "j"])
-        off = both.groupBy(*BLOCK, "i").agg(F.abs(F.sum(F.col("k") * F.col("r") * F.col("c")) - 1).alias("e")).agg(F.max("e")).first()[0]
-        if off is None or off < tol:
+    rows = edges.select(*BLOCK, "i").distinct().withColumn("r", F.lit(1.0))
+    for round_ in range(max_iter + 1):
+        sums = edges.join(columns, [*BLOCK, "j"]).groupBy(*BLOCK, "i").agg(F.sum(F.col("k") * F.col("c")).alias("s"))
+        renewed = materialize(sums.join(rows, [*BLOCK, "i"]).select(*BLOCK, "i", (1 / safe(F.col("s"))).alias("r"), F.abs(F.col("r") * F.col("s") - 1).alias("e")), "rows")
+        if round_ and renewed.agg(F.max("e")).first()[0] < tol or round_ == max_iter:
             break
-    return both.select(*BLOCK, "i", "j", (F.col("k") * F.col("r") * F.col("c")).alias("k"))
+        rows = renewed.drop("e")
+        columns = materialize(edges.join(rows, [*BLOCK, "i"]).groupBy(*BLOCK, "j").agg((1 / safe(F.sum(F.col("k") * F.col("r")))).alias("c")), "columns")
+    return edges.join(rows, [*BLOCK, "i"]).join(columns, [*BLOCK, "j"]).select(*BLOCK, "i", "j", (F.col("k") * F.col("r") * F.col("c")).alias("k"))

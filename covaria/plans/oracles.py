@@ -9,7 +9,6 @@ fixed AS (SELECT c.slide, c.ct, c.cell_id, cc::INT AS cc, e.v AS score FROM cell
 
 PAIRS = "(VALUES ('T0', 'T1'), ('T0', 'T2'), ('T1', 'T2')) p(ct_1, ct_2)"
 SELVES = "(VALUES ('T0', 'T0'), ('T1', 'T1'), ('T2', 'T2')) p(ct_1, ct_2)"
-PAIR01 = "(VALUES ('T0', 'T1')) p(ct_1, ct_2)"
 ALL = "(VALUES ('T0', 'T1'), ('T0', 'T2'), ('T1', 'T2'), ('T0', 'T0'), ('T1', 'T1'), ('T2', 'T2')) p(ct_1, ct_2)"
 BLOCK = "sigma, slide, ct_1, ct_2"
 
@@ -29,6 +28,37 @@ def kern(pairs: str, name: str = "kern", sigmas: str = "(VALUES (0.01::DOUBLE),
 SIZES = "sizes AS (SELECT slide, ct, count(*) AS n FROM cells GROUP BY ALL)"
 
 
+def low(name: str) -> str:
+    """Low quantile of each block of a table of distances without zeros, and the scale factor."""
+    return f"""{name}_lev AS (SELECT DISTINCT d.slide, d.ct_1, d.ct_2, CASE WHEN d.ct_1 = d.ct_2 THEN 1e-4::DOUBLE ELSE least(1e-3::DOUBLE, 2.0::DOUBLE / greatest(a.n, b.n)) END AS p
+  FROM {name} d JOIN sizes a ON a.slide = d.slide AND a.ct = d.ct_1 JOIN sizes b ON b.slide = d.slide AND b.ct = d.ct_2),
+{name}_rk AS (SELECT d.slide, d.ct_1, d.ct_2, d, row_number() OVER o - 1 AS r, (count(*) OVER (PARTITION BY d.slide, d.ct_1, d.ct_2) - 1) * p AS h FROM {name} d JOIN {name}_lev USING (slide, ct_1, ct_2) WINDOW o AS (PARTITION BY d.slide, d.ct_1, d.ct_2 ORDER BY d)),
+{name}_low AS (SELECT slide, ct_1, ct_2, max(d) FILTER (r = floor(h)) + (h - floor(h)) * (max(d) FILTER (r = ceil(h)) - max(d) FILTER (r = floor(h))) AS low FROM {name}_rk GROUP BY slide, ct_1, ct_2, h),
+{name}_f AS (SELECT 0.01::DOUBLE / min(low) AS f FROM {name}_low)"""
+
+
+def resampled(draws: int, bins: int = 6) -> str:
+    """Tiles of each type's extent, shuffled by md5; their cells take those of the tile that they got and, as far as needed, of its neighbours."""
+    group = "slide, ct"
+    tile = lambda v: f"least(greatest(ceil(({v} - {v}0) / (({v}1 - {v}0) / {bins})) - 1, 0), {bins - 1})::INT"
+    return f"""box AS (SELECT {group}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells GROUP BY ALL),
+placed AS (SELECT {group}, cell_id, {tile("x")} AS tx, {tile("y")} AS ty FROM cells JOIN box USING ({group})),
+occ AS (SELECT draw::INT AS draw, {group}, tx, ty, count(*) AS n FROM placed, range(1, {draws + 1}) d(draw) GROUP BY ALL),
+rnk AS (SELECT *, row_number() OVER (PARTITION BY draw, {group} ORDER BY tx, ty) AS a, row_number() OVER (PARTITION BY draw, {group} ORDER BY md5('1|' || draw || '|' || tx || '|' || ty), tx, ty) AS b FROM occ),
+mapped AS (SELECT x.draw, x.slide, x.ct, x.tx, x.ty, x.n, g.tx AS gx, g.ty AS gy FROM rnk x JOIN rnk g ON x.draw = g.draw AND x.slide = g.slide AND x.ct = g.ct AND x.a = g.b),
+around AS (SELECT * FROM (VALUES (0, 0, 0), (1, -1, -1), (2, -1, 0), (3, -1, 1), (4, 0, -1), (5, 0, 1), (6, 1, -1), (7, 1, 0), (8, 1, 1)) o(o, dx, dy)),
+csize AS (SELECT {group}, tx AS cx, ty AS cy, count(*) AS cn FROM placed GROUP BY ALL),
+near AS (SELECT m.*, o, cx, cy, cn, coalesce(sum(cn) OVER (PARTITION BY draw, m.slide, m.ct, tx, ty ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM mapped m CROSS JOIN around JOIN csize c ON c.slide = m.slide AND c.ct = m.ct AND c.cx = m.gx + dx AND c.cy = m.gy + dy),
+used AS (SELECT * FROM near WHERE before < n),
+tot AS (SELECT draw, {group}, tx, ty, sum(cn) AS total FROM used GROUP BY ALL),
+offered AS (SELECT u.draw, u.slide, u.ct, u.tx, u.ty, p.cell_id AS source_id, row_number() OVER (PARTITION BY u.draw, u.slide, u.ct, u.tx, u.ty ORDER BY md5('1|' || u.draw || '|' || u.tx || '|' || u.ty || '|' || p.cell_id), p.cell_id) - 1 AS r
+  FROM used u JOIN placed p ON p.slide = u.slide AND p.ct = u.ct AND p.tx = u.cx AND p.ty = u.cy),
+asked AS (SELECT w.draw, w.slide, w.ct, w.cell_id, w.tx, w.ty, (w.a % total)::BIGINT AS r FROM (
+  SELECT draw::INT AS draw, {group}, cell_id, tx, ty, row_number() OVER (PARTITION BY draw, {group}, tx, ty ORDER BY md5('1|' || draw || '|' || cell_id), cell_id) - 1 AS a FROM placed, range(1, {draws + 1}) d(draw)) w
+  JOIN tot USING (draw, {group}, tx, ty))"""
+
+
 def norms(k: str = "kern") -> str:
     return f"""rs AS (SELECT {BLOCK}, i, sum(k) AS s, sum(k * k) AS q FROM {k} GROUP BY ALL),
 cs AS (SELECT {BLOCK}, j, sum(k) AS s FROM {k} GROUP BY ALL),
@@ -100,14 +130,14 @@ zs AS (SELECT ct, slide, gene, cell_id, CASE WHEN stddev_samp(v) OVER b > 0 THEN
 own AS (SELECT a.slide, a.ct, a.gene AS gene_1, b.gene AS gene_2, sum(a.s * b.s) / count(DISTINCT a.cell_id) AS c FROM zs a JOIN zs b ON a.cell_id = b.cell_id AND a.gene <= b.gene GROUP BY ALL)"""
 CROSSCOV = f"""xc AS (SELECT kern.sigma, kern.slide, ct_1, ct_2, a.gene AS gene_1, b.gene AS gene_2, sum(k * a.s * b.s) AS y FROM kern JOIN zs a ON a.cell_id = i JOIN zs b ON b.cell_id = j GROUP BY ALL),
 crossed AS (SELECT xc.sigma, xc.slide, ct_1, ct_2, gene_1, gene_2, y / sqrt(a.n * b.n) AS c FROM xc JOIN sizes a ON a.slide = xc.slide AND a.ct = ct_1 JOIN sizes b ON b.slide = xc.slide AND b.ct = ct_2)"""
-NULL_ = f"""{kern(PAIR01)},
-draws AS (SELECT draw::INT AS draw, slide, cell_id FROM cells, range(1, 10) d(draw) WHERE ct = 'T1'),
-ra AS (SELECT *, row_number() OVER (PARTITION BY draw, slide ORDER BY cell_id) AS a, row_number() OVER (PARTITION BY draw, slide ORDER BY md5('1|' || draw || '|' || cell_id), cell_id) AS b FROM draws),
-perm AS (SELECT x.draw, x.cell_id, s.cell_id AS source_id FROM ra x JOIN ra s ON x.draw = s.draw AND x.slide = s.slide AND x.a = s.b),
+NULL_ = f"""{kern(PAIRS)},
+draws AS (SELECT draw::INT AS draw, slide, ct, cell_id FROM cells, range(1, 10) d(draw) WHERE ct IN ('T1', 'T2')),
+ra AS (SELECT *, row_number() OVER (PARTITION BY draw, slide, ct ORDER BY cell_id) AS a, row_number() OVER (PARTITION BY draw, slide, ct ORDER BY md5('1|' || draw || '|' || cell_id), cell_id) AS b FROM draws),
+perm AS (SELECT x.draw, x.cell_id, s.cell_id AS source_id FROM ra x JOIN ra s ON x.draw = s.draw AND x.slide = s.slide AND x.ct = s.ct AND x.a = s.b),
 one AS (SELECT * FROM fixed WHERE cc = 1),
-sm AS (SELECT sigma, j, sum(k * score) AS s FROM kern JOIN one ON cell_id = i GROUP BY ALL),
-nul AS (SELECT draw, sigma, sum(s * score) AS v FROM sm JOIN perm ON perm.cell_id = j JOIN one ON one.cell_id = source_id GROUP BY ALL),
-obs AS (SELECT sigma, sum(s * score) AS v FROM sm JOIN one ON one.cell_id = j GROUP BY ALL),
+sm AS (SELECT sigma, ct_1, ct_2, j, sum(k * score) AS s FROM kern JOIN one ON cell_id = i GROUP BY ALL),
+nul AS (SELECT draw, sigma, ct_1, ct_2, sum(s * score) AS v FROM sm JOIN perm ON perm.cell_id = j JOIN one ON one.cell_id = source_id GROUP BY ALL),
+obs AS (SELECT sigma, ct_1, ct_2, sum(s * score) AS v FROM sm JOIN one ON one.cell_id = j GROUP BY ALL),
 dm AS (SELECT draw, max(v) AS v FROM nul GROUP BY ALL)"""
 TILES = """
 box AS (SELECT slide, ct, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells GROUP BY ALL)"""
@@ -126,19 +156,22 @@ ORACLES: dict[str, str] = {
   SELECT gene, count(*)::BIGINT AS n, round(sum(ln(1 + least(v, q))), 6) AS total FROM pos JOIN cap USING (gene) WHERE v > 0 GROUP BY ALL""",
     "distance_cross": f"{with_(CELLS, dist(PAIRS))} SELECT slide, ct_1, ct_2, count(*)::BIGINT AS n, round(sum(d), 6) AS total, round(min(d), 6) AS least FROM dist GROUP BY ALL",
     "distance_self": f"{with_(CELLS, dist(SELVES))} SELECT slide, ct_1, ct_2, count(*)::BIGINT AS n, round(sum(d), 6) AS total, round(min(d), 6) AS least FROM dist GROUP BY ALL",
-    "distance_three_axes": f"""{with_(CELLS)} SELECT a.slide, count(*)::BIGINT AS n, round(sum(sqrt(power(a.x - b.x, 2) + power(2 * a.y - 2 * b.y, 2) + power(0.5 * a.z - 0.5 * b.z, 2))), 6) AS total
-  FROM cells a JOIN cells b ON a.slide = b.slide AND a.ct = 'T0' AND b.ct = 'T1' GROUP BY ALL""",
+    "distance_three_axes": f"""{with_(CELLS)} SELECT a.slide, ct_1, ct_2, count(*)::BIGINT AS n, round(sum(sqrt(power(a.x - b.x, 2) + power(2 * a.y - 2 * b.y, 2) + power(0.5 * a.z - 0.5 * b.z, 2))), 6) AS total
+  FROM {PAIRS} JOIN cells a ON a.ct = ct_1 JOIN cells b ON a.slide = b.slide AND b.ct = ct_2 GROUP BY ALL""",
     "range_join": f"{with_(CELLS, dist(PAIRS))} SELECT slide, ct_1, ct_2, i, j, round(d, 10) AS d FROM dist WHERE d <= 0.02",
     "range_join_events": """WITH p AS (SELECT event_type AS ct, event_id AS id, (hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 3600.0::DOUBLE AS x, value AS y FROM events)
   SELECT a.ct AS ct_1, count(*)::BIGINT AS n FROM p a JOIN p b ON a.ct = b.ct AND a.id <> b.id AND b.x BETWEEN a.x - 0.06 AND a.x + 0.06 WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.05 GROUP BY ALL""",
     "low_quantiles": f"""{with_(CELLS, SIZES, dist(ALL))} , lev AS (SELECT a.slide, ct_1, ct_2, CASE WHEN ct_1 = ct_2 THEN 1e-4::DOUBLE ELSE least(1e-3::DOUBLE, 2.0::DOUBLE / greatest(a.n, b.n)) END AS p FROM {ALL} JOIN sizes a ON a.ct = ct_1 JOIN sizes b ON b.ct = ct_2 AND a.slide = b.slide),
   rk AS (SELECT slide, ct_1, ct_2, d, p, row_number() OVER b - 1 AS r, count(*) OVER (PARTITION BY slide, ct_1, ct_2) AS n FROM dist JOIN lev USING (slide, ct_1, ct_2) WINDOW b AS (PARTITION BY slide, ct_1, ct_2 ORDER BY d))
   SELECT slide, ct_1, ct_2, n::BIGINT AS n_pairs, round(max(d) FILTER (r = floor((n - 1) * p)) + ((n - 1) * p - floor((n - 1) * p)) * (max(d) FILTER (r = ceil((n - 1) * p)) - max(d) FILTER (r = floor((n - 1) * p))), 10) AS low FROM rk GROUP BY slide, ct_1, ct_2, n, p""",
-    "conditioned_distances": f"""{with_(CELLS, SIZES, dist(PAIR01))}, lev AS (SELECT a.slide, least(1e-3::DOUBLE, 2.0::DOUBLE / greatest(a.n, b.n)) AS p FROM sizes a JOIN sizes b ON a.slide = b.slide AND a.ct = 'T0' AND b.ct = 'T1'),
-  rk AS (SELECT slide, d, p, row_number() OVER (PARTITION BY slide ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY slide) AS n FROM dist JOIN lev USING (slide)),
-  low AS (SELECT slide, max(d) FILTER (r = floor((n - 1) * p)) + ((n - 1) * p - floor((n - 1) * p)) * (max(d) FILTER (r = ceil((n - 1) * p)) - max(d) FILTER (r = floor((n - 1) * p))) AS low FROM rk GROUP BY slide, n, p),
-  f AS (SELECT 0.01::DOUBLE / min(low) AS f FROM low)
-  SELECT slide, count(*)::BIGINT AS n, round(min(greatest(d, low) * f), 5) AS least, round(sum(greatest(d, low) * f), 5) AS total FROM dist JOIN low USING (slide), f GROUP BY ALL""",
+    "conditioned_distances": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"))}
+  SELECT slide, ct_1, ct_2, count(*)::BIGINT AS n, round(min(greatest(d, low) * f), 5) AS least, round(sum(greatest(d, low) * f), 5) AS total FROM dist JOIN dist_low USING (slide, ct_1, ct_2), dist_f GROUP BY ALL""",
+    "self_distance_factor": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"), dist(SELVES, "own"), low("own"))} SELECT round(dist_f.f, 5) AS cross_factor, round(own_f.f, 5) AS own_factor FROM dist_f, own_f""",
+    "self_kernel_own_factor": f"""{with_(CELLS, SIZES, dist(SELVES, "own"), low("own"))},
+  scaled AS (SELECT slide, ct_1, ct_2, greatest(d, low) * f AS d FROM own JOIN own_low USING (slide, ct_1, ct_2), own_f),
+  raw AS (SELECT slide, ct_1, ct_2, exp(-0.5 * (d / 0.02) * (d / 0.02)) AS k FROM scaled WHERE exp(-0.5 * (d / 0.02) * (d / 0.02)) >= 1e-7),
+  q AS (SELECT slide, ct_1, ct_2, quantile_cont(k, 0.85) AS q FROM raw GROUP BY ALL)
+  SELECT 0.02::DOUBLE AS sigma, slide, ct_1, ct_2, count(*)::BIGINT AS n, round(sum(least(k, q)), 5) AS total, round(max(least(k, q)), 5) AS largest FROM raw JOIN q USING (slide, ct_1, ct_2) GROUP BY ALL""",
     "kernel_edges": f"{with_(CELLS, kern(PAIRS))} SELECT {BLOCK}, i, j, round(k, 8) AS k FROM kern",
     "kernel_self": f"{with_(CELLS, kern(SELVES))} {SUMMARY.format(k='kern')}",
     "kernel_dense_path": f"{with_(CELLS, kern(PAIRS))} {SUMMARY.format(k='kern')}",
@@ -160,13 +193,13 @@ ORACLES: dict[str, str] = {
     "cross_operator": f"{with_(CELLS, kern(PAIRS))} SELECT sigma, ct_1, ct_2, a.cc AS pc_1, b.cc AS pc_2, round(sum(k * a.score * b.score), 6) + 0.0 AS y FROM kern JOIN fixed a ON a.cell_id = i JOIN fixed b ON b.cell_id = j GROUP BY ALL",
     "cross_operator_by_slide": f"{with_(CELLS, kern(PAIRS))} SELECT {BLOCK.replace('slide', 'kern.slide')}, a.cc AS pc_1, b.cc AS pc_2, round(sum(k * a.score * b.score), 6) + 0.0 AS y FROM kern JOIN fixed a ON a.cell_id = i JOIN fixed b ON b.cell_id = j GROUP BY ALL",
     "kernel_norms": f"{with_(CELLS, SIZES, kern(PAIRS), norms())} SELECT {BLOCK}, round(norm, 6) AS norm FROM norms",
-    "kernel_norms_whitened": f"""{with_(CELLS, SIZES, kern(PAIR01), kern(SELVES, "self"))},
+    "kernel_norms_whitened": f"""{with_(CELLS, SIZES, kern(PAIRS), kern(SELVES, "self"))},
   rr AS (SELECT sigma, slide, ct_1 AS ct, i AS a, j AS b, k / 2 AS k FROM self UNION ALL SELECT sigma, slide, ct_1, j, i, k / 2 FROM self), r AS (SELECT sigma, slide, ct, a, b, sum(k) AS w FROM rr GROUP BY ALL),
-  grid AS (SELECT s.sigma, a.slide, a.cell_id AS i, b.cell_id AS j, coalesce(k, 0) AS k FROM cells a JOIN cells b ON a.slide = b.slide AND a.ct = 'T0' AND b.ct = 'T1' CROSS JOIN (SELECT DISTINCT sigma FROM kern) s LEFT JOIN kern ON kern.sigma = s.sigma AND kern.i = a.cell_id AND kern.j = b.cell_id),
-  kc AS (SELECT sigma, slide, i, j, k - avg(k) OVER (PARTITION BY sigma, slide, i) - avg(k) OVER (PARTITION BY sigma, slide, j) + avg(k) OVER (PARTITION BY sigma, slide) AS k FROM grid),
-  t AS (SELECT r.sigma, r.slide, r.a AS i, kc.j, sum(w * k) AS t FROM r JOIN kc ON r.sigma = kc.sigma AND r.slide = kc.slide AND r.ct = 'T0' AND r.b = kc.i GROUP BY ALL),
-  m AS (SELECT t.sigma, t.slide, t.i, r.b AS j, sum(t * w) AS m FROM t JOIN r ON r.sigma = t.sigma AND r.slide = t.slide AND r.ct = 'T1' AND r.a = t.j GROUP BY ALL)
-  SELECT kc.sigma, kc.slide, 'T0' AS ct_1, 'T1' AS ct_2, round(sqrt(greatest(sum(m * k), 0)), 5) AS norm FROM m JOIN kc USING (sigma, slide, i, j) GROUP BY ALL""",
+  grid AS (SELECT s.sigma, a.slide, p.ct_1, p.ct_2, a.cell_id AS i, b.cell_id AS j, coalesce(k, 0) AS k FROM {PAIRS} JOIN cells a ON a.ct = p.ct_1 JOIN cells b ON a.slide = b.slide AND b.ct = p.ct_2 CROSS JOIN (SELECT DISTINCT sigma FROM kern) s LEFT JOIN kern ON kern.sigma = s.sigma AND kern.i = a.cell_id AND kern.j = b.cell_id),
+  kc AS (SELECT {BLOCK}, i, j, k - avg(k) OVER (PARTITION BY {BLOCK}, i) - avg(k) OVER (PARTITION BY {BLOCK}, j) + avg(k) OVER (PARTITION BY {BLOCK}) AS k FROM grid),
+  t AS (SELECT r.sigma, r.slide, kc.ct_1, kc.ct_2, r.a AS i, kc.j, sum(w * k) AS t FROM r JOIN kc ON r.sigma = kc.sigma AND r.slide = kc.slide AND r.ct = kc.ct_1 AND r.b = kc.i GROUP BY ALL),
+  m AS (SELECT t.sigma, t.slide, t.ct_1, t.ct_2, t.i, r.b AS j, sum(t * w) AS m FROM t JOIN r ON r.sigma = t.sigma AND r.slide = t.slide AND r.ct = t.ct_2 AND r.a = t.j GROUP BY ALL)
+  SELECT {BLOCK}, round(sqrt(greatest(sum(m * k), 0)), 5) AS norm FROM m JOIN kc USING ({BLOCK}, i, j) GROUP BY ALL""",
     "normalized_correlation": f"{with_(CELLS, SIZES, kern(PAIRS), norms(), ncorr())} SELECT {BLOCK}, cc, round(v, 6) + 0.0 AS normalized_correlation FROM assoc",
     "normalized_correlation_aggregate": f"{with_(CELLS, SIZES, kern(PAIRS), norms(), ncorr())} SELECT sigma, ct_1, ct_2, cc, round(v, 6) + 0.0 AS normalized_correlation FROM agg",
     "choose_sigma": f"{with_(CELLS, SIZES, kern(PAIRS), norms(), ncorr())} SELECT sigma, round(avg(v), 6) AS mean_cc1 FROM assoc WHERE cc = 1 GROUP BY sigma ORDER BY avg(v) DESC, sigma LIMIT 1",
@@ -197,7 +230,7 @@ ORACLES: dict[str, str] = {
   m AS (SELECT *, x0 + fmod(x - x0 + (0.1::DOUBLE + 0.8::DOUBLE * ux) * wx, wx) AS mx, y0 + fmod(y - y0 + (0.1::DOUBLE + 0.8::DOUBLE * uy) * wy, wy) AS my FROM u),
   k AS (SELECT *, row_number() OVER (PARTITION BY draw, slide, ct ORDER BY x, y, cell_id) AS a, row_number() OVER (PARTITION BY draw, slide, ct ORDER BY mx, my, cell_id) AS b FROM m)
   SELECT p.draw, p.slide, p.ct AS cell_type, p.cell_id, s.cell_id AS source_id FROM k p JOIN k s ON p.draw = s.draw AND p.slide = s.slide AND p.ct = s.ct AND p.b = s.a""",
-    "spatial_resampling": f"{with_(CELLS)} SELECT draw::INT AS draw, slide, ct AS cell_type, count(*)::BIGINT AS cells, count(*)::BIGINT AS distinct_cells FROM cells, range(1, 4) r(draw) GROUP BY ALL",
+    "spatial_resampling": f"{with_(CELLS, resampled(3))} SELECT draw, slide, ct AS cell_type, cell_id, source_id FROM asked JOIN offered USING (draw, slide, ct, tx, ty, r)",
     "quantile_matched_resampling": f"{with_(CELLS)} SELECT draw::INT AS draw, slide, ct AS cell_type, count(*)::BIGINT AS cells, count(*)::BIGINT AS distinct_cells FROM cells, range(1, 3) r(draw) GROUP BY ALL",
     "component_permutation": f"""{with_(CELLS)}, d AS (SELECT draw::INT AS draw, slide, ct, cell_id, cc AS pc, score FROM fixed, range(1, 3) r(draw)),
   k AS (SELECT *, row_number() OVER (PARTITION BY draw, slide, ct, pc ORDER BY cell_id) AS a, row_number() OVER (PARTITION BY draw, slide, ct, pc ORDER BY md5('1|' || draw || '|' || pc || '|' || cell_id), cell_id) AS b FROM d)
@@ -221,8 +254,8 @@ ORACLES: dict[str, str] = {
     "gene_test_glm": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS estimate FROM fixed f JOIN expr USING (cell_id) GROUP BY ALL",
     "plot_correlation": f"{with_(CELLS, SIZES, kern(PAIRS), norms(), ncorr())} SELECT ct_1 || '-' || ct_2 AS pair, sigma, round(v, 6) + 0.0 AS normalized_correlation FROM agg WHERE cc = 1",
     "plot_scores_in_place": f"{with_(CELLS)} SELECT cell_id, round(score, 6) + 0.0 AS score, c.slide, c.ct AS cell_type, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM fixed JOIN cells c USING (cell_id) WHERE cc = 1",
-    "plot_smoothed_scores": f"""{with_(CELLS, kern(PAIR01))}, s AS (SELECT j, sum(k * score) AS s FROM kern JOIN fixed ON cell_id = i AND cc = 1 WHERE sigma = 0.02 GROUP BY ALL)
-  SELECT slide, cell_id, round(coalesce(s, 0), 6) + 0.0 AS smoothed, round(score, 6) + 0.0 AS score FROM fixed LEFT JOIN s ON j = cell_id WHERE ct = 'T1' AND cc = 1""",
+    "plot_smoothed_scores": f"""{with_(CELLS, kern(PAIRS))}, s AS (SELECT ct_1, ct_2, j, sum(k * score) AS s FROM kern JOIN fixed ON cell_id = i AND cc = 1 WHERE sigma = 0.02 GROUP BY ALL)
+  SELECT p.ct_1, p.ct_2, slide, cell_id, round(coalesce(s, 0), 6) + 0.0 AS smoothed, round(score, 6) + 0.0 AS score FROM {PAIRS} JOIN fixed ON ct = p.ct_2 AND cc = 1 LEFT JOIN s ON j = cell_id AND s.ct_1 = p.ct_1 AND s.ct_2 = p.ct_2""",
     "plot_top_genes": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(v, score), 6) + 0.0 AS score FROM fixed f JOIN expr USING (cell_id) WHERE ct = 'T0' AND cc = 1 GROUP BY ALL ORDER BY abs(regr_slope(v, score)) DESC, gene LIMIT 8",
     "plot_type_shares": f"""{with_(CELLS)}, b AS (SELECT min(score) AS lo, max(score) AS hi FROM fixed WHERE cc = 1), h AS (SELECT least(floor((score - lo) / ((hi - lo) / 10)), 9)::INT AS bin, ct, count(*) AS n FROM fixed, b WHERE cc = 1 GROUP BY ALL)
   SELECT bin, ct AS cell_type, n::BIGINT AS n, round(n / sum(n) OVER (PARTITION BY bin), 6) AS share FROM h""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +18,6 @@ from covaria.sources.store import shared_root
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-PAIR01 = [("T0", "T1")]
 PAIRS = subset.pairs_of(fixture.TYPES)
 SELVES = subset.self_pairs(fixture.TYPES)
 SIGMAS = [0.01, 0.02]
@@ -108,8 +108,8 @@ def distance_self(spark, sf_dir):
 
 @query
 def distance_three_axes(spark, sf_dir):
-    edges = neighbors.distance_edges(neighbors.scaled(fixture.cells(spark, sf_dir), "Euclidean3D", (1.0, 2.0, 0.5)), PAIR01)
-    return rounded(edges.groupBy("slide").agg(F.count("*").alias("n"), F.sum("d").alias("total")), "total")
+    edges = neighbors.distance_edges(neighbors.scaled(fixture.cells(spark, sf_dir), "Euclidean3D", (1.0, 2.0, 0.5)), PAIRS)
+    return rounded(edges.groupBy("slide", "ct_1", "ct_2").agg(F.count("*").alias("n"), F.sum("d").alias("total")), "total")
 
 
 @query
@@ -136,8 +136,26 @@ def low_quantiles(spark, sf_dir):
 
 @query
 def conditioned_distances(spark, sf_dir):
-    d = neighbors.compute_distance(fixture.cells(spark, sf_dir), PAIR01)
-    return rounded(d.groupBy("slide").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.sum("d").alias("total")), "least", "total", digits=5)
+    d = neighbors.compute_distance(fixture.cells(spark, sf_dir), PAIRS)
+    return rounded(d.groupBy("slide", "ct_1", "ct_2").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.sum("d").alias("total")), "least", "total", digits=5)
+
+
+def _all_types(spark, sf_dir):
+    return analysis.Analysis(subset.subset_data(create_cell_set(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir), validate=False), list(fixture.TYPES)))
+
+
+@query
+def self_distance_factor(spark, sf_dir):
+    """Cross and own scale factors of an analysis, the own one computed after the other."""
+    run = _all_types(spark, sf_dir).compute_distance().compute_self_distance()
+    return rounded(spark.createDataFrame([(run.scale_factor, run.self_scale_factor)], "cross_factor double, own_factor double"), "cross_factor", "own_factor", digits=5)
+
+
+@query
+def self_kernel_own_factor(spark, sf_dir):
+    """Kernels within types after both kinds of distances: normalised by their own factor, truncated and clipped."""
+    run = _all_types(spark, sf_dir).compute_distance().compute_self_distance().compute_self_kernel([0.02], check=False)
+    return rounded(run.self_kernel.groupBy("sigma", "slide", "ct_1", "ct_2").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.max("k").alias("largest")), "total", "largest", digits=5)
 
 
 def _raw_kernel(spark, sf_dir, pairs, normalization="none", **options):
@@ -198,8 +216,11 @@ def kernel_filter_self(spark, sf_dir):
 
 @query
 def kernel_doubly_stochastic(spark, sf_dir):
-    k = kernel.sinkhorn(kernel.compute_kernel(fixture.cells(spark, sf_dir), PAIR01, [0.2], check=False, **RAW)[0], max_iter=6)
-    return rounded(k.groupBy("sigma", "slide", "ct_1", "ct_2", "i").agg(F.sum("k").alias("total")).groupBy("slide").agg(F.count("*").alias("n"), F.max(F.abs(F.col("total") - 1)).alias("off")), "off", digits=4)
+    """How many rows and columns of each block sum to one within the tolerance (all of them do)."""
+    k = kernel.sinkhorn(kernel.compute_kernel(fixture.cells(spark, sf_dir), PAIRS, [0.2], check=False, **RAW)[0])
+    keys = ["sigma", "slide", "ct_1", "ct_2"]
+    rows = k.groupBy(*keys, "i").agg(F.sum("k").alias("s")).groupBy(*keys).agg(F.count_if(F.abs(F.col("s") - 1) < 1e-6).alias("rows"))
+    return rows.join(k.groupBy(*keys, "j").agg(F.sum("k").alias("s")).groupBy(*keys).agg(F.count_if(F.abs(F.col("s") - 1) < 1e-6).alias("columns")), keys)
 
 
 @query
@@ -252,8 +273,8 @@ def kernel_norms(spark, sf_dir):
 
 @query
 def kernel_norms_whitened(spark, sf_dir):
-    k, own = _raw_kernel(spark, sf_dir, PAIR01), _raw_kernel(spark, sf_dir, SELVES)
-    return rounded(association.block_norms(k, neighbors.block_sizes(fixture.cells(spark, sf_dir), PAIR01), own), "norm", digits=5)
+    k, own = _raw_kernel(spark, sf_dir, PAIRS), _raw_kernel(spark, sf_dir, SELVES)
+    return rounded(association.block_norms(k, neighbors.block_sizes(fixture.cells(spark, sf_dir), PAIRS), own), "norm", digits=5)
 
 
 def _association(spark, sf_dir, mode="per_slide"):
@@ -368,8 +389,7 @@ def toroidal_permutation(spark, sf_dir):
 
 @query
 def spatial_resampling(spark, sf_dir):
-    p = resample.resample_spatial(fixture.cells(spark, sf_dir), 3, 6, 6)
-    return p.groupBy("draw", "slide", "cell_type").agg(F.count("*").alias("cells"), F.count_distinct("cell_id").alias("distinct_cells"))
+    return resample.resample_spatial(fixture.cells(spark, sf_dir), 3, 6, 6).select("draw", "slide", "cell_type", "cell_id", "source_id")
 
 
 @query
@@ -389,17 +409,16 @@ def permuted_scores(spark, sf_dir):
 
 
 def _null(spark, sf_dir, n=9):
-    """Correlations of the fixed scores, the second type's shuffled."""
-    k = _raw_kernel(spark, sf_dir, PAIR01)
+    """Kernel products of the fixed scores, the second types' shuffled, for all pairs of types."""
+    k = _raw_kernel(spark, sf_dir, PAIRS)
     fixed = fixture.fixed_scores(spark, sf_dir).where("cc = 1")
-    perm = resample.global_permutation(fixture.cells(spark, sf_dir).where("cell_type = 'T1'"), n)
+    perm = resample.global_permutation(fixture.cells(spark, sf_dir).where("cell_type <> 'T0'"), n)
     moved = perm.join(fixed.select(F.col("cell_id").alias("source_id"), "score"), "source_id").select("draw", F.col("cell_id").alias("j"), F.col("score").alias("b"))
-    a = fixed.where("cell_type = 'T0'").select(F.col("cell_id").alias("i"), F.col("score").alias("a"))
-    smooth = k.join(a, "i").groupBy("sigma", "j").agg(F.sum(F.col("k") * F.col("a")).alias("s"))
-    stats = smooth.join(moved, "j").groupBy("draw", "sigma").agg(F.sum(F.col("s") * F.col("b")).alias("normalized_correlation"))
-    observed = smooth.join(fixed.select(F.col("cell_id").alias("j"), F.col("score").alias("b")), "j").groupBy("sigma").agg(F.sum(F.col("s") * F.col("b")).alias("normalized_correlation"))
-    tag = lambda df: df.withColumns({"ct_1": F.lit("T0"), "ct_2": F.lit("T1"), "cc": F.lit(1)})
-    return tag(observed), tag(stats)
+    smooth = k.join(fixed.select(F.col("cell_id").alias("i"), F.col("score").alias("a")), "i").groupBy("sigma", "ct_1", "ct_2", "j").agg(F.sum(F.col("k") * F.col("a")).alias("s"))
+    keys, value = ["sigma", "ct_1", "ct_2"], F.sum(F.col("s") * F.col("b")).alias("normalized_correlation")
+    stats = smooth.join(moved, "j").groupBy("draw", *keys).agg(value)
+    observed = smooth.join(fixed.select(F.col("cell_id").alias("j"), F.col("score").alias("b")), "j").groupBy(*keys).agg(value)
+    return observed.withColumn("cc", F.lit(1)), stats.withColumn("cc", F.lit(1))
 
 
 @query
@@ -475,7 +494,9 @@ def plot_scores_in_place(spark, sf_dir):
 
 @query
 def plot_smoothed_scores(spark, sf_dir):
-    return rounded(report.smoothed_against_target(_raw_kernel(spark, sf_dir, PAIR01), fixture.fixed_scores(spark, sf_dir), 0.02, "T0", "T1"), "smoothed", "score")
+    k, fixed = _raw_kernel(spark, sf_dir, PAIRS), fixture.fixed_scores(spark, sf_dir)
+    parts = [report.smoothed_against_target(k, fixed, 0.02, a, b).select(F.lit(a).alias("ct_1"), F.lit(b).alias("ct_2"), "slide", "cell_id", "smoothed", "score") for a, b in PAIRS]
+    return rounded(functools.reduce(DataFrame.unionByName, parts), "smoothed", "score")
 
 
 @query
