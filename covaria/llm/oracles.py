@@ -45,19 +45,18 @@ FROM g
 
 CHAT = r"""
 WITH p AS (
-  SELECT conv_id, turn::BIGINT AS turn, floor(coalesce(turn, 0) / 64)::BIGINT AS stretch,
-         coalesce(replace(replace(role, '<|im_start|>', ''), '<|im_end|>', ''), 'unknown') AS role,
-         replace(replace(coalesce(text, ''), '<|im_start|>', ''), '<|im_end|>', '') AS text FROM conversations),
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(replace(regexp_replace(role, '\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]', ' ', 'g'), '<|', '< |'), 'unknown') AS role,
+         replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS perspective FROM p WHERE role <> 'system'),
-h AS (
-  SELECT p.*, perspective, CASE WHEN role = perspective THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
-         ELSE '<|im_start|>user name=' || role || chr(10) END AS head FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
-o AS (
-  SELECT *, sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, stretch ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)::BIGINT - 11 AS stop,
-         row_number() OVER (PARTITION BY conv_id, perspective, stretch ORDER BY turn NULLS FIRST, role, text) AS k FROM h)
-SELECT conv_id, perspective, stretch, count(*)::BIGINT AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered,
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+         CASE WHEN role = 'system' THEN '<|im_start|>system' || chr(10) ELSE '<|im_start|>user name=' || role || chr(10) END AS other FROM p),
+w AS (SELECT *, (sum(length(other) + length(text) + 11) OVER (PARTITION BY conv_id ORDER BY k) - length(other) - length(text) - 11) // 1048576 AS part FROM n),
+h AS (SELECT w.*, perspective, CASE WHEN role = perspective THEN '<|im_start|>assistant' || chr(10) ELSE other END AS head FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (SELECT *, sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective ORDER BY k)::BIGINT - 11 AS stop FROM h)
+SELECT conv_id, perspective, part::BIGINT AS part, min(stop - length(text) - length(head))::BIGINT AS start, count(*)::BIGINT AS n_turns,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered,
        coalesce(string_agg((stop - length(text))::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY k) FILTER (WHERE role = perspective), '') AS mask
-FROM o GROUP BY conv_id, perspective, stretch
+FROM o GROUP BY conv_id, perspective, part
 """
 
 #: What Python's \s matches, as a class of DuckDB's patterns.
