@@ -76,8 +76,8 @@ judged AS (
   SELECT r, words, again,
     again OR (words <= {quality.BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{_FURNITURE}'))
     OR len(regexp_extract_all(line, '[{_SPACE}]([|»›>•·]|::|->)[{_SPACE}]')) >= 2 OR ends_with(stripped, '|') OR ends_with(stripped, '»')
-    OR (words < {quality.FRAGMENT_WORDS} AND NOT regexp_matches(stripped, '[.!?…:;。]["''”’»)\]]*$'))
-    OR length(regexp_replace(line, '[\p{{L}}\p{{N}}{_SPACE}]', '', 'g')) > {quality.MAX_MARKS}::DOUBLE * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS failed
+    OR (words < {quality.FRAGMENT_WORDS} AND NOT regexp_matches(stripped, '[.!?…:;。．！？｡؟۔।॥։።፧፨។៕။།༎]["''”’»)\]」』]*$'))
+    OR length(regexp_replace(line, '[\p{{L}}\p{{N}}\p{{M}}\x{{200C}}\x{{200D}}{_SPACE}]', '', 'g')) > {quality.MAX_MARKS}::DOUBLE * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS failed
   FROM lines WHERE words > 0),
 by_line AS (SELECT r, count(*) FILTER (again) AS n_dup_lines, sum(words) FILTER (NOT failed) AS kept_words FROM judged GROUP BY r),
 words AS (SELECT r, unnest(regexp_extract_all(t, '{_WORD}')) AS a, generate_subscripts(regexp_extract_all(t, '{_WORD}'), 1) AS k FROM d),

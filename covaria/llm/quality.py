@@ -37,7 +37,7 @@ _COMBINING = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodeda
 _MARK = re.compile(r"[^\w\s]|_")
 _MARK_NOT_COMBINING = re.compile(rf"[^\w\s{_COMBINING}]|_")
 _NAVIGATION = re.compile(r"\s(?:[|»›>•·]|::|->)\s")
-# Phrases of page furniture.
+# Phrases of page furniture in English, French, German and Spanish.
 BOILERPLATE = (
     "all rights reserved",
     "accept cookies",
@@ -53,6 +53,18 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "use of cookies",
+    "accepter les cookies",
+    "mentions légales",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "aceptar cookies",
+    "aviso legal",
+    "política de privacidad",
+    "todos los derechos reservados",
 )
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)) + "|(?:©|\\(c\\)|copyright) *[12][0-9]{3}")
 #: A boilerplate phrase condemns only lines up to this length; in a long paragraph it is ordinary prose.

@@ -7,8 +7,8 @@ are 1 where a document has no id.  The driver gets one row for each shard; prefi
 base, and base + offset is a document's place among all ids.  A shard's name holds its task attempt, and only those
 that succeeded are listed, so that a task which is run again does no harm.
 
-Defined results: a null or empty text has the end id alone; a null id comes first; repeated ids are ordered by their text
-and each keeps its row; very long texts are encoded whole; an empty table gives an empty table; other columns are
+Defined results: a null or empty text has the end id alone; a null id comes first; repeated ids are ordered by a hash of
+their text and each keeps its row; very long texts are encoded whole; an empty table gives an empty table; other columns are
 not looked at.
 """
 
@@ -18,6 +18,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,8 +125,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, target: s
         context = TaskContext.get()
         name = f"{target}/{context.partitionId():06d}-{context.taskAttemptId()}"
         encode = encoder(tokenizer)
-        ids: list[int | None] = []
-        offsets = [0]
+        ids, nulls, offsets = array("q"), bytearray(), array("Q", [0])
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -133,7 +133,9 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, target: s
             while first is not None:
                 for at in range(0, first.num_rows, ROWS_AT_ONCE):
                     part = first.slice(at, ROWS_AT_ONCE)
-                    ids += part.column(0).to_pylist()
+                    for i in part.column(0).to_pylist():
+                        ids.append(i or 0)
+                        nulls.append(i is None)
                     for text in part.column(1).to_pylist():
                         made = encode.encode(text)
                         out.write(made)
@@ -141,10 +143,12 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, target: s
                 first = next((b for b in batches if b.num_rows), None)
         with writing(f"{name}.idx") as out:
             out.write(MAGIC + np.array([encode.dtype.itemsize, len(ids)], "<u8").tobytes() + np.array(offsets, "<u8").tobytes())
-            out.write(np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes())
+            out.write(np.array(ids, "<i8").tobytes() + bytes(nulls))
         yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "name": [name], "docs": [len(ids)], "tokens": [offsets[-1]]})
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("id").asc_nulls_first(), F.col("hash"), F.col("row")]  # rows of one id may fill many partitions
+    dealt = plain.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     rows = sorted(dealt.mapInArrow(write, "shard long, name string, docs long, tokens long").collect(), key=lambda r: r["shard"])
     base, shards = 0, []
     for r in rows:

@@ -376,6 +376,38 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(spark, documents(spark)).count() == len(rows())
 
 
+def test_packing_by_binned_lengths(spark):
+    """More distinct lengths than are counted one by one: still whole, with hardly more padding."""
+    docs = spark.createDataFrame([(k % 7, k * 37 % 5000) for k in range(3000)], "doc_id long, n long")
+    exact, binned = (packing.pack(spark, docs, length=F.col("n"), buckets=8, budget=20_000, most_lengths=m, exact_up_to=64).collect() for m in (10_000, 100))
+    assert Counter(r.n_tokens for r in exact) == Counter(r.n_tokens for r in binned) and all(r.padding >= 0 for r in binned)
+    assert sum(r.padding for r in exact) <= sum(r.padding for r in binned) <= 1.05 * sum(r.padding for r in exact)
+
+
+def test_batches_round_trip(spark):
+    """Token files to padded batches and back: every document's ids, within the budget, in its bucket."""
+    from covaria.llm import tokens
+
+    public = pytest.importorskip("public_tokenizers")
+    docs = corpus(spark, 200)
+    manifest = tokens.write_tokens(spark, docs, public.path("word_bpe_49k.json"), shared_path(spark, "tokens"))
+    want = []
+    for s in manifest["shards"]:
+        ids, offsets, _, _ = tokens.open_shard(s["name"])
+        want += [ids[a:b].tolist() for a, b in itertools.pairwise(offsets.astype(int))]
+    got, batches = {}, defaultdict(list)
+    for name in packing.write_batches(spark, manifest, shared_path(spark, "batches"), pad_id=9, buckets=4, budget=600):
+        matrix, places = packing.open_batches(name)
+        for line, (batch, doc, n) in zip(matrix, places.tolist(), strict=True):
+            got[doc] = line[:n].tolist()
+            assert (line[n:] == 9).all() and doc not in batches[name.rsplit("/", 1)[1][:4], batch]
+            batches[name.rsplit("/", 1)[1][:4], batch].append(doc)
+            width = matrix.shape[1]
+            assert len(batches[name.rsplit("/", 1)[1][:4], batch]) * width <= 600 or len(batches[name.rsplit("/", 1)[1][:4], batch]) == 1
+    assert [got[k] for k in range(len(want))] == want and len(got) == 200
+    assert packing.write_batches(spark, {"shards": []}, shared_path(spark, "batches")) == []
+
+
 def test_histogram_bins(spark):
     lengths = [0, 1, 8192, 8193, 10_000, 1 << 20, (1 << 20) + 1, 123_456_789]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lengths], "n long").select(packing.histogram_bin(F.col("n"))).collect()]

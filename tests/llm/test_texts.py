@@ -253,3 +253,31 @@ def test_the_sql_of_the_quality_rules_agrees_on_odd_texts():
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     want = [(i, *(quality.judge(t)[n] for n in names)) for i, t in zip(documents["doc_id"], texts, strict=True)]
     assert sorted(got) == sorted(want)
+
+
+def test_field_on_other_shapes():
+    """Precision and recall by kind on sentences that no template of the training has."""
+    rng = random.Random(77)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    h = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    made = {
+        "iban": lambda: rng.choice(("DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606", "NL91ABNA0417164300")),
+        "mac": lambda: ":".join(h(2).upper() for _ in range(6)),
+        "ipv6": lambda: f"2001:db8:{h(4)}::{h(4)}:{h(3)}",
+        "national_id": lambda: f"{n(3)}-{n(2)}-{n(4)}",
+        "secret": lambda: rng.choice((h(40), "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOP234567") for _ in range(16)))),
+    }
+    frames = ("She wrote it down as {} before the meeting began.", "Reference: {} (see the annex).", "{} was the value they had on file.", "It read {}, or so the clerk said.")
+    clean = ("In 1994 some 1,200 people met at 10:30 for 3.5 hours.", "Chapter 12-4 has 350 pages and costs 19.99 at most.", "Version 2.0.1 came out on 2021-03-14, ticket AB-123.", "The door opens at 17:45:10 on floor 3, room 12B.")
+    field = pii.trained()
+    for kind, make in made.items():
+        hits = 0
+        for _ in range(60):
+            value = make()
+            text = rng.choice(frames).format(value)
+            at = text.index(value)
+            hits += (kind, at, at + len(value)) in pii.all_spans(text, field)[1]
+        assert hits >= 57, (kind, hits)
+    assert all(pii.all_spans(t, field)[1] == [] for t in clean)
+    assert pii.all_spans("password: correcthorsebattery", field)[1] == [("secret", 10, 29)]
+    assert pii.all_spans("The password: required. A token = none", field)[1] == []
