@@ -6,6 +6,8 @@ so that the lists are balanced; every vector is indexed.  A vector goes to the l
 boundary, to up to REPLICAS lists whose centroids are at most REPLICA_RATIO times as far.  A query searches all lists
 whose centroids are at most ``probe_ratio`` times as far as its BASIS-th nearest, and LEAST_PROBES of them at least; there is
 no upper limit, so that queries without near neighbours search as many lists as that takes.  ``exact`` searches every list.
+The LEAST_PROBES nearest lists are searched first; from the others come only candidates that are no worse than the last of those
+found, so that what a query puts out does not grow with the number of lists that it searches.
 Nearest centroids are found in memory, by a best-first walk over the graph that links each centroid to its
 neighbours, started at the best of a few pivots.  The walk keeps at least twice as many centroids as lie within the
 ratio: it is repeated with a wider beam for vectors that need it, and those that need over a quarter of all centroids are
@@ -45,7 +47,7 @@ SAMPLE_BYTES = 32 << 20
 SAMPLE_ROWS = 65_536
 REPLICAS = 4
 REPLICA_RATIO = 1.1
-PROBE_RATIO = 1.1
+PROBE_RATIO = 1.08
 #: A query's distances are compared with its BASIS-th nearest centroid: the nearest may be the query itself, or its copy.
 BASIS = 4
 LEAST_PROBES = 16
@@ -144,10 +146,10 @@ class CentroidGraph:
         order = np.argsort(far, axis=1, kind="stable")
         return order.astype(np.int32), np.maximum(np.take_along_axis(far, order, axis=1), 0)
 
-    def within(self, x: np.ndarray, ratio: float, basis: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, centroid) for all centroids at most ``ratio`` times as far as the ``basis``-th nearest, ``least`` of them at least."""
+    def within(self, x: np.ndarray, ratio: float, basis: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, centroid, among the ``least`` nearest?) for all centroids at most ``ratio`` times as far as the ``basis``-th nearest, ``least`` of them at least."""
         n = len(self.c)
-        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        rows, found, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
         open_rows, width = np.arange(len(x)), max(WALK, 2 * least)
         while len(open_rows):
             whole = 4 * width > n
@@ -158,8 +160,9 @@ class CentroidGraph:
             r, c = np.nonzero(take & done[:, None])
             rows.append(open_rows[r])
             found.append(ids[r, c])
+            first.append(c < least)
             open_rows, width = open_rows[~done], 4 * width
-        return np.concatenate(rows), np.concatenate(found)
+        return np.concatenate(rows), np.concatenate(found), np.concatenate(first)
 
 
 def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
@@ -169,7 +172,7 @@ def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
 
 
 def _lists_of(graph: CentroidGraph, dim: int, most: float, probe_ratio: float | None = None):
-    """Kernel: (id, v) -> one row (list, id, v) for each list that a vector belongs to or, with ``probe_ratio``, a query searches."""
+    """Kernel: (id, v) -> one row (list, first, id, v) for each list that a vector belongs to or, with ``probe_ratio``, a query searches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,18 +185,18 @@ def _lists_of(graph: CentroidGraph, dim: int, most: float, probe_ratio: float |
                     take = (far <= REPLICA_RATIO**2 * far[:, :1] + 1e-12) & (ids >= 0)
                     take[:, REPLICAS:] = False
                     r, c = np.nonzero(take)
-                    lists = ids[r, c]
+                    lists, first = ids[r, c], c == 0
                 else:
-                    r, lists = graph.within(np.column_stack([x, np.zeros(len(x))]), probe_ratio, BASIS, LEAST_PROBES)
+                    r, lists, first = graph.within(np.column_stack([x, np.zeros(len(x))]), probe_ratio, BASIS, LEAST_PROBES)
                 for cut in range(0, len(r), 8192):
                     chosen = part.take(pa.array(r[cut : cut + 8192]))
-                    yield pa.RecordBatch.from_arrays([pa.array(lists[cut : cut + 8192].astype(np.int32)), chosen.column(0), chosen.column(1)], names=["list", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[cut : cut + 8192].astype(np.int32)), pa.array(first[cut : cut + 8192]), chosen.column(0), chosen.column(1)], names=["list", "first", "id", "v"])
 
     return run
 
 
 def _search(dim: int, top: int):
-    """Kernel: the ``top`` best ids of each query within one chunk of one list."""
+    """Kernel: the ``top`` best ids of each query within one chunk of one list, if they are no worse than its ``bound``."""
 
     def run(key, queries: pd.DataFrame, posts: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(posts):
@@ -206,12 +209,14 @@ def _search(dim: int, top: int):
             part = queries.iloc[at : at + 256]
             q = _matrix(part["v"], dim)
             rough = q @ v.T
+            bound = part["bound"].to_numpy()
+            slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(bound), bound, 0)))
             if len(starts) > top:
                 by_id = rough if len(starts) == len(ids) else np.maximum.reduceat(rough, starts, axis=1)
                 edge = np.partition(by_id, len(starts) - top, axis=1)[:, len(starts) - top]
-                r, c = np.nonzero(rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
+                r, c = np.nonzero(rough >= np.maximum(edge - 1e-9 * (1 + np.abs(edge)), bound - slack)[:, None])
             else:
-                r, c = np.nonzero(np.ones_like(rough, bool))
+                r, c = np.nonzero(rough >= (bound - slack)[:, None])
             score = (q[r] * v[c]).sum(axis=1)
             order = np.lexsort((ids[c], -score, r))
             r, c, score = r[order], c[order], score[order]
@@ -261,24 +266,34 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, id_col: str = "v
     lists = max(1, min(MOST_LISTS, n // LIST_ROWS, len(x) // 4))
     graph = CentroidGraph(balanced_centroids(x, lists))
 
-    schema = "list int, id long, v array<double>"
+    schema = "list int, first boolean, id long, v array<double>"
     posted = materialize(spark, posts.mapInArrow(_lists_of(graph, dim, most), schema), "ann-lists")
     probes = materialize(spark, asked.repartition(F.col("id")).mapInArrow(_lists_of(graph, dim, most, math.inf if exact else probe_ratio), schema), "ann-probes")
-    # at most MOST_LISTS rows each
-    chunks = posted.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("post_chunks")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("query_chunks")), "list")
-    chunks = F.broadcast(materialize(spark, chunks, "ann-chunks"))
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id", F.lit(own)), F.col(own)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return df.join(chunks, "list").select("list", "id", "v", mine.alias(own), every.alias(other)).select("list", "id", "v", F.col("post_chunks").alias("pc"), F.col("query_chunks").alias("qc"))
-
-    left = dealt(probes, "query_chunks", "post_chunks").groupBy("list", "pc", "qc")
-    right = dealt(posted, "post_chunks", "query_chunks").groupBy("list", "pc", "qc")
-    found = left.cogroup(right).applyInPandas(_search(dim, top + 1), "query long, id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    once = found.groupBy("query", "id").agg(F.max("score").alias("score"))
-    near = once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top + 1).select("query", "id", "score")
+
+    def search(probes: DataFrame) -> DataFrame:
+        """(query, id, score) for probes (list, id, v, bound)."""
+        # at most MOST_LISTS rows each
+        chunks = posted.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("post_chunks")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("query_chunks")), "list")
+        chunks = F.broadcast(materialize(spark, chunks, "ann-chunks"))
+
+        def dealt(df: DataFrame, own: str, other: str, *more: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64("id", F.lit(own)), F.col(own)).cast("int")
+            every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+            return df.join(chunks, "list").select("list", "id", "v", *more, mine.alias(own), every.alias(other)).withColumnsRenamed({"post_chunks": "pc", "query_chunks": "qc"}).select("list", "id", "v", *more, "pc", "qc")
+
+        left = dealt(probes, "query_chunks", "post_chunks", "bound").groupBy("list", "pc", "qc")
+        right = dealt(posted, "post_chunks", "query_chunks").groupBy("list", "pc", "qc")
+        return left.cogroup(right).applyInPandas(_search(dim, top + 1), "query long, id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        once = found.groupBy("query", "id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top + 1).select("query", "id", "score")
+
+    lowest = F.lit(float("-inf"))
+    near = materialize(spark, best(search(probes.where("first").withColumn("bound", lowest))), "ann-near")
+    bounds = near.groupBy(F.col("query").alias("id")).agg(F.when(F.count("*") > top, F.min("score")).otherwise(lowest).alias("bound"))
+    near = best(near.unionByName(search(probes.where("not first").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", lowest)))))
 
     leaders = queries.withColumnRenamed("id", "query_id").join(asked.withColumnRenamed("id", "query"), "v").select("query_id", "query")
     others = leaders.join(near, "query").where("id <> query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))

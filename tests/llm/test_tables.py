@@ -473,11 +473,11 @@ def test_centroids_within():
     rng = np.random.default_rng(4)
     graph = ann.CentroidGraph(rng.normal(size=(3000, 8)))
     x = rng.normal(size=(50, 8))
-    r, c = graph.within(x, 1.2, 4, 16)
+    r, c, first = graph.within(x, 1.2, 4, 16)
     ids, far = graph.all_of(x)
     want = {(i, int(ids[i, j])) for i in range(50) for j in range(3000) if j < 16 or far[i, j] <= 1.44 * far[i, 3]}
     found = set(zip(r.tolist(), c.tolist(), strict=True))
-    assert len(found) == len(r) and len(found & want) >= 0.98 * len(want)
+    assert len(found) == len(r) and first.sum() == 16 * 50 and len(found & want) >= 0.98 * len(want)
 
 
 def test_nearest_with_repeated_rows(spark):
