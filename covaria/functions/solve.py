@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 import numpy as np
 
@@ -129,23 +130,43 @@ def genespace_objective(w: Weights, own: dict, cross: dict, slides: list[str], t
     return float(np.mean([sum(np.ravel(w[a]) @ _get(cross[q], a, b) @ np.ravel(w[b]) / (s[q, a] * s[q, b]) for a, b in pairs) for q in slides]))
 
 
+Step = Callable[[Weights], tuple[dict[tuple[str, str], float], Weights]]
+
+
+def step_of_matrices(own: dict, cross: dict, slides: list[str], types: list[str]) -> Step:
+    """For given axes the deviations by slide and type, and each type's pull by the others, from covariances in memory."""
+
+    def step(now: Weights) -> tuple[dict[tuple[str, str], float], Weights]:
+        dev = slide_deviations(now, own, slides, types)
+        return dev, {a: sum(_get(cross[s], a, b) @ now[b] / (dev[s, a] * dev[s, b]) for s in slides for b in types if b != a) / len(slides) for a in types}
+
+    return step
+
+
 def optimize_genespace(own: dict, cross: dict, slides: list[str], types: list[str], n_cc: int = 1, weights: Weights | None = None, max_iter: int = 3000, tol: float = 1e-6, seed=0) -> Weights:
-    """Axes that maximise the mean correlation over slides; later ones are kept orthogonal to earlier ones, type by type.
+    """Axes that maximise the mean correlation over slides, from covariances in memory."""
+    if not slides:
+        raise ValueError("at least one slide is needed")
+    return genespace_axes(step_of_matrices(own, cross, slides, types), own[slides[0]][types[0]].shape[0], types, n_cc, weights, max_iter, tol, seed)[0]
+
+
+def genespace_axes(step: Step, genes: int, types: list[str], n_cc: int, weights: Weights | None, max_iter: int, tol: float, seed) -> tuple[Weights, list[float]]:
+    """Axes that maximise the mean correlation over slides, and what each new one reaches; later ones are kept orthogonal to earlier ones, type by type.
 
     All types move at once, with the deviations of the round before.  ``weights`` gives axes that are there already.
     """
     rng = seed if isinstance(seed, np.random.Generator) else np.random.default_rng(seed)
-    genes = own[slides[0]][types[0]].shape[0]
     axes = {t: np.zeros((genes, 0)) if weights is None else np.asarray(weights[t], float).reshape(genes, -1) for t in types}
     if max_iter < 1 or tol <= 0 or n_cc <= (0 if weights is None else axes[types[0]].shape[1]):
         raise ValueError("max_iter and tol must be positive and n_cc larger than the number of given axes")
+    reached = []
     while axes[types[0]].shape[1] < n_cc:
         now = {t: _unit(rng.normal(size=(genes, 1)).ravel()) for t in types}
         for _ in range(max_iter):
-            dev = slide_deviations(now, own, slides, types)
+            _, pulls = step(now)
             new = {}
             for a in types:
-                pull = sum(_get(cross[s], a, b) @ now[b] / (dev[s, a] * dev[s, b]) for s in slides for b in types if b != a) / len(slides)
+                pull = pulls[a]
                 for prior in axes[a].T:
                     pull = pull - (pull @ prior) * prior
                 norm = np.linalg.norm(pull)
@@ -156,7 +177,10 @@ def optimize_genespace(own: dict, cross: dict, slides: list[str], types: list[st
                 break
         else:
             warnings.warn("the iteration did not converge", stacklevel=2)
-        if len(types) == 2 and genespace_objective(now, own, cross, slides, types) < 0:
-            now[types[0]] = -now[types[0]]
+        # every pair pulls at both of its types
+        value = sum(float(now[t] @ v) for t, v in step(now)[1].items()) / 2
+        if len(types) == 2 and value < 0:
+            now[types[0]], value = -now[types[0]], -value
+        reached.append(value)
         axes = {t: np.column_stack([axes[t], now[t]]) for t in types}
-    return axes
+    return axes, reached

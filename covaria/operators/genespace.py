@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covaria.functions import solve
-from covaria.operators.dense import product_lines
+from covaria.operators.dense import dense_rows, one_block_at_once, product_lines
 from covaria.operators.kernel import compute_kernel
 from covaria.operators.scores import dense
 from covaria.operators.subset import clip_values, pairs_of, prevalent_genes, sufficient_slides
 from covaria.sources.store import materialize
 
+#: Covariances of all slides, types and pairs that reach the driver at most; beyond that no covariance is formed.
+DRIVER_BYTES = 512 << 20
 MOST_GENES = 3000
+# Options by their other names that no change of case explains, and values that stand for options this engine has not.
+_SCALES = ("x_dist_scale", "y_dist_scale", "z_dist_scale")
+_ONLY_DEFAULTS = {"knn_k": 10, "geodesic_threshold": 10, "geodesic_cutoff": 7}
+
+
+def as_options(**options) -> dict:
+    """Options of distances and kernels, in snake or camel case, as compute_kernel() names them."""
+    named = {re.sub(r"(?<=[a-z])(?=[A-Z])", "_", k).lower().replace("neighor", "neighbor"): v for k, v in options.items()}
+    out = {k: named.pop(k) for k in ("dist_type", "normalize_distance", "normalize_target", "lower_limit", "upper_quantile", "min_ave_cell_neighbor", "method", "skip_few", "check", "scales", "truncate", "normalization", "factor", "scope") if k in named}
+    if any(k in named for k in _SCALES):
+        out["scales"] = tuple(float(named.pop(k, 1.0)) for k in _SCALES)
+    if "normalization_scope" in named:
+        out["scope"] = named.pop("normalization_scope")
+    if "truncate_low_dist" in named:
+        out["truncate"] = named.pop("truncate_low_dist")
+    chosen = [how for how, k in (("row", "row_normalize_kernel"), ("col", "col_normalize_kernel"), ("median", "normalize_kernel")) if named.pop(k, False)]
+    if len(chosen) > 1:
+        raise ValueError("choose one normalisation of the kernel")
+    if chosen:
+        out["normalization"] = chosen[0]
+    if wrong := [k for k, v in named.items() if _ONLY_DEFAULTS.get(k, not v) != v]:
+        raise ValueError(f"unknown or unsupported options: {', '.join(wrong)}")
+    return out
 
 
 def standardized(expression: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
@@ -25,11 +54,8 @@ def standardized(expression: DataFrame, cells: DataFrame, genes: DataFrame) -> D
 
 
 def gene_numbers(z: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(gene, number) and the sorted names; more than MOST_GENES are refused before they are gathered."""
-    distinct = z.select("gene").distinct()
-    if (n := distinct.count()) > MOST_GENES:
-        raise ValueError(f"{n} genes; choose at most {MOST_GENES} before the covariances")
-    names = sorted(r[0] for r in distinct.collect())
+    """(gene, number) and the sorted names."""
+    names = sorted(r[0] for r in z.select("gene").distinct().collect())
     return z.sparkSession.createDataFrame(list(enumerate(names)), "number int, gene string"), names
 
 
@@ -90,9 +116,12 @@ def objective(weights: DataFrame, own: DataFrame, cross: DataFrame) -> DataFrame
 def run_gene_space(expression: DataFrame, cells: DataFrame, cell_types: list[str], sigma: float, n_cc: int = 2, clip="quantile", min_prevalence: float = 0.008, min_cells: int = 20, max_iter: int = 3000, tol: float = 1e-6, seed: int = 0, slide_cells: int = 10, **kernel_options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Gene weights (sigma, cell_type, gene, cc, w), cell scores, and the objective.
 
-    Every step is one plan over all slides; only genes-by-genes covariances of each slide reach the driver.
+    Every step is one plan over all slides.  Covariances of up to DRIVER_BYTES and MOST_GENES reach the driver, which solves on them; beyond that
+    each round applies the axes to the cells and the kernel to the scores, and only gene vectors reach the driver.
+    ``kernel_options`` may be named as in as_options().  Cells of slides with too few cells have a null score.
     """
     spark = cells.sparkSession
+    every_cell = cells.where(F.col("cell_type").isin(list(cell_types)))
     if len(cell_types) < 2:
         raise ValueError("at least two cell types are needed")
     cells = cells.where(F.col("cell_type").isin(list(cell_types)))
@@ -102,17 +131,34 @@ def run_gene_space(expression: DataFrame, cells: DataFrame, cell_types: list[str
     genes = prevalent_genes(expression, cells, min_prevalence, min_cells).select("gene")
     genes = materialize(genes, "genes")
     names = sorted(r[0] for r in genes.collect())
-    if not names or len(names) > MOST_GENES:
-        raise ValueError(f"{len(names)} genes pass the filter; between 1 and {MOST_GENES} are needed")
+    if not names:
+        raise ValueError("no gene passes the filter")
     z = materialize(standardized(clip_values(expression.join(genes, "gene", "left_semi"), clip), cells, genes), "z")
-    kernel, _ = compute_kernel(cells, pairs_of(cell_types), [sigma], **({"skip_few": True} | kernel_options))
-    own, cross = materialize(self_covariances(z), "own"), materialize(cross_covariances(kernel, z), "cross")
+    kernel, _ = compute_kernel(cells, pairs_of(cell_types), [sigma], **({"skip_few": True} | as_options(**kernel_options)))
     at = {g: k for k, g in enumerate(names)}
+    n_slides = kernel.select("slide").distinct().count()
+    blocks = n_slides * (len(cell_types) + len(pairs_of(cell_types)))
+    if len(names) <= MOST_GENES and 8 * blocks * len(names) ** 2 <= DRIVER_BYTES:
+        step = solve.step_of_matrices(*_in_memory(z, kernel, at, cell_types), cell_types)
+    else:
+        step = _step_of_cells(z, kernel, at, cell_types, n_slides)
+    axes, reached = solve.genespace_axes(step, len(names), list(cell_types), n_cc, None, max_iter, tol, seed)
+    rows = [(float(sigma), t, g, c + 1, float(axes[t][at[g], c])) for t in cell_types for g in names for c in range(n_cc)]
+    weights = spark.createDataFrame(rows, "sigma double, cell_type string, gene string, cc int, w double")
+    raw = z.join(weights, ["cell_type", "gene"]).groupBy("sigma", "slide", "cell_type", "cell_id", "cc").agg(F.sum(F.col("score") * F.col("w")).alias("raw"))
+    scored = standardized_scores(raw).join(every_cell.select("slide", "cell_type", "cell_id"), ["slide", "cell_type", "cell_id"], "right")
+    left_out = scored.where("cc IS NULL").drop("sigma", "cc", "score").select(F.lit(float(sigma)).alias("sigma"), "slide", "cell_type", F.explode(F.sequence(F.lit(1), F.lit(n_cc))).alias("cc"), "cell_id", F.lit(None).cast("double").alias("score"))
+    scored = scored.where("cc IS NOT NULL").select("sigma", "slide", "cell_type", "cc", "cell_id", "score").unionByName(left_out)
+    return weights, scored, spark.createDataFrame([(float(sigma), c, v) for c, v in enumerate(reached, 1)], "sigma double, cc int, objective double")
+
+
+def _in_memory(z: DataFrame, kernel: DataFrame, at: dict[str, int], cell_types: list[str]) -> tuple[dict, dict, list[str]]:
+    """Covariances on the driver, by slide and type and by slide and pair, and the slides that have a kernel."""
 
     def matrices(df: DataFrame, keys: list[str], symmetric: bool) -> dict:
         out: dict = {}
         for key, part in df.toPandas().groupby(keys):
-            m = np.zeros((len(names), len(names)))
+            m = np.zeros((len(at), len(at)))
             a, b = part["gene_1"].map(at).to_numpy(), part["gene_2"].map(at).to_numpy()
             m[a, b] = part["c"].to_numpy()
             if symmetric:
@@ -120,15 +166,54 @@ def run_gene_space(expression: DataFrame, cells: DataFrame, cell_types: list[str
             out[key] = m
         return out
 
-    own_m, cross_m = matrices(own, ["slide", "cell_type"], True), matrices(cross, ["slide", "ct_1", "ct_2"], False)
-    kept = sorted({s for s, _, _ in cross_m})
-    by_own = {s: {t: own_m[s, t] for t in cell_types} for s in kept}
-    by_cross = {s: {(a, b): m for (q, a, b), m in cross_m.items() if q == s} for s in kept}
-    axes = solve.optimize_genespace(by_own, by_cross, kept, list(cell_types), n_cc, None, max_iter, tol, seed)
-    rows = [(float(sigma), t, g, c + 1, float(axes[t][at[g], c])) for t in cell_types for g in names for c in range(n_cc)]
-    weights = spark.createDataFrame(rows, "sigma double, cell_type string, gene string, cc int, w double")
-    raw = z.join(weights, ["cell_type", "gene"]).groupBy("sigma", "slide", "cell_type", "cell_id", "cc").agg(F.sum(F.col("score") * F.col("w")).alias("raw"))
-    return weights, standardized_scores(raw), objective(weights.drop("sigma"), own, cross)
+    own = matrices(materialize(self_covariances(z), "own"), ["slide", "cell_type"], True)
+    cross = matrices(materialize(cross_covariances(kernel, z), "cross"), ["slide", "ct_1", "ct_2"], False)
+    slides = sorted({s for s, _, _ in cross})
+    return {s: {t: own[s, t] for t in cell_types} for s in slides}, {s: {(a, b): m for (q, a, b), m in cross.items() if q == s} for s in slides}, slides
+
+
+def _step_of_cells(z: DataFrame, kernel: DataFrame, at: dict[str, int], cell_types: list[str], n_slides: int) -> solve.Step:
+    """As solve.step_of_matrices(), without a covariance: axes times cells, kernel times scores, cells' sums by gene."""
+    spark = z.sparkSession
+    numbers = spark.createDataFrame([(g, k) for g, k in at.items()], "gene string, number int")
+    slides = kernel.select("slide").distinct()
+    rows = materialize(_packed(z.join(slides, "slide", "left_semi").join(numbers, "gene"), ["slide", "cell_type", "cell_id"], "score"), "packed")
+    sizes = {(r["slide"], r["cell_type"]): r["n"] for r in rows.groupBy("slide", "cell_type").agg(F.count("*").alias("n")).collect()}
+    pairs = sorted((r["slide"], r["ct_1"], r["ct_2"]) for r in kernel.select("slide", "ct_1", "ct_2").distinct().collect())
+    edges = materialize(kernel.select("slide", "ct_1", "ct_2", "i", "j", "k"), "edges")
+    id_type = rows.schema["cell_id"].dataType.simpleString()
+
+    def step(now: solve.Weights) -> tuple[dict[tuple[str, str], float], solve.Weights]:
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (kind,), part in one_block_at_once(batches, ["cell_type"]):
+                u = dense_rows(part, len(now[kind])) @ now[kind]
+                yield pa.RecordBatch.from_arrays([part.column("slide"), part.column("cell_type"), part.column("cell_id"), pa.array(u)], names=["slide", "cell_type", "cell_id", "u"])
+
+        u = materialize(rows.mapInArrow(apply, f"slide string, cell_type string, cell_id {id_type}, u double"), "axis-scores")
+        squares = {(r["slide"], r["cell_type"]): r["q"] for r in u.groupBy("slide", "cell_type").agg(F.sum(F.col("u") ** 2).alias("q")).collect()}
+        dev = {key: max(float(np.sqrt(max(squares[key] / n, 0.0))), 1e-12) for key, n in sizes.items()}
+        scale = [(s, a, b, float(1 / (np.sqrt(sizes[s, a] * sizes[s, b]) * dev[s, a] * dev[s, b] * n_slides))) for s, a, b in pairs]
+        scaled = edges.join(F.broadcast(spark.createDataFrame(scale, "slide string, ct_1 string, ct_2 string, f double")), ["slide", "ct_1", "ct_2"])  # a row for each block
+        left, right = u.select(F.col("cell_id").alias("i"), F.col("u").alias("u1")), u.select(F.col("cell_id").alias("j"), F.col("u").alias("u2"))
+        value = F.sum(F.col("k") * F.col("f") * F.col("other")).alias("q")
+        to_left = scaled.join(right.withColumnRenamed("u2", "other"), "j").groupBy(F.col("i").alias("cell_id")).agg(value)
+        to_right = scaled.join(left.withColumnRenamed("u1", "other"), "i").groupBy(F.col("j").alias("cell_id")).agg(value)
+        q = to_left.unionByName(to_right).groupBy("cell_id").agg(F.sum("q").alias("q"))
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {t: np.zeros(len(w)) for t, w in now.items()}
+            for (kind,), part in one_block_at_once(batches, ["cell_type"]):
+                total[kind] += dense_rows(part, len(now[kind])).T @ part.column("q").to_numpy()
+            for kind, line in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(line)), pa.array(np.arange(len(line), dtype=np.int32)), pa.array(line)], names=["cell_type", "k", "s"])
+
+        found = rows.join(q, "cell_id").select("cell_type", "k", "v", "q").mapInArrow(sums, "cell_type string, k int, s double").groupBy("cell_type", "k").agg(F.sum("s").alias("s")).toPandas()
+        pulls = {t: np.zeros(len(w)) for t, w in now.items()}
+        for t, part in found.groupby("cell_type"):
+            pulls[t][part["k"].to_numpy()] = part["s"].to_numpy()
+        return dev, pulls
+
+    return step
 
 
 def standardized_scores(raw: DataFrame) -> DataFrame:

@@ -55,14 +55,17 @@ def normalize_kernel(kernel: DataFrame, how: str = "none", lower_limit: float =
 
 def compute_kernel(
     cells: DataFrame, pairs: list[tuple[str, str]], sigmas: list[float], lower_limit: float = 1e-7, upper_quantile: float = 0.85, min_ave_cell_neighbor: float = 2.0, normalization: str = "none",
-    dist_type: str = "Euclidean2D", scales=(1.0, 1.0, 1.0), normalize_distance: bool = True, normalize_target: float = 0.01, truncate: bool = True, factor: float | None = None, method: str = "auto", skip_few: bool = False, check: bool = True,
+    dist_type: str = "Euclidean2D", scales=(1.0, 1.0, 1.0), normalize_distance: bool = True, normalize_target: float = 0.01, truncate: bool = True, factor: float | None = None, method: str = "auto", skip_few: bool = False, check: bool = True, scope: str = "global",
 ) -> tuple[DataFrame, float]:
     """Kernel edges of all blocks and bandwidths, and the distance scale factor.
 
     Only pairs within the radius at which the widest kernel reaches the floor are enumerated (``method`` "sparse", and "auto" where that
     radius is below half the extent); the values are those of the full distance table ("dense").  Blocks without enough support
-    are dropped with a warning, and it is an error if nothing is left.
+    are dropped with a warning, and it is an error if nothing is left.  With the ``scope`` "per_slide" each slide is normalised by its
+    own low quantiles; the factor returned is then the smallest.
     """
+    if scope not in ("global", "per_slide"):
+        raise ValueError("scope must be global or per_slide")
     at = scaled(cells, dist_type, scales)
     if not (normalize_target > 0 and math.isfinite(normalize_target)) or not 0 < upper_quantile <= 1:
         raise ValueError("normalize_target must be positive and upper_quantile in (0, 1]")
@@ -72,6 +75,12 @@ def compute_kernel(
     if truncate or (normalize_distance and factor is None):
         low = low_quantiles(at, pairs, skip_few)
     factor = (scale_factor(low, normalize_target, normalize_distance) if low is not None else 1.0) if factor is None else factor
+    factors = F.lit(factor)
+    if scope == "per_slide" and normalize_distance:
+        low = low_quantiles(at, pairs, skip_few) if low is None else low
+        own = low.groupBy("slide").agg((F.lit(normalize_target) / F.min("low")).alias("factor")).where("factor is not null")
+        low = materialize(low.join(own, "slide"), "low-by-slide")
+        factor, factors = low.agg(F.min("factor")).first()[0] or 1.0, F.col("factor")
     radius = None
     if method != "dense" and lower_limit > 0:
         radius = max(sigmas) * math.sqrt(-2 * math.log(lower_limit)) / factor * (1 + 1e-9)
@@ -87,7 +96,7 @@ def compute_kernel(
         blocks = materialize(blocks, "blocks")
         # a zero without any positive distance within the radius needs the wider search
         low = low_quantiles(at, pairs, skip_few) if blocks.where("zeros > 0 AND least IS NULL").limit(1).count() else blocks
-    raw = materialize(gaussian(conditioned(edges, low, factor, truncate), sigmas, lower_limit), "kernel-raw")
+    raw = materialize(gaussian(conditioned(edges, low, factors, truncate), sigmas, lower_limit), "kernel-raw")
     if check:
         states = support(raw, block_sizes(at, pairs, skip_few), lower_limit, min_ave_cell_neighbor).collect()
         good = [tuple(r[c] for c in BLOCK) for r in states if r["valid"]]

@@ -112,9 +112,9 @@ def scale_factor(quantiles: DataFrame, target: float = 0.01, normalize: bool = T
     return target / low if normalize and low else 1.0
 
 
-def conditioned(edges: DataFrame, quantiles: DataFrame, factor: float = 1.0, truncate: bool = True) -> DataFrame:
-    """Edges with zero distances replaced, small ones raised to the block's low quantile, and all multiplied by ``factor``."""
-    joined = edges.join(quantiles.select(*PAIR, "least", "low"), PAIR)
+def conditioned(edges: DataFrame, quantiles: DataFrame, factor: float | F.Column = 1.0, truncate: bool = True) -> DataFrame:
+    """Edges with zero distances replaced, small ones raised to the block's low quantile, and all multiplied by ``factor`` (a number or a column of ``quantiles``)."""
+    joined = edges.join(quantiles.select(*PAIR, "least", "low", *(c for c in ("factor",) if c in quantiles.columns)), PAIR)
     d = F.when(F.col("d") == 0, F.col("least")).otherwise(F.col("d"))
     return joined.select(*PAIR, "i", "j", ((F.greatest(d, F.col("low")) if truncate else d) * factor).alias("d"))
 

@@ -2,6 +2,8 @@
 
 The sparse values of a cell are packed into one row once.  A Gram matrix is the sum of dense products of a few hundred
 packed rows at a time, one upper triangle for each type in a task; centering enters as one negative row per block.
+With more genes than such a matrix should have, components come from a block Krylov iteration: every round multiplies
+a few dozen vectors by the rows and their transpose, of which a task returns genes times vectors numbers.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +21,12 @@ from covaria.sources.store import materialize
 
 LEAST_SD = 1e-3
 LEAST_SHARE = 0.01
-#: The covariance of this many genes fits the driver and a task (128 MB); beyond it choose genes first.
+#: The covariance of this many genes fits the driver and a task (128 MB); beyond it no covariance is formed.
 MOST_GENES = 4000
+#: Vectors more than components, largest number of rounds, and the residual relative to the first value at which they end.
+EXTRA = 10
+ROUNDS = 40
+RESIDUAL = 1e-10
 
 
 def gene_moments(expression: DataFrame, cells: DataFrame, by_slide: bool = True, center: bool = True, scale: bool = True) -> DataFrame:
@@ -42,10 +49,7 @@ def gene_moments(expression: DataFrame, cells: DataFrame, by_slide: bool = True,
 
 
 def genes_by_type(moments: DataFrame) -> dict[str, list[str]]:
-    """The sorted genes of each type; more than MOST_GENES are refused before anything is gathered."""
-    counts = moments.groupBy("cell_type").agg(F.count_distinct("gene").alias("k")).collect()
-    if (most := max((r["k"] for r in counts), default=0)) > MOST_GENES:
-        raise ValueError(f"{most} genes; choose at most {MOST_GENES} before compute_pca")
+    """The sorted genes of each type."""
     return {r["cell_type"]: list(r["genes"]) for r in moments.groupBy("cell_type").agg(F.array_sort(F.collect_set("gene")).alias("genes")).collect()}
 
 
@@ -71,11 +75,15 @@ def gram_lines(rows: DataFrame, known: DataFrame, genes: dict[str, list[str]]) -
 
     Sum over slides of D^-1 (X'X - n m m') D^-1.
     """
+    widths = {(ct,): len(names) for ct, names in genes.items()}
+    return product_lines(weighted_rows(rows, known), ["cell_type"], "cell_id", widths.__getitem__)
+
+
+def weighted_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The packed rows with weight 1, and for each block its mean row with weight -1."""
     means = known.groupBy("cell_type", "slide").agg(F.collect_list(F.struct("k", (F.sqrt("n") * F.col("center") / F.col("scale")).alias("v"))).alias("kv"))
     means = means.select("cell_type", F.lit(-1.0).alias("weight"), F.lit(None).cast(rows.schema["cell_id"].dataType).alias("cell_id"), F.col("kv.k").alias("k"), F.col("kv.v").alias("v"))
-    weighted = rows.select("cell_type", F.lit(1.0).alias("weight"), "cell_id", "k", "v").unionByName(means)
-    widths = {(ct,): len(names) for ct, names in genes.items()}
-    return product_lines(weighted, ["cell_type"], "cell_id", widths.__getitem__)
+    return rows.select("cell_type", F.lit(1.0).alias("weight"), "cell_id", "k", "v").unionByName(means)
 
 
 def gram(expression: DataFrame, cells: DataFrame, moments: DataFrame, by_slide: bool = True) -> DataFrame:
@@ -89,10 +97,68 @@ def gram(expression: DataFrame, cells: DataFrame, moments: DataFrame, by_slide:
     return entries.select("cell_type", F.expr("genes[k]").alias("gene_1"), F.expr("genes[k + more]").alias("gene_2"), "g")
 
 
+def _times_gram(rows: DataFrame, known: DataFrame, vectors: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Each type's Gram matrix times its vectors, without the matrix: sum of x (x' V) over its rows, less n m (m' V)."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for (kind,), part in one_block_at_once(batches, ["cell_type"]):
+            v = vectors[kind]
+            x = dense_rows(part, len(v))
+            if kind not in sums:
+                sums[kind] = np.zeros(v.shape)
+            sums[kind] += x.T @ ((x @ v) * part.column("weight").to_numpy()[:, None])
+        for kind, total in sums.items():
+            for at in range(0, len(total), 256):
+                lines = total[at : at + 256]
+                offsets = np.arange(0, lines.size + 1, lines.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(lines)), pa.array(np.arange(at, at + len(lines), dtype=np.int32)), pa.ListArray.from_arrays(offsets, lines.ravel())], names=["cell_type", "k", "line"])
+
+    width = max(v.shape[1] for v in vectors.values())
+    products = weighted_rows(rows, known).mapInArrow(multiply, "cell_type string, k int, line array<double>")
+    summed = products.groupBy("cell_type", "k").agg(*[F.sum(F.get("line", F.lit(j))).alias(f"s{j}") for j in range(width)])
+    found = summed.select("cell_type", "k", F.array(*[f"s{j}" for j in range(width)]).alias("line")).toArrow()
+    out = {t: np.zeros(v.shape) for t, v in vectors.items()}
+    for t in out:
+        mine = found.filter(pa.compute.equal(found["cell_type"], t))
+        if mine.num_rows:
+            out[t][mine["k"].to_numpy()] = np.array(mine["line"].to_pylist(), float)[:, : out[t].shape[1]]
+    return out
+
+
+def leading(rows: DataFrame, known: DataFrame, genes: dict[str, list[str]], n: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The n largest eigenvalues of each type's Gram matrix and their vectors, by a block Krylov iteration with full orthogonalisation."""
+    rng = np.random.default_rng(0)
+    basis = {t: np.linalg.qr(rng.normal(size=(len(names), min(n + EXTRA, len(names)))))[0] for t, names in genes.items()}
+    newest, images, out = dict(basis), {t: np.zeros((len(names), 0)) for t, names in genes.items()}, {}
+    for _ in range(ROUNDS):
+        for t, product in _times_gram(rows, known, newest).items():
+            q = basis[t]
+            images[t] = np.hstack([images[t], product])
+            values, turned = np.linalg.eigh(q.T @ images[t])
+            order = np.argsort(-values)[:n]
+            vectors = q @ turned[:, order]
+            out[t] = values[order], vectors
+            off = np.linalg.norm(images[t] @ turned[:, order] - vectors * values[order], axis=0)
+            fresh = product
+            for _ in range(2):
+                fresh = fresh - q @ (q.T @ fresh)
+            left, sizes, _ = np.linalg.svd(fresh, full_matrices=False)
+            fresh = left[:, sizes > 1e-12 * max(values.max(), 1e-300)][:, : len(q) - q.shape[1]]
+            if off.max() <= RESIDUAL * max(values.max(), 1e-300) or not fresh.shape[1]:
+                del newest[t]
+            else:
+                basis[t], newest[t] = np.hstack([q, fresh]), fresh
+        if not newest:
+            break
+    return out
+
+
 def compute_pca(expression: DataFrame, cells: DataFrame, n_pca: int = 30, center: bool = True, scale: bool = True, center_per_slide: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores (slide, cell_type, cell_id, pc, score), loadings (cell_type, gene, pc, loading) and sdev (cell_type, pc, sdev).
 
-    The Gram matrix, genes times genes, is decomposed on the driver, one type after another; scores stay distributed.  The
+    The Gram matrix of up to MOST_GENES genes is decomposed on the driver, one type after another, of more genes only their products with
+    some vectors get there; scores stay distributed.  The
     largest score of each component is positive.
     """
     spark = cells.sparkSession
@@ -100,7 +166,9 @@ def compute_pca(expression: DataFrame, cells: DataFrame, n_pca: int = 30, center
     genes = genes_by_type(moments)
     known = numbered(moments, genes)
     rows = materialize(packed(expression, cells, known, center_per_slide), "packed")
-    lines = materialize(gram_lines(rows, known, genes), "gram")
+    few = {ct: names for ct, names in genes.items() if len(names) <= MOST_GENES}
+    many = {ct: names for ct, names in genes.items() if ct not in few}
+    of = lambda df, kinds: df.where(F.col("cell_type").isin(list(kinds)))
     sizes = {r["cell_type"]: (r["n"], r["k"]) for r in cells.groupBy("cell_type").agg(F.count("*").alias("n"), F.count_distinct("slide").alias("k")).collect()}
     rotations, sdevs = {}, []
     for ct, names in genes.items():
@@ -108,6 +176,14 @@ def compute_pca(expression: DataFrame, cells: DataFrame, n_pca: int = 30, center
         rank = min(n - (k if center_per_slide and center else 1), len(names) - 1)
         if not 1 <= n_pca <= rank:
             raise ValueError(f"n_pca must be between 1 and {rank} for {ct}")
+    found = leading(of(rows, many), of(known, many), many, n_pca) if many else {}
+    lines = materialize(gram_lines(of(rows, few), of(known, few), few), "gram") if few else None
+    for ct, names in genes.items():
+        n = sizes[ct][0]
+        if ct in found:
+            values, rotations[ct] = found[ct]
+            sdevs += [(ct, pc, float(np.sqrt(max(v, 0.0) / (n - 1)))) for pc, v in enumerate(values, 1)]
+            continue
         g = np.zeros((len(names), len(names)))
         mine = lines.where(F.col("cell_type") == ct).select("k", "line").toArrow()
         for at, line in zip(mine["k"].to_pylist(), mine["line"], strict=True):
