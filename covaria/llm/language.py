@@ -4,7 +4,7 @@ A first set of linear support vector machines, one against the rest, predicts th
 languages one-versus-one linear machines, one for each pair of close relatives, vote.  Features are hashed byte trigrams
 of the whole lower-cased text, square roots of their shares (so that a text has unit length).
 
-Training takes a bounded sample: about TRAIN_DOCS labelled documents in all, the same number from each language, by a hash of
+Training takes a bounded sample: about TRAIN_DOCS labelled documents in all (by distinct id and label), the same number from each language, by a hash of
 their id, each as a whole and as short excerpts from all over it (so that short texts are known too).  Only text and label
 are learned from; ``lang`` of the rows to predict is never looked at.
 
@@ -28,6 +28,8 @@ from covaria.llm.common import scan
 
 #: Bound on the documents that are learned from.
 TRAIN_DOCS = 3000
+#: Bound on the labels; machines inside a family grow with the square of its languages.
+MOST_LABELS = 512
 EXCERPTS = 2
 DIM = 2048
 UNKNOWN = "und"
@@ -148,16 +150,19 @@ def held_out(id_) -> F.Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit a model on a sample of the rows that are not held out; at most a little over ``train_docs`` rows reach the driver."""
+    """Fit a model on a sample of the rows that are not held out; about ``train_docs`` rows reach the driver, and more than MOST_LABELS labels are refused."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("id").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     if not counts:
         return Model([], np.zeros((DIM + 1, 0)), {})
     each = train_docs / len(counts)
     chance = F.lit(0)
     for lang, n in counts.items():
         chance = F.when(F.col("lang") == lang, int(min(1.0, each / n) * (1 << 30))).otherwise(chance)
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < chance).limit(2 * train_docs)
+    # rows that repeat an id and label are one example
+    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < chance).groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def kernel(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"draw": [], "lang": [], "x": []}

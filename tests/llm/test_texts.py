@@ -281,3 +281,42 @@ def test_field_on_other_shapes():
     assert all(pii.all_spans(t, field)[1] == [] for t in clean)
     assert pii.all_spans("password: correcthorsebattery", field)[1] == [("secret", 10, 29)]
     assert pii.all_spans("The password: required. A token = none", field)[1] == []
+
+
+def plain_language(text, model):
+    """Family first, then every duel in it, with trigrams counted one by one."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und"
+    data = (" " + " ".join(text.lower().split()) + " ").encode()
+    counts = [0.0] * language.DIM
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        counts[((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % (1 << 32)) >> 21] += 1
+    x = [(c / max(len(data) - 2, 1)) ** 0.5 for c in counts] + [1.0]
+    dot = lambda w: sum(u * v for u, v in zip(x, w.tolist(), strict=True))
+    margins = [dot(model.by_family[:, k]) for k in range(len(model.families))]
+    k = margins.index(max(margins))
+    members = model.families[k]
+    if k not in model.pairs:
+        return members[0]
+    votes, backing = [0] * len(members), [0.0] * len(members)
+    for column, (i, j) in enumerate(model.pairs[k][0]):
+        m = dot(model.pairs[k][1][:, column])
+        votes[i if m >= 0 else j] += 1
+        backing[i] += m
+        backing[j] -= m
+    return members[max(range(len(members)), key=lambda i: (votes[i], backing[i]))]
+
+
+def test_language_against_plain(spark):
+    """All predictions against a plain version: close relatives, short texts, one with a clashing column, and no letters."""
+    rng = random.Random(21)
+    styles = {"en": "the of and thing house", "de": "der und ding haus nicht", "nl": "het en ding huis niet", "fr": "le et chose maison pas", "es": "el y cosa casa no", "zz": "qoq xix vuv"}
+    data = [(k, prose(rng, rng.randint(1, 60), styles[lang].split()), lang) for k, lang in enumerate(sorted(styles) * 40)]
+    data += [(900, None, "en"), (901, "12 34", "en"), (902, "", None), (903, "haus", None), (903, "haus", None)]
+    df = spark.createDataFrame([(*d, "x", 0.5) for d in data], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language.learn(df)
+    got = language.predict(df, model).collect()
+    assert len(got) == len(data) and sorted(f for f in model.families if len(f) > 1) == [["de", "en", "nl"], ["es", "fr"]]
+    want = {k: plain_language(t, model) for k, t, _ in data}
+    assert all(r.lang_pred == want[r.doc_id] and 0 <= r.score <= 1 for r in got)
+    assert sum(r.lang_pred == dict((k, v) for k, _, v in data)[r.doc_id] for r in got if r.doc_id < 240) > 230
