@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: Packed rows that are dense at once (16 MB at most for 4,000 columns).
 ROWS_AT_ONCE = 512
+#: Columns of a symmetric product that are multiplied with all that follow.
+COLUMNS_AT_ONCE = 384
 #: Lines of a product in one Arrow batch (2 MB at most).
 LINES_AT_ONCE = 64
 
@@ -66,7 +68,12 @@ def product_lines(rows: DataFrame, keys: list[str], deal_by: str, width: Callabl
                 now, total = key, np.zeros((n, n))
             x = dense_rows(part, n)
             y = dense_rows(part, n, "k2", "v2") if other else x
-            total += (x * part.column("weight").to_numpy()[:, None]).T @ y
+            x = x * part.column("weight").to_numpy()[:, None]
+            if other:
+                total += x.T @ y
+            else:  # the upper triangle is enough
+                for at in range(0, n, COLUMNS_AT_ONCE):
+                    total[at : at + COLUMNS_AT_ONCE, at:] += x[:, at : at + COLUMNS_AT_ONCE].T @ y[:, at:]
         yield from lines_of(now, total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 
 from covaria.sources.store import materialize
 
+#: Candidates that are matched in one group, about.
+STRIP_CELLS = 2048
 METHODS = ("bin", "global", "toroidal", "pc")
 
 
@@ -68,15 +69,23 @@ def toroidal_permutation(cells: DataFrame, n: int, seed: int = 1) -> DataFrame:
     return ranked.drop("a").join(source, ["draw", "slide", "cell_type", "b"]).select("draw", "slide", "cell_type", "cell_id", "source_id")
 
 
-def match_by_quantile(ox, oy, cx, cy) -> np.ndarray:
-    """For each original point in turn the nearest free candidate by within-tile quantiles."""
-    q = lambda v: pd.Series(v).rank(method="average").to_numpy() / (len(v) + 1) if len(v) > 1 else np.array([0.5])
-    far = (q(ox)[:, None] - q(cx)[None, :]) ** 2 + (q(oy)[:, None] - q(cy)[None, :]) ** 2
-    out = np.empty(len(ox), int)
-    for k in range(len(ox)):
-        out[k] = int(np.argmin(far[k]))
-        far[:, out[k]] = np.inf
-    return out
+def nearest_free(points: np.ndarray, offers: np.ndarray) -> np.ndarray:
+    """For each point in turn the nearest offer that no point before it took (the first of equals); needs as many offers as points."""
+    free = np.arange(len(offers))
+    taken = np.empty(len(points), int)
+    for k, point in enumerate(points):
+        at = int(((offers[free] - point) ** 2).sum(axis=1).argmin())
+        taken[k] = free[at]
+        free = np.delete(free, at)
+    return taken
+
+
+def _with_quantiles(df: DataFrame, key: list[str], x: str, y: str, name: str) -> DataFrame:
+    """qx, qy: mean ranks within the key over one more than the number of rows (so 1/2 for a single one); place: the rank by x, from 0."""
+    whole = Window.partitionBy(*key)
+    mean_rank = lambda v: F.rank().over(whole.orderBy(v)) + (F.count("*").over(Window.partitionBy(*key, v)) - 1) / 2
+    placed = df.withColumn("size", F.count("*").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(x, name)) - 1)
+    return placed.withColumn("qx", mean_rank(x) / (F.col("size") + 1)).withColumn("qy", mean_rank(y) / (F.col("size") + 1))
 
 
 def resample_spatial(cells: DataFrame, n: int = 1, bins_x: int = 10, bins_y: int = 10, match_quantile: bool = False, seed: int = 1) -> DataFrame:
@@ -98,7 +107,7 @@ def resample_spatial(cells: DataFrame, n: int = 1, bins_x: int = 10, bins_y: int
     sizes = placed.groupBy(*group, F.col("tx").alias("cx"), F.col("ty").alias("cy")).agg(F.count("*").alias("cn"))
     before = F.coalesce(F.sum("cn").over(Window.partitionBy("draw", *group, "tx", "ty").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = near.join(sizes, [*group, "cx", "cy"]).withColumn("before", before).where(F.col("before") < F.col("n"))
-    total = used.groupBy("draw", *group, "tx", "ty").agg(F.sum("cn").alias("total"))
+    total = used.groupBy("draw", *group, "tx", "ty").agg(F.sum("cn").alias("total"), F.max("n").alias("wanted"))
     pool = used.join(placed.select(*group, F.col("tx").alias("cx"), F.col("ty").alias("cy"), F.col("cell_id").alias("source_id"), F.col("x").alias("sx"), F.col("y").alias("sy")), [*group, "cx", "cy"])
     key = ["draw", *group, "tx", "ty"]
     want = _draws(placed, n)
@@ -108,13 +117,18 @@ def resample_spatial(cells: DataFrame, n: int = 1, bins_x: int = 10, bins_y: int
         def match(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             a, b = a.sort_values("cell_id"), b.sort_values(["o", "source_id"])
             if len(b) >= len(a):
-                got = b["source_id"].to_numpy()[match_by_quantile(a["x"], a["y"], b["sx"], b["sy"])]
+                got = b["source_id"].to_numpy()[nearest_free(a[["qx", "qy"]].to_numpy(), b[["qx", "qy"]].to_numpy())]
             else:
                 got = b["source_id"].to_numpy()[np.arange(len(a)) % max(len(b), 1)]
             return a[["draw", "slide", "cell_type", "cell_id"]].assign(source_id=got)
 
-        pool = materialize(pool, "pool")
-        return want.groupBy(*key).cogroup(pool.groupBy(*key)).applyInPandas(match, fit)
+        # tiles of many candidates are matched in strips by x, so that no task gets a whole crowded tile; a candidate's rank is
+        # taken to that of a cell first, so that a strip never has fewer candidates than cells if the tile hasn't
+        strips = total.withColumn("strips", F.ceil(F.col("total") / STRIP_CELLS).cast("int"))
+        strip = lambda place: F.floor(place * F.col("strips") / F.col("wanted")).cast("int").alias("strip")
+        asked = _with_quantiles(want, key, "x", "y", "cell_id").join(strips, key).select(*key, "cell_id", "qx", "qy", strip(F.col("place")))
+        offered = _with_quantiles(materialize(pool, "pool"), key, "sx", "sy", "source_id").join(strips, key).select(*key, "o", "source_id", "qx", "qy", strip(F.floor(F.col("place") * F.col("wanted") / F.col("total"))))
+        return asked.groupBy(*key, "strip").cogroup(offered.groupBy(*key, "strip")).applyInPandas(match, fit)
     order = Window.partitionBy(*key)
     offered = pool.withColumn("r", F.row_number().over(order.orderBy(_hash(seed, "draw", "tx", "ty", "source_id"), "source_id")) - 1).select(*key, "source_id", "r")
     asked = want.withColumn("a", F.row_number().over(order.orderBy(_hash(seed, "draw", "cell_id"), "cell_id")) - 1).join(total, key).withColumn("r", F.pmod(F.col("a"), F.col("total")).cast("int"))

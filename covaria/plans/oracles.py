@@ -166,6 +166,7 @@ ORACLES: dict[str, str] = {
   SELECT slide, ct_1, ct_2, n::BIGINT AS n_pairs, round(max(d) FILTER (r = floor((n - 1) * p)) + ((n - 1) * p - floor((n - 1) * p)) * (max(d) FILTER (r = ceil((n - 1) * p)) - max(d) FILTER (r = floor((n - 1) * p))), 10) AS low FROM rk GROUP BY slide, ct_1, ct_2, n, p""",
     "conditioned_distances": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"))}
   SELECT slide, ct_1, ct_2, count(*)::BIGINT AS n, round(min(greatest(d, low) * f), 5) AS least, round(sum(greatest(d, low) * f), 5) AS total FROM dist JOIN dist_low USING (slide, ct_1, ct_2), dist_f GROUP BY ALL""",
+    "kernel_doubly_stochastic": f"""{with_(CELLS, kern(PAIRS, sigmas="(VALUES (0.2::DOUBLE))"))} SELECT {BLOCK}, count(DISTINCT i)::BIGINT AS "rows", count(DISTINCT j)::BIGINT AS "columns" FROM kern GROUP BY ALL""",
     "self_distance_factor": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"), dist(SELVES, "own"), low("own"))} SELECT round(dist_f.f, 5) AS cross_factor, round(own_f.f, 5) AS own_factor FROM dist_f, own_f""",
     "self_kernel_own_factor": f"""{with_(CELLS, SIZES, dist(SELVES, "own"), low("own"))},
   scaled AS (SELECT slide, ct_1, ct_2, greatest(d, low) * f AS d FROM own JOIN own_low USING (slide, ct_1, ct_2), own_f),
@@ -190,6 +191,8 @@ ORACLES: dict[str, str] = {
   SELECT ct AS cell_type, gene, n::BIGINT AS n, 0.0::DOUBLE AS center, sd < 1e-3 OR nz / n < 0.01 AS guarded, round(CASE WHEN sd < 1e-3 OR nz / n < 0.01 THEN 1.0 ELSE sd END, 6) AS scale FROM stat""",
     "gram_matrix": f"""{with_(CELLS, MOMENTS)}, zz AS (SELECT e.cell_id, mom.ct, e.gene, (e.v - m) / CASE WHEN guarded THEN 1.0 ELSE sd END AS s FROM expr e JOIN cells c USING (cell_id) JOIN mom ON mom.ct = c.ct AND mom.slide = c.slide AND mom.gene = e.gene)
   SELECT a.ct AS cell_type, a.gene AS gene_1, b.gene AS gene_2, round(sum(a.s * b.s), 5) + 0.0 AS g FROM zz a JOIN zz b ON a.cell_id = b.cell_id AND a.gene <= b.gene GROUP BY ALL""",
+    "principal_components": f"""{with_(CELLS)}, g AS (SELECT DISTINCT ct, gene FROM cells JOIN expr USING (cell_id)), n AS (SELECT ct AS cell_type, count(*) AS genes FROM g GROUP BY ALL)
+  SELECT cell_type, pc::INT AS pc, true AS eigenpair, true AS spread_is_sdev, true AS descending FROM n, range(1, 6) r(pc)""",
     "cross_operator": f"{with_(CELLS, kern(PAIRS))} SELECT sigma, ct_1, ct_2, a.cc AS pc_1, b.cc AS pc_2, round(sum(k * a.score * b.score), 6) + 0.0 AS y FROM kern JOIN fixed a ON a.cell_id = i JOIN fixed b ON b.cell_id = j GROUP BY ALL",
     "cross_operator_by_slide": f"{with_(CELLS, kern(PAIRS))} SELECT {BLOCK.replace('slide', 'kern.slide')}, a.cc AS pc_1, b.cc AS pc_2, round(sum(k * a.score * b.score), 6) + 0.0 AS y FROM kern JOIN fixed a ON a.cell_id = i JOIN fixed b ON b.cell_id = j GROUP BY ALL",
     "kernel_norms": f"{with_(CELLS, SIZES, kern(PAIRS), norms())} SELECT {BLOCK}, round(norm, 6) AS norm FROM norms",
@@ -264,10 +267,7 @@ ORACLES: dict[str, str] = {
     "kendall_tau": f"""{with_(CELLS)}, m AS (SELECT gene, median(v) AS x, max(v) AS y FROM expr GROUP BY ALL), d AS (SELECT sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM m a JOIN m b ON a.gene < b.gene)
   SELECT round(sum(dx * dy) / sqrt(sum(abs(dx))::DOUBLE * sum(abs(dy))), 6) + 0.0 AS tau FROM d""",
     "dataset_round_trip": f"{with_(CELLS)} SELECT slide, ct AS cell_type, count(*)::BIGINT AS n, round(sum(v), 6) + 0.0 AS total FROM expr JOIN cells USING (cell_id) GROUP BY ALL",
-    "split_large_slides": None,
-    "kernel_doubly_stochastic": None,
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
 ORACLES["plot_bidirectional"] = " UNION ALL ".join(
     f"SELECT '{kind}' AS kind, sigma, slide, ct_1 || '-' || ct_2 AS pair, cc, bidir_correlation FROM ({ORACLES[name]})" for kind, name in (("cross", "bidirectional_correlation"), ("self", "bidirectional_self"))
 )

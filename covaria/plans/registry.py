@@ -6,7 +6,7 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covaria.operators import association, crossop, genespace, genetest, kernel, neighbors, pca, resample, scores, subset
@@ -243,10 +243,18 @@ def gram_matrix(spark, sf_dir):
 
 @query
 def principal_components(spark, sf_dir):
+    """Five components of each type, held against the Gram matrix: G v = (n - 1) sdev^2 v, and the scores have that deviation."""
     ex, cells = fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir)
-    s, _, sdev = pca.compute_pca(ex, cells, 5)
+    s, load, sdev = pca.compute_pca(ex, cells, 5)
+    g = pca.gram(ex, cells, pca.gene_moments(ex, cells))
+    whole = g.unionByName(g.where("gene_1 <> gene_2").select("cell_type", F.col("gene_2").alias("gene_1"), F.col("gene_1").alias("gene_2"), "g"))
+    turned = whole.join(load.withColumnRenamed("gene", "gene_2"), ["cell_type", "gene_2"]).groupBy("cell_type", "pc", F.col("gene_1").alias("gene")).agg(F.sum(F.col("g") * F.col("loading")).alias("gv"))
     spread = s.groupBy("cell_type", "pc").agg(F.sum(F.col("score") ** 2).alias("ss"), F.count("*").alias("n"))
-    return rounded(spread.join(sdev, ["cell_type", "pc"]).select("cell_type", "pc", "sdev", F.sqrt(F.col("ss") / (F.col("n") - 1)).alias("spread")), "sdev", "spread", digits=5)
+    value = (F.col("n") - 1) * F.col("sdev") ** 2
+    both = turned.join(load, ["cell_type", "pc", "gene"]).join(spread, ["cell_type", "pc"]).join(sdev, ["cell_type", "pc"])
+    ok = both.groupBy("cell_type", "pc", "sdev", "ss", "n").agg((F.max(F.abs(F.col("gv") - value * F.col("loading"))) < 1e-6 * F.max(value)).alias("eigenpair"), (F.abs(F.sum(F.col("loading") ** 2) - 1) < 1e-9).alias("unit"))
+    falling = F.col("sdev") <= F.coalesce(F.lag("sdev").over(Window.partitionBy("cell_type").orderBy("pc")), F.lit(float("inf")))
+    return ok.select("cell_type", "pc", (F.col("eigenpair") & F.col("unit")).alias("eigenpair"), (F.abs(F.sqrt(F.col("ss") / (F.col("n") - 1)) - F.col("sdev")) < 1e-8 * F.col("sdev")).alias("spread_is_sdev"), falling.alias("descending"))
 
 
 def _fixed_pcs(spark, sf_dir):

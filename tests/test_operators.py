@@ -101,6 +101,39 @@ def test_permutations_are_bijections(spark, method):
         assert {r.cell_id for r in part} == {r.source_id for r in part} == set(range(48))
 
 
+@pytest.mark.parametrize("strip", [2048, 4])
+def test_quantile_matched_draws(spark, monkeypatch, strip):
+    """Every cell takes from a candidate at most once where there are enough, the nearest free one by quantiles in one strip."""
+    monkeypatch.setattr(resample, "STRIP_CELLS", strip)
+    rng = np.random.default_rng(8)
+    rows = [("s", "T", k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 1, (40, 2)).round(1))]
+    df = spark.createDataFrame(rows, "slide string, cell_type string, cell_id long, x double, y double")
+    got = {(r.draw, r.cell_id): r.source_id for r in resample.resample_spatial(df, 2, 2, 2, match_quantile=True).collect()}
+    assert set(got) == {(d, k) for d in (1, 2) for k in range(40)}
+    if strip < 40:
+        return
+    tile = {r.cell_id: (r.tx, r.ty) for r in resample.tiles(df, 2, 2).collect()}
+    # which tile a tile takes from first shows in what the plain draws of the same seed take
+    plain = {(r.draw, r.cell_id): r.source_id for r in resample.resample_spatial(df, 2, 2, 2).collect()}
+    mean_rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v]) / (len(v) + 1)
+    for draw in (1, 2):
+        for t in set(tile.values()):
+            mine = [k for k in range(40) if tile[k] == t]
+            used = {tile[plain[draw, k]] for k in mine} | {tile[got[draw, k]] for k in mine}
+            if len(used) > 1 or len(pool := [k for k in range(40) if tile[k] in used]) < len(mine):
+                continue
+            q = {}
+            for ids in (mine, pool):
+                x, y = np.array([rows[k][3] for k in ids]), np.array([rows[k][4] for k in ids])
+                q[id(ids)] = np.column_stack([mean_rank(x), mean_rank(y)])
+            free, want = list(range(len(pool))), []
+            for p in q[id(mine)]:
+                best = min(free, key=lambda j: (round(((q[id(pool)][j] - p) ** 2).sum(), 12), j))
+                free.remove(best)
+                want.append(pool[best])
+            assert [got[draw, k] for k in mine] == want
+
+
 def test_gene_tests_against_numpy(spark):
     rng = np.random.default_rng(5)
     n = 80
@@ -113,7 +146,20 @@ def test_gene_tests_against_numpy(spark):
     beta, rss, *_ = np.linalg.lstsq(design, y, rcond=None)
     assert math.isclose(glm.estimate, beta[1], rel_tol=1e-9) and 0 < glm.pvalue < 1e-3 and glm.z_score > 3
     lmm = genetest.test_gene_scores(ex, sc, "lmm").first()
-    assert abs(lmm.estimate - 0.5) < 0.1 and lmm.pvalue < 1e-6
+    assert lmm.pvalue < 1e-6
+    # restricted likelihood by whole matrices, over a fine grid of the ratio of variances
+    groups = np.kron(np.eye(4), np.ones((n // 4, 1)))
+
+    def fit(ratio):
+        inverse = np.linalg.inv(np.eye(n) + ratio * groups @ groups.T)
+        a = design.T @ inverse @ design
+        beta = np.linalg.solve(a, design.T @ inverse @ y)
+        rest = y - design @ beta
+        s2 = rest @ inverse @ rest / (n - 2)
+        return (n - 2) * np.log(s2) - np.linalg.slogdet(inverse)[1] + np.linalg.slogdet(a)[1], beta[1], np.sqrt(s2 * np.linalg.inv(a)[1, 1])
+
+    _, slope, error = min(fit(r) for r in np.logspace(-1, 3, 400))
+    assert math.isclose(lmm.estimate, slope, rel_tol=1e-5) and math.isclose(lmm.pvalue, math.erfc(abs(slope / error) / math.sqrt(2)), rel_tol=0.05)
 
 
 def test_entry_without_training_data_operators(monkeypatch):
