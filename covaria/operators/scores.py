@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.operators.dense import product_lines
+
 
 def cell_scores(pc_scores: DataFrame, weights: DataFrame) -> DataFrame:
     """PC scores times weights (cell_type, pc, cc, w[, sigma]): (…, slide, cell_type, cell_id, cc, score)."""
@@ -74,6 +76,15 @@ def transfer_scores(reference: DataFrame, target: DataFrame, weights: DataFrame,
     return z.join(used, ["cell_type", "gene"]).groupBy(*own, "slide", "cell_type", "cell_id", "cc").agg(F.sum(F.col("z") * F.col("w")).alias("score"))
 
 
+def squares(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(*keys, p, q, v): X'X over the components (pc below ``width``, score) of each block, from dense products of one packed row for each cell."""
+    packed = rows.groupBy(*keys, "cell_id").agg(F.collect_list(F.struct(F.col("pc").alias("k"), F.col("score").alias("v"))).alias("kv"))
+    packed = packed.select(*keys, "cell_id", F.lit(1.0).alias("weight"), F.col("kv.k").alias("k"), F.col("kv.v").alias("v"))
+    lines = product_lines(packed, keys, "cell_id", lambda key: width)
+    upper = lines.select(*keys, F.col("k").alias("p"), F.posexplode("line").alias("more", "v")).select(*keys, "p", (F.col("p") + F.col("more")).alias("q"), "v").where("p > 0")
+    return upper.unionByName(upper.where("p <> q").select(*keys, F.col("q").alias("p"), F.col("p").alias("q"), "v"))
+
+
 def supervised_axis(pc_scores: DataFrame, label: DataFrame) -> DataFrame:
     """(cell_type, pc, cc, w) of unit length: least squares of a label (cell_id, y) on the components, by normal equations."""
     import numpy as np
@@ -82,7 +93,7 @@ def supervised_axis(pc_scores: DataFrame, label: DataFrame) -> DataFrame:
     p = pc_scores.join(label, "cell_id")
     means = p.groupBy("cell_type", "pc").agg(F.avg("score").alias("m"), F.avg("y").alias("my"))
     c = p.join(means, ["cell_type", "pc"]).select("cell_type", "cell_id", "pc", (F.col("score") - F.col("m")).alias("s"), (F.col("y") - F.col("my")).alias("y"))
-    xx = c.alias("a").join(c.alias("b"), ["cell_type", "cell_id"]).groupBy("cell_type", F.col("a.pc").alias("p"), F.col("b.pc").alias("q")).agg(F.sum(F.col("a.s") * F.col("b.s")).alias("v")).toPandas()
+    xx = squares(c.withColumnRenamed("s", "score"), ["cell_type"], 1 + max((r[0] for r in means.agg(F.max("pc")).collect()), default=0)).toPandas()
     xy = c.groupBy("cell_type", "pc").agg(F.sum(F.col("s") * F.col("y")).alias("v")).toPandas()
     out = []
     for ct, part in xx.groupby("cell_type"):

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from covaria.functions import solve
 from covaria.operators import association, crossop, genespace, genetest, neighbors, pca, resample, scores, subset
 from covaria.operators import kernel as kernels
-from covaria.operators.dense import product_lines
 from covaria.sources.cells import CellSet
 from covaria.sources.store import materialize
 
@@ -148,12 +147,7 @@ class Analysis:
         return {key[0]: np.linalg.eigh(m)[1][:, -1] for key, m in found.items()}
 
     def _squares(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """(*keys, p, q, v): X'X of each block, from dense products of one packed row for each cell."""
-        packed = rows.groupBy(*keys, "cell_id").agg(F.collect_list(F.struct((F.col("pc") - 1).alias("k"), F.col("score").alias("v"))).alias("kv"))
-        packed = packed.select(*keys, "cell_id", F.lit(1.0).alias("weight"), F.col("kv.k").alias("k"), F.col("kv.v").alias("v"))
-        lines = product_lines(packed, keys, "cell_id", lambda key, n=self.n_pca: n)
-        upper = lines.select(*keys, F.col("k").alias("i"), F.posexplode("line").alias("more", "v")).select(*keys, (F.col("i") + 1).alias("p"), (F.col("i") + F.col("more") + 1).alias("q"), "v")
-        return upper.unionByName(upper.where("p <> q").select(*keys, F.col("q").alias("p"), F.col("p").alias("q"), "v"))
+        return scores.squares(rows, keys, self.n_pca + 1)
 
     def _weight_rows(self, sigma: float, w: solve.Weights) -> list[tuple]:
         return [(float(sigma), t, pc + 1, cc + 1, float(w[t][pc, cc])) for t in self.types for pc in range(w[t].shape[0]) for cc in range(w[t].shape[1])]

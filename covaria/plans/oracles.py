@@ -167,6 +167,7 @@ ORACLES: dict[str, str] = {
     "conditioned_distances": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"))}
   SELECT slide, ct_1, ct_2, count(*)::BIGINT AS n, round(min(greatest(d, low) * f), 5) AS least, round(sum(greatest(d, low) * f), 5) AS total FROM dist JOIN dist_low USING (slide, ct_1, ct_2), dist_f GROUP BY ALL""",
     "kernel_doubly_stochastic": f"""{with_(CELLS, kern(PAIRS, sigmas="(VALUES (0.2::DOUBLE))"))} SELECT {BLOCK}, count(DISTINCT i)::BIGINT AS "rows", count(DISTINCT j)::BIGINT AS "columns" FROM kern GROUP BY ALL""",
+    "plot_slicing": f"{with_(CELLS)} SELECT slide, count(*)::BIGINT AS cells, true AS bounded, count(*) > 100 AS named, round(sum(x), 6) + 0.0 AS sx, round(sum(y), 6) + 0.0 AS sy FROM cells GROUP BY ALL",
     "self_distance_factor": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"), dist(SELVES, "own"), low("own"))} SELECT round(dist_f.f, 5) AS cross_factor, round(own_f.f, 5) AS own_factor FROM dist_f, own_f""",
     "self_kernel_own_factor": f"""{with_(CELLS, SIZES, dist(SELVES, "own"), low("own"))},
   scaled AS (SELECT slide, ct_1, ct_2, greatest(d, low) * f AS d FROM own JOIN own_low USING (slide, ct_1, ct_2), own_f),

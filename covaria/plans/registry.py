@@ -94,6 +94,16 @@ def split_large_slides(spark, sf_dir):
     return split_slides(fixture.cells(spark, sf_dir), 100).groupBy("slide").agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("largest"), F.sum("n").alias("cells"))
 
 
+@query
+def plot_slicing(spark, sf_dir):
+    """Every cell of a slide in a block of at most 100 of its own."""
+    cells = fixture.cells(spark, sf_dir)
+    table = report.slicing(cells, split_slides(cells, 100))
+    sizes = table.groupBy("slide", "block").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    named = F.min(F.col("block").startswith(F.concat("slide", F.lit("_blk")))).alias("named")
+    return rounded(sizes.groupBy("slide").agg(F.sum("n").alias("cells"), (F.max("n") <= 100).alias("bounded"), named, F.sum("sx").alias("sx"), F.sum("sy").alias("sy")), "sx", "sy")
+
+
 @query
 def distance_cross(spark, sf_dir):
     edges = neighbors.distance_edges(neighbors.scaled(fixture.cells(spark, sf_dir)), PAIRS)

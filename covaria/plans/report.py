@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.sources.store import materialize
+
 
 def correlation_by_sigma(association: DataFrame, cc: int = 1) -> DataFrame:
     return association.where(F.col("cc") == cc).select(F.concat_ws("-", "ct_1", "ct_2").alias("pair"), "sigma", "normalized_correlation").orderBy("pair", "sigma")
@@ -15,6 +17,11 @@ def scores_in_place(scores: DataFrame, cells: DataFrame, cc: int = 1) -> DataFra
     return scores.where(F.col("cc") == cc).select("cell_id", "score").join(cells.select("cell_id", "slide", "cell_type", "x", "y"), "cell_id")
 
 
+def slicing(cells: DataFrame, split: DataFrame) -> DataFrame:
+    """(slide, block, cell_id, x, y): where each cell of a split slide has gone, for a panel of each original slide."""
+    return cells.select("cell_id", "slide", "x", "y").join(split.select("cell_id", F.col("slide").alias("block")), "cell_id").select("slide", "block", "cell_id", "x", "y")
+
+
 def smoothed_against_target(kernel: DataFrame, scores: DataFrame, sigma: float, ct_1: str, ct_2: str, cc: int = 1) -> DataFrame:
     """(slide, cell_id, smoothed, score): for each cell of the second type, the first type's scores seen through the kernel."""
     a = scores.where((F.col("cell_type") == ct_1) & (F.col("cc") == cc)).select(F.col("cell_id").alias("i"), F.col("score").alias("a"))
@@ -62,7 +69,7 @@ def type_shares_by_score(scores: DataFrame, bins: int = 20) -> DataFrame:
 
 def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     """Kendall's tau-b over all pairs of rows; for tables of a few thousand rows (group medians and the like)."""
-    a = df.select(F.monotonically_increasing_id().alias("r"), F.col(x).alias("x"), F.col(y).alias("y")).cache()
+    a = materialize(df.select(F.monotonically_increasing_id().alias("r"), F.col(x).alias("x"), F.col(y).alias("y")), "kendall")
     b = a.select(F.col("r").alias("r2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     s = a.join(b, F.col("r") < F.col("r2")).select(F.signum(F.col("x") - F.col("x2")).alias("dx"), F.signum(F.col("y") - F.col("y2")).alias("dy"))
     return s.agg((F.sum(F.col("dx") * F.col("dy")) / F.sqrt(F.sum(F.abs("dx")).cast("double") * F.sum(F.abs("dy")))).alias("tau"))

@@ -101,6 +101,34 @@ def test_permutations_are_bijections(spark, method):
         assert {r.cell_id for r in part} == {r.source_id for r in part} == set(range(48))
 
 
+def test_sources_of_other_forms(spark, tmp_path):
+    """A wide table, an annotated matrix (dense, sparse and raw) and catalogues in text formats hold the same data."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    matrix = np.array([[0.0, 1.5, 2.0], [3.0, 0.0, 0.5], [1.0, 1.0, 0.0], [0.0, 2.5, 1.0]])
+    at = np.array([[0.0, 0.5], [1.0, 1.5], [2.0, 0.0], [3.0, 1.0]])
+    want = {(i, f"g{j}", matrix[i, j]) for i in range(4) for j in range(3) if matrix[i, j]}
+    wide = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(matrix)], "id long, g0 double, g1 double, g2 double")
+    assert {tuple(r) for r in sources.from_wide(wide, "id", ["g0", "g1", "g2"]).collect()} == want
+    rows, cols = np.nonzero(matrix)
+    sparse = SimpleNamespace(tocoo=lambda: SimpleNamespace(row=rows, col=cols, data=matrix[rows, cols]))
+    obs = pd.DataFrame({"kind": ["A", "B", "A", "B"], "batch": ["s1", "s1", "s2", "s2"]})
+    raw = SimpleNamespace(var_names=["g0", "g1", "g2"], X=matrix)
+    for x, use_raw, layer in ((matrix, False, None), (sparse, False, None), (None, True, None), (None, False, "counts")):
+        made = sources.from_annotated(SimpleNamespace(obs=obs, obsm={"spatial": at}, var_names=raw.var_names, X=x, raw=raw, layers={"counts": matrix}), "kind", slide_key="batch", layer=layer, use_raw=use_raw, spark=spark)
+        assert {tuple(r) for r in made.expression.select("cell_id", "gene", "value").collect()} == want
+        assert {(r.slide, r.cell_type, r.x, r.y) for r in made.cells.collect()} == {(b, t, *p) for b, t, p in zip(obs["batch"], obs["kind"], at.tolist(), strict=True)}
+    for kind in ("csv", "json", "orc"):
+        made.cells.select("slide", "cell_type", "cell_id", "x", "y").write.format(kind).option("header", True).save(str(tmp_path / kind / "cells") + f".{kind}")
+        made.expression.write.format(kind).option("header", True).save(str(tmp_path / kind / "expression") + f".{kind}")
+        again = sources.load_dataset(spark, kind, str(tmp_path))
+        assert {tuple(r) for r in again.expression.select("cell_id", "gene", "value").collect()} == want and again.cells.count() == 4
+    with pytest.raises(ValueError):
+        sources.load_dataset(spark, "none", str(tmp_path))
+
+
 @pytest.mark.parametrize("strip", [2048, 4])
 def test_quantile_matched_draws(spark, monkeypatch, strip):
     """Every cell takes from a candidate at most once where there are enough, the nearest free one by quantiles in one strip."""
