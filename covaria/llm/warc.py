@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import functools
 import json
 import struct
 from collections.abc import Iterator
@@ -140,13 +141,19 @@ class Archive:
         at, packed, _ = self.frames.pop()
         self.index = json.loads(self.decompressor.decompress(read_bytes(uri, at + 8, packed - 8)))
 
+    @functools.cached_property
+    def places(self) -> dict[str, int]:
+        """Number of the first record with each id."""
+        ids = self.index.get("record_id", [])
+        return dict(zip(reversed(ids), range(len(ids) - 1, -1, -1), strict=True))
+
     def frame(self, k: int) -> bytes:
         at, packed, size = self.frames[k]
         return self.decompressor.decompress(read_bytes(self.uri, at, packed), max_output_size=size)
 
     def record(self, record_id: str) -> dict:
         """One record by its id, by reading one frame."""
-        i = self.index["record_id"].index(record_id)
+        i = self.places[record_id]
         at = self.index["offset"][i]
         return parse(self.frame(self.index["frame"][i])[at : at + self.index["length"][i]])
 

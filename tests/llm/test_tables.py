@@ -529,3 +529,23 @@ def test_pipeline_against_plain(spark, tmp_path):
     assert all(r.n_tokens == sizes[r.doc_id] for r in got)
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality_stage", "dedup_stage", "pii_stage", "mixing_stage", "packing_stage"]
     assert re.match("^[a-z]", corpus_pipeline.STAGES[0][0])
+
+
+@pytest.mark.parametrize("rows_too", [True, False])
+def test_pipeline_awkward_rows(spark, tmp_path, rows_too):
+    """Nulls in any column, very long texts, copies, repeated rows and clashing column names; and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = documents(spark) if rows_too else empty(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
+        out.write.parquet(str(tmp_path / f"stage-{k}"))
+        now = spark.read.parquet(str(tmp_path / f"stage-{k}"))
+        seen.append(now.count())
+    kept = [r for r in rows() if quality.judge(r[1])["kept"]]
+    different = {" ".join(words(quality.judge(r[1])["cleaned"])).replace("lake", "river") for r in kept}
+    assert seen[:3] == ([len(kept), len(different), len(different)] if rows_too else [0, 0, 0])
+    assert seen[3] == seen[4]
