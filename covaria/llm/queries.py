@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import ann, chat, language, mixing, packing, pii, quality, simhash, tokens, warc
+from covaria.llm import ann, audit, chat, language, mixing, packing, pii, quality, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +60,8 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_perspective_rotation, op4_private_data, op5_warc_bundles, op6_simhash, op7_length_buckets, op8_language, op9_quality_rules, op10_nearest_vectors)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_perspective_rotation, op4_private_data, op5_warc_bundles, op6_simhash, op7_length_buckets, op8_language, op9_quality_rules, op10_nearest_vectors, op11_filter_audit)}
