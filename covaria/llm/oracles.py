@@ -146,4 +146,15 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(
 FROM leaves JOIN subroots USING (g) JOIN (SELECT doc, proof, h FROM walk WHERE done) ON doc = r
 """
 
-ORACLES = {"op3_perspective_rotation": CHAT, "op5_warc_bundles": WARC, "op2_source_mixing": MIX, "op9_quality_rules": QUALITY, "op11_filter_audit": AUDIT, "op12_merkle_manifest": MERKLE}
+TOPK = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.v, c.v))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op3_perspective_rotation": CHAT, "op5_warc_bundles": WARC, "op2_source_mixing": MIX, "op9_quality_rules": QUALITY, "op11_filter_audit": AUDIT, "op12_merkle_manifest": MERKLE, "op13_exact_top_k": TOPK}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import ann, audit, chat, language, merkle, mixing, packing, pii, quality, simhash, tokens, warc
+from covaria.llm import ann, audit, chat, language, merkle, mixing, packing, pii, quality, simhash, tokens, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark, docs, claim=F.when(third, tampered))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_perspective_rotation, op4_private_data, op5_warc_bundles, op6_simhash, op7_length_buckets, op8_language, op9_quality_rules, op10_nearest_vectors, op11_filter_audit, op12_merkle_manifest)}
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_perspective_rotation, op4_private_data, op5_warc_bundles, op6_simhash, op7_length_buckets, op8_language, op9_quality_rules, op10_nearest_vectors, op11_filter_audit, op12_merkle_manifest, op13_exact_top_k)}

@@ -1,5 +1,6 @@
 """The filter audit, the dataset manifest and the exact search."""
 
+import math
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from covaria.llm import audit, merkle, queries
+from covaria.llm import audit, merkle, queries, topk
 from tests.llm.helpers import documents, empty, prose, rows, words
 
 
@@ -178,3 +179,63 @@ def test_forests_merge_in_any_order():
         a, b = pieces.pop(rng.integers(len(pieces))), pieces.pop(rng.integers(len(pieces)))
         pieces.append(a.merge(b))
     assert pieces[0].kept == whole.kept and not whole.open and not pieces[0].open
+
+
+def plain_top_k(data, top=5, every=50):
+    """All products in Python's whole numbers."""
+    sound = [(i, tuple(min(max(math.floor(256 * float(x)), -(2**63)), 2**63 - 1) for x in v)) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q in sorted({i for i, _ in sound if i % every == 0}):
+        found = {}
+        for j, c in set(sound):
+            for i, v in set(sound):
+                if i == q and j != q and len(v) == len(c):
+                    score = min(max(sum(a * b for a, b in zip(v, c, strict=True)), -(2**63)), 2**63 - 1)
+                    found[j] = max(found.get(j, score), score)
+        out += [(q, k + 1, j, s) for k, (j, s) in enumerate(sorted(found.items(), key=lambda t: (-t[1], t[0]))[:top])]
+    return out
+
+
+def searched(spark, data, **options):
+    df = spark.createDataFrame([(*d, "x", "x", 1) for d in data], "vec_id long, embedding array<double>, score string, shard string, floor int")
+    return sorted(map(tuple, topk.exact_top_k(spark, df, **options).collect()))
+
+
+@pytest.mark.parametrize("scale", [1.0, 3e5, 1e9])
+def test_top_k_against_all(spark, monkeypatch, scale):
+    """Small blocks and shards, a vector that a third of all rows share, repeated rows, several lengths, every odd value."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "LEAST_SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "PORTION_QUERIES", 4)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(450, 6)) + 4 * rng.normal(size=(9, 6))[rng.integers(9, size=450)]
+    x[:150] = x[0]
+    data = [(k, (scale * v).tolist()) for k, v in enumerate(x)]
+    data += [data[10], data[50], (50, (scale * x[400]).tolist()), (7, (scale * x[300]).tolist()), (500, None), (550, [None] * 6), (600, [float("nan")] * 6), (650, [float("inf")] * 6), (None, [1.0] * 6)]
+    data += [(700 + k, [float(k), 1.0]) for k in range(60)] + [(800, []), (801, []), (850, [0.0] * 6), (900, [scale] * 7)]
+    assert searched(spark, data) == plain_top_k(data)
+
+
+def test_top_k_beyond_a_long(spark):
+    data = [(k, [s * 1e300, 2.0**40, float(k)]) for k, s in enumerate([1, -1, 0, 1, -1])] + [(50, [1.0, 3e15, -2.0]), (100, [-1e20, 0.5, 1.0])]
+    assert searched(spark, data) == plain_top_k(data)
+
+
+def test_top_k_small_tables(spark):
+    assert searched(spark, []) == [] == searched(spark, [(0, [1.0])])
+    assert searched(spark, [(0, [1.0]), (3, [2.0]), (2, [2.0])]) == [(0, 1, 2, 131072), (0, 2, 3, 131072)]
+    assert len(searched(spark, [(k, [float(k % 7), 1.0]) for k in range(300)], top=20, query_every=100)) == 60
+
+
+def test_blocks_are_pruned():
+    """Near neighbours in the order: a search scores few blocks, and finds what scoring all finds."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 8)) * 300
+    x = np.floor(np.repeat(centres, 64, axis=0) + 10 * rng.normal(size=(3840, 8))).astype(np.int64)
+    ids, blocks = [np.arange(k, k + 64) for k in range(0, 3840, 64)], [x[k : k + 64] for k in range(0, 3840, 64)]
+    high, low = np.stack([b.max(axis=0) for b in blocks]), np.stack([b.min(axis=0) for b in blocks])
+    q = x[::97]
+    row, found, score, scored = topk.search_shard(q, np.full(len(q), -(2**63)), ids, blocks, high, low, np.float64, 5)
+    want = [sorted(zip((-(x @ v)).tolist(), range(3840), strict=True))[:5] for v in q]
+    assert [(r, i, s) for r, i, s in zip(row.tolist(), found.tolist(), score.tolist(), strict=True)] == [(k, i, -s) for k, w in enumerate(want) for s, i in w]
+    assert scored < 0.15 * len(q) * len(blocks)
