@@ -6,10 +6,12 @@ MinHash adds the rest: BANDS keys of BAND_ROWS minima each; a pair of similarity
 (1 - s^BAND_ROWS)^BANDS, 5e-5 at 0.8.  Within a key sets are compared by a byte of each of their minima, and those that agree
 in LEAST_EQUAL of them are linked loosely (a pair at exactly 0.8 agrees in fewer with probability 4e-6).
 
-Then whole texts are compared, once for each loose component and not for each pair: every set of a component goes to one task,
-or, in components of many sets, to as many as there are chunks of it, and there all pairs that agree in enough minima and in
-size are checked on the sets of hashes themselves, but for those that are already joined.  Neither step puts out more than
-one link for each set, so nothing grows with the pairs.
+Then whole texts are compared, once for each loose component and not for each pair.  A component of one chunk goes to one task, where all
+pairs that agree in enough minima and in size are checked on the sets of hashes themselves, but for those that are already joined.
+A larger one is dealt by chunks, and every chunk is compared with REPRESENTATIVES of its sets, so that each text is moved once and only
+the representatives' are copied.  What they join to the largest part is settled: pairs within it need no comparing.  The few sets that
+remain are compared with every chunk; if many remain, for lack of one common text, those comparisons grow with their
+number times the component's.  No step puts out more than one link for each set and representative.
 
 Only distinct sets are compared, so copies cost nothing.  A text is read by Python twice at most.  Rows are told apart by a hash
 of all their columns; up to BROADCAST_ROWS such hashes (8 bytes each) are broadcast to pick the texts to compare and to leave out
@@ -27,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +46,8 @@ KEY_CHUNK = 4096
 TEXT_CHUNK = 512
 #: Shingles of the sets of a chunk (8 bytes each), on average.
 CHUNK_SHINGLES = 1 << 20
+#: Sets of a large loose component that all its others are compared with first.
+REPRESENTATIVES = 8
 #: Row hashes that are broadcast at most: 16 MB, some 64 MB as a hash table.
 BROADCAST_ROWS = 2_000_000
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,9 +175,8 @@ def _loose(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return codes, codes[label]
 
 
-def _strict(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    codes, sizes, sketches, sides = _cell(rows)
-    sets = [shingles(t) for t in rows["text"].to_pylist()]
+def _truly_alike(sketches: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of the rest have a similarity of 0.8 or more with x, on the sets themselves."""
 
     def near(x: int, rest: np.ndarray) -> np.ndarray:
         fits = _alike(sketches, sizes, x, rest)
@@ -187,10 +190,25 @@ def _strict(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             fits[k] = 9 * int((mine[at] == theirs).sum()) >= 4 * (len(mine) + len(theirs))
         return fits
 
-    label = _reach(len(codes), sides, near)
+    return near
+
+
+def _strict(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    codes, sizes, sketches, sides = _cell(rows)
+    label = _reach(len(codes), sides, _truly_alike(sketches, sizes, [shingles(t) for t in rows["text"].to_pylist()]))
     return codes, codes[label]
 
 
+def _to_representatives(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Every member of a chunk with each representative (h = 1) that it is alike."""
+    codes, sizes, sketches, _ = _cell(rows)
+    near = _truly_alike(sketches, sizes, [shingles(t) for t in rows["text"].to_pylist()])
+    chosen = rows["h"].to_numpy() == 1
+    members = np.flatnonzero(~chosen)
+    found = [(members[near(x, members)], codes[x]) for x in np.flatnonzero(chosen).tolist()]
+    return np.concatenate([codes[m] for m, _ in found]), np.concatenate([np.full(len(m), x) for m, x in found])
+
+
 def _by_cell(df: DataFrame, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(u, v) of every cell (group, a, b) of ``df``; one cell at a time is held, however Arrow batches cut it."""
 
@@ -229,11 +247,8 @@ def _dealt(df: DataFrame, chunks: F.Column) -> DataFrame:
     return spread.withColumn("a", F.least("h", "o")).withColumn("b", F.greatest("h", "o")).drop("c", "o")
 
 
-def _loose_edges(spark: SparkSession, codes: DataFrame) -> DataFrame:
+def _loose_edges(spark: SparkSession, codes: DataFrame, members: DataFrame) -> DataFrame:
     """(u, v) between sets: what share a fingerprint or have close ones, and what agree in enough minima within a key."""
-    keyed = codes.select("code", F.explode("keys").alias("group"))
-    shared = keyed.groupBy("group").count().where("count > 1")
-    members = materialize(spark, keyed.join(shared, "group"), "neardup-members")
     live = members.join(codes.select("code", "n", "sketch"), "code")
     by_key = _by_cell(_dealt(live, F.ceil(F.col("count") / KEY_CHUNK).cast("int")).select("group", "a", "b", "h", "code", "n", "sketch"), _loose)
 
@@ -259,17 +274,52 @@ def linked(spark: SparkSession, rows: DataFrame, docs: DataFrame, text_col: str)
     """(node, root) of every set that is linked to another, roots included."""
     first = F.first(F.struct("row", "n", "fp", "keys", "sketch")).alias("s")
     codes = materialize(spark, rows.groupBy("code").agg(first).select("code", "s.*"), "neardup-sets")
-    loose = materialize(spark, _named(components(spark, _loose_edges(spark, codes))), "neardup-loose")
+    keyed = codes.select("code", F.explode("keys").alias("group"))
+    shared = keyed.groupBy("group").count().where("count > 1")
+    members = materialize(spark, keyed.join(shared, "group"), "neardup-members")
+    loose = materialize(spark, _named(components(spark, _loose_edges(spark, codes, members))), "neardup-loose")
     sizes = loose.join(codes.select("code", "row", "n", "sketch"), loose["node"] == F.col("code"))
     groups = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TEXT_CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    asked = sizes.join(groups, "root").select(F.col("root").alias("group"), "code", "row", "n", "sketch", "chunks")
+    # a set that shares its keys with many others is likely to be alike to many
+    known = members.groupBy("code").agg(F.sum("count").alias("met"))
+    asked = sizes.join(groups, "root").join(known, "code", "left").select(F.col("root").alias("group"), "code", "row", "n", "sketch", "chunks", F.coalesce("met", F.lit(0)).alias("met"))
     asked = materialize(spark, asked, "neardup-asked")
     wanted = _small(materialize(spark, asked.select("row"), "neardup-wanted"))
     texts = docs.select(_row_hash(docs).alias("row"), docs[text_col].alias("text")).join(wanted, "row", "left_semi")
     # rows that repeat, hash and all, have one text
-    texts = materialize(spark, texts.groupBy("row").agg(F.first("text").alias("text")), "neardup-texts")
-    cells = _dealt(asked.join(texts, "row"), F.col("chunks")).select("group", "a", "b", "h", "code", "n", "sketch", "text")
-    return _named(components(spark, _by_cell(cells, _strict)))
+    held = materialize(spark, texts.groupBy("row").agg(F.first("text").alias("text")).join(asked, "row"), "neardup-texts")
+    columns = ["group", "a", "b", "h", "code", "n", "sketch", "text"]
+    zero = F.lit(0).cast("int")
+    edges = _by_cell(held.where("chunks = 1").select("group", zero.alias("a"), zero.alias("b"), zero.alias("h"), "code", "n", "sketch", "text"), _strict)
+    if groups.where("chunks > 1").limit(1).count():
+        edges = edges.unionByName(_large(spark, held.where("chunks > 1"), columns))
+    return _named(components(spark, edges))
+
+
+def _large(spark: SparkSession, held: DataFrame, columns: list[str]) -> DataFrame:
+    """(u, v) within loose components of several chunks."""
+    chunk = F.pmod(F.xxhash64("code", "group"), F.col("chunks")).cast("int")
+    one, every = F.lit(1).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    drawn = Window.partitionBy("group").orderBy(F.desc("met"), "code")
+    few = held.select("group", "code", "met").withColumn("at", F.row_number().over(drawn)).where(F.col("at") <= REPRESENTATIVES).select("group", "code")
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    copied = held.join(few, ["group", "code"], "left_semi").withColumn("a", every).withColumns({"b": F.col("a"), "h": one})
+    met = _by_cell(held.withColumn("a", chunk).withColumns({"b": F.col("a"), "h": one - 1}).select(columns).unionByName(copied.select(columns)), _to_representatives)
+    met = materialize(spark, met, "neardup-met")
+    # the largest part of each loose component that this makes is settled
+    parts = materialize(spark, _named(components(spark, met)), "neardup-parts")
+    placed = held.select("group", "code").join(parts, F.col("code") == F.col("node"), "left")
+    largest = placed.where("root IS NOT NULL").groupBy("group", "root").count().groupBy("group").agg(F.max_by("root", F.struct("count", "root")).alias("settled"))
+    rest = materialize(spark, placed.join(largest, "group", "left").where("root IS NULL OR settled IS NULL OR root <> settled").select("group", "code"), "neardup-rest")
+    count = rest.groupBy("group").agg(F.ceil(F.count("*") / TEXT_CHUNK).cast("int").alias("rests"))
+    open_ones = held.join(F.broadcast(count) if count.count() <= BROADCAST_ROWS else count, "group")
+    each = F.explode(F.sequence(F.lit(0), F.col("rests") - 1))
+    theirs = open_ones.withColumn("b", chunk).withColumn("a", each).withColumn("h", one - 1)
+    own = F.pmod(F.xxhash64("code", "group"), F.col("rests")).cast("int")
+    mine = open_ones.join(rest, ["group", "code"], "left_semi").withColumn("a", own).withColumn("b", every).withColumn("h", one)
+    # cells of a and b are of two sides whether or not a equals b
+    cells = theirs.select(columns).unionByName(mine.select(columns)).withColumn("a", -F.col("a") - 1)
+    return met.unionByName(_by_cell(cells, _strict))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
