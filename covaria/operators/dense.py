@@ -37,47 +37,30 @@ def one_block_at_once(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Ite
                 begin = end
 
 
-def product_lines(rows: DataFrame, keys: list[str], deal_by: str, width: Callable[[tuple], int], other: bool = False) -> DataFrame:
-    """(*keys, k, line): line k of the sum of weight * (k, v)' (k, v) over the rows of each block, from column k on.
-
-    With ``other`` the right factors are the columns (k2, v2) and lines are whole.  ``rows`` are dealt by ranges of the keys and ``deal_by``, so
-    that a task holds few blocks and its products are hardly larger than what it read; a hot block spreads over many tasks.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T.StructType([rows.schema[c] for c in keys]).add("k", T.IntegerType()).add("line", T.ArrayType(T.DoubleType()))
-    arrow = to_arrow_schema(schema)
-
-    def emit(key: tuple, ks: list[int], lines: list[np.ndarray]) -> pa.RecordBatch:
+def line_batches(keys: list[str], key: tuple, total: np.ndarray, triangle: bool = False, types: list[pa.DataType] | None = None) -> Iterator[pa.RecordBatch]:
+    """(*keys, k, line): the lines of a matrix, some at a time; with ``triangle`` line k begins at column k."""
+    for at in range(0, len(total), LINES_AT_ONCE):
+        ks = list(range(at, min(at + LINES_AT_ONCE, len(total))))
+        lines = [total[k, k if triangle else 0 :] for k in ks]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int32)
-        columns = [pa.array([part] * len(ks), arrow.field(c).type) for c, part in zip(keys, key, strict=True)]
-        listed = pa.ListArray.from_arrays(offsets, np.concatenate(lines)).cast(arrow.field("line").type)
-        return pa.RecordBatch.from_arrays([*columns, pa.array(ks, pa.int32()), listed], schema=arrow)
+        kinds = types or [pa.string() if isinstance(part, str) else pa.int32() for part in key]
+        columns = [pa.array([part] * len(ks), kind) for part, kind in zip(key, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(ks, pa.int32()), pa.ListArray.from_arrays(offsets, np.concatenate(lines))], names=[*keys, "k", "line"])
 
-    def lines_of(key: tuple, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(total), LINES_AT_ONCE):
-            ks = list(range(at, min(at + LINES_AT_ONCE, len(total))))
-            yield emit(key, ks, [total[k, 0 if other else k :] for k in ks])
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros((0, 0))
-        for key, part in one_block_at_once(batches, keys):
-            n = width(key)
-            if key != now:
-                yield from lines_of(now, total)
-                now, total = key, np.zeros((n, n))
-            x = dense_rows(part, n)
-            y = dense_rows(part, n, "k2", "v2") if other else x
-            x = x * part.column("weight").to_numpy()[:, None]
-            if other:
-                total += x.T @ y
-            else:  # the upper triangle is enough
-                for at in range(0, n, COLUMNS_AT_ONCE):
-                    total[at : at + COLUMNS_AT_ONCE, at:] += x[:, at : at + COLUMNS_AT_ONCE].T @ y[:, at:]
-        yield from lines_of(now, total)
+def sum_lines(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines (*keys, k, line) of the same keys and k added up, one at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(parts.schema)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(0)
+
+        def emit() -> pa.RecordBatch:
+            columns = [pa.array([part], arrow.field(c).type) for c, part in zip([*keys, "k"], now, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([total], arrow.field("line").type)], schema=arrow)
+
         for batch in batches:
             lines = batch.column("line")
             for j, key in enumerate(zip(*[batch.column(c).to_pylist() for c in (*keys, "k")], strict=True)):
@@ -86,11 +69,38 @@ def product_lines(rows: DataFrame, keys: list[str], deal_by: str, width: Callabl
                     total = total + line
                 else:
                     if now is not None:
-                        yield emit(now[:-1], [now[-1]], [total])
+                        yield emit()
                     now, total = key, line
         if now is not None:
-            yield emit(now[:-1], [now[-1]], [total])
+            yield emit()
+
+    return parts.select(*keys, "k", "line").repartition(*keys, "k").sortWithinPartitions(*keys, "k").mapInArrow(add, T.StructType([*[parts.schema[c] for c in keys], parts.schema["k"], parts.schema["line"]]))
+
+
+def product_lines(rows: DataFrame, keys: list[str], deal_by: str, width: Callable[[tuple], int]) -> DataFrame:
+    """(*keys, k, line): line k of the sum of weight * (k, v)' (k, v) over the rows of each block, from column k on.
+
+    ``rows`` are dealt by ranges of the keys and ``deal_by``, so that a task holds few blocks and its products are hardly larger than what it read; a hot
+    block spreads over many tasks.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    used = [*keys, "weight", "k", "v", *(["k2", "v2"] if other else [])]
-    parts = rows.repartitionByRange(*keys, deal_by).sortWithinPartitions(*keys).select(used).mapInArrow(multiply, schema)
-    return parts.repartition(*keys, "k").sortWithinPartitions(*keys, "k").mapInArrow(add, schema)
+    schema = T.StructType([rows.schema[c] for c in keys]).add("k", T.IntegerType()).add("line", T.ArrayType(T.DoubleType()))
+    kinds = [to_arrow_schema(schema).field(c).type for c in keys]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros((0, 0))
+        for key, part in one_block_at_once(batches, keys):
+            n = width(key)
+            if key != now:
+                yield from line_batches(keys, now or (), total, True, kinds)
+                now, total = key, np.zeros((n, n))
+            y = dense_rows(part, n)
+            x = y * part.column("weight").to_numpy()[:, None]
+            # the upper triangle is enough
+            for at in range(0, n, COLUMNS_AT_ONCE):
+                total[at : at + COLUMNS_AT_ONCE, at:] += x[:, at : at + COLUMNS_AT_ONCE].T @ y[:, at:]
+        yield from line_batches(keys, now or (), total, True, kinds)
+
+    parts = rows.repartitionByRange(*keys, deal_by).sortWithinPartitions(*keys).select(*keys, "weight", "k", "v").mapInArrow(multiply, schema)
+    return sum_lines(parts, keys)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from covaria.functions import solve
 from covaria.operators.dense import dense_rows, one_block_at_once, product_lines
 from covaria.operators.kernel import compute_kernel
+from covaria.operators.panels import kernel_products
 from covaria.operators.scores import dense
 from covaria.operators.subset import clip_values, pairs_of, prevalent_genes, sufficient_slides
 from covaria.sources.store import materialize
@@ -53,50 +54,80 @@ def standardized(expression: DataFrame, cells: DataFrame, genes: DataFrame) -> D
     return full.join(stats, ["slide", "cell_type", "gene"]).select("slide", "cell_type", "cell_id", "gene", z.alias("score"))
 
 
-def gene_numbers(z: DataFrame) -> tuple[DataFrame, list[str]]:
+def gene_numbers(genes: DataFrame) -> tuple[DataFrame, list[str]]:
     """(gene, number) and the sorted names."""
-    names = sorted(r[0] for r in z.select("gene").distinct().collect())
-    return z.sparkSession.createDataFrame(list(enumerate(names)), "number int, gene string"), names
-
-
-def _packed(rows: DataFrame, keys: list[str], value: str, k: str = "k", v: str = "v") -> DataFrame:
-    both = rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col("number").alias("k"), F.col(value).alias("v"))).alias("kv"))
-    return both.select(*keys, F.col("kv.k").alias(k), F.col("kv.v").alias(v))
+    names = sorted(r[0] for r in genes.select("gene").distinct().collect())
+    return F.broadcast(genes.sparkSession.createDataFrame(list(enumerate(names)), "number int, gene string")), names
+
+
+def block_moments(expression: DataFrame, cells: DataFrame, numbers: DataFrame, n_genes: int) -> DataFrame:
+    """(slide, cell_type, n, m, inv): for each block its cells, and its genes' means and inverse deviations, zeros included; 0 for constant genes."""
+    group = ["slide", "cell_type"]
+    sizes = cells.groupBy(*group).agg(F.count("*").alias("n"))
+    values = expression.join(numbers, "gene").join(cells.select(*group, "cell_id"), "cell_id")
+    sums = values.groupBy(*group, "number").agg(F.sum("value").alias("s"), F.count("*").alias("there"))
+    every = sizes.crossJoin(numbers.select("number")).join(sums, [*group, "number"], "left")  # blocks times genes
+    every = materialize(every.select(*group, "number", "n", F.coalesce("there", F.lit(0)).alias("there"), (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("m")), "means")
+    about = values.join(every.select(*group, "number", "m"), [*group, "number"]).groupBy(*group, "number").agg(F.sum((F.col("value") - F.col("m")) ** 2).alias("d"))
+    spread = F.coalesce("d", F.lit(0.0)) + (F.col("n") - F.col("there")) * F.col("m") ** 2
+    sd = F.sqrt(F.try_divide(spread, F.col("n") - 1))
+    inverse = F.when(F.coalesce(sd, F.lit(0.0)) > 1e-10 * F.abs("m"), 1 / sd).otherwise(F.lit(0.0))
+    packed = every.join(about, [*group, "number"], "left").groupBy(*group, "n").agg(F.array_sort(F.collect_list(F.struct("number", "m", inverse.alias("inv")))).alias("g"))
+    return materialize(packed.select(*group, "n", F.col("g.m").alias("m"), F.col("g.inv").alias("inv")), "gene-moments")
+
+
+def packed_cells(expression: DataFrame, cells: DataFrame, numbers: DataFrame, n_genes: int) -> DataFrame:
+    """(slide, cell_type, cell_id, k, v): each cell's non-zero genes, and a last column of ones, by which means are taken out of products."""
+    own = expression.where("value <> 0").join(numbers, "gene").groupBy("cell_id").agg(F.collect_list(F.struct(F.col("number").alias("k"), F.col("value").cast("double").alias("v"))).alias("kv"))
+    joined = cells.select("slide", "cell_type", "cell_id").join(own, "cell_id", "left")
+    with_one = lambda c, kind, last: F.concat(F.coalesce(F.col(f"kv.{c}"), F.array().cast(kind)), F.array(last)).alias(c)
+    return joined.select("slide", "cell_type", "cell_id", with_one("k", "array<int>", F.lit(n_genes)), with_one("v", "array<double>", F.lit(1.0)))
+
+
+def self_lines(rows: DataFrame, moments: DataFrame, n_genes: int) -> DataFrame:
+    """(slide, cell_type, k, line): Z'Z / n from column k on, of packed_cells(); Z'Z = D (X'X - n m m') D with the inverse deviations D."""
+    sums = product_lines(rows.withColumn("weight", F.lit(1.0)), ["slide", "cell_type"], "cell_id", lambda key: n_genes + 1).where(F.col("k") < n_genes)
+    own = lambda c: F.element_at(c, F.col("k") + 1)
+    value = lambda x, i: (x - F.col("n") * own("m") * F.get("m", F.col("k") + i)) * own("inv") * F.get("inv", F.col("k") + i) / F.col("n")
+    return sums.join(moments, ["slide", "cell_type"]).select("slide", "cell_type", "k", F.transform(F.slice("line", 1, F.lit(n_genes) - F.col("k")), value).alias("line"))
+
+
+def cross_lines(kernel: DataFrame, cells: DataFrame, rows: DataFrame, moments: DataFrame, n_genes: int) -> DataFrame:
+    """(sigma, slide, ct_1, ct_2, k, line): Z1' K Z2 / sqrt(n1 n2).
+
+    The products of the columns of ones hold what taking out the means needs: Z1' K Z2 = D1 (X1'KX2 - m1 1'KX2 - X1'K1 m2' + m1 1'K1 m2') D2.
+    """
+    block = ["sigma", "slide", "ct_1", "ct_2"]
+    lines = materialize(kernel_products(kernel, cells, rows, n_genes + 1), "cross-lines")
+    ones = lines.where(F.col("k") == n_genes).select(*block, F.col("line").alias("ones"))
+    for n in "12":
+        ones = ones.join(moments.select("slide", F.col("cell_type").alias(f"ct_{n}"), F.col("n").alias(f"n{n}"), F.col("m").alias(f"m{n}"), F.col("inv").alias(f"d{n}")), ["slide", f"ct_{n}"])
+    own = lambda c: F.element_at(c, F.col("k") + 1)
+    mean = own("m1") * (F.get("ones", F.lit(n_genes)))
+    scale = own("d1") / F.sqrt(F.col("n1") * F.col("n2"))
+    value = lambda x, i: (x - own("m1") * F.get("ones", i) - (F.get("line", F.lit(n_genes)) - mean) * F.get("m2", i)) * F.get("d2", i) * scale
+    return lines.where(F.col("k") < n_genes).join(ones, block).select(*block, "k", F.transform(F.slice("line", 1, n_genes), value).alias("line"))
 
 
 def _named(lines: DataFrame, names: list[str], whole: bool) -> DataFrame:
     genes = F.array(*[F.lit(g) for g in names])
-    cells = lines.withColumn("genes", genes).select("*", F.posexplode("line").alias("at", "value"))
+    cells = lines.withColumn("genes", genes).select("*", F.posexplode("line").alias("at", "c"))
     second = F.col("at") if whole else F.col("k") + F.col("at")
     return cells.withColumn("gene_1", F.element_at("genes", F.col("k") + 1)).withColumn("gene_2", F.element_at("genes", second + 1)).drop("genes", "line", "k", "at")
 
 
-def self_covariances(z: DataFrame) -> DataFrame:
-    """(slide, cell_type, gene_1, gene_2, c): Z'Z / n for gene_1 <= gene_2, from dense products of packed cells."""
-    sizes = z.groupBy("slide", "cell_type").agg(F.count_distinct("cell_id").alias("n"))
-    numbers, names = gene_numbers(z)
-    rows = _packed(z.join(numbers, "gene"), ["slide", "cell_type", "cell_id"], "score").withColumn("weight", F.lit(1.0))
-    sums = _named(product_lines(rows, ["slide", "cell_type"], "cell_id", lambda key, n=len(names): n), names, whole=False)
-    return sums.join(sizes, ["slide", "cell_type"]).select("slide", "cell_type", "gene_1", "gene_2", (F.col("value") / F.col("n")).alias("c"))
+def self_covariances(expression: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
+    """(slide, cell_type, gene_1, gene_2, c) for gene_1 <= gene_2: covariances of the z-scores within each slide and type."""
+    numbers, names = gene_numbers(genes)
+    rows = packed_cells(expression, cells, numbers, len(names))
+    return _named(self_lines(rows, block_moments(expression, cells, numbers, len(names)), len(names)), names, whole=False)
 
 
-def cross_covariances(kernel: DataFrame, z: DataFrame) -> DataFrame:
-    """(sigma, slide, ct_1, ct_2, gene_1, gene_2, c): Z1' K Z2 / sqrt(n1 n2).
-
-    The kernel is applied to the left scores; smoothed and right scores of a cell then meet as two packed rows.
-    """
-    sizes = z.groupBy("slide", "cell_type").agg(F.count_distinct("cell_id").alias("n"))
-    numbers, names = gene_numbers(z)
-    known = z.join(numbers, "gene")
-    left = known.select(F.col("cell_type").alias("ct_1"), F.col("cell_id").alias("i"), "number", "score")
-    block = ["sigma", "slide", "ct_1", "ct_2"]
-    smooth = kernel.join(left, ["ct_1", "i"]).groupBy(*block, "j", "number").agg(F.sum(F.col("k") * F.col("score")).alias("s"))
-    right = _packed(known, ["cell_type", "cell_id"], "score", "k2", "v2").withColumnsRenamed({"cell_type": "ct_2", "cell_id": "j"})
-    rows = _packed(smooth, [*block, "j"], "s").join(right, ["ct_2", "j"]).withColumn("weight", F.lit(1.0))
-    y = _named(product_lines(rows, block, "j", lambda key, n=len(names): n, other=True), names, whole=True)
-    n1 = sizes.select("slide", F.col("cell_type").alias("ct_1"), F.col("n").alias("n1"))
-    n2 = sizes.select("slide", F.col("cell_type").alias("ct_2"), F.col("n").alias("n2"))
-    return y.join(n1, ["slide", "ct_1"]).join(n2, ["slide", "ct_2"]).select(*block, "gene_1", "gene_2", (F.col("value") / F.sqrt(F.col("n1") * F.col("n2"))).alias("c"))
+def cross_covariances(kernel: DataFrame, expression: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
+    """(sigma, slide, ct_1, ct_2, gene_1, gene_2, c): Z1' K Z2 / sqrt(n1 n2)."""
+    numbers, names = gene_numbers(genes)
+    rows = packed_cells(expression, cells, numbers, len(names))
+    return _named(cross_lines(kernel, cells, rows, block_moments(expression, cells, numbers, len(names)), len(names)), names, whole=True)
 
 
 def objective(weights: DataFrame, own: DataFrame, cross: DataFrame) -> DataFrame:
@@ -113,11 +144,11 @@ def objective(weights: DataFrame, own: DataFrame, cross: DataFrame) -> DataFrame
     return terms.groupBy("sigma", "slide", "cc").agg(F.sum(F.col("num") / (F.col("s1") * F.col("s2"))).alias("v")).groupBy("sigma", "cc").agg(F.avg("v").alias("objective"))
 
 
-def run_gene_space(expression: DataFrame, cells: DataFrame, cell_types: list[str], sigma: float, n_cc: int = 2, clip="quantile", min_prevalence: float = 0.008, min_cells: int = 20, max_iter: int = 3000, tol: float = 1e-6, seed: int = 0, slide_cells: int = 10, **kernel_options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_gene_space(expression: DataFrame, cells: DataFrame, cell_types: list[str], sigma: float, n_cc: int = 2, clip="quantile", min_prevalence: float = 0.008, min_cells: int = 20, max_iter: int = 3000, tol: float = 1e-6, seed: int = 0, slide_cells: int = 10, driver_bytes: int = DRIVER_BYTES, most_genes: int = MOST_GENES, **kernel_options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Gene weights (sigma, cell_type, gene, cc, w), cell scores, and the objective.
 
-    Every step is one plan over all slides.  Covariances of up to DRIVER_BYTES and MOST_GENES reach the driver, which solves on them; beyond that
-    each round applies the axes to the cells and the kernel to the scores, and only gene vectors reach the driver.
+    Every step is one plan over all slides.  Covariances of up to ``driver_bytes`` and ``most_genes`` reach the driver, which solves on them; beyond that
+    each round applies the axes to the cells and the kernel to the scores, and only gene vectors reach the driver.  Both ways stop by ``tol``.
     ``kernel_options`` may be named as in as_options().  Cells of slides with too few cells have a null score.
     """
     spark = cells.sparkSession
@@ -133,66 +164,86 @@ def run_gene_space(expression: DataFrame, cells: DataFrame, cell_types: list[str
     names = sorted(r[0] for r in genes.collect())
     if not names:
         raise ValueError("no gene passes the filter")
-    z = materialize(standardized(clip_values(expression.join(genes, "gene", "left_semi"), clip), cells, genes), "z")
+    used = materialize(clip_values(expression.join(genes, "gene", "left_semi"), clip), "clipped")
+    numbers, n_genes = gene_numbers(genes)[0], len(names)
+    moments = block_moments(used, cells, numbers, n_genes)
+    packed = materialize(packed_cells(used, cells, numbers, n_genes), "packed")
     kernel, _ = compute_kernel(cells, pairs_of(cell_types), [sigma], **({"skip_few": True} | as_options(**kernel_options)))
-    at = {g: k for k, g in enumerate(names)}
     n_slides = kernel.select("slide").distinct().count()
     blocks = n_slides * (len(cell_types) + len(pairs_of(cell_types)))
-    if len(names) <= MOST_GENES and 8 * blocks * len(names) ** 2 <= DRIVER_BYTES:
-        step = solve.step_of_matrices(*_in_memory(z, kernel, at, cell_types), cell_types)
+    if n_genes <= most_genes and 8 * blocks * n_genes**2 <= driver_bytes:
+        step = solve.step_of_matrices(*_in_memory(self_lines(packed, moments, n_genes), cross_lines(kernel, cells, packed, moments, n_genes), n_genes, cell_types), cell_types)
     else:
-        step = _step_of_cells(z, kernel, at, cell_types, n_slides)
+        step = _step_of_cells(packed, moments, kernel, n_genes, n_slides)
     axes, reached = solve.genespace_axes(step, len(names), list(cell_types), n_cc, None, max_iter, tol, seed)
-    rows = [(float(sigma), t, g, c + 1, float(axes[t][at[g], c])) for t in cell_types for g in names for c in range(n_cc)]
+    rows = [(float(sigma), t, g, c + 1, float(axes[t][k, c])) for t in cell_types for k, g in enumerate(names) for c in range(n_cc)]
     weights = spark.createDataFrame(rows, "sigma double, cell_type string, gene string, cc int, w double")
-    raw = z.join(weights, ["cell_type", "gene"]).groupBy("sigma", "slide", "cell_type", "cell_id", "cc").agg(F.sum(F.col("score") * F.col("w")).alias("raw"))
+    raw = _applied(packed, moments, axes, float(sigma), n_cc)
     scored = standardized_scores(raw).join(every_cell.select("slide", "cell_type", "cell_id"), ["slide", "cell_type", "cell_id"], "right")
     left_out = scored.where("cc IS NULL").drop("sigma", "cc", "score").select(F.lit(float(sigma)).alias("sigma"), "slide", "cell_type", F.explode(F.sequence(F.lit(1), F.lit(n_cc))).alias("cc"), "cell_id", F.lit(None).cast("double").alias("score"))
     scored = scored.where("cc IS NOT NULL").select("sigma", "slide", "cell_type", "cc", "cell_id", "score").unionByName(left_out)
     return weights, scored, spark.createDataFrame([(float(sigma), c, v) for c, v in enumerate(reached, 1)], "sigma double, cc int, objective double")
 
 
-def _in_memory(z: DataFrame, kernel: DataFrame, at: dict[str, int], cell_types: list[str]) -> tuple[dict, dict, list[str]]:
+def _in_memory(own: DataFrame, cross: DataFrame, n_genes: int, cell_types: list[str]) -> tuple[dict, dict, list[str]]:
     """Covariances on the driver, by slide and type and by slide and pair, and the slides that have a kernel."""
 
-    def matrices(df: DataFrame, keys: list[str], symmetric: bool) -> dict:
+    def matrices(df: DataFrame, keys: list[str], whole: bool) -> dict:
         out: dict = {}
-        for key, part in df.toPandas().groupby(keys):
-            m = np.zeros((len(at), len(at)))
-            a, b = part["gene_1"].map(at).to_numpy(), part["gene_2"].map(at).to_numpy()
-            m[a, b] = part["c"].to_numpy()
-            if symmetric:
-                m[b, a] = part["c"].to_numpy()
-            out[key] = m
+        for batch in df.select(*keys, "k", "line").toArrow().to_batches():
+            lines, ks = batch.column("line"), batch.column("k").to_pylist()
+            for at, key in enumerate(zip(*[batch.column(c).to_pylist() for c in keys], strict=True)):
+                m = out.setdefault(key, np.zeros((n_genes, n_genes)))
+                k, line = ks[at], lines[at].values.to_numpy()
+                if whole:
+                    m[k] = line
+                else:
+                    m[k, k:] = m[k:, k] = line
         return out
 
-    own = matrices(materialize(self_covariances(z), "own"), ["slide", "cell_type"], True)
-    cross = matrices(materialize(cross_covariances(kernel, z), "cross"), ["slide", "ct_1", "ct_2"], False)
-    slides = sorted({s for s, _, _ in cross})
-    return {s: {t: own[s, t] for t in cell_types} for s in slides}, {s: {(a, b): m for (q, a, b), m in cross.items() if q == s} for s in slides}, slides
+    every, pairs = matrices(materialize(own, "own"), ["slide", "cell_type"], False), matrices(materialize(cross, "cross"), ["slide", "ct_1", "ct_2"], True)
+    slides = sorted({s for s, _, _ in pairs})
+    return {s: {t: every[s, t] for t in cell_types} for s in slides}, {s: {(a, b): m for (q, a, b), m in pairs.items() if q == s} for s in slides}, slides
+
 
+def _on_driver(moments: DataFrame) -> dict[tuple[str, str], tuple[int, np.ndarray, np.ndarray]]:
+    """Cells, means and inverse deviations of each slide and type: 16 bytes for each of a block's genes."""
+    return {(r["slide"], r["cell_type"]): (r["n"], np.array(r["m"]), np.array(r["inv"])) for r in moments.collect()}
 
-def _step_of_cells(z: DataFrame, kernel: DataFrame, at: dict[str, int], cell_types: list[str], n_slides: int) -> solve.Step:
+
+def _applied(packed: DataFrame, moments: DataFrame, axes: solve.Weights, sigma: float, n_cc: int) -> DataFrame:
+    """(sigma, slide, cell_type, cell_id, cc, raw): the z-scores of the cells times the axes, zeros never written."""
+    by_block = _on_driver(moments)
+    id_type = packed.schema["cell_id"].dataType.simpleString()
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part in one_block_at_once(batches, ["slide", "cell_type"]):
+            _, m, inv = by_block[key]
+            w = axes[key[1]] * inv[:, None]
+            out = dense_rows(part, len(w) + 1)[:, :-1] @ w - m @ w
+            offsets = np.arange(0, out.size + 1, n_cc, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("slide"), part.column("cell_type"), part.column("cell_id"), pa.ListArray.from_arrays(offsets, out.ravel())], names=["slide", "cell_type", "cell_id", "line"])
+
+    made = packed.mapInArrow(times, f"slide string, cell_type string, cell_id {id_type}, line array<double>")
+    exploded = made.select(F.lit(sigma).alias("sigma"), "slide", "cell_type", "cell_id", F.posexplode("line").alias("cc", "raw"))
+    return exploded.withColumn("cc", F.col("cc") + 1)
+
+
+def _step_of_cells(packed: DataFrame, moments: DataFrame, kernel: DataFrame, n_genes: int, n_slides: int) -> solve.Step:
     """As solve.step_of_matrices(), without a covariance: axes times cells, kernel times scores, cells' sums by gene."""
-    spark = z.sparkSession
-    numbers = spark.createDataFrame([(g, k) for g, k in at.items()], "gene string, number int")
+    spark = packed.sparkSession
     slides = kernel.select("slide").distinct()
-    rows = materialize(_packed(z.join(slides, "slide", "left_semi").join(numbers, "gene"), ["slide", "cell_type", "cell_id"], "score"), "packed")
-    sizes = {(r["slide"], r["cell_type"]): r["n"] for r in rows.groupBy("slide", "cell_type").agg(F.count("*").alias("n")).collect()}
+    rows = materialize(packed.join(slides, "slide", "left_semi"), "packed-used")
+    by_block = _on_driver(moments.join(slides, "slide", "left_semi"))
     pairs = sorted((r["slide"], r["ct_1"], r["ct_2"]) for r in kernel.select("slide", "ct_1", "ct_2").distinct().collect())
     edges = materialize(kernel.select("slide", "ct_1", "ct_2", "i", "j", "k"), "edges")
-    id_type = rows.schema["cell_id"].dataType.simpleString()
 
     def step(now: solve.Weights) -> tuple[dict[tuple[str, str], float], solve.Weights]:
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for (kind,), part in one_block_at_once(batches, ["cell_type"]):
-                u = dense_rows(part, len(now[kind])) @ now[kind]
-                yield pa.RecordBatch.from_arrays([part.column("slide"), part.column("cell_type"), part.column("cell_id"), pa.array(u)], names=["slide", "cell_type", "cell_id", "u"])
-
-        u = materialize(rows.mapInArrow(apply, f"slide string, cell_type string, cell_id {id_type}, u double"), "axis-scores")
+        u = _applied(rows, moments, {t: w[:, None] for t, w in now.items()}, 0.0, 1).select("slide", "cell_type", "cell_id", F.col("raw").alias("u"))
+        u = materialize(u, "axis-scores")
         squares = {(r["slide"], r["cell_type"]): r["q"] for r in u.groupBy("slide", "cell_type").agg(F.sum(F.col("u") ** 2).alias("q")).collect()}
-        dev = {key: max(float(np.sqrt(max(squares[key] / n, 0.0))), 1e-12) for key, n in sizes.items()}
-        scale = [(s, a, b, float(1 / (np.sqrt(sizes[s, a] * sizes[s, b]) * dev[s, a] * dev[s, b] * n_slides))) for s, a, b in pairs]
+        dev = {key: max(float(np.sqrt(max(squares[key] / n, 0.0))), 1e-12) for key, (n, _, _) in by_block.items()}
+        scale = [(s, a, b, float(1 / (np.sqrt(by_block[s, a][0] * by_block[s, b][0]) * dev[s, a] * dev[s, b] * n_slides))) for s, a, b in pairs]
         scaled = edges.join(F.broadcast(spark.createDataFrame(scale, "slide string, ct_1 string, ct_2 string, f double")), ["slide", "ct_1", "ct_2"])  # a row for each block
         left, right = u.select(F.col("cell_id").alias("i"), F.col("u").alias("u1")), u.select(F.col("cell_id").alias("j"), F.col("u").alias("u2"))
         value = F.sum(F.col("k") * F.col("f") * F.col("other")).alias("q")
@@ -201,16 +252,20 @@ def _step_of_cells(z: DataFrame, kernel: DataFrame, at: dict[str, int], cell_typ
         q = to_left.unionByName(to_right).groupBy("cell_id").agg(F.sum("q").alias("q"))
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = {t: np.zeros(len(w)) for t, w in now.items()}
-            for (kind,), part in one_block_at_once(batches, ["cell_type"]):
-                total[kind] += dense_rows(part, len(now[kind])).T @ part.column("q").to_numpy()
-            for kind, line in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(line)), pa.array(np.arange(len(line), dtype=np.int32)), pa.array(line)], names=["cell_type", "k", "s"])
-
-        found = rows.join(q, "cell_id").select("cell_type", "k", "v", "q").mapInArrow(sums, "cell_type string, k int, s double").groupBy("cell_type", "k").agg(F.sum("s").alias("s")).toPandas()
+            total: dict[tuple[str, str], np.ndarray] = {}
+            for key, part in one_block_at_once(batches, ["slide", "cell_type"]):
+                made = dense_rows(part, n_genes + 1).T @ part.column("q").to_numpy()
+                total[key] = total[key] + made if key in total else made
+            for (slide, kind), line in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([slide] * len(line)), pa.array([kind] * len(line)), pa.array(np.arange(len(line), dtype=np.int32)), pa.array(line)], names=["slide", "cell_type", "k", "s"])
+
+        found = rows.join(q, "cell_id").select("slide", "cell_type", "k", "v", "q").mapInArrow(sums, "slide string, cell_type string, k int, s double").groupBy("slide", "cell_type", "k").agg(F.sum("s").alias("s")).toPandas()
         pulls = {t: np.zeros(len(w)) for t, w in now.items()}
-        for t, part in found.groupby("cell_type"):
-            pulls[t][part["k"].to_numpy()] = part["s"].to_numpy()
+        for (slide, t), part in found.groupby(["slide", "cell_type"]):
+            line = np.zeros(n_genes + 1)
+            line[part["k"].to_numpy()] = part["s"].to_numpy()
+            _, m, inv = by_block[slide, t]
+            pulls[t] += inv * (line[:-1] - m * line[-1])
         return dev, pulls
 
     return step

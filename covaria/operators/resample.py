@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.functions.ranks import with_rank
 from covaria.sources.store import materialize
 
 #: Candidates that are matched in one group, about.
@@ -49,24 +50,24 @@ def sigma_aware_bins(cells: DataFrame, sigma: float, factor: float, least: int =
 
 def global_permutation(cells: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """Each draw shuffles the cells of each type within their slide."""
-    spread = _draws(cells.select("slide", "cell_type", "cell_id"), n)
-    w = lambda h: Window.partitionBy("draw", "slide", "cell_type").orderBy(h, "cell_id")
-    ranked = spread.withColumn("a", F.row_number().over(w("cell_id"))).withColumn("b", F.row_number().over(w(_hash(seed, "draw", "cell_id"))))
-    source = ranked.select("draw", "slide", "cell_type", F.col("cell_id").alias("source_id"), F.col("b").alias("a"))
-    return ranked.drop("b").join(source, ["draw", "slide", "cell_type", "a"]).select("draw", "slide", "cell_type", "cell_id", "source_id")
+    group = ["slide", "cell_type"]
+    own = with_rank(cells.select(*group, "cell_id"), group, ["cell_id"], "a")
+    shuffled = with_rank(_draws(cells.select(*group, "cell_id"), n).withColumn("h", _hash(seed, "draw", "cell_id")), ["draw", *group], ["h", "cell_id"], "a")
+    source = shuffled.select("draw", *group, F.col("cell_id").alias("source_id"), "a")
+    return source.join(own, [*group, "a"]).select("draw", *group, "cell_id", "source_id")
 
 
 def toroidal_permutation(cells: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """Coordinates shifted by 0.1 to 0.9 of the extent around a torus; a cell takes the values of the one at its rank by (x, y)."""
-    box = cells.groupBy("slide", "cell_type").agg(F.min("x").alias("x0"), (F.max("x") - F.min("x")).alias("wx"), F.min("y").alias("y0"), (F.max("y") - F.min("y")).alias("wy"))
-    spread = _draws(cells.select("slide", "cell_type", "cell_id", "x", "y").join(box, ["slide", "cell_type"]), n)
+    group = ["slide", "cell_type"]
+    box = cells.groupBy(*group).agg(F.min("x").alias("x0"), (F.max("x") - F.min("x")).alias("wx"), F.min("y").alias("y0"), (F.max("y") - F.min("y")).alias("wy"))
+    spread = _draws(cells.select(*group, "cell_id", "x", "y").join(box, group), n)
     unit = lambda axis: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), "slide", "cell_type", F.lit(axis))), 1, 8), 16, 10).cast("double") / 4294967296.0
     move = lambda v, lo, w: F.when(F.col(w) > 0, F.col(lo) + F.pmod(F.col(v) - F.col(lo) + (0.1 + 0.8 * unit(v)) * F.col(w), F.when(F.col(w) > 0, F.col(w)).otherwise(1.0))).otherwise(F.col(v))
-    moved = spread.withColumn("mx", move("x", "x0", "wx")).withColumn("my", move("y", "y0", "wy"))
-    w = lambda *c: Window.partitionBy("draw", "slide", "cell_type").orderBy(*c, "cell_id")
-    ranked = moved.withColumn("a", F.row_number().over(w("x", "y"))).withColumn("b", F.row_number().over(w("mx", "my")))
-    source = ranked.select("draw", "slide", "cell_type", F.col("cell_id").alias("source_id"), F.col("a").alias("b"))
-    return ranked.drop("a").join(source, ["draw", "slide", "cell_type", "b"]).select("draw", "slide", "cell_type", "cell_id", "source_id")
+    moved = spread.select("draw", *group, "cell_id", move("x", "x0", "wx").alias("mx"), move("y", "y0", "wy").alias("my"))
+    source = with_rank(cells.select(*group, F.col("cell_id").alias("source_id"), "x", "y"), group, ["x", "y", "source_id"], "a").select(*group, "source_id", "a")
+    placed = with_rank(moved, ["draw", *group], ["mx", "my", "cell_id"], "a")
+    return placed.join(source, [*group, "a"]).select("draw", *group, "cell_id", "source_id")
 
 
 def nearest_free(points: np.ndarray, offers: np.ndarray) -> np.ndarray:
@@ -153,10 +154,8 @@ def permute_scores(scores: DataFrame, perm: DataFrame) -> DataFrame:
 
 def permute_each_component(scores: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """Every component shuffled on its own within type and slide."""
-    spread = _draws(scores.select("slide", "cell_type", "cell_id", "pc", "score"), n)
-    w = lambda *c: Window.partitionBy("draw", "slide", "cell_type", "pc").orderBy(*c, "cell_id")
-    ranked = spread.withColumn("a", F.row_number().over(w("cell_id"))).withColumn("b", F.row_number().over(w(_hash(seed, "draw", "pc", "cell_id"))))
-    values = ranked.select("draw", "slide", "cell_type", "pc", F.col("b").alias("a"), "score")
-    return ranked.drop("b", "score").join(values, ["draw", "slide", "cell_type", "pc", "a"]).select("draw", "slide", "cell_type", "cell_id", "pc", "score")
-
-
+    group = ["slide", "cell_type", "pc"]
+    plain = scores.select(*group, "cell_id", "score")
+    own = with_rank(plain.drop("score"), group, ["cell_id"], "a")
+    shuffled = with_rank(_draws(plain, n).withColumn("h", _hash(seed, "draw", "pc", "cell_id")), ["draw", *group], ["h", "cell_id"], "a")
+    return shuffled.select("draw", *group, "a", "score").join(own, [*group, "a"]).select("draw", "slide", "cell_type", "cell_id", "pc", "score")

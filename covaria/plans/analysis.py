@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covaria.functions import solve
-from covaria.operators import association, crossop, genespace, genetest, neighbors, pca, resample, scores, subset
+from covaria.operators import association, crossop, genespace, genetest, neighbors, panels, pca, resample, scores, subset
 from covaria.operators import kernel as kernels
 from covaria.sources.cells import CellSet
 from covaria.sources.store import materialize
@@ -280,34 +280,45 @@ class Analysis:
 
     # ---- permutation inference -----------------------------------------------------------------------------------
 
-    def _draws(self, n: int, method: str, which: str, bins: tuple[int, int] | None, match_quantile: bool, seed: int) -> DataFrame:
-        """(draw, cell_type, cell_id, pc, score) with the chosen types' scores permuted."""
+    def _moved(self, which: str) -> list[str]:
+        return self.types[:1] if which == "first_only" else self.types[1:] if which == "second_only" and len(self.types) > 1 else self.types
+
+    def _stacks(self, n: int, method: str, which: str, bins: tuple[int, int] | None, match_quantile: bool, seed: int) -> DataFrame:
+        """(slide, cell_type, cell_id, v): each cell's scores, and for the chosen types those of all draws behind them, in one array."""
         if which not in PERMU_WHICH or n < 1:
             raise ValueError(f"permu_which must be one of {PERMU_WHICH} and n_permu positive")
-        p = self._pcs()
-        moved = self.types[:1] if which == "first_only" else self.types[1:] if which == "second_only" and len(self.types) > 1 else self.types
+        p, cell, size = self._pcs(), ["slide", "cell_type", "cell_id"], self.n_pca
+        values = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(c, "score"))), lambda x: x["score"])
+        own = materialize(p.groupBy(*cell).agg(values("pc").alias("v")), "score-rows")
+        moves = F.col("cell_type").isin(self._moved(which))
         bx, by = bins or resample.sigma_aware_bins(self.data.cells, self.sigma_choice or self.sigmas[0], self.scale_factor or 0.0)
-        chosen = p.where(F.col("cell_type").isin(moved))
         if method == "pc":
-            perm = resample.permute_each_component(chosen, n, seed)
+            drawn = resample.permute_each_component(p.where(moves), n, seed).groupBy("draw", *cell).agg(values("pc").alias("v"))
         else:
-            perm = resample.permute_scores(chosen, resample.permutations(self.data.cells.where(F.col("cell_type").isin(moved)), n, method, bx, by, match_quantile, seed))
-        rest = p.where(~F.col("cell_type").isin(moved)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-        columns = ["draw", "cell_type", "cell_id", "pc", "score"]
-        return perm.select(*columns).unionByName(rest.select(*columns))
-
-    def _draw_operators(self, draws: DataFrame, which: str, kernel: DataFrame) -> DataFrame:
-        """(draw, sigma, ct_1, ct_2, pc_1, pc_2, y).  If only the second types move, the kernel is applied to the first once, outside the draws."""
-        base = self._pcs()
-        if which == "second_only" and len(self.types) == 2:
-            lhs = base.select(F.col("cell_type").alias("ct_1"), F.col("cell_id").alias("i"), F.col("pc").alias("pc_1"), F.col("score").alias("s1"))
-            smooth = kernel.join(lhs, ["ct_1", "i"]).groupBy("sigma", "ct_1", "ct_2", "j", "pc_1").agg(F.sum(F.col("k") * F.col("s1")).alias("s"))
-            rhs = draws.select("draw", F.col("cell_type").alias("ct_2"), F.col("cell_id").alias("j"), F.col("pc").alias("pc_2"), F.col("score").alias("s2"))
-            return smooth.join(rhs, ["ct_2", "j"]).groupBy("draw", "sigma", "ct_1", "ct_2", "pc_1", "pc_2").agg(F.sum(F.col("s") * F.col("s2")).alias("y"))
-        lhs = draws.select("draw", F.col("cell_type").alias("ct_1"), F.col("cell_id").alias("i"), F.col("pc").alias("pc_1"), F.col("score").alias("s1"))
-        rhs = draws.select("draw", F.col("cell_type").alias("ct_2"), F.col("cell_id").alias("j"), F.col("pc").alias("pc_2"), F.col("score").alias("s2"))
-        smooth = kernel.join(lhs, ["ct_1", "i"]).groupBy("draw", "sigma", "ct_1", "ct_2", "j", "pc_1").agg(F.sum(F.col("k") * F.col("s1")).alias("s"))
-        return smooth.join(rhs, ["draw", "ct_2", "j"]).groupBy("draw", "sigma", "ct_1", "ct_2", "pc_1", "pc_2").agg(F.sum(F.col("s") * F.col("s2")).alias("y"))
+            perm = resample.permutations(self.data.cells.where(moves), n, method, bx, by, match_quantile, seed)
+            drawn = perm.join(own.select(F.col("cell_id").alias("source_id"), "v"), "source_id").select("draw", *cell, "v")
+        listed = drawn.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("draw", "v"))).alias("d"))  # one entry for each draw
+        none = F.array_repeat(F.lit(0.0), size)
+        some = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.coalesce(F.get(F.filter("d", lambda x: x["draw"] == k), F.lit(0))["v"], none))
+        rows = F.when(F.size("d") == n, F.transform("d", lambda x: x["v"])).otherwise(some)
+        joined = own.join(listed.select(*cell, F.flatten(rows).alias("more")), cell, "left")
+        return joined.select(*cell, F.when(F.col("more").isNull(), F.col("v")).otherwise(F.concat("v", "more")).alias("v"))
+
+    def _draw_lines(self, stacks: DataFrame, moved: list[str], n: int, kernel: DataFrame, bijection: bool) -> DataFrame:
+        """(draw, sigma, ct_1, ct_2, line): of each draw, 0 for the scores as they are, every pair's operator and, without ct_2, every type's squares.
+
+        The kernel is applied to all draws at once, a cell's draws in one row.  What no draw changes is multiplied once.
+        """
+        drawn = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("draw")
+        operators = materialize(panels.stack_products(kernel, self.data.cells.where(F.col("cell_type").isin(self.types)), stacks, self.n_pca), "draw-operators")
+        changed = F.col("ct_1").isin(moved) | F.col("ct_2").isin(moved)
+        operators = operators.where(changed).withColumn("draw", F.col("draw") - 1).select("draw", "sigma", "ct_1", "ct_2", "line").unionByName(operators.where(~changed).select(drawn, "sigma", "ct_1", "ct_2", "line"))
+        first = stacks.withColumn("v", F.slice("v", 1, self.n_pca))
+        other = F.col("cell_type").isin([] if bijection else moved)
+        squares = panels.stack_squares(first.where(~other), self.n_pca).select(drawn, "cell_type", "line")  # no sum over a type's cells changes
+        squares = squares.unionByName(panels.stack_squares(stacks.where(other), self.n_pca).select((F.col("draw") - 1).alias("draw"), "cell_type", "line"))
+        sigmas = F.array(*[F.lit(r[0]) for r in kernel.select("sigma").distinct().collect()])
+        return operators.unionByName(squares.select("draw", F.explode(sigmas).alias("sigma"), F.col("cell_type").alias("ct_1"), F.lit(None).cast("string").alias("ct_2"), "line"))
 
     def permutation_test(self, n_permu: int = 20, method: str = "bin", which: str = "second_only", bins: tuple[int, int] | None = None, match_quantile: bool = False, conservative: bool = False, all_sigmas: bool = False, conditional: bool = False, max_iter: int = 200, tol: float = 1e-5, seed: int = 1) -> Analysis:
         """Refit on permuted scores: ``null`` has (draw, sigma, ct_1, ct_2, cc, normalized_correlation).
@@ -322,27 +333,17 @@ class Analysis:
             bins, match_quantile, which = bins or (15, 15), True, "second_only"
         used = self.kernel if all_sigmas or conditional else self.kernel.where(F.col("sigma") == self.sigma_choice)
         used = materialize(used, "kernel-used")
-        draws = materialize(self._draws(n_permu, method, which, bins, match_quantile, seed), "draws")
+        stacks = materialize(self._stacks(n_permu, method, which, bins, match_quantile, seed), "stacks")
         norms = {(r["sigma"], r["ct_1"], r["ct_2"]): r["norm"] for r in self._norms().groupBy("sigma", "ct_1", "ct_2").agg(F.avg("norm").alias("norm")).collect()}
         observed = self._observed_weights()
-        sigmas = F.array(*[F.lit(s) for s in sorted({s for s, _, _ in norms})])
-        base = self._squares(self._pcs(), ["cell_type"])
-        if method in BIJECTIONS:  # no sum over a type's cells changes
-            squares = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_permu))))
-        else:
-            squares = self._squares(draws, ["draw", "cell_type"])
-        y0 = crossop.cross_operator(used, self._pcs().select("cell_type", "cell_id", "pc", "score")).withColumn("draw", F.lit(0))
-        squares = squares.select("draw", "cell_type", "p", "q", "v").unionByName(base.select(F.lit(0).alias("draw"), "cell_type", "p", "q", "v"))
-        operators = self._draw_operators(draws, which, used).unionByName(y0)
         # of each draw and bandwidth a few numbers for each pair of components
-        rows = operators.select("draw", "sigma", "ct_1", "ct_2", F.col("pc_1").alias("p"), F.col("pc_2").alias("q"), F.col("y").alias("v"))
-        rows = rows.unionByName(squares.select("draw", F.explode(sigmas).alias("sigma"), F.col("cell_type").alias("ct_1"), F.lit(None).cast("string").alias("ct_2"), "p", "q", "v"))
+        rows = self._draw_lines(stacks, self._moved(which), n_permu, used, method in BIJECTIONS)
         types, n_pca, n_cc = self.types, self.n_pca, self.n_cc
 
         def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             draw, sigma = int(key[0]), float(key[1])
-            own = {t: m for (t,), m in _filled(part[part["ct_2"].isna()], ["ct_1"], n_pca).items()}
-            ops = _filled(part[part["ct_2"].notna()], ["ct_1", "ct_2"], n_pca)
+            whole = [(a, b, np.array(line, float).reshape(n_pca, n_pca)) for a, b, line in zip(part["ct_1"], part["ct_2"], part["line"], strict=True)]
+            own, ops = {a: m for a, b, m in whole if b is None}, {(a, b): m for a, b, m in whole if b is not None}
             columns = ["draw", "sigma", "ct_1", "ct_2", "cc", "normalized_correlation"]
             try:
                 if not ops:
@@ -402,15 +403,6 @@ def _statistic(m: np.ndarray, wa: np.ndarray, wb: np.ndarray, xa: np.ndarray, xb
     return float(wa @ m @ wb / den) if abs(den) >= 1e-9 else 0.0
 
 
-def _filled(part: pd.DataFrame, keys: list[str], size: int) -> dict:
-    out: dict = {}
-    for key, rows in part.groupby(keys):
-        m = np.zeros((size, size))
-        m[rows["p"].to_numpy() - 1, rows["q"].to_numpy() - 1] = rows["v"].to_numpy()
-        out[key] = m
-    return out
-
-
 def _matrices(df: DataFrame, keys: list[str], p: str, q: str, v: str, size: int) -> dict:
     out: dict = {}
     for key, part in df.toPandas().groupby(keys):

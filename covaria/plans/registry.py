@@ -456,26 +456,23 @@ def null_histogram(spark, sf_dir):
     return rounded(report.null_histogram(_null(spark, sf_dir)[1], 5), "low")
 
 
-def _standardized(spark, sf_dir):
-    ex = fixture.expression(spark, sf_dir)
-    return genespace.standardized(ex, fixture.cells(spark, sf_dir), ex.select("gene").distinct())
-
-
 @query
 def genespace_self_covariance(spark, sf_dir):
-    return rounded(genespace.self_covariances(_standardized(spark, sf_dir)), "c")
+    ex = fixture.expression(spark, sf_dir)
+    return rounded(genespace.self_covariances(ex, fixture.cells(spark, sf_dir), ex), "c")
 
 
 @query
 def genespace_cross_covariance(spark, sf_dir):
-    return rounded(genespace.cross_covariances(_raw_kernel(spark, sf_dir, PAIRS), _standardized(spark, sf_dir)), "c")
+    ex = fixture.expression(spark, sf_dir)
+    return rounded(genespace.cross_covariances(_raw_kernel(spark, sf_dir, PAIRS), ex, fixture.cells(spark, sf_dir), ex), "c")
 
 
 @query
 def genespace_objective(spark, sf_dir):
-    z = _standardized(spark, sf_dir)
+    ex, cells = fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir)
     w = spark.createDataFrame([(t, f"g{g}", 1, 0.3 * (g - 4) + 0.2 * (k + 1)) for k, t in enumerate(fixture.TYPES) for g in (4, 5, 6)], "cell_type string, gene string, cc int, w double")
-    return rounded(genespace.objective(w, genespace.self_covariances(z), genespace.cross_covariances(_raw_kernel(spark, sf_dir, PAIRS), z)), "objective")
+    return rounded(genespace.objective(w, genespace.self_covariances(ex, cells, ex), genespace.cross_covariances(_raw_kernel(spark, sf_dir, PAIRS), ex, cells, ex)), "objective")
 
 
 @query

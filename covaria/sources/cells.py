@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from covaria.functions.ranks import with_rank
+
 #: Names of data sets that a local catalogue may hold.
 FORMATS = ("parquet", "csv", "json", "orc")
 
@@ -91,9 +93,10 @@ def split_slides(cells: DataFrame, max_cell: int) -> DataFrame:
         joined = now.join(stats, ["__slide", "__part"], "left")
         axis = F.when(F.col("__wide"), F.col("x")).otherwise(F.col("y"))
         other = F.when(F.col("__wide"), F.col("y")).otherwise(F.col("x"))
-        rank = F.percent_rank().over(Window.partitionBy("__slide", "__part").orderBy(axis, other, "cell_id"))
-        side = F.when(F.col("__n").isNull(), F.lit("")).otherwise(F.when(rank < 0.5, F.lit("0")).otherwise(F.lit("1")))
-        now = joined.withColumn("__side", side).withColumn("__part", F.concat("__part", "__side")).drop("__n", "__wide", "__side")
+        large = with_rank(joined.where("__n IS NOT NULL"), ["__slide", "__part"], [axis, other, "cell_id"], "__rank")
+        side = F.when(2 * F.col("__rank") < F.col("__n") - 1, F.lit("0")).otherwise(F.lit("1"))
+        split = large.withColumn("__side", side).drop("__rank").unionByName(joined.where("__n IS NULL").withColumn("__side", F.lit("")))
+        now = split.withColumn("__part", F.concat("__part", "__side")).drop("__n", "__wide", "__side")
     number = F.dense_rank().over(Window.partitionBy("__slide").orderBy("__part"))
     return now.withColumn("slide", F.when(F.col("__part") == "", F.col("__slide")).otherwise(F.concat("__slide", F.lit("_blk"), number.cast("string")))).drop("__part", "__slide")
 
