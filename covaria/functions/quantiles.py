@@ -7,8 +7,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bins for each doubling of a value; a bin is the most that one task sorts.
+from covaria.sources.store import materialize
+
+#: Bins for each doubling of a value; a bin's distinct values are the most that one task sorts.
 BINS = 64
+#: Bins that hold order statistics, two a group at most, up to which they are broadcast; beyond that a shuffled join meets the values.
+BROADCAST_BINS = 100_000
 
 
 def _bin(v) -> F.Column:
@@ -19,11 +23,12 @@ def _bin(v) -> F.Column:
 def exact_quantile(df: DataFrame, keys: list[str], value: str, p, name: str = "quantile") -> DataFrame:
     """Linearly interpolated quantile of ``value`` for each group of ``keys``; ``p`` is a number or a column constant in each group.
 
-    Values are counted by logarithmic bins, which combines map-side; only the bins that hold the two order statistics
-    are sorted.  No group is gathered by one task.
+    Values are counted by logarithmic bins, which combines map-side; of the bins that hold the two order statistics the distinct values are counted,
+    which again combines map-side, and only those, each with its count, are sorted.  No group is gathered by one task, and
+    however often a value occurs, one row of it reaches the task that ranks it.
     """
     p = F.lit(float(p)) if isinstance(p, (int, float)) else p
-    plain = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), p.cast("double").alias("__p")).withColumn("__bin", _bin(F.col("__v")))
+    plain = df.where(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("__v"), p.cast("double").alias("__p")).withColumn("__bin", _bin(F.col("__v")))
     counts = plain.groupBy(*keys, "__bin").agg(F.count("*").alias("__n"), F.max("__p").alias("__p"))
     group = Window.partitionBy(*keys)
     ordered = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,12 +37,15 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, p, name: str = "q
     inside = lambda r: (F.col("__before") <= r) & (r < F.col("__before") + F.col("__n"))
     lo, hi = F.floor("__h"), F.ceil("__h")
     wanted = ranked.where(inside(lo) | inside(hi)).select(*keys, "__bin", "__h", "__before")
+    wanted = materialize(wanted, "wanted-bins")  # two rows for each group at most
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_BINS else wanted
     on = plain.alias("a").join(wanted.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__bin"]])
-    rows = on.select(*[F.col(f"a.{k}") for k in keys], F.col("a.__bin").alias("__bin"), "__v", "__h", "__before")
-    rank = F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy("__v")) - 1 + F.col("__before")
-    picked = rows.withColumn("__r", rank).where((F.col("__r") == lo) | (F.col("__r") == hi))
-    low, high = F.max(F.when(F.col("__r") == lo, F.col("__v"))), F.max(F.when(F.col("__r") == hi, F.col("__v")))
-    return picked.groupBy(*keys).agg((low + (F.max("__h") - F.floor(F.max("__h"))) * (high - low)).alias(name))
+    values = on.select(*[F.col(f"a.{k}") for k in keys], F.col("a.__bin").alias("__bin"), "__v", "__h", "__before").groupBy(*keys, "__bin", "__h", "__before", "__v").agg(F.count("*").alias("__m"))
+    upto = F.sum("__m").over(Window.partitionBy(*keys, "__bin").orderBy("__v")) + F.col("__before")
+    at = values.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__m"))
+    holds = lambda r: (F.col("__from") <= r) & (r < F.col("__to"))
+    low, high = F.max(F.when(holds(lo), F.col("__v"))), F.max(F.when(holds(hi), F.col("__v")))
+    return at.where(holds(lo) | holds(hi)).groupBy(*keys).agg((low + (F.max("__h") - F.floor(F.max("__h"))) * (high - low)).alias(name))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

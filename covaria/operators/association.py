@@ -32,38 +32,40 @@ def block_norms(kernel: DataFrame, sizes: DataFrame, own: DataFrame | None = Non
 
 
 def _whitened(kernel: DataFrame, own: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Sum over (Rx Kc Ry) * Kc with Kc = K + U V', U = [-row mean, 1], V = [1, grand mean - column mean]."""
+    """The root of the sum over (Rx Kc Ry) * Kc, with Kc = K + U V', U = [-row mean, 1] and V = [1, grand mean - column mean].
+
+    As Rx and Ry are symmetric, that is the sum over (Rx Kc) * (Kc Ry), so no third product is formed.  The products of K alone are
+    edges times the degree of an own kernel; all that U and V add comes from the vectors Rx U and Ry V:
+    sum (Rx K) * (K Ry) + 2 sum_r (Rx U_r)' K (Ry V_r) + sum_rs (U_r' Rx U_s) (V_r' Ry V_s).
+    """
     halves = own.select("sigma", "slide", F.col("ct_1").alias("ct"), F.col("i").alias("a"), F.col("j").alias("b"), "k")
     turned = halves.select("sigma", "slide", "ct", F.col("b").alias("a"), F.col("a").alias("b"), "k")
     r = halves.unionByName(turned).groupBy("sigma", "slide", "ct", "a", "b").agg((F.sum("k") / 2).alias("w"))
     have = r.select("sigma", "slide", "ct").distinct()
     blocks = kernel.select(*BLOCK).distinct().join(have.withColumnRenamed("ct", "ct_1"), ["sigma", "slide", "ct_1"]).join(have.withColumnRenamed("ct", "ct_2"), ["sigma", "slide", "ct_2"]).select(*BLOCK)
     k = kernel.join(blocks, BLOCK, "left_semi")
-    rx = r.select("sigma", "slide", F.col("ct").alias("ct_1"), F.col("a").alias("a1"), F.col("b").alias("i"), F.col("w").alias("wx"))
-    ry = r.select("sigma", "slide", F.col("ct").alias("ct_2"), F.col("a").alias("j"), F.col("b").alias("b2"), F.col("w").alias("wy"))
-    sums = lambda side: k.groupBy(*BLOCK, side).agg(F.sum("k").alias("s"))
-    size = sizes.select("slide", "ct_1", "ct_2", "n_1", "n_2")
-    grand = k.groupBy(*BLOCK).agg(F.sum("k").alias("total")).join(size, ["slide", "ct_1", "ct_2"]).select(*BLOCK, "n_1", "n_2", (F.col("total") / (F.col("n_1") * F.col("n_2"))).alias("grand"))
-    # T = Rx K;  base = sum T Ry * K
-    t = rx.join(k, ["sigma", "slide", "ct_1", "i"]).groupBy(*BLOCK, F.col("a1").alias("i"), "j").agg(F.sum(F.col("wx") * F.col("k")).alias("t"))
-    m = t.join(ry, ["sigma", "slide", "ct_2", "j"]).groupBy(*BLOCK, "i", F.col("b2").alias("j")).agg(F.sum(F.col("t") * F.col("wy")).alias("m"))
-    base = m.join(k, [*BLOCK, "i", "j"]).groupBy(*BLOCK).agg(F.sum(F.col("m") * F.col("k")).alias("base"))
-    # cross term: sum U * (M V)
-    row_mean = sums("i").join(grand, BLOCK).select(*BLOCK, "i", (F.col("s") / F.col("n_2")).alias("rm"))
-    col_mean = sums("j").join(grand, BLOCK).select(*BLOCK, "j", (F.col("s") / F.col("n_1")).alias("cm"))
-    mv = m.join(row_mean, [*BLOCK, "i"], "left").join(col_mean, [*BLOCK, "j"], "left").join(grand, BLOCK)
-    cross = mv.groupBy(*BLOCK).agg(F.sum(F.col("m") * (-F.coalesce("rm", F.lit(0.0)) + F.col("grand") - F.coalesce("cm", F.lit(0.0)))).alias("crossed"))
-    # rank-two term: sum of (U' Rx U) * (V' Ry V)
-    u = rx.select("sigma", "slide", "ct_1", F.col("a1").alias("p"), F.col("i").alias("q"), "wx").join(blocks, ["sigma", "slide", "ct_1"])
-    u = u.join(row_mean.select(*BLOCK, F.col("i").alias("p"), F.col("rm").alias("rp")), [*BLOCK, "p"], "left").join(row_mean.select(*BLOCK, F.col("i").alias("q"), F.col("rm").alias("rq")), [*BLOCK, "q"], "left")
+    rx = r.select("sigma", "slide", F.col("ct").alias("ct_1"), F.col("a").alias("p"), F.col("b").alias("i"), F.col("w").alias("wx"))
+    ry = r.select("sigma", "slide", F.col("ct").alias("ct_2"), F.col("a").alias("q"), F.col("b").alias("j"), F.col("w").alias("wy"))
+    grand = k.groupBy(*BLOCK).agg(F.sum("k").alias("total")).join(sizes.select("slide", "ct_1", "ct_2", "n_1", "n_2"), ["slide", "ct_1", "ct_2"])
+    grand = grand.select(*BLOCK, "n_1", "n_2", (F.col("total") / (F.col("n_1") * F.col("n_2"))).alias("grand"))
+    left = rx.join(k, ["sigma", "slide", "ct_1", "i"]).groupBy(*BLOCK, F.col("p").alias("i"), "j").agg(F.sum(F.col("wx") * F.col("k")).alias("x"))
+    right = k.join(ry, ["sigma", "slide", "ct_2", "j"]).groupBy(*BLOCK, "i", F.col("q").alias("j")).agg(F.sum(F.col("wy") * F.col("k")).alias("y"))
+    base = left.join(right, [*BLOCK, "i", "j"]).groupBy(*BLOCK).agg(F.sum(F.col("x") * F.col("y")).alias("base"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    u = u.groupBy(*BLOCK).agg(F.sum(F.col("wx") * z("rp") * z("rq")).alias("u11"), F.sum(-F.col("wx") * z("rp")).alias("u12"), F.sum("wx").alias("u22"))
-    v = ry.select("sigma", "slide", "ct_2", F.col("j").alias("p"), F.col("b2").alias("q"), "wy").join(blocks, ["sigma", "slide", "ct_2"]).join(grand, BLOCK)
-    v = v.join(col_mean.select(*BLOCK, F.col("j").alias("p"), F.col("cm").alias("cp")), [*BLOCK, "p"], "left").join(col_mean.select(*BLOCK, F.col("j").alias("q"), F.col("cm").alias("cq")), [*BLOCK, "q"], "left")
-    gp, gq = F.col("grand") - z("cp"), F.col("grand") - z("cq")
-    v = v.groupBy(*BLOCK).agg(F.sum("wy").alias("v11"), F.sum(F.col("wy") * gp).alias("v12"), F.sum(F.col("wy") * gp * gq).alias("v22"))
+    # u and v of a cell, and Rx U and Ry V of it
+    rows = k.groupBy(*BLOCK, "i").agg(F.sum("k").alias("s")).join(grand, BLOCK).select(*BLOCK, "i", (-F.col("s") / F.col("n_2")).alias("u"))
+    columns = k.groupBy(*BLOCK, "j").agg(F.sum("k").alias("s")).join(grand, BLOCK).select(*BLOCK, "j", (F.col("s") / F.col("n_1")).alias("cm"))
+    mine = rx.join(blocks, ["sigma", "slide", "ct_1"]).join(rows, [*BLOCK, "i"], "left").groupBy(*BLOCK, F.col("p").alias("i")).agg(F.sum(F.col("wx") * z("u")).alias("u1"), F.sum("wx").alias("u2"))
+    mine = mine.join(rows, [*BLOCK, "i"], "left").select(*BLOCK, "i", "u1", "u2", z("u").alias("u"))
+    theirs = ry.join(blocks, ["sigma", "slide", "ct_2"]).join(grand.select(*BLOCK, "grand"), BLOCK).join(columns, [*BLOCK, "j"], "left")
+    theirs = theirs.groupBy(*BLOCK, F.col("q").alias("j"), "grand").agg(F.sum("wy").alias("v1"), F.sum(F.col("wy") * (F.col("grand") - z("cm"))).alias("v2"))
+    theirs = theirs.join(columns, [*BLOCK, "j"], "left").select(*BLOCK, "j", "v1", "v2", (F.col("grand") - z("cm")).alias("v"))
+    crossed = k.join(mine, [*BLOCK, "i"]).join(theirs, [*BLOCK, "j"]).groupBy(*BLOCK).agg(F.sum(F.col("k") * (F.col("u1") * F.col("v1") + F.col("u2") * F.col("v2"))).alias("crossed"))
+    u = mine.groupBy(*BLOCK).agg(F.sum(F.col("u") * F.col("u1")).alias("u11"), F.sum("u1").alias("u12"), F.sum("u2").alias("u22"))
+    v = theirs.groupBy(*BLOCK).agg(F.sum("v1").alias("v11"), F.sum("v2").alias("v12"), F.sum(F.col("v") * F.col("v2")).alias("v22"))
     rank = F.col("u11") * F.col("v11") + 2 * F.col("u12") * F.col("v12") + F.col("u22") * F.col("v22")
-    return base.join(cross, BLOCK).join(u, BLOCK).join(v, BLOCK).select(*BLOCK, F.sqrt(F.greatest(F.col("base") + 2 * F.col("crossed") + rank, F.lit(0.0))).alias("white"))
+    total = z("base") + 2 * z("crossed") + rank
+    return u.join(v, BLOCK).join(base, BLOCK, "left").join(crossed, BLOCK, "left").select(*BLOCK, F.sqrt(F.greatest(total, F.lit(0.0))).alias("white"))
 
 
 def _scored(kernel: DataFrame, scores: DataFrame, side: str, name: str) -> DataFrame:

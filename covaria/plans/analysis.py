@@ -261,8 +261,7 @@ class Analysis:
             raise ValueError(f"no {gene_score_type} gene scores yet")
         chosen = sigma or self.sigma_choice
         w = source if chosen is None else source.where(F.col("sigma") == chosen)
-        genes = w.select("gene").distinct()
-        out = scores.transfer_scores(scores.dense(self.data.expression, self.data.cells, genes), scores.dense(target.expression, target.cells, genes), w.drop("sigma"), use_quantile_normalization, weight_threshold)
+        out = scores.transfer_scores(self.data.expression, self.data.cells, target.expression, target.cells, w.drop("sigma"), use_quantile_normalization, weight_threshold)
         if not agg_cell_type:
             return out
         axes = sorted(r[0] for r in w.select("cc").distinct().collect())

@@ -367,9 +367,9 @@ def quantile_normalize(spark, sf_dir):
 
 
 def _transferred(spark, sf_dir):
-    ref, tar = _halves(spark, sf_dir)
+    ex, cells = fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir)
     weights = spark.createDataFrame([(t, f"g{g}", 1, 0.1 * g - 0.45) for t in fixture.TYPES for g in range(4, 9)], "cell_type string, gene string, cc int, score double")
-    return scores.transfer_scores(ref, tar, weights, True, 0.1)
+    return scores.transfer_scores(ex, cells.where("slide = 's0'"), ex, cells.where("slide = 's1'"), weights, True, 0.1)
 
 
 @query

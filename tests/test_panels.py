@@ -115,3 +115,82 @@ def test_tiles_bound_what_is_shuffled(spark, small_tiles):
     place = {r.cell_id: r.place for r in panels.places(cell_table).collect()}
     assert counts[1] == len(edges) and counts[0] == len({(e[1], e[2], e[3], e[4], place[e[5]] // 16) for e in edges}) and counts[2] == len({e[2:4] + e[5:6] for e in edges})
     assert dealt.where(F.col("kind") == 0).groupBy("b", "tile", "band").count().agg(F.max("count")).first()[0] <= 32
+
+
+@pytest.mark.parametrize("run", [32, 3])
+def test_quantile_map_of_sparse_values(spark, monkeypatch, run):
+    """Zeros that nobody writes, negative values, many ties, a gene without values, one cell: as ranks over all cells say."""
+    from covaria.operators import scores
+
+    monkeypatch.setattr(scores, "PLACES_AT_ONCE", run)
+    rng = np.random.default_rng(2)
+    a = {"counts": rng.poisson(0.6, 300).astype(float), "signed": np.round(rng.normal(size=300), 1) * (rng.uniform(size=300) < 0.5), "full": rng.normal(size=300), "none": np.zeros(300), "single": np.array([4.0])}
+    b = {"counts": rng.poisson(0.9, 170).astype(float), "signed": np.round(rng.normal(size=170), 1) * (rng.uniform(size=170) < 0.7), "full": rng.normal(size=170), "none": rng.poisson(1, 170).astype(float), "single": np.array([1.0, 0.0])}
+    table = lambda x: spark.createDataFrame([(g, k, float(v)) for g, line in x.items() for k, v in enumerate(line)], "gene string, cell_id long, value double")
+    got = {(r.gene, r.cell_id): r.value for r in scores.quantile_normalize(table(a), table(b)).collect()}
+    assert len(got) == sum(map(len, b.values()))
+    for g, line in b.items():
+        ranks_ = np.array([(line < v).sum() for v in line]) / max(len(line) - 1, 1)
+        want = np.interp(ranks_, np.linspace(0, 1, len(a[g])), np.sort(a[g])) if len(a[g]) > 1 else np.full(len(line), a[g][0])
+        assert np.allclose([got[g, k] for k in range(len(line))], want, atol=1e-9)
+
+
+def test_transfer_values_against_numpy(spark):
+    from covaria.operators import scores
+
+    rng = np.random.default_rng(4)
+    parts = {}
+    for name, n in (("ref", 80), ("tar", 50)):
+        v = rng.gamma(2, size=(n, 4)) * (rng.uniform(size=(n, 4)) < 0.5)
+        cells = [("s", "AB"[k % 2], k) for k in range(n)]
+        parts[name] = v, cells, spark.createDataFrame([(k, f"g{g}", float(v[k, g])) for k in range(n) for g in range(4) if v[k, g]] + ([(0, "only", 1.0)] if name == "ref" else []), "cell_id long, gene string, value double"), spark.createDataFrame(cells, "slide string, cell_type string, cell_id long")
+    w = {("A", 0): 1.0, ("A", 2): -2.0, ("B", 1): 0.5, ("B", 3): 0.01}
+    weights = spark.createDataFrame([(0.1, t, f"g{g}", 1, x) for (t, g), x in w.items()] + [(0.1, "A", "only", 1, 9.0)], "sigma double, cell_type string, gene string, cc int, score double")
+    for normal in (True, False):
+        out = scores.transfer_scores(parts["ref"][2], parts["ref"][3], parts["tar"][2], parts["tar"][3], weights, normal, 0.1)
+        got = {r.cell_id: r.score for r in out.collect()}
+        assert out.columns == ["sigma", "slide", "cell_type", "cell_id", "cc", "score"] and len(got) == 50
+        for t, first in (("A", 0), ("B", 1)):
+            a, b = parts["ref"][0][first::2], parts["tar"][0][first::2]
+            want = np.zeros(len(b))
+            for (kind, g), x in w.items():
+                if kind == t and abs(x) >= 0.1:
+                    share = np.array([(b[:, g] < v).sum() for v in b[:, g]]) / (len(b) - 1)
+                    moved = np.interp(share, np.linspace(0, 1, len(a)), np.sort(a[:, g])) if normal else b[:, g]
+                    want += x * (moved - a[:, g].mean()) / a[:, g].std(ddof=1)
+            assert np.allclose([got[k] for k in range(first, 50, 2)], want, atol=1e-9)
+
+
+def test_quantile_of_a_tie(spark):
+    """Three million equal values, and some others: the values that are ranked are the distinct ones."""
+    from covaria.functions.quantiles import exact_quantile
+
+    df = spark.range(3_000_000, numPartitions=8).select(F.lit("g").alias("g"), F.when(F.col("id") % 100 == 0, F.col("id") / 3e6).otherwise(F.lit(0.5)).alias("v"))
+    v = np.where(np.arange(3_000_000) % 100 == 0, np.arange(3_000_000) / 3e6, 0.5)
+    for p in (0.001, 0.4, 0.995):
+        assert np.isclose(exact_quantile(df, ["g"], "v", p).first().quantile, np.quantile(v, p), rtol=1e-12)
+
+
+def test_whitened_norms_against_numpy(spark):
+    """Own kernels that aren't symmetric, cells without edges, a block without own kernels, cells beyond the edges."""
+    from covaria.operators.association import block_norms
+
+    rng = np.random.default_rng(6)
+    n = {"A": 9, "B": 7, "C": 5}
+    base = {"A": 0, "B": 20, "C": 40}
+    mats, rows = {}, []
+    for a, b in ("AA", "BB", "AB", "AC"):
+        m = rng.uniform(size=(n[a], n[b])) * (rng.uniform(size=(n[a], n[b])) < 0.5)
+        m[-1] = 0
+        if a == b:
+            np.fill_diagonal(m, 0)
+        mats[a, b] = m
+        rows += [(0.1, "s", a, b, base[a] + i, base[b] + j, float(m[i, j])) for i in range(n[a]) for j in range(n[b]) if m[i, j]]
+    ddl = "sigma double, slide string, ct_1 string, ct_2 string, i long, j long, k double"
+    every = spark.createDataFrame(rows, ddl)
+    sizes = spark.createDataFrame([("s", a, b, n[a], n[b]) for a, b in ("AB", "AC")], "slide string, ct_1 string, ct_2 string, n_1 long, n_2 long")
+    got = {(r.ct_1, r.ct_2): r.norm for r in block_norms(every.where("ct_1 <> ct_2"), sizes, every.where("ct_1 = ct_2")).collect()}
+    centre = lambda m: m - m.mean(axis=1, keepdims=True) - m.mean(axis=0) + m.mean()
+    half = lambda m: (m + m.T) / 2
+    kc = centre(mats["A", "B"])
+    assert np.isclose(got["A", "B"], np.sqrt((half(mats["A", "A"]) @ kc @ half(mats["B", "B"]) * kc).sum())) and np.isclose(got["A", "C"], np.linalg.norm(centre(mats["A", "C"])))
