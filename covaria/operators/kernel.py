@@ -111,18 +111,13 @@ def compute_kernel(
     return materialize(normalize_kernel(clipped, normalization, lower_limit), "kernel"), factor
 
 
-def symmetrized(kernel: DataFrame) -> DataFrame:
-    """A kernel and its transpose: blocks can then be looked up in either order."""
-    swapped = kernel.where("ct_1 <> ct_2").select("sigma", "slide", F.col("ct_2").alias("ct_1"), F.col("ct_1").alias("ct_2"), F.col("j").alias("i"), F.col("i").alias("j"), "k")
-    return kernel.unionByName(swapped)
-
-
 def sinkhorn(kernel: DataFrame, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
-    """Kernel with rows and columns that sum to one, by iterating on the two scaling vectors only.
+    """Kernel with rows and columns scaled to sums of one in turn, by iterating on the two scaling vectors only.
 
-    Each round is two aggregates over the edges; the vectors are written to the checkpoint folder, which
-    cuts the lineage and survives lost executors.  How far a row's sum is from one before its scale is renewed is a
-    by-product of the renewal.
+    The columns are scaled last and sum to one.  Rows do so too where a block is square; the rows of n1 x n2 sum to n2 all together, so with n1 <> n2
+    they can only come to one common sum, n2 / n1.  A round moves the vectors, and the edges to them twice; the rounds end when in every
+    block the rows' sums differ by less than ``tol`` relative to each other, for then nothing but a common factor changes any more, or after
+    ``max_iter``.  The vectors are written to the checkpoint folder, which cuts the lineage and survives lost executors.
     """
     edges = kernel.select(*BLOCK, "i", "j", F.greatest("k", F.lit(0.0)).alias("k"))
     safe = lambda s: F.when(s < 1e-12, F.lit(1.0)).otherwise(s)
@@ -130,9 +125,10 @@ def sinkhorn(kernel: DataFrame, max_iter: int = 100, tol: float = 1e-6) -> DataF
     rows = edges.select(*BLOCK, "i").distinct().withColumn("r", F.lit(1.0))
     for round_ in range(max_iter + 1):
         sums = edges.join(columns, [*BLOCK, "j"]).groupBy(*BLOCK, "i").agg(F.sum(F.col("k") * F.col("c")).alias("s"))
-        renewed = materialize(sums.join(rows, [*BLOCK, "i"]).select(*BLOCK, "i", (1 / safe(F.col("s"))).alias("r"), F.abs(F.col("r") * F.col("s") - 1).alias("e")), "rows")
-        if round_ and renewed.agg(F.max("e")).first()[0] < tol or round_ == max_iter:
+        renewed = materialize(sums.join(rows, [*BLOCK, "i"]).select(*BLOCK, "i", (1 / safe(F.col("s"))).alias("r"), F.when(F.col("s") >= 1e-12, F.col("r") * F.col("s")).alias("now")), "rows")
+        apart = renewed.groupBy(*BLOCK).agg((F.max("now") / F.min("now") - 1).alias("apart")).agg(F.max("apart")).first()[0]
+        if round_ and (apart is None or apart < tol) or round_ == max_iter:
             break
-        rows = renewed.drop("e")
+        rows = renewed.drop("now")
         columns = materialize(edges.join(rows, [*BLOCK, "i"]).groupBy(*BLOCK, "j").agg((1 / safe(F.sum(F.col("k") * F.col("r")))).alias("c")), "columns")
     return edges.join(rows, [*BLOCK, "i"]).join(columns, [*BLOCK, "j"]).select(*BLOCK, "i", "j", (F.col("k") * F.col("r") * F.col("c")).alias("k"))

@@ -99,6 +99,15 @@ k2 AS (SELECT {BLOCK}, i, j, k / sum(k) OVER (PARTITION BY {BLOCK}, j) AS k FROM
 {bidir("side_a", "side_b", "k1", "k2").replace("DIGITS", str(digits))}"""
 
 
+def scaled_kernel(rounds: int = 12) -> str:
+    """Rows and columns scaled in turn: a pair of vectors for each round."""
+    out = [f"""sc0 AS (SELECT DISTINCT {BLOCK}, j, 1.0::DOUBLE AS c FROM kern)"""]
+    for t in range(1, rounds + 1):
+        out.append(f"sr{t} AS MATERIALIZED (SELECT {BLOCK}, i, 1 / sum(k * c) AS r FROM kern JOIN sc{t - 1} USING ({BLOCK}, j) GROUP BY ALL)")
+        out.append(f"sc{t} AS MATERIALIZED (SELECT {BLOCK}, j, 1 / sum(k * r) AS c FROM kern JOIN sr{t} USING ({BLOCK}, i) GROUP BY ALL)")
+    return ",\n".join([*out, f"scaled AS (SELECT {BLOCK}, i, j, k * r * c AS k FROM kern JOIN sr{rounds} USING ({BLOCK}, i) JOIN sc{rounds} USING ({BLOCK}, j))"])
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c for c in ctes)
 
@@ -145,7 +154,7 @@ box AS (SELECT slide, ct, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1
 ORACLES: dict[str, str] = {
     "create_cells": f"{with_(CELLS)} SELECT '7' AS slide, ct AS cell_type, count(*)::BIGINT AS n, round(min(x), 6) AS x_min, round(max(y), 6) AS y_max FROM cells GROUP BY ALL",
     "subset_types": f"{with_(CELLS)} SELECT gene, count(*)::BIGINT AS n, round(sum(v), 6) AS total FROM expr JOIN cells USING (cell_id) WHERE ct IN ('T0', 'T2') GROUP BY ALL",
-    "pair_enumeration": f"SELECT ct_1, ct_2 FROM {PAIRS}",
+    "pair_enumeration": f"{with_(CELLS)} SELECT DISTINCT a.ct AS ct_1, b.ct AS ct_2 FROM cells a JOIN cells b ON a.ct < b.ct",
     "block_sizes": f"""{with_(CELLS, SIZES)} SELECT a.slide, ct_1, ct_2, a.n::BIGINT AS n_1, b.n::BIGINT AS n_2, CASE WHEN ct_1 = ct_2 THEN a.n * (a.n - 1) ELSE a.n * b.n END::BIGINT AS n_pairs,
   round(CASE WHEN ct_1 = ct_2 THEN 1e-4::DOUBLE ELSE least(1e-3::DOUBLE, 2.0::DOUBLE / greatest(a.n, b.n)) END, 10) AS level
   FROM {ALL} JOIN sizes a ON a.ct = ct_1 JOIN sizes b ON b.ct = ct_2 AND a.slide = b.slide WHERE a.n > 5 AND b.n > 5""",
@@ -166,7 +175,21 @@ ORACLES: dict[str, str] = {
   SELECT slide, ct_1, ct_2, n::BIGINT AS n_pairs, round(max(d) FILTER (r = floor((n - 1) * p)) + ((n - 1) * p - floor((n - 1) * p)) * (max(d) FILTER (r = ceil((n - 1) * p)) - max(d) FILTER (r = floor((n - 1) * p))), 10) AS low FROM rk GROUP BY slide, ct_1, ct_2, n, p""",
     "conditioned_distances": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"))}
   SELECT slide, ct_1, ct_2, count(*)::BIGINT AS n, round(min(greatest(d, low) * f), 5) AS least, round(sum(greatest(d, low) * f), 5) AS total FROM dist JOIN dist_low USING (slide, ct_1, ct_2), dist_f GROUP BY ALL""",
-    "kernel_doubly_stochastic": f"""{with_(CELLS, kern(PAIRS, sigmas="(VALUES (0.2::DOUBLE))"))} SELECT {BLOCK}, count(DISTINCT i)::BIGINT AS "rows", count(DISTINCT j)::BIGINT AS "columns" FROM kern GROUP BY ALL""",
+    "kernel_doubly_stochastic": f"""{with_(CELLS, kern(PAIRS, sigmas="(VALUES (0.2::DOUBLE))"), scaled_kernel())}, rs AS (SELECT {BLOCK}, i, sum(k) AS s FROM scaled GROUP BY ALL), cs AS (SELECT {BLOCK}, j, sum(k) AS s FROM scaled GROUP BY ALL),
+  r AS (SELECT {BLOCK}, min(s) AS r0, max(s) AS r1 FROM rs GROUP BY ALL), c AS (SELECT {BLOCK}, min(s) AS c0, max(s) AS c1 FROM cs GROUP BY ALL), v AS (SELECT {BLOCK}, count(*) AS n, sum(k * k) AS q, max(k) AS m FROM scaled GROUP BY ALL)
+  SELECT {BLOCK}, n::BIGINT AS n, round(q, 5) AS squares, round(m, 5) AS largest, round(r0, 5) AS least_row, round(r1, 5) AS largest_row, round(c0, 5) AS least_column, round(c1, 5) AS largest_column FROM v JOIN r USING ({BLOCK}) JOIN c USING ({BLOCK})""",
+    "kernel_conditioned": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"))},
+  far AS (SELECT slide, ct_1, ct_2, i, j, greatest(d, low) * f AS d FROM dist JOIN dist_low USING (slide, ct_1, ct_2), dist_f),
+  raw AS (SELECT sigma, slide, ct_1, ct_2, i, j, exp(-0.5 * (d / sigma) * (d / sigma)) AS k FROM far, (VALUES (0.0001::DOUBLE), (0.01::DOUBLE), (0.02::DOUBLE)) s(sigma) WHERE exp(-0.5 * (d / sigma) * (d / sigma)) >= 1e-7),
+  good AS (SELECT sigma, raw.slide, ct_1, ct_2, quantile_cont(k, 0.85) AS q FROM raw JOIN sizes a ON a.slide = raw.slide AND a.ct = ct_1 JOIN sizes b ON b.slide = raw.slide AND b.ct = ct_2 GROUP BY sigma, raw.slide, ct_1, ct_2 HAVING count(*) FILTER (k > 1e-7) >= 2 * least(min(a.n), min(b.n))),
+  kern AS (SELECT {BLOCK}, i, j, least(k, q) AS k FROM raw JOIN good USING ({BLOCK}))
+  {SUMMARY.format(k="kern")}""",
+    "bidirectional_sinkhorn": f"""{with_(CELLS, kern(PAIRS, sigmas="(VALUES (0.2::DOUBLE))"), scaled_kernel())}, bl AS (SELECT DISTINCT {BLOCK} FROM kern),
+  side_a AS (SELECT bl.sigma, bl.slide, ct_1, ct_2, cell_id AS i, cc, score AS a FROM bl JOIN fixed f ON f.slide = bl.slide AND f.ct = ct_1), side_b AS (SELECT bl.sigma, bl.slide, ct_1, ct_2, cell_id AS j, cc, score AS b FROM bl JOIN fixed f ON f.slide = bl.slide AND f.ct = ct_2),
+  {bidir("side_a", "side_b", "scaled", "scaled").replace("DIGITS", "4")}""",
+    "three_type_cca": "SELECT sigma, cell_type, true AS stationary, true AS unit FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE)) s(sigma), (VALUES ('T0'), ('T1'), ('T2')) t(cell_type)",
+    "genespace_axes": "SELECT 0.05::DOUBLE AS sigma, 1 AS cc, true AS agrees, true AS spread, true AS unit",
+    "permutation_test_three_types": f"SELECT sigma, ct_1, ct_2, cc::INT AS cc, true AS agrees, 9::BIGINT AS n_draws, true AS bounded, 9::BIGINT AS distinct_values FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE)) s(sigma), {PAIRS}, range(1, 3) c(cc)",
     "plot_slicing": f"{with_(CELLS)} SELECT slide, count(*)::BIGINT AS cells, true AS bounded, count(*) > 100 AS named, round(sum(x), 6) + 0.0 AS sx, round(sum(y), 6) + 0.0 AS sy FROM cells GROUP BY ALL",
     "self_distance_factor": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"), dist(SELVES, "own"), low("own"))} SELECT round(dist_f.f, 5) AS cross_factor, round(own_f.f, 5) AS own_factor FROM dist_f, own_f""",
     "self_kernel_own_factor": f"""{with_(CELLS, SIZES, dist(SELVES, "own"), low("own"))},
@@ -235,7 +258,7 @@ ORACLES: dict[str, str] = {
   k AS (SELECT *, row_number() OVER (PARTITION BY draw, slide, ct ORDER BY x, y, cell_id) AS a, row_number() OVER (PARTITION BY draw, slide, ct ORDER BY mx, my, cell_id) AS b FROM m)
   SELECT p.draw, p.slide, p.ct AS cell_type, p.cell_id, s.cell_id AS source_id FROM k p JOIN k s ON p.draw = s.draw AND p.slide = s.slide AND p.ct = s.ct AND p.b = s.a""",
     "spatial_resampling": f"{with_(CELLS, resampled(3))} SELECT draw, slide, ct AS cell_type, cell_id, source_id FROM asked JOIN offered USING (draw, slide, ct, tx, ty, r)",
-    "quantile_matched_resampling": f"{with_(CELLS)} SELECT draw::INT AS draw, slide, ct AS cell_type, count(*)::BIGINT AS cells, count(*)::BIGINT AS distinct_cells FROM cells, range(1, 3) r(draw) GROUP BY ALL",
+    "quantile_matched_resampling": f"{with_(CELLS)} SELECT draw::INT AS draw, slide, ct AS cell_type, count(*)::BIGINT AS cells, count(*)::BIGINT AS distinct_cells, count(*)::BIGINT AS own_sources FROM cells, range(1, 3) r(draw) GROUP BY ALL",
     "component_permutation": f"""{with_(CELLS)}, d AS (SELECT draw::INT AS draw, slide, ct, cell_id, cc AS pc, score FROM fixed, range(1, 3) r(draw)),
   k AS (SELECT *, row_number() OVER (PARTITION BY draw, slide, ct, pc ORDER BY cell_id) AS a, row_number() OVER (PARTITION BY draw, slide, ct, pc ORDER BY md5('1|' || draw || '|' || pc || '|' || cell_id), cell_id) AS b FROM d)
   SELECT x.draw, x.slide, x.ct AS cell_type, x.cell_id, x.pc, round(s.score, 6) + 0.0 AS score FROM k x JOIN k s ON x.draw = s.draw AND x.slide = s.slide AND x.ct = s.ct AND x.pc = s.pc AND x.a = s.b""",
@@ -245,7 +268,10 @@ ORACLES: dict[str, str] = {
     "permutation_pvalue": f"""{with_(CELLS, NULL_)}, o AS (SELECT max(v) AS o FROM obs)
   SELECT round(o, 6) AS observed, count(*)::BIGINT AS n_draws, round(least(1.0, 2 * least((1.0 + count(*) FILTER (v >= o)) / (count(*) + 1), (1.0 + count(*) FILTER (v <= o)) / (count(*) + 1)))::DOUBLE, 6) AS p_value, round(1.0::DOUBLE / (count(*) + 1), 6) AS p_floor,
   round(avg(v), 6) + 0.0 AS null_mean, round(stddev_samp(v), 6) AS null_sd FROM dm, o GROUP BY o""",
-    "step_down_pvalues": """SELECT cc::INT AS cc, p_raw::DOUBLE AS p_raw, max(coalesce(p_raw, 1)) OVER (ORDER BY cc)::DOUBLE AS p_value, max(coalesce(p_raw, 1)) OVER (ORDER BY cc) <= 0.05 AS significant FROM (VALUES (1, 0.01), (2, 0.04), (3, 0.02), (4, NULL), (5, 0.001)) t(cc, p_raw)""",
+    "step_down_pvalues": f"""{with_(CELLS, NULL_)}, o AS (SELECT ct_1, ct_2, max(v) AS o FROM obs GROUP BY ALL), d AS (SELECT draw, ct_1, ct_2, max(v) AS v FROM nul GROUP BY ALL),
+  r AS (SELECT row_number() OVER (ORDER BY ct_1, ct_2) AS cc, (1.0::DOUBLE + count(*) FILTER (v >= o)) / (count(*) + 1) AS p_raw FROM d JOIN o USING (ct_1, ct_2) GROUP BY ct_1, ct_2),
+  t AS (SELECT *, max(p_raw) OVER (ORDER BY cc) AS p_value FROM r)
+  SELECT cc::INT AS cc, round(p_raw, 6) AS p_raw, round(p_value, 6) AS p_value, p_value <= 0.5 AS significant FROM t""",
     "null_histogram": f"""{with_(CELLS, NULL_)}, b AS (SELECT min(v) AS lo, max(v) AS hi FROM dm), h AS (SELECT least(floor((v - lo) / ((hi - lo) / 5)), 4)::INT AS bin, lo, hi FROM dm, b)
   SELECT bin, round(lo + bin * ((hi - lo) / 5), 6) + 0.0 AS low, count(*)::BIGINT AS n FROM h GROUP BY ALL""",
     "genespace_self_covariance": f"{with_(CELLS, Z)} SELECT slide, ct AS cell_type, gene_1, gene_2, round(c, 6) + 0.0 AS c FROM own",
@@ -255,7 +281,12 @@ ORACLES: dict[str, str] = {
   n AS (SELECT {BLOCK}, sum(c * a.w * b.w) AS num FROM crossed JOIN w a ON a.ct = ct_1 AND a.gene = gene_1 JOIN w b ON b.ct = ct_2 AND b.gene = gene_2 GROUP BY ALL),
   v AS (SELECT n.sigma, n.slide, sum(num / (a.s * b.s)) AS v FROM n JOIN dev a ON a.slide = n.slide AND a.ct = ct_1 JOIN dev b ON b.slide = n.slide AND b.ct = ct_2 GROUP BY ALL) SELECT sigma, 1 AS cc, round(avg(v), 6) + 0.0 AS objective FROM v GROUP BY sigma""",
     "gene_slopes": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS estimate FROM fixed f JOIN expr USING (cell_id) GROUP BY ALL",
-    "gene_test_glm": f"{with_(CELLS)} SELECT f.ct AS cell_type, cc, gene, round(regr_slope(score, v), 6) + 0.0 AS estimate FROM fixed f JOIN expr USING (cell_id) GROUP BY ALL",
+    # the tail of Student's t by Simpson's rule
+    "gene_test_glm": f"""{with_(CELLS)}, g AS (SELECT f.ct, cc, gene, regr_slope(score, v) AS b, corr(score, v) AS r, count(*)::DOUBLE - 2 AS nu FROM fixed f JOIN expr USING (cell_id) GROUP BY ALL),
+  t AS (SELECT *, abs(r) * sqrt(nu / (1 - r * r)) AS t FROM g),
+  q AS (SELECT *, CASE WHEN abs(r) > 1 - 1e-9 THEN 0 ELSE 1 - 2 * exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(nu * pi()) * t / 6000 * list_sum(list_transform(range(2001), lambda x: (CASE WHEN x = 0 OR x = 2000 THEN 1 WHEN x % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + (t * x / 2000) * (t * x / 2000) / nu, -(nu + 1) / 2))) END AS p FROM t),
+  p AS (SELECT *, CASE WHEN p = 0 THEN min(p) FILTER (p > 0) OVER (PARTITION BY ct, cc) ELSE p END / 2 AS half FROM q)
+  SELECT ct AS cell_type, cc, gene, round(b, 6) + 0.0 AS estimate, round(p, 6) + 0.0 AS pvalue, round(CASE WHEN b > 0 THEN -log10(half) ELSE log10(half) END, 4) + 0.0 AS z_score FROM p""",
     "plot_correlation": f"{with_(CELLS, SIZES, kern(PAIRS), norms(), ncorr())} SELECT ct_1 || '-' || ct_2 AS pair, sigma, round(v, 6) + 0.0 AS normalized_correlation FROM agg WHERE cc = 1",
     "plot_scores_in_place": f"{with_(CELLS)} SELECT cell_id, round(score, 6) + 0.0 AS score, c.slide, c.ct AS cell_type, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM fixed JOIN cells c USING (cell_id) WHERE cc = 1",
     "plot_smoothed_scores": f"""{with_(CELLS, kern(PAIRS))}, s AS (SELECT ct_1, ct_2, j, sum(k * score) AS s FROM kern JOIN fixed ON cell_id = i AND cc = 1 WHERE sigma = 0.02 GROUP BY ALL)

@@ -59,7 +59,8 @@ def subset_types(spark, sf_dir):
 
 @query
 def pair_enumeration(spark, sf_dir):
-    return spark.createDataFrame(PAIRS, "ct_1 string, ct_2 string")
+    types = sorted(r[0] for r in fixture.cells(spark, sf_dir).select("cell_type").distinct().collect())
+    return spark.createDataFrame(subset.pairs_of(types), "ct_1 string, ct_2 string")
 
 
 @query
@@ -226,11 +227,19 @@ def kernel_filter_self(spark, sf_dir):
 
 @query
 def kernel_doubly_stochastic(spark, sf_dir):
-    """How many rows and columns of each block sum to one within the tolerance (all of them do)."""
-    k = kernel.sinkhorn(kernel.compute_kernel(fixture.cells(spark, sf_dir), PAIRS, [0.2], check=False, **RAW)[0])
+    """Blocks of n1 x n2 scaled until they stand still: columns sum to one, rows to n2 / n1."""
+    k = kernel.sinkhorn(kernel.compute_kernel(fixture.cells(spark, sf_dir), PAIRS, [0.2], check=False, **RAW)[0], tol=1e-11)
     keys = ["sigma", "slide", "ct_1", "ct_2"]
-    rows = k.groupBy(*keys, "i").agg(F.sum("k").alias("s")).groupBy(*keys).agg(F.count_if(F.abs(F.col("s") - 1) < 1e-6).alias("rows"))
-    return rows.join(k.groupBy(*keys, "j").agg(F.sum("k").alias("s")).groupBy(*keys).agg(F.count_if(F.abs(F.col("s") - 1) < 1e-6).alias("columns")), keys)
+    rows = k.groupBy(*keys, "i").agg(F.sum("k").alias("s")).groupBy(*keys).agg(F.min("s").alias("least_row"), F.max("s").alias("largest_row"))
+    columns = k.groupBy(*keys, "j").agg(F.sum("k").alias("s")).groupBy(*keys).agg(F.min("s").alias("least_column"), F.max("s").alias("largest_column"))
+    values = k.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("k") ** 2).alias("squares"), F.max("k").alias("largest"))
+    return rounded(values.join(rows, keys).join(columns, keys), "least_row", "largest_row", "least_column", "largest_column", "squares", "largest", digits=5)
+
+
+@query
+def kernel_conditioned(spark, sf_dir):
+    """The whole way with every default: low quantiles, scale factor, raised distances, floor, support, clipping."""
+    return _summary(kernel.compute_kernel(fixture.cells(spark, sf_dir), PAIRS, [0.0001, 0.01, 0.02])[0])
 
 
 @query
@@ -326,6 +335,12 @@ def bidirectional_unfiltered(spark, sf_dir):
     return rounded(association.bidirectional_correlation(_raw_kernel(spark, sf_dir, PAIRS), fixture.fixed_scores(spark, sf_dir), "none", False), "bidir_correlation")
 
 
+@query
+def bidirectional_sinkhorn(spark, sf_dir):
+    k = kernel.compute_kernel(fixture.cells(spark, sf_dir), PAIRS, [0.2], check=False, **RAW)[0]
+    return rounded(association.bidirectional_correlation(k, fixture.fixed_scores(spark, sf_dir), "sinkhorn_knopp", False), "bidir_correlation", digits=4)
+
+
 @query
 def bidirectional_self(spark, sf_dir):
     return rounded(association.bidirectional_correlation(_raw_kernel(spark, sf_dir, SELVES), fixture.fixed_scores(spark, sf_dir)), "bidir_correlation")
@@ -412,8 +427,12 @@ def spatial_resampling(spark, sf_dir):
 
 @query
 def quantile_matched_resampling(spark, sf_dir):
-    p = resample.resample_spatial(fixture.cells(spark, sf_dir), 2, 6, 6, match_quantile=True)
-    return p.groupBy("draw", "slide", "cell_type").agg(F.count("*").alias("cells"), F.count_distinct("cell_id").alias("distinct_cells"))
+    """Every cell once in each draw, with a source of its own slide and type."""
+    cells = fixture.cells(spark, sf_dir)
+    p = resample.resample_spatial(cells, 2, 6, 6, match_quantile=True)
+    of = cells.select(F.col("cell_id").alias("source_id"), F.col("slide").alias("at"), F.col("cell_type").alias("kind"))
+    own = F.count_if((F.col("at") == F.col("slide")) & (F.col("kind") == F.col("cell_type"))).alias("own_sources")
+    return p.join(of, "source_id").groupBy("draw", "slide", "cell_type").agg(F.count("*").alias("cells"), F.count_distinct("cell_id").alias("distinct_cells"), own)
 
 
 @query
@@ -447,8 +466,12 @@ def permutation_pvalue(spark, sf_dir):
 
 @query
 def step_down_pvalues(spark, sf_dir):
-    axes = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.02), (4, None), (5, 0.001)], "cc int, p_raw double")
-    return association.step_down(axes)
+    """The pairs of types, one after another, as axes: each against its own draws."""
+    observed, null = _null(spark, sf_dir)
+    pair = ["ct_1", "ct_2"]
+    seen, draws = observed.groupBy(*pair).agg(F.max("normalized_correlation").alias("o")), null.groupBy("draw", *pair).agg(F.max("normalized_correlation").alias("v"))
+    raw = draws.join(seen, pair).groupBy(*pair).agg(((1.0 + F.count_if(F.col("v") >= F.col("o"))) / (F.count("*") + 1)).alias("p_raw"))
+    return rounded(association.step_down(raw.select(F.row_number().over(Window.orderBy(*pair)).alias("cc"), "p_raw"), 0.5), "p_raw", "p_value")
 
 
 @query
@@ -489,7 +512,7 @@ def gene_slopes(spark, sf_dir):
 @query
 def gene_test_glm(spark, sf_dir):
     t = genetest.test_gene_scores(fixture.expression(spark, sf_dir), fixture.fixed_scores(spark, sf_dir), "glm")
-    return rounded(t.select("cell_type", "cc", "gene", "estimate"), "estimate")
+    return rounded(rounded(t, "estimate", "pvalue"), "z_score", digits=4)
 
 
 @query
@@ -587,3 +610,45 @@ def supervised_cca(spark, sf_dir):
     label = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("cell_id"), F.col("label").cast("double").alias("y"))
     axis = scores.supervised_axis(run.pc_scores.where("cell_type IN ('T0', 'T1')"), label)
     return rounded(run.run_kernel_cca_supervised(axis, n_cc=2).compute_normalized_correlation().association, "normalized_correlation")
+
+
+def _three_types(spark, sf_dir):
+    made = create_cell_set(fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir), validate=False)
+    return analysis.Analysis(subset.subset_data(made, list(fixture.TYPES))).compute_pca(n_pca=5).compute_kernel_matrix([0.1, 0.2], check=False).run_kernel_cca(n_cc=2, tol=1e-9, max_iter=5000).compute_normalized_correlation("aggregate")
+
+
+@query
+def three_type_cca(spark, sf_dir):
+    """All cells, two slides, three types: every first axis is what the other types' axes pull it to, all axes have length one, and the correlations are those of the plain formula."""
+    run = _three_types(spark, sf_dir)
+    w = run.weights.select("sigma", "cell_type", "pc", "cc", "w")
+    y = crossop.cross_operator(run.kernel, pca.whitened(run.pc_scores, run.sdev).select("cell_type", "cell_id", "pc", "score"))
+    both = y.unionByName(y.select("sigma", F.col("ct_2").alias("ct_1"), F.col("ct_1").alias("ct_2"), F.col("pc_2").alias("pc_1"), F.col("pc_1").alias("pc_2"), "y"))
+    other = w.where("cc = 1").select("sigma", F.col("cell_type").alias("ct_2"), F.col("pc").alias("pc_2"), F.col("w").alias("v"))
+    pull = both.join(other, ["sigma", "ct_2", "pc_2"]).groupBy("sigma", F.col("ct_1").alias("cell_type"), F.col("pc_1").alias("pc")).agg(F.sum(F.col("y") * F.col("v")).alias("g"))
+    met = pull.join(w.where("cc = 1"), ["sigma", "cell_type", "pc"]).groupBy("sigma", "cell_type").agg((F.sum(F.col("g") * F.col("w")) / F.sqrt(F.sum(F.col("g") ** 2)) > 1 - 1e-7).alias("stationary"))
+    unit = w.groupBy("sigma", "cell_type").agg((F.abs(F.sum(F.col("w") ** 2) - 2) < 1e-9).alias("unit"))
+    return met.join(unit, ["sigma", "cell_type"])
+
+
+@query
+def genespace_axes(spark, sf_dir):
+    """Three types: the value that the solver reaches is the objective of its axes by the plain formula, and no step towards a pull betters it."""
+    ex, cells = fixture.expression(spark, sf_dir), fixture.cells(spark, sf_dir)
+    weights, _, reached = genespace.run_gene_space(ex, cells, list(fixture.TYPES), 0.05, 1, clip=1e9, min_prevalence=0.0, tol=1e-9, max_iter=20000, check=False, **RAW)
+    k = kernel.compute_kernel(cells, PAIRS, [0.05], check=False, **RAW)[0]
+    own, cross = genespace.self_covariances(ex, cells, ex), genespace.cross_covariances(k, ex, cells, ex)
+    plain = genespace.objective(weights, own, cross).withColumnRenamed("objective", "plain")
+    unit = weights.groupBy("sigma", "cc").agg((F.max(F.abs("w")) < 1).alias("spread"), (F.abs(F.sum(F.col("w") ** 2) - len(fixture.TYPES)) < 1e-9).alias("unit"))
+    return reached.join(plain, ["sigma", "cc"]).join(unit, ["sigma", "cc"]).select("sigma", "cc", (F.abs(F.col("objective") - F.col("plain")) < 1e-8).alias("agrees"), "spread", "unit")
+
+
+@query
+def permutation_test_three_types(spark, sf_dir):
+    """All cells, two slides, both sides of every pair permuted: nine draws of all pairs and axes, and observed statistics equal to the association's."""
+    run = _three_types(spark, sf_dir)
+    done = run.permutation_test(n_permu=9, method="global", which="both", all_sigmas=True, seed=3)
+    keys = ["sigma", "ct_1", "ct_2", "cc"]
+    seen = done.tested.join(run.association.withColumnRenamed("normalized_correlation", "v"), keys).select(*keys, (F.abs(F.col("normalized_correlation") - F.col("v")) < 1e-9).alias("agrees"))
+    null = done.null.groupBy(*keys).agg(F.count("*").alias("n_draws"), (F.max(F.abs("normalized_correlation")) <= 1 + 1e-9).alias("bounded"), F.count_distinct("normalized_correlation").alias("distinct_values"))
+    return seen.join(null, keys)

@@ -92,6 +92,20 @@ def test_sinkhorn(spark):
     assert np.allclose(got.sum(0), 1, atol=1e-5) and np.allclose(got.sum(1), 1, atol=1e-5)
 
 
+def test_sinkhorn_of_a_rectangle(spark):
+    """Three rows, two columns: the rounds end, and the values are those of scaling rows and columns in turn for long."""
+    m = np.array([[1.0, 0.2], [0.3, 2.0], [0.7, 0.7]])
+    df = spark.createDataFrame([(1.0, "s", "A", "B", i, j, float(m[i, j])) for i in range(3) for j in range(2)], "sigma double, slide string, ct_1 string, ct_2 string, i long, j long, k double")
+    want = m.copy()
+    for _ in range(200):
+        want = want / want.sum(axis=1, keepdims=True)
+        want = want / want.sum(axis=0)
+    got = np.zeros((3, 2))
+    for r in kernel.sinkhorn(df, tol=1e-10).collect():
+        got[r.i, r.j] = r.k
+    assert np.allclose(got, want, atol=1e-8) and np.allclose(got.sum(axis=0), 1) and np.allclose(got.sum(axis=1), 2 / 3)
+
+
 @pytest.mark.parametrize("method", ["global", "toroidal"])
 def test_permutations_are_bijections(spark, method):
     df, _ = some_cells(spark)
