@@ -26,13 +26,13 @@ def dense_rows(batch: pa.RecordBatch, width: int, k: str = "k", v: str = "v") ->
     return out
 
 
-def one_block_at_once(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Pieces of at most ROWS_AT_ONCE rows with the same keys, as far as they follow each other."""
+def one_block_at_once(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = ROWS_AT_ONCE) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Pieces of at most ``most`` rows with the same keys, as far as they follow each other."""
     for batch in batches:
         found = list(zip(*[batch.column(c).to_pylist() for c in keys], strict=True))
         begin = 0
         for end in range(1, len(found) + 1):
-            if end == len(found) or found[end] != found[begin] or end - begin == ROWS_AT_ONCE:
+            if end == len(found) or found[end] != found[begin] or end - begin == most:
                 yield found[begin], batch.slice(begin, end - begin)
                 begin = end
 

@@ -8,15 +8,17 @@ a few dozen vectors by the rows and their transpose, of which a task returns gen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covaria.operators.dense import dense_rows, one_block_at_once, product_lines
+from covaria.operators.dense import COLUMNS_AT_ONCE, dense_rows, line_batches, one_block_at_once, product_lines, sum_lines
 from covaria.sources.store import materialize
 
 LEAST_SD = 1e-3
@@ -25,8 +27,12 @@ LEAST_SHARE = 0.01
 MOST_GENES = 4000
 #: Vectors more than components, largest number of rounds, and the residual relative to the first value at which they end.
 EXTRA = 10
-ROUNDS = 40
+ROUNDS = 60
 RESIDUAL = 1e-10
+#: Blocks of vectors that a basis of the iteration has before it restarts: with 30 components of 30,000 genes the basis and its images take 115 MB.
+COLUMNS = 6
+#: Matrices of all types that a task adds up at the same time.
+TASK_BYTES = 256 << 20
 
 
 def gene_moments(expression: DataFrame, cells: DataFrame, by_slide: bool = True, center: bool = True, scale: bool = True) -> DataFrame:
@@ -97,126 +103,270 @@ def gram(expression: DataFrame, cells: DataFrame, moments: DataFrame, by_slide:
     return entries.select("cell_type", F.expr("genes[k]").alias("gene_1"), F.expr("genes[k + more]").alias("gene_2"), "g")
 
 
-def _times_gram(rows: DataFrame, known: DataFrame, vectors: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell_id, k, v) of one value, or lists of values, a row -> a row for each stretch of rows of the same cell, with all their values."""
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        ids = rows.column("cell_id")
+        begin = np.append(0, np.flatnonzero(pa.compute.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)) + 1)
+        ends = np.append(begin, len(ids)).astype(np.int32)
+        lists = []
+        for c in ("k", "v"):
+            column = rows.column(c)
+            if pa.types.is_list(column.type):
+                offsets = column.offsets.to_numpy()
+                lists.append(pa.ListArray.from_arrays((offsets - offsets[0])[ends], column.flatten()))
+            else:
+                lists.append(pa.ListArray.from_arrays(ends, column))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(begin)), *lists], names=["cell_id", "k", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # the last cell of a batch may go on in the next
+        ids = batch.column("cell_id")
+        same = pa.compute.equal(ids, ids[-1]).to_numpy(zero_copy_only=False)
+        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if last:
+            yield joined([*held, batch.slice(0, last)])
+            held = []
+        elif held and held[-1].column("cell_id")[-1] != ids[-1]:
+            yield joined(held)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield joined(held)
+
+
+def packed_values(expression: DataFrame, cells: DataFrame, names: list[str]) -> DataFrame:
+    """(cell_type, slide, cell_id, k, v): every cell with the numbers and values of its genes, as they are.
+
+    Values of a cell that follow each other are packed before the shuffle, which brings the pieces of a cell together; so as a rule a row for each
+    cell is shuffled, and at worst one for each value.
+    """
+    spark, id_type = cells.sparkSession, cells.schema["cell_id"].dataType
+    schema = f"cell_id {id_type.simpleString()}, k array<int>, v array<double>"
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(names)), "k int, gene string"))  # a row for each gene
+    values = expression.join(numbers, "gene").select(F.col("cell_id").cast(id_type).alias("cell_id"), "k", F.col("value").cast("double").alias("v"))
+    pieces = values.mapInArrow(_stretches, schema).repartition("cell_id").sortWithinPartitions("cell_id")
+    packed = materialize(pieces.mapInArrow(_stretches, schema), "packed-cells")
+    columns = ["cell_type", "slide", "cell_id", "k", "v"]
+    without = cells.join(packed.select("cell_id"), "cell_id", "left_anti").withColumn("k", F.array().cast("array<int>")).withColumn("v", F.array().cast("array<double>"))
+    return packed.join(cells, "cell_id").select(columns).unionByName(without.select(columns))
+
+
+@dataclass
+class Block:
+    """Of one type and slide: cells, and by gene number the centers and scales, and whether the gene occurs in the type."""
+
+    n: int
+    center: np.ndarray
+    scale: np.ndarray
+
+
+def packed_moments(rows: DataFrame, width: int, center: bool, scale: bool) -> tuple[dict[tuple[str, str], Block], dict[str, np.ndarray]]:
+    """gene_moments() of packed values, as arrays on the driver (16 bytes for each gene of a block), and the numbers of each type's genes."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, part in one_block_at_once([batch], ["cell_type", "slide"], batch.num_rows):
+                k, v = part.column("k").flatten().to_numpy(), part.column("v").flatten().to_numpy()
+                count = lambda w, k=k: np.bincount(k, w, width)
+                made = np.concatenate([count(v), count(v * v), count((v != 0).astype(float)), count(None), [part.num_rows]])
+                found[key] = found[key] + made if key in found else made
+        for (kind, slide), line in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([slide]), pa.array([0], pa.int32()), pa.array([line.tolist()], pa.list_(pa.float64()))], names=["cell_type", "slide", "k", "line"])
+
+    parts = rows.mapInArrow(sums, "cell_type string, slide string, k int, line array<double>")
+    blocks, there, bad = {}, {}, {}
+    for r in sum_lines(parts, ["cell_type", "slide"]).collect():
+        s, s2, nz, rows_of, n = *np.split(np.array(r["line"][:-1]), 4), int(r["line"][-1])
+        mean = s / n
+        spread = s2 - n * mean**2 if center else s2
+        sd = np.sqrt(np.maximum(spread, 0) / max(n - 1, 1))
+        kind = r["cell_type"]
+        there[kind] = there.get(kind, 0) + rows_of
+        bad[kind] = bad.get(kind, False) | (n < 2) | (sd < LEAST_SD) | (nz / n < LEAST_SHARE)
+        blocks[kind, r["slide"]] = Block(n, mean if center else np.zeros(width), sd)
+    for (kind, _), block in blocks.items():
+        block.scale = np.where(bad[kind] | (not scale), 1.0, block.scale)
+    return blocks, {t: np.flatnonzero(x > 0) for t, x in there.items()}
+
+
+def _standard(part: pa.RecordBatch, block: Block, genes: np.ndarray, width: int) -> np.ndarray:
+    """Dense rows of a type's genes, scaled and not centred."""
+    x = dense_rows(part, width)
+    return (x if len(genes) == width else x[:, genes]) / block.scale[genes]
+
+
+def packed_gram(rows: DataFrame, blocks: dict[tuple[str, str], Block], genes: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
+    """Each type's Gram matrix of the standardised data (its upper triangle), from dense products of packed rows.
+
+    Rows are dealt by ranges of the types if a task could not hold the matrices of all.
+    """
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for (kind, slide), part in one_block_at_once(batches, ["cell_type", "slide"]):
+            x = _standard(part, blocks[kind, slide], genes[kind], width)
+            total = totals.setdefault(kind, np.zeros((x.shape[1], x.shape[1])))
+            for at in range(0, len(total), COLUMNS_AT_ONCE):
+                total[at : at + COLUMNS_AT_ONCE, at:] += x[:, at : at + COLUMNS_AT_ONCE].T @ x[:, at:]
+        for kind, total in totals.items():
+            yield from line_batches(["cell_type"], (kind,), total, True)
+
+    if 8 * sum(len(g) ** 2 for g in genes.values()) > TASK_BYTES:
+        rows = rows.repartitionByRange("cell_type", "cell_id")
+    lines = rows.select("cell_type", "slide", "k", "v").mapInArrow(multiply, "cell_type string, k int, line array<double>")
+    lines = materialize(sum_lines(lines, ["cell_type"]), "gram")
+    out = {}
+    for kind, own in genes.items():
+        g = out[kind] = np.zeros((len(own), len(own)))
+        mine = lines.where(F.col("cell_type") == kind).select("k", "line").toArrow()
+        for at, line in zip(mine["k"].to_pylist(), mine["line"], strict=True):
+            g[at, at:] = g[at:, at] = line.values.to_numpy()
+        for (t, _), block in blocks.items():
+            if t == kind:
+                m = (block.center / block.scale)[own]
+                g -= block.n * np.outer(m, m)
+    return out
+
+
+def _times_gram(rows: DataFrame, blocks: dict[tuple[str, str], Block], genes: dict[str, np.ndarray], width: int, vectors: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Each type's Gram matrix times its vectors, without the matrix: sum of x (x' V) over its rows, less n m (m' V)."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for (kind,), part in one_block_at_once(batches, ["cell_type"]):
-            v = vectors[kind]
-            x = dense_rows(part, len(v))
-            if kind not in sums:
-                sums[kind] = np.zeros(v.shape)
-            sums[kind] += x.T @ ((x @ v) * part.column("weight").to_numpy()[:, None])
+        for (kind, slide), part in one_block_at_once(batches, ["cell_type", "slide"]):
+            x = _standard(part, blocks[kind, slide], genes[kind], width)
+            made = x.T @ (x @ vectors[kind])
+            sums[kind] = sums[kind] + made if kind in sums else made
         for kind, total in sums.items():
-            for at in range(0, len(total), 256):
-                lines = total[at : at + 256]
-                offsets = np.arange(0, lines.size + 1, lines.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(lines)), pa.array(np.arange(at, at + len(lines), dtype=np.int32)), pa.ListArray.from_arrays(offsets, lines.ravel())], names=["cell_type", "k", "line"])
-
-    width = max(v.shape[1] for v in vectors.values())
-    products = weighted_rows(rows, known).mapInArrow(multiply, "cell_type string, k int, line array<double>")
-    summed = products.groupBy("cell_type", "k").agg(*[F.sum(F.get("line", F.lit(j))).alias(f"s{j}") for j in range(width)])
-    found = summed.select("cell_type", "k", F.array(*[f"s{j}" for j in range(width)]).alias("line")).toArrow()
-    out = {t: np.zeros(v.shape) for t, v in vectors.items()}
-    for t in out:
+            yield from line_batches(["cell_type"], (kind,), total)
+
+    used = rows.where(F.col("cell_type").isin(list(vectors))).select("cell_type", "slide", "k", "v")
+    found = sum_lines(used.mapInArrow(multiply, "cell_type string, k int, line array<double>"), ["cell_type"]).toArrow()
+    out = {}
+    for t, v in vectors.items():
+        out[t] = np.zeros(v.shape)
         mine = found.filter(pa.compute.equal(found["cell_type"], t))
-        if mine.num_rows:
-            out[t][mine["k"].to_numpy()] = np.array(mine["line"].to_pylist(), float)[:, : out[t].shape[1]]
+        for at, line in zip(mine["k"].to_pylist(), mine["line"], strict=True):
+            out[t][at] = line.values.to_numpy()
+        for (kind, _), block in blocks.items():
+            if kind == t:
+                m = (block.center / block.scale)[genes[t]]
+                out[t] -= block.n * np.outer(m, m @ v)
     return out
 
 
-def leading(rows: DataFrame, known: DataFrame, genes: dict[str, list[str]], n: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The n largest eigenvalues of each type's Gram matrix and their vectors, by a block Krylov iteration with full orthogonalisation."""
+def leading(times: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], sizes: dict[str, int], n: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The n largest eigenvalues of each type's Gram matrix and their vectors, by a block Krylov iteration with thick restarts.
+
+    ``times`` multiplies the matrices by vectors.  A basis has at most COLUMNS blocks: then it shrinks to the best vectors, as many as a block and
+    those asked for, whose images are known, and grows again from their residuals.  Not to converge in ROUNDS rounds is an error.
+    """
     rng = np.random.default_rng(0)
-    basis = {t: np.linalg.qr(rng.normal(size=(len(names), min(n + EXTRA, len(names)))))[0] for t, names in genes.items()}
-    newest, images, out = dict(basis), {t: np.zeros((len(names), 0)) for t, names in genes.items()}, {}
+    width = {t: min(n + EXTRA, size) for t, size in sizes.items()}
+    basis = {t: np.linalg.qr(rng.normal(size=(size, width[t])))[0] for t, size in sizes.items()}
+    newest, images, out = dict(basis), {t: np.zeros((size, 0)) for t, size in sizes.items()}, {}
     for _ in range(ROUNDS):
-        for t, product in _times_gram(rows, known, newest).items():
+        for t, product in times(newest).items():
             q = basis[t]
             images[t] = np.hstack([images[t], product])
             values, turned = np.linalg.eigh(q.T @ images[t])
-            order = np.argsort(-values)[:n]
-            vectors = q @ turned[:, order]
-            out[t] = values[order], vectors
-            off = np.linalg.norm(images[t] @ turned[:, order] - vectors * values[order], axis=0)
-            fresh = product
+            values, turned = values[::-1], turned[:, ::-1]
+            vectors, image = q @ turned[:, :n], images[t] @ turned[:, :n]
+            out[t] = values[:n], vectors
+            off = np.linalg.norm(image - vectors * values[:n], axis=0)
+            if off.max() <= RESIDUAL * max(values.max(), 1e-300) or q.shape[1] == len(q):
+                del newest[t]
+                continue
+            if q.shape[1] > COLUMNS * width[t]:
+                kept = turned[:, : n + width[t]]
+                q, images[t] = q @ kept, images[t] @ kept
+                fresh = images[t][:, : width[t]] - q[:, : width[t]] * values[: width[t]]
+            else:
+                fresh = product
             for _ in range(2):
                 fresh = fresh - q @ (q.T @ fresh)
-            left, sizes, _ = np.linalg.svd(fresh, full_matrices=False)
-            fresh = left[:, sizes > 1e-12 * max(values.max(), 1e-300)][:, : len(q) - q.shape[1]]
-            if off.max() <= RESIDUAL * max(values.max(), 1e-300) or not fresh.shape[1]:
+            left, lengths, _ = np.linalg.svd(fresh, full_matrices=False)
+            fresh = left[:, lengths > 1e-13 * max(values.max(), 1e-300)][:, : len(q) - q.shape[1]]
+            if not fresh.shape[1]:
                 del newest[t]
-            else:
-                basis[t], newest[t] = np.hstack([q, fresh]), fresh
+                continue
+            basis[t], newest[t] = np.hstack([q, fresh]), fresh
         if not newest:
-            break
-    return out
+            return out
+    raise ValueError(f"the components of {', '.join(sorted(newest))} did not converge in {ROUNDS} rounds")
 
 
-def compute_pca(expression: DataFrame, cells: DataFrame, n_pca: int = 30, center: bool = True, scale: bool = True, center_per_slide: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def in_memory(gram_matrix: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n largest eigenvalues and their vectors; few of many come from leading(), which is exact to the last digits but faster."""
+    if 10 * (n + EXTRA) < len(gram_matrix):
+        try:
+            return leading(lambda v: {"": gram_matrix @ v[""]}, {"": len(gram_matrix)}, n)[""]
+        except ValueError:
+            pass
+    values, vectors = np.linalg.eigh(gram_matrix)
+    return values[::-1][:n], vectors[:, ::-1][:, :n]
+
+
+def compute_pca(expression: DataFrame, cells: DataFrame, n_pca: int = 30, center: bool = True, scale: bool = True, center_per_slide: bool = True, most_genes: int = MOST_GENES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores (slide, cell_type, cell_id, pc, score), loadings (cell_type, gene, pc, loading) and sdev (cell_type, pc, sdev).
 
-    The Gram matrix of up to MOST_GENES genes is decomposed on the driver, one type after another, of more genes only their products with
-    some vectors get there; scores stay distributed.  The
-    largest score of each component is positive.
+    The values of a cell are packed once, as they are; moments, products and scores come from the packed rows, scaled in the tasks.
+    The Gram matrix of up to ``most_genes`` genes is decomposed on the driver, one type after another, of more genes only products with
+    some vectors get there; scores stay distributed.  The largest score of each component is positive.
     """
     spark = cells.sparkSession
-    moments = materialize(gene_moments(expression, cells, center_per_slide, center, scale), "moments")
-    genes = genes_by_type(moments)
-    known = numbered(moments, genes)
-    rows = materialize(packed(expression, cells, known, center_per_slide), "packed")
-    few = {ct: names for ct, names in genes.items() if len(names) <= MOST_GENES}
-    many = {ct: names for ct, names in genes.items() if ct not in few}
-    of = lambda df, kinds: df.where(F.col("cell_type").isin(list(kinds)))
-    sizes = {r["cell_type"]: (r["n"], r["k"]) for r in cells.groupBy("cell_type").agg(F.count("*").alias("n"), F.count_distinct("slide").alias("k")).collect()}
-    rotations, sdevs = {}, []
-    for ct, names in genes.items():
-        n, k = sizes[ct]
-        rank = min(n - (k if center_per_slide and center else 1), len(names) - 1)
+    names = sorted(r[0] for r in expression.select("gene").distinct().collect())
+    at = cells.select("cell_id", "slide", "cell_type")
+    pooled = at if center_per_slide else at.withColumn("slide", F.lit("*"))
+    rows = packed_values(expression, pooled, names)
+    width = len(names)
+    blocks, genes = packed_moments(rows, width, center, scale)
+    for ct, own in genes.items():
+        n, k = sum(b.n for (t, _), b in blocks.items() if t == ct), sum(t == ct for t, _ in blocks)
+        rank = min(n - (k if center_per_slide and center else 1), len(own) - 1)
         if not 1 <= n_pca <= rank:
             raise ValueError(f"n_pca must be between 1 and {rank} for {ct}")
-    found = leading(of(rows, many), of(known, many), many, n_pca) if many else {}
-    lines = materialize(gram_lines(of(rows, few), of(known, few), few), "gram") if few else None
-    for ct, names in genes.items():
-        n = sizes[ct][0]
-        if ct in found:
-            values, rotations[ct] = found[ct]
-            sdevs += [(ct, pc, float(np.sqrt(max(v, 0.0) / (n - 1)))) for pc, v in enumerate(values, 1)]
-            continue
-        g = np.zeros((len(names), len(names)))
-        mine = lines.where(F.col("cell_type") == ct).select("k", "line").toArrow()
-        for at, line in zip(mine["k"].to_pylist(), mine["line"], strict=True):
-            g[at:, at] = line.values.to_numpy()
-        values, vectors = np.linalg.eigh(g)  # reads the lower triangle
-        order = np.argsort(-values)[:n_pca]
-        rotations[ct] = vectors[:, order]
-        sdevs += [(ct, pc, float(np.sqrt(max(values[o], 0.0) / (n - 1)))) for pc, o in enumerate(order, 1)]
-    loadings = [(ct, name, pc, float(v)) for ct, w in rotations.items() for name, line in zip(genes[ct], w, strict=True) for pc, v in enumerate(line, 1)]
-    load = spark.createDataFrame(loadings, "cell_type string, gene string, pc int, loading double")
+    few, many = ({t: g for t, g in genes.items() if (len(g) <= most_genes) == small} for small in (True, False))
+    found = leading(lambda v: _times_gram(rows, blocks, many, width, v), {t: len(g) for t, g in many.items()}, n_pca) if many else {}
+    if few:
+        found |= {t: in_memory(g, n_pca) for t, g in packed_gram(rows.where(F.col("cell_type").isin(list(few))), blocks, few, width).items()}
+    rotations = {t: vectors for t, (_, vectors) in found.items()}
+    cell_counts = {t: sum(b.n for (kind, _), b in blocks.items() if kind == t) for t in genes}
+    sdevs = [(t, pc, float(np.sqrt(max(v, 0.0) / (cell_counts[t] - 1)))) for t, (values, _) in found.items() for pc, v in enumerate(values, 1)]
+    loadings = pd.concat([pd.DataFrame({"cell_type": t, "gene": np.repeat(np.array(names, object)[genes[t]], n_pca), "pc": np.tile(np.arange(1, n_pca + 1, dtype=np.int32), len(w)), "loading": w.ravel()}) for t, w in rotations.items()])
+    load = spark.createDataFrame(pa.Table.from_pandas(loadings, preserve_index=False))
     sdev = spark.createDataFrame(sdevs, "cell_type string, pc int, sdev double")
-    scores = materialize(project(rows, cells, known, load, rotations, center_per_slide), "pc-scores")
-    flip = scores.groupBy("cell_type", "pc").agg(F.signum(F.max_by("score", F.abs("score"))).alias("sign")).withColumn("sign", F.when(F.col("sign") < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
+    lines = materialize(project(rows, blocks, genes, rotations, width), "pc-lines")
+    if not center_per_slide:
+        lines = lines.drop("slide").join(at.select("cell_id", "slide"), "cell_id")
+    # sums of no more than the components of a type
+    ends = lines.groupBy("cell_type").agg(*[f(F.get("line", F.lit(j))).alias(f"{n}{j}") for j in range(n_pca) for n, f in (("a", F.min), ("b", F.max))]).collect()
+    signs = [(r["cell_type"], j + 1, -1.0 if -r[f"a{j}"] > r[f"b{j}"] else 1.0) for r in ends for j in range(n_pca)]
+    flip = F.broadcast(spark.createDataFrame(signs, "cell_type string, pc int, sign double"))
+    scores = lines.select("slide", "cell_type", "cell_id", F.posexplode("line").alias("pc", "score")).withColumn("pc", F.col("pc") + 1)
     signed = lambda df, c: df.join(flip, ["cell_type", "pc"]).withColumn(c, F.col(c) * F.col("sign")).select(df.columns)
     return signed(scores, "score"), signed(load, "loading"), sdev
 
 
-def project(rows: DataFrame, cells: DataFrame, known: DataFrame, loadings: DataFrame, rotations: dict[str, np.ndarray], by_slide: bool = True) -> DataFrame:
-    """Scores of the packed rows on the loadings; the centering of a block is one offset for each component."""
+def project(rows: DataFrame, blocks: dict[tuple[str, str], Block], genes: dict[str, np.ndarray], rotations: dict[str, np.ndarray], width: int) -> DataFrame:
+    """(slide, cell_type, cell_id, line): scores of the packed rows on the axes; the centering of a block is one offset for each component."""
     id_type = rows.schema["cell_id"].dataType.simpleString()
 
     def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (kind,), part in one_block_at_once(batches, ["cell_type"]):
-            w = rotations[kind]
-            out = dense_rows(part, len(w)) @ w
+        for (kind, slide), part in one_block_at_once(batches, ["cell_type", "slide"]):
+            block, w = blocks[kind, slide], rotations[kind]
+            out = _standard(part, block, genes[kind], width) @ w - (block.center / block.scale)[genes[kind]] @ w
             offsets = np.arange(0, out.size + 1, w.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("cell_id"), pa.ListArray.from_arrays(offsets, out.ravel())], names=["cell_id", "s"])
+            yield pa.RecordBatch.from_arrays([part.column("slide"), part.column("cell_type"), part.column("cell_id"), pa.ListArray.from_arrays(offsets, out.ravel())], names=["slide", "cell_type", "cell_id", "line"])
 
-    sums = rows.select("cell_type", "cell_id", "k", "v").mapInArrow(times, f"cell_id {id_type}, s array<double>")
-    folded = loadings.join(known, ["cell_type", "gene"])
-    offset = folded.groupBy("cell_type", "slide", "pc").agg(F.sum(F.col("loading") * F.col("center") / F.col("scale")).alias("offset"))
-    every = cells.select(F.col("slide").alias("at"), (F.col("slide") if by_slide else F.lit("*")).alias("slide"), "cell_type", "cell_id").join(sums, "cell_id", "left").join(offset, ["cell_type", "slide"])
-    return every.select(F.col("at").alias("slide"), "cell_type", "cell_id", "pc", (F.coalesce(F.element_at("s", F.col("pc")), F.lit(0.0)) - F.col("offset")).alias("score"))
+    return rows.where(F.col("cell_type").isin(list(rotations))).mapInArrow(times, f"slide string, cell_type string, cell_id {id_type}, line array<double>")
 
 
 def whitened(scores: DataFrame, sdev: DataFrame) -> DataFrame:
