@@ -112,15 +112,19 @@ def plan_sources(spark: SparkSession, light: DataFrame, rows: int) -> DataFrame:
     return targets.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut", "last", F.lit(buckets).alias("buckets"))
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame, sources: int, source, size, key, id_) -> DataFrame:
-    """Join each row to its source's plan and add ``copies``, the times that it is taken."""
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+def _with_plan(rows: DataFrame, plan: DataFrame, sources: int, source, size, key, id_) -> tuple[DataFrame, str]:
+    """Join each row to its source's plan and add the times that it is taken; the added columns' names begin with the prefix returned, which no other has."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in rows.columns):
+        prefix += "_"
+    of = lambda c: F.col(prefix + c)
+    plan = plan.select(*[F.col(c).alias(prefix + c) for c in plan.columns])
     plan = F.broadcast(plan) if sources <= BROADCAST_SOURCES else plan
-    joined = rows.join(plan, source.eqNullSafe(F.col("__source")))
+    joined = rows.join(plan, source.eqNullSafe(of("source")))
     drawn = F.struct(key.alias("key"), F.coalesce(id_.cast("string"), F.lit("")).alias("id"), size.alias("size"))
-    bucket = F.least(F.floor((1 - F.exp(-key * LEAST_WEIGHT)) * F.col("__buckets")), F.col("__buckets") - 1).cast("long")
-    sampled = F.coalesce((bucket < F.col("__cut")) | ((bucket == F.col("__cut")) & (drawn <= F.col("__last"))), F.lit(False))
-    return joined.withColumn("__copies", F.col("__epochs") + sampled.cast("long"))
+    bucket = F.least(F.floor((1 - F.exp(-key * LEAST_WEIGHT)) * of("buckets")), of("buckets") - 1).cast("long")
+    sampled = F.coalesce((bucket < of("cut")) | ((bucket == of("cut")) & (drawn <= of("last"))), F.lit(False))
+    return joined.withColumn(prefix + "copies", of("epochs") + sampled.cast("long")), prefix
 
 
 def _planned(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, source_col: str, quality=None) -> tuple[DataFrame, DataFrame, int]:
@@ -136,10 +140,9 @@ def _planned(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: F.Column | None = None) -> DataFrame:
     """Per row of ``docs``: id, source, size, source_size, target of its source, copies, and the words taken."""
     light, plan, sources = _planned(spark, docs, id_col, text_col, source_col, quality)
-    out = _with_plan(light, plan, sources, F.col("source"), F.col("size"), F.col("key"), F.col("id"))
-    return out.select(
-        F.col("id").alias(id_col), "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("size") * F.col("__copies")).alias("taken")
-    )
+    out, prefix = _with_plan(light, plan, sources, F.col("source"), F.col("size"), F.col("key"), F.col("id"))
+    copies = F.col(prefix + "copies")
+    return out.select(F.col("id").alias(id_col), "source", "size", F.col(prefix + "source_size").alias("source_size"), F.col(prefix + "target").alias("target"), copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mix_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: F.Column | None = None) -> DataFrame:
@@ -148,6 +151,7 @@ def mix_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     size, key, copy = (free_name(docs, n) for n in ("mix_size", "mix_key", "mix_copy"))
     sized = docs.withColumn(size, word_count(F.col(text_col)))
     sized = sized.withColumn(key, draw_key(F.col(id_col), F.col(size), quality))
-    out = _with_plan(sized, plan, sources, F.col(source_col), F.col(size), F.col(key), F.col(id_col))
-    repeated = out.where(F.col("__copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    out, prefix = _with_plan(sized, plan, sources, F.col(source_col), F.col(size), F.col(key), F.col(id_col))
+    copies = F.col(prefix + "copies")
+    repeated = out.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return repeated.select(*docs.columns)

@@ -6,7 +6,7 @@ import random
 import re
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
-DDL = "doc_id long, text string, lang string, source string, n_chars int, size string, id string, fp string, kept string, batch string, target string, key string, word_chars string"
+DDL = "doc_id long, text string, lang string, source string, n_chars int, size string, id string, fp string, kept string, batch string, target string, key string, word_chars string, __source string, __copies int"
 
 
 def words(text):
@@ -39,7 +39,7 @@ def rows(seed=1):
     out = []
     for k, t in enumerate(texts(seed)):
         source = [None, "b", "a", "a"][k % 4]
-        out.append((k, t, ["en", "de", None][k % 3], source, None if t is None else len(t), "x", "x", "x", "x", "x", "x", "x", "x"))
+        out.append((k, t, ["en", "de", None][k % 3], source, None if t is None else len(t), "x", "x", "x", "x", "x", "x", "x", "x", "x", 7))
     return [*out, out[6], (None, *out[10][1:]), (None, *out[0][1:])]
 
 
