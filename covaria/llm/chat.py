@@ -42,7 +42,7 @@ def _plain(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_c
 
 
 def _placed(turns: DataFrame) -> DataFrame:
-    """``turns`` with their order (at) and the length of everything before them in their conversation (before)."""
+    """``turns`` with their order (at), the partition they are ordered in (block), and the length of everything before them in their conversation (before)."""
     spark = turns.sparkSession
     order = ["conv_id", "turn", "role", "text", "tie"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -51,7 +51,23 @@ def _placed(turns: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = dealt.groupBy("conv_id", "block").agg(F.sum("size").alias("n")).select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"))
     inside = Window.partitionBy("conv_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "role", "text", "at", (F.col("base") + F.col("inside")).alias("before"))
+    return dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "role", "text", "at", "block", (F.col("base") + F.col("inside")).alias("before"))
+
+
+def _spans(placed: DataFrame) -> DataFrame:
+    """(sc, sp, sr, spans): for each conversation, part and speaker where the speaker's own texts lie in their own rendering, in order.
+
+    Of what comes before a turn, the speaker's own turns alone are of another length there; they are counted as the lengths are, by stretches.
+    """
+    own = placed.where(F.col("role") != SYSTEM).select("conv_id", "role", "block", "at", "part", "before", F.length("text").alias("n"))
+    so_far = Window.partitionBy("conv_id", "role").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = own.groupBy("conv_id", "role", "block").agg(F.count("*").alias("turns")).select(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("block").alias("b"), F.coalesce(F.sum("turns").over(so_far), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "role", "block").orderBy("at")) - 1
+    counted = own.withColumn("inside", inside).join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("block") == F.col("b")))
+    shift = len(MINE) - len(USER_HEAD) - F.length("role") - len(MIDDLE)
+    start = (F.col("before") + shift * (F.col("base") + F.col("inside")) + len(MINE)).cast("long")
+    ends = counted.select("conv_id", "part", "role", F.struct(start.alias("start"), (start + F.col("n")).cast("long").alias("end")).alias("span"))
+    return ends.groupBy(F.col("conv_id").alias("sc"), F.col("part").alias("sp"), F.col("role").alias("sr")).agg(F.count("*").alias("times"), F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
@@ -62,29 +78,17 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     # how often each participant has spoken before a part
     parts = placed.groupBy("conv_id", "part").agg(F.min("before").alias("begins"))
     speakers = placed.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    spoken = placed.groupBy(F.col("conv_id").alias("sc"), F.col("part").alias("sp"), F.col("role").alias("sr")).agg(F.count("*").alias("times"))
-    every = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).join(spoken, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("part") == F.col("sp")) & (F.col("perspective") == F.col("sr")), "left")
+    every = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).join(_spans(placed), F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("part") == F.col("sp")) & (F.col("perspective") == F.col("sr")), "left")
     so_far = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = len(MINE) - len(USER_HEAD) - F.length("perspective") - len(MIDDLE)
     start = F.col("begins") + shift * F.coalesce(F.sum(F.coalesce("times", F.lit(0))).over(so_far), F.lit(0))
-    views = every.select(F.col("conv_id").alias("vc"), F.col("part").alias("vp"), "perspective", start.cast("long").alias("start"))
-    views = views.groupBy("vc", "vp").agg(F.collect_list(F.struct("perspective", "start")).alias("views"))
+    views = every.select(F.col("conv_id").alias("vc"), F.col("part").alias("vp"), "perspective", start.cast("long").alias("start"), F.coalesce("spans", F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")).alias("spans"))
+    views = views.groupBy("vc", "vp").agg(F.collect_list(F.struct("perspective", "start", "spans")).alias("views"))
     gathered = placed.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
     joined = gathered.join(views, F.col("conv_id").eqNullSafe(F.col("vc")) & (F.col("part") == F.col("vp"))).select("conv_id", "part", "turns", F.explode("views").alias("view")).select("conv_id", "part", "turns", "view.*")
 
     def piece(t):
         head = F.when(t["role"] == F.col("perspective"), F.lit(MINE)).when(t["role"] == SYSTEM, F.lit(SYSTEM_HEAD)).otherwise(F.concat(F.lit(USER_HEAD), t["role"], F.lit(MIDDLE)))
-        return F.struct(head.alias("head"), t["text"].alias("text"), (t["role"] == F.col("perspective")).alias("mine"))
-
-    nothing = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
-
-    def extend(done, p):
-        begin = done["at"] + F.length(p["head"])
-        end = begin + F.length(p["text"])
-        return F.struct((end + len(CLOSE)).alias("at"), F.concat(done["spans"], F.when(p["mine"], F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(nothing)).alias("spans"))
+        return F.concat(head, t["text"], F.lit(CLOSE))
 
-    return joined.withColumn("pieces", F.transform("turns", piece)).select(
-        "conv_id", "perspective", "part", "start", F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], F.lit(CLOSE))), "").alias("rendered"),
-        F.aggregate("pieces", F.struct(F.col("start").alias("at"), nothing.alias("spans")), extend)["spans"].alias("spans"),
-    )
+    return joined.select("conv_id", "perspective", "part", "start", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", piece), "").alias("rendered"), "spans")
