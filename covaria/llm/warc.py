@@ -6,7 +6,8 @@ and the seek table of the Zstandard seekable format, the file's footer.  A reade
 footer, one entry of the index and one frame.
 
 Of records with equal payloads the one with the largest page_id is written as a response and the others as revisits
-that refer to it; digests are compared in a light table of ids and digests, so no task gathers a group of equal pages.
+that refer to it; the largest id of each digest combines before the shuffle, and pages meet it by a broadcast as far as the number of repeated digests
+allows, so no task gathers a group of equal pages.
 
 Defined results: null html is an empty payload; a page without id is written with the id ``null`` and, among equal payloads,
 revisits the largest id there is (all such rows are responses if no row has an id); rows that repeat the largest id are
@@ -36,6 +37,9 @@ FRAME_BYTES = 256 * 1024
 LEVEL = 3
 #: Payloads below this many bytes are never revisits.
 MIN_BYTES = 0
+#: Repeated digests (some 100 bytes each in memory) that are broadcast at most, and the share of all pages, 1 in so many, beyond which a digest is hot.
+BROADCAST_GROUPS = 500_000
+HOT_SHARE = 10_000
 DATE = "1970-01-01T00:00:00Z"
 URN = "urn:covaria:page:"
 # The Zstandard format's magic numbers and the WARC profile of revisits.
@@ -165,21 +169,38 @@ class Archive:
             yield parse(data[at : at + length])
 
 
-def revisits(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(__id, __digest, __refers_to) of the pages that revisit another."""
+def originals(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> tuple[DataFrame, int]:
+    """(o_digest, o_id, pages) of every payload that more than one page has: the page that the others revisit, and how many pages there are; and the number of all pages."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    light = pages.where(F.octet_length(payload) >= MIN_BYTES).select(F.col(id_col).alias("__id"), F.sha1(payload).alias("__digest"))
-    groups = light.groupBy("__digest").agg(F.max("__id").alias("__refers_to"), F.count("*").alias("n")).where("n > 1 AND __refers_to IS NOT NULL").drop("n")
-    found = light.join(groups, "__digest").where(~F.col("__id").eqNullSafe(F.col("__refers_to")))
-    return materialize(spark, found.select("__id", "__digest", "__refers_to").distinct(), "warc-revisits")
+    light = pages.where(F.octet_length(payload) >= MIN_BYTES).select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha1(payload)).alias("digest"))
+    light = materialize(spark, light, "warc-digests")
+    groups = light.groupBy(F.col("digest").alias("o_digest")).agg(F.max("id").alias("o_id"), F.count("*").alias("pages")).where("pages > 1 AND o_id IS NOT NULL")
+    return materialize(spark, groups, "warc-originals"), light.count()
+
+
+def _referred(spark: SparkSession, pages: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """``pages`` (id, url, html, digest, size) with the page that each revisits, or null.
+
+    Up to BROADCAST_GROUPS digests are broadcast, and no payload is shuffled.  Beyond that those which more than one page in HOT_SHARE has, HOT_SHARE at
+    most, are broadcast still, so that the pages shuffled for the others have no hot key.
+    """
+    to = lambda o: F.when(F.col("size") >= MIN_BYTES, F.when(~F.col("id").eqNullSafe(o), o))
+    if groups.count() <= BROADCAST_GROUPS:
+        return pages.join(F.broadcast(groups), F.col("digest") == F.col("o_digest"), "left").select("id", "url", "html", to(F.col("o_id")).alias("to"))
+    hot = groups.where(F.col("pages") * HOT_SHARE > n).select(F.col("o_digest").alias("h_digest"), F.col("o_id").alias("h_id"))
+    met = pages.join(F.broadcast(hot), F.col("digest") == F.col("h_digest"), "left")
+    # a key that meets nothing, and no two pages share
+    key = F.when(F.col("h_id").isNull(), F.col("digest")).otherwise(F.concat(F.col("digest"), F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
+    both = met.withColumn("key", key).join(groups.where(F.col("pages") * HOT_SHARE <= n), F.col("key") == F.col("o_digest"), "left")
+    return both.select("id", "url", "html", to(F.coalesce("h_id", "o_id")).alias("to"))
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, target: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", frame_bytes: int = FRAME_BYTES) -> list[str]:
     """Write one archive for each partition of ``pages`` below the URI ``target``; returns the archives' URIs."""
-    again = revisits(spark, pages, id_col, html_col)
+    groups, n = originals(spark, pages, id_col, html_col)
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    light = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), F.sha1(payload).alias("digest"))
-    marked = light.join(again, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    light = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size"))
+    marked = _referred(spark, light, groups, n)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -200,7 +221,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, target: str, id_col: s
             bundle.finish()
         yield pa.RecordBatch.from_pydict({"name": [name], "records": [n]})
 
-    rows = marked.select("id", "url", "html", F.col("__refers_to").alias("to")).mapInArrow(write, "name string, records long").collect()
+    rows = marked.select("id", "url", "html", "to").mapInArrow(write, "name string, records long").collect()
     return sorted(r["name"] for r in rows)
 
 

@@ -68,7 +68,8 @@ def test_mix_awkward_rows(spark):
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows())
     assert all(r.size == len(words(t)) for r in got for t in [dict((x[0], x[1]) for x in rows() if x[0] is not None).get(r.doc_id)] if r.doc_id is not None)
     assert mixing.mix(spark, empty(spark)).count() == 0 and mixing.mix_rows(spark, empty(spark)).count() == 0
-    assert mixing.mix_rows(spark, documents(spark)).columns == documents(spark).columns
+    kept = mixing.mix_rows(spark, documents(spark))
+    assert kept.columns == documents(spark).columns and {(r["__source"], r["__copies"]) for r in kept.collect()} == {("x", 7)}
     nothing = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mixing.mix(spark, nothing).collect()] == [(0, 0.0, 0)] * 2
 
@@ -121,7 +122,11 @@ def pages(spark):
     return spark.createDataFrame([(*d, "z") for d in data], "page_id long, url string, html string, digest string"), data
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("broadcast, share", [(500_000, 10_000), (0, 10_000), (0, 4)])
+def test_warc_round_trip(spark, monkeypatch, broadcast, share):
+    """Repeated payloads found by a broadcast; or, if they are many, the hot ones by a broadcast and the others by a shuffle."""
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", broadcast)
+    monkeypatch.setattr(warc, "HOT_SHARE", share)
     df, data = pages(spark)
     got = warc.round_trip(spark, df).collect()
     largest = defaultdict(list)
