@@ -20,6 +20,8 @@ PAIR = ["slide", "ct_1", "ct_2"]
 #: In tables of several slides, and among cells of one type, blocks with a side of no more cells than this are left out.
 FEW = 5
 SELF_LEVEL = 1e-4
+#: Sides of grids that are counted to find a radius, each by the root of two smaller than the one before.
+RADII = 20
 
 
 def scaled(cells: DataFrame, dist_type: str = "Euclidean2D", scales: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -72,29 +74,43 @@ def block_sizes(cells: DataFrame, pairs: list[tuple[str, str]], skip_few: bool =
     return sizes.select(*PAIR, "n_1", "n_2", F.when(own, F.col("n_1") * (F.col("n_1") - 1)).otherwise(F.col("n_1") * F.col("n_2")).alias("n_pairs"), level.alias("level"))
 
 
+def sufficient_radius(cells: DataFrame, sizes: DataFrame) -> float | None:
+    """A radius within which every block has the pairs that its low quantile needs, and one of them apart, found without joining cells; None if only all pairs do.
+
+    Cells in one square of a grid are no farther from each other than its diagonal, so counts of the cells in the squares bound the pairs of a
+    radius from below.  Grids of RADII sides are counted at once: occupied squares times types, and their pairs by type.
+    """
+    axes = [a for a in "xyz" if a in cells.columns]
+    box = cells.agg(*[f(a).alias(f"{a}{n}") for a in axes for n, f in ((0, F.min), (1, F.max))]).first()
+    extent = math.sqrt(sum(((box[f"{a}1"] or 0.0) - (box[f"{a}0"] or 0.0)) ** 2 for a in axes))
+    if not extent:
+        return None
+    radii = [extent / 2 / 2 ** (k / 2) for k in range(1, RADII + 1)]
+    grids = F.explode(F.array(*[F.struct(F.lit(k).alias("grid"), *[F.floor((F.col(a) - F.lit(box[f"{a}0"])) / F.lit(r / math.sqrt(len(axes)))).alias(f"g{a}") for a in axes]) for k, r in enumerate(radii)]))
+    # the last grid are the places themselves: pairs of one place are at distance zero
+    own = F.struct(F.lit(-1).alias("grid"), *[F.xxhash64(F.col(a) + F.lit(0.0)).alias(f"g{a}") for a in axes])
+    at = cells.select("slide", "cell_type", grids.alias("g")).unionByName(cells.select("slide", "cell_type", own.alias("g")))
+    counts = materialize(at.groupBy("slide", "cell_type", "g").agg(F.count("*").alias("n")), "squares")
+    blocks = F.broadcast(sizes.where("n_pairs > 0").select(*PAIR, "n_pairs", "level"))  # a row for each block
+    one, two = (counts.select("slide", F.col("cell_type").alias(f"ct_{k}"), "g", F.col("n").alias(f"n{k}")) for k in (1, 2))
+    met = one.join(blocks, ["slide", "ct_1"]).join(two, ["slide", "ct_2", "g"])
+    pairs = F.when(F.col("ct_1") == F.col("ct_2"), F.col("n1") * (F.col("n1") - 1)).otherwise(F.col("n1") * F.col("n2"))
+    seen = met.groupBy(*PAIR, "n_pairs", "level", F.col("g.grid").alias("grid")).agg(F.sum(pairs).alias("seen"))
+    zero = seen.where("grid = -1").select(*PAIR, F.col("seen").alias("together"))
+    enough = seen.where("grid >= 0").join(zero, PAIR, "left").where("seen >= ceil((n_pairs - 1) * level) + 1 AND seen > coalesce(together, 0)").groupBy(*PAIR).agg(F.max("grid").alias("grid"))
+    found = sizes.where("n_pairs > 0").join(enough, PAIR, "left").agg(F.min(F.coalesce("grid", F.lit(-1)))).first()[0]
+    return radii[found] * (1 + 1e-9) if found is not None and found >= 0 else None
+
+
 def low_quantiles(cells: DataFrame, pairs: list[tuple[str, str]], skip_few: bool = False) -> DataFrame:
     """block_sizes() with each block's smallest positive distance and low quantile (zeros counted as the former).
 
-    Only the smallest distances matter, so the range join is tried with a small radius that is doubled until every
-    block has enough of them.
+    Only the smallest distances matter: one range join within the radius that sufficient_radius() finds sees them all.
     """
     sizes = materialize(block_sizes(cells, pairs, skip_few), "blocks")
-    axes = [a for a in "xyz" if a in cells.columns]
-    box = cells.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
-    extent = math.sqrt(sum((box[a] or 0.0) ** 2 for a in axes))
-    # where that share of the pairs of evenly spread cells would be found, and some more
-    share = sizes.where("n_pairs > 0").agg(F.max(F.greatest(F.col("level"), 2.0 / F.col("n_pairs")))).first()[0] or 1.0
-    radius = 1.5 * extent * (share / math.pi) ** (1 / max(len(axes), 1)) if extent else None
-    while True:
-        whole = radius is None or radius >= extent / 2
-        edges = distance_edges(cells, pairs, None if whole else radius)
-        near = edges.groupBy(*PAIR).agg(F.count("*").alias("seen"), F.count_if(F.col("d") > 0).alias("positive"), F.min(F.when(F.col("d") > 0, F.col("d"))).alias("least"))
-        near = materialize(near, "near")
-        # the order statistics asked for, counted from 0, are at most ceil((n - 1) * level)
-        short = sizes.where("n_pairs > 0").join(near, PAIR, "left").where("positive IS NULL OR positive = 0 OR seen < ceil((n_pairs - 1) * level) + 1")
-        if whole or not short.limit(1).count():
-            break
-        radius *= 2
+    edges = materialize(distance_edges(cells, pairs, sufficient_radius(cells, sizes)), "near-edges")
+    near = edges.groupBy(*PAIR).agg(F.count("*").alias("seen"), F.min(F.when(F.col("d") > 0, F.col("d"))).alias("least"))
+    near = materialize(near, "near")
     filled = edges.join(near.select(*PAIR, "least"), PAIR).join(sizes, PAIR)
     values = filled.select(*PAIR, F.when(F.col("d") == 0, F.col("least")).otherwise(F.col("d")).alias("d"), ((F.col("n_pairs") - 1) * F.col("level")).alias("h"))
     # among the pairs seen, all others being farther, the wanted rank is at share h / (seen - 1)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.functions.ranks import with_rank
 from covaria.sources.store import materialize
 
 
@@ -67,9 +72,42 @@ def type_shares_by_score(scores: DataFrame, bins: int = 20) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("bin")))
 
 
-def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b over all pairs of rows; for tables of a few thousand rows (group medians and the like)."""
-    a = materialize(df.select(F.monotonically_increasing_id().alias("r"), F.col(x).alias("x"), F.col(y).alias("y")), "kendall")
-    b = a.select(F.col("r").alias("r2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    s = a.join(b, F.col("r") < F.col("r2")).select(F.signum(F.col("x") - F.col("x2")).alias("dx"), F.signum(F.col("y") - F.col("y2")).alias("dy"))
-    return s.agg((F.sum(F.col("dx") * F.col("dy")) / F.sqrt(F.sum(F.abs("dx")).cast("double") * F.sum(F.abs("dy")))).alias("tau"))
+def inversions(y: np.ndarray) -> int:
+    """Pairs that stand in falling order."""
+    if len(y) <= 64:
+        return int((y[:, None] > y[None, :])[np.triu_indices(len(y), 1)].sum())
+    half = len(y) // 2
+    left, right = y[:half], y[half:]
+    across = half * len(right) - np.searchsorted(np.sort(left), right, "right").sum()
+    return int(across) + inversions(left) + inversions(right)
+
+
+def kendall_tau(df: DataFrame, x: str, y: str, block: int = 1 << 16) -> DataFrame:
+    """Kendall's tau-b over all pairs of rows; rows where either value is null are left out.
+
+    Pairs aren't formed: in the order of x (and y within equal x) the discordant pairs are the inversions of y.  Those inside a block of places are
+    counted by one task; those between the two halves of a stretch of 2, 4, 8 ... blocks follow from the ranks by y that the right half has in the
+    stretch.  Pairs that are equal in x, y or both are counted by value.
+    """
+    a = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    a = materialize(with_rank(a.withColumn("one", F.lit(1)), ["one"], ["x", "y"], "place").select("x", "y", "place"), "kendall")
+    n = a.count()
+    ties = lambda *c: a.groupBy(*c).count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0.0
+    equal_x, equal_y, equal = ties("x"), ties("y"), ties("x", "y")
+
+    def within(rows: pa.Table) -> pa.Table:
+        return pa.table({"v": pa.array([inversions(rows.sort_by("place")["y"].to_numpy())], pa.int64())})
+
+    found = a.withColumn("block", F.floor(F.col("place") / block)).groupBy("block").applyInArrow(within, "v long").agg(F.sum("v")).first()[0] or 0
+    levels = max(0, (max(n - 1, 0) // block).bit_length())
+    if levels:
+        spans = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("place") / (block << k)).alias("half")) for k in range(levels)]))
+        halves = a.select("y", spans.alias("s")).select("y", "s.level", F.floor(F.col("s.half") / 2).alias("stretch"), (F.col("s.half") % 2).alias("right"))
+        # of equal values those on the left come first: what a right one has before it on the left is no inversion
+        ranked = with_rank(halves, ["level", "stretch"], ["y", "right"], "rank")
+        sums = ranked.groupBy("level", "stretch").agg(F.sum("right").alias("r"), F.sum(1 - F.col("right")).alias("l"), F.sum(F.col("right") * F.col("rank")).alias("ranks"))
+        found += sums.agg(F.sum(F.col("l") * F.col("r") - (F.col("ranks") - F.col("r") * (F.col("r") - 1) / 2))).first()[0]
+    pairs = n * (n - 1) / 2
+    scale = math.sqrt((pairs - equal_x) * (pairs - equal_y))
+    tau = (pairs - equal_x - equal_y + equal - 2 * found) / scale if scale else None
+    return df.sparkSession.createDataFrame([(tau,)], "tau double")

@@ -194,3 +194,46 @@ def test_whitened_norms_against_numpy(spark):
     half = lambda m: (m + m.T) / 2
     kc = centre(mats["A", "B"])
     assert np.isclose(got["A", "B"], np.sqrt((half(mats["A", "A"]) @ kc @ half(mats["B", "B"]) * kc).sum())) and np.isclose(got["A", "C"], np.linalg.norm(centre(mats["A", "C"])))
+
+
+@pytest.mark.parametrize("block, n", [(1 << 16, 400), (16, 400), (16, 1), (7, 120)])
+def test_kendall_against_all_pairs(spark, block, n):
+    """Many ties in both, nulls, one row; in one block and in many levels of blocks."""
+    from covaria.plans import report
+
+    rng = np.random.default_rng(n)
+    x, y = rng.integers(0, 30, n), rng.integers(0, 25, n)
+    y = np.where(rng.uniform(size=n) < 0.5, x, y)
+    df = spark.createDataFrame([*zip(x.tolist(), y.tolist(), strict=True), (None, 1), (2, None)], "a int, b int")
+    got = report.kendall_tau(df, "a", "b", block).first().tau
+    dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (dx * dy).sum() / np.sqrt(np.abs(dx).sum() * np.abs(dy).sum()) if n > 1 else None
+    assert got == want if want is None else np.isclose(got, want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["even", "crowded", "stacked", "line"])
+def test_one_radius_sees_the_low_quantile(spark, monkeypatch, kind):
+    """Even, clustered, coincident and collinear cells: one range join, and the order statistics of all pairs."""
+    from covaria.operators import neighbors
+
+    rng = np.random.default_rng(5)
+    x = rng.uniform(size=(300, 2))
+    if kind == "crowded":
+        x[:200] = 0.3 + 1e-4 * rng.uniform(size=(200, 2))
+    if kind == "stacked":
+        x[:280] = x[0]
+    if kind == "line":
+        x[:, 1] = 2.0
+    cells = spark.createDataFrame([("s", "AB"[k % 2], k, *map(float, p)) for k, p in enumerate(x)], "slide string, cell_type string, cell_id long, x double, y double")
+    joins = []
+    plain = neighbors.distance_edges
+    monkeypatch.setattr(neighbors, "distance_edges", lambda *a: joins.append(a[2]) or plain(*a))
+    got = {(r.ct_1, r.ct_2): r for r in neighbors.low_quantiles(cells, [("A", "B"), ("A", "A")]).collect()}
+    assert len(joins) == 1 and (kind == "stacked" or joins[0] is not None)
+    a, b = x[::2], x[1::2]
+    for (one, two, own) in ((a, b, False), (a, a, True)):
+        d = np.hypot(one[:, None, 0] - two[None, :, 0], one[:, None, 1] - two[None, :, 1])
+        d = d[~np.eye(len(a), dtype=bool)] if own else d.ravel()
+        least = d[d > 0].min()
+        r = got["A", "A" if own else "B"]
+        assert np.isclose(r.least, least) and np.isclose(r.low, np.quantile(np.where(d == 0, least, d), r.level), rtol=1e-9)
