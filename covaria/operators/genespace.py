@@ -15,7 +15,7 @@ from covaria.operators.dense import dense_rows, one_block_at_once, product_lines
 from covaria.operators.kernel import compute_kernel
 from covaria.operators.panels import kernel_products
 from covaria.operators.scores import dense
-from covaria.operators.subset import clip_values, pairs_of, prevalent_genes, sufficient_slides
+from covaria.operators.subset import clip_values, pairs_of, prevalent_genes, sufficient_slides, warn_dropped
 from covaria.sources.store import materialize
 
 #: Covariances of all slides, types and pairs that reach the driver at most; beyond that no covariance is formed.
@@ -156,7 +156,8 @@ def run_gene_space(expression: DataFrame, cells: DataFrame, cell_types: list[str
     if len(cell_types) < 2:
         raise ValueError("at least two cell types are needed")
     cells = cells.where(F.col("cell_type").isin(list(cell_types)))
-    slides = sufficient_slides(cells, cell_types, slide_cells)
+    slides = materialize(sufficient_slides(cells, cell_types, slide_cells), "slides")
+    warn_dropped(f"slides with fewer than {slide_cells} cells of a type", sorted(r[0] for r in cells.select("slide").distinct().join(slides, "slide", "left_anti").collect()))
     cells = materialize(cells.join(slides, "slide", "left_semi"), "cells")
     expression = expression.join(cells.select("cell_id"), "cell_id", "left_semi")
     genes = prevalent_genes(expression, cells, min_prevalence, min_cells).select("gene")

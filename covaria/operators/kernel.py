@@ -98,11 +98,14 @@ def compute_kernel(
         low = low_quantiles(at, pairs, skip_few) if blocks.where("zeros > 0 AND least IS NULL").limit(1).count() else blocks
     raw = materialize(gaussian(conditioned(edges, low, factors, truncate), sigmas, lower_limit), "kernel-raw")
     if check:
-        states = support(raw, block_sizes(at, pairs, skip_few), lower_limit, min_ave_cell_neighbor).collect()
+        sizes = materialize(block_sizes(at, pairs, skip_few), "sizes")
+        states = support(raw, sizes, lower_limit, min_ave_cell_neighbor).collect()
         good = [tuple(r[c] for c in BLOCK) for r in states if r["valid"]]
         if not good:
             raise ValueError("no bandwidth has enough support; use larger ones")
-        warn_dropped("blocks without support", [tuple(r[c] for c in BLOCK) for r in states if not r["valid"]])
+        # a block may have no edge at all
+        asked = [(float(s), *(r[c] for c in PAIR)) for s in sigmas for r in sizes.select(*PAIR).collect()]
+        warn_dropped("blocks without support", sorted(set(asked) - set(good)))
         valid = cells.sparkSession.createDataFrame(good, "sigma double, slide string, ct_1 string, ct_2 string")
         raw = raw.join(valid, BLOCK, "left_semi")
     clipped = clip_kernel(raw, upper_quantile)

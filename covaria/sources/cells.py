@@ -63,7 +63,7 @@ def create_cell_set(expression: DataFrame, locations: DataFrame, cell_types: Dat
 
 
 def check_cells(cells: DataFrame, expression: DataFrame) -> None:
-    """One aggregate for each table: ids unique, coordinates finite, types and values present, at least two genes."""
+    """Ids unique, coordinates finite, types and values present, at least two genes, and one value at most for each cell and gene (the one check that shuffles all values)."""
     bad = lambda c: F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")))
     axes = [c for c in ("x", "y", "z") if c in cells.columns]
     r = cells.agg(F.count("*").alias("n"), F.count_distinct("cell_id").alias("ids"), F.count_if(F.col("cell_type").isNull()).alias("types"), *[bad(c).alias(c) for c in axes]).first()
@@ -78,6 +78,8 @@ def check_cells(cells: DataFrame, expression: DataFrame) -> None:
         raise ValueError("at least two genes are needed")
     if expression.join(cells, "cell_id", "left_anti").limit(1).count():
         raise ValueError("expression has cells without a location")
+    if twice := expression.groupBy("cell_id", "gene").count().where("count > 1").first():
+        raise ValueError(f"cell {twice['cell_id']} has several values of gene {twice['gene']}")
 
 
 def split_slides(cells: DataFrame, max_cell: int) -> DataFrame:
