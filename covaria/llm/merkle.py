@@ -6,7 +6,7 @@ siblings, whose arity follows from the level's width, becomes its parent as soon
 so forests form a monoid under merging, and treeReduce merges those of the partitions until one node of each part is left.
 A forest holds the unresolved nodes, at most 7 on either side of a stretch of rows at each level, and keeps the nodes of level K or more,
 which proofs need from elsewhere.  K is the least level, LEAST_LEVEL or above, with CROWN nodes or fewer (and one for each
-part): this crown, some 10 MB at most, is what reaches the driver and is broadcast.
+part): this crown, some 20 MB of digests at most, is what reaches the driver and is broadcast.
 
 For the proofs rows are dealt by blocks of 8^K places.  A task rebuilds the block's nodes, takes the siblings above from the crown, and folds
 each row's claimed leaf up to the root.
