@@ -2,11 +2,13 @@
 
 The range join is an equi-join on grid squares of the radius' side: one side keeps its own square, the other is repeated for the
 neighbouring squares, and the exact distance is a residual condition, so that Spark plans a hash or sort-merge join instead
-of a nested loop.
+of a nested loop.  Squares that hold too many cells are halved again and again, and what can't be halved is dealt to chunks, so that
+no key gathers more than a bound of either side.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -22,6 +24,12 @@ FEW = 5
 SELF_LEVEL = 1e-4
 #: Sides of grids that are counted to find a radius, each by the root of two smaller than the one before.
 RADII = 20
+#: Cells of one side that meet under one key of a join; squares and blocks with more are dealt to several keys.
+CROWD = 1024
+#: How often a crowded square is halved along each axis before its cells are dealt by hash.
+HALVINGS = 8
+#: Parts of crowded squares up to which their table is broadcast (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_LEAVES = 100_000
 
 
 def scaled(cells: DataFrame, dist_type: str = "Euclidean2D", scales: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -42,23 +50,118 @@ def _sides(cells: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, D
     return left, right, axes
 
 
-def distance_edges(cells: DataFrame, pairs: list[tuple[str, str]], radius: float | None = None) -> DataFrame:
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_LEAVES else table
+
+
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides by ``keys`` and chunks: a left row, in one of its key's c1 chunks, meets all c2 of the right side, and the other way round.
+
+    The number of partitions is given, for few bytes of crowded cells make many pairs and should not be put together into few tasks.
+    """
+    chunk = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(F.col(n), F.lit(1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)) - 1))
+    keys, tasks = [*keys, "u", "v"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumn("u", chunk("i", "c1")).withColumn("v", every("c2")).drop("c1", "c2")
+    right = right.withColumn("v", chunk("j", "c2")).withColumn("u", every("c1")).drop("c1", "c2")
+    return left.repartition(tasks, *keys), right.repartition(tasks, *keys).hint("merge"), keys
+
+
+def _dealt_blocks(left: DataFrame, right: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Sides of blocks, all of whose pairs are wanted, with join keys; large blocks in chunks."""
+    count = lambda side, n: side.groupBy(*PAIR).agg(F.count("*").alias(n))
+    large = count(left, "n1").join(count(right, "n2"), PAIR).where(F.greatest("n1", "n2") > crowd)
+    large = materialize(large.select(*PAIR, *[F.ceil(F.col(f"n{k}") / crowd).alias(f"c{k}") for k in (1, 2)]), "large-blocks")
+    if not large.limit(1).count():
+        return left, right, PAIR
+    large = _small(large)
+    return _dealt(left.join(large, PAIR, "left"), right.join(large, PAIR, "left"), PAIR)
+
+
+def _leaves(left: DataFrame, right: DataFrame, key: list[str], axes: str, radius: float, crowd: int) -> tuple[DataFrame, DataFrame] | None:
+    """Squares (key) where over ``crowd`` cells of a side come together, and their parts (key, level, h per axis, c1, c2) with numbers of chunks; None if there are none.
+
+    A square is halved along each axis, ``level`` times in all, until at most ``crowd`` left cells are in a part or HALVINGS are done.
+    Only parts with left cells are listed.  ``h`` counts the parts of that level from the origin.
+    """
+    count = lambda side, n: side.groupBy(*key).agg(F.count("*").alias(n))
+    crowded = materialize(count(left, "n1").join(count(right, "n2"), key, "full").where(F.greatest("n1", "n2") > crowd).select(*key), "crowded")
+    if not crowded.limit(1).count():
+        return None
+    squares = _small(crowded)
+    h = [f"h{a}" for a in axes]
+    # numbers of left cells in the parts of every level; part of a part: its number halved
+    finest = left.join(squares, key, "left_semi").groupBy(*key, *h).agg(F.count("*").alias("n"))
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), *[F.shiftright(c, HALVINGS - k).alias(c) for c in h]) for k in range(HALVINGS + 1)]))
+    parts = materialize(finest.select(*key, "n", levels.alias("at")).select(*key, "n", "at.*").groupBy(*key, "level", *h).agg(F.sum("n").alias("n")), "parts")
+    above = parts.where(F.col("n") > crowd).select(*[F.col(c).alias(f"of_{c}") for c in [*key, "level", *h]])
+    met = [F.col(c) == F.col(f"of_{c}") for c in key] + [F.col("level") == F.col("of_level") + 1] + [F.shiftright(c, 1) == F.col(f"of_{c}") for c in h]
+    inner = parts.join(above, met, "left_semi")
+    leaves = inner.unionByName(parts.where("level = 0")).where((F.col("n") <= crowd) | (F.col("level") == HALVINGS))
+    leaves = materialize(leaves, "leaves")
+    reached = _at_leaves(right, _small(leaves), key, axes, radius, "inner").groupBy(*key, "level", *h).agg(F.count("*").alias("m"))
+    chunks = leaves.join(reached, [*key, "level", *h], "left")
+    return squares, _small(materialize(chunks.select(*key, "level", *h, F.ceil(F.col("n") / crowd).alias("c1"), F.coalesce(F.ceil(F.col("m") / crowd), F.lit(1)).alias("c2")), "leaves"))
+
+
+def _at_leaves(right: DataFrame, leaves: DataFrame, key: list[str], axes: str, radius: float, how: str) -> DataFrame:
+    """Right cells at every leaf of their squares that has a place within the radius."""
+    side = F.lit(float(radius)) / F.pow(F.lit(2.0), "level")
+    gaps = [F.greatest(F.lit(0.0), F.col(f"h{a}") * side - F.col(f"{a}2"), F.col(f"{a}2") - (F.col(f"h{a}") + 1) * side) for a in axes]
+    # a little more than the radius: rounding may not lose a pair, whose distance is compared afterwards
+    reach = sum((g * g for g in gaps), F.lit(0.0)) <= F.lit(float(radius) ** 2 * (1 + 1e-6)) + F.lit(1e-12) * sum((F.col(f"{a}2") ** 2 for a in axes), F.lit(0.0))
+    named = leaves.withColumnsRenamed({c: f"at_{c}" for c in key})
+    return right.join(named, [right[c] == F.col(f"at_{c}") for c in key] + [reach], how).drop(*[f"at_{c}" for c in key])
+
+
+def _dealt_squares(left: DataFrame, right: DataFrame, axes: str, radius: float, crowd: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Sides with the squares in which they meet and join keys; a right cell is repeated for the squares around it.
+
+    Pairs of one type are wanted both ways but met once: their right cells go to the squares that come later in order (``way`` 1) and their own (0).
+    """
+    key = [*PAIR, *[f"g{a}" for a in axes]]
+    square = lambda a, n, times=1: F.floor(F.col(f"{a}{n}") / F.lit(float(radius) / times)).cast("long")
+    left = left.withColumns({f"g{a}": square(a, 1) for a in axes} | {f"h{a}": square(a, 1, 2**HALVINGS) for a in axes})
+    none = (0,) * len(axes)
+    around = {o: F.struct(*[(square(a, 2) + F.lit(k)).alias(f"g{a}") for a, k in zip(axes, o, strict=True)], F.lit((o > none) - (o < none)).alias("way")) for o in itertools.product((-1, 0, 1), repeat=len(axes))}
+    later = F.array(*[at for o, at in around.items() if o >= none])
+    right = right.withColumn("near", F.explode(F.when(F.col("ct_1") == F.col("ct_2"), later).otherwise(F.array(*around.values()))))
+    right = right.select(*PAIR, "j", *[f"{a}2" for a in axes], "near.*")
+    found = _leaves(left, right, key, axes, radius, crowd)
+    h = [f"h{a}" for a in axes]
+    if found is None:
+        return left.drop(*h), right, key
+    squares, leaves = found
+    named = leaves.withColumnsRenamed({c: f"at_{c}" for c in [*key, *h]})
+    within = [left[c] == F.col(f"at_{c}") for c in key] + [F.expr(f"shiftright({c}, {HALVINGS} - level)") == F.col(f"at_{c}") for c in h]
+    left = left.join(named, within, "left").drop(*[f"at_{c}" for c in key], *h).withColumnsRenamed({f"at_{c}": c for c in h})
+    marked = right.join(squares.withColumn("crowded", F.lit(True)), key, "left")
+    # in a crowded square, what reaches no part that has left cells has no partner there
+    right = _at_leaves(marked, leaves, key, axes, radius, "left").where("crowded IS NULL OR level IS NOT NULL").drop("crowded")
+    filled = {c: F.coalesce(F.col(c), F.lit(-1)) for c in ["level", *h]}  # squares that are not crowded are one part
+    return _dealt(left.withColumns(filled), right.withColumns(filled), [*key, "level", *h])
+
+
+def distance_edges(cells: DataFrame, pairs: list[tuple[str, str]], radius: float | None = None, crowd: int = CROWD) -> DataFrame:
     """(slide, ct_1, ct_2, i, j, d) for all pairs of cells of the blocks, or for those within ``radius``.
 
-    A cell is no neighbour of itself.  Without a radius the result is quadratic by nature.
+    A cell is no neighbour of itself.  Without a radius the result is quadratic by nature.  Cells are counted first, by blocks or squares: where
+    more than ``crowd`` of a side would meet under one key, both sides are dealt to several.
     """
+    if radius is not None and not (radius > 0 and math.isfinite(radius)):
+        raise ValueError("radius must be a positive number")
     left, right, axes = _sides(cells, pairs)
     d = F.sqrt(sum(((F.col(f"{a}1") - F.col(f"{a}2")) ** 2 for a in axes), F.lit(0.0)))
     if radius is None:
-        joined = left.join(right, PAIR)
-    else:
-        square = lambda a, n: F.floor(F.col(f"{a}{n}") / F.lit(float(radius))).cast("long")
-        for a in axes:
-            left = left.withColumn(f"g{a}", square(a, 1))
-            right = right.withColumn(f"g{a}", F.explode(F.sequence(square(a, 2) - 1, square(a, 2) + 1)))
-        joined = left.join(right, [*PAIR, *[f"g{a}" for a in axes]])
-    found = joined.select(*PAIR, "i", "j", d.alias("d")).where("ct_1 <> ct_2 OR i <> j")
-    return found if radius is None else found.where(F.col("d") <= float(radius))
+        left, right, keys = _dealt_blocks(left, right, crowd)
+        return left.join(right, keys).select(*PAIR, "i", "j", d.alias("d")).where("ct_1 <> ct_2 OR i <> j")
+    left, right, keys = _dealt_squares(left, right, axes, radius, crowd)
+    found = left.join(right, keys).where("ct_1 <> ct_2 OR way > 0 OR i < j").select(*PAIR, "i", "j", d.alias("d")).where(F.col("d") <= float(radius))
+    if all(a != b for a, b in pairs):
+        return found
+    once, back = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    ways = F.explode(F.when(F.col("ct_1") == F.col("ct_2"), F.array(once, back)).otherwise(F.array(once)))
+    return found.select(*PAIR, ways.alias("ends"), "d").select(*PAIR, "ends.i", "ends.j", "d")
 
 
 def block_sizes(cells: DataFrame, pairs: list[tuple[str, str]], skip_few: bool = False) -> DataFrame:
