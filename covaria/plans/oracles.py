@@ -193,6 +193,7 @@ ORACLES: dict[str, str] = {
     # a median leaves half of all but one on its lower side
     "split_large_slides": """WITH RECURSIVE c AS (SELECT count(*) AS n FROM embeddings GROUP BY vec_id % 2),
   s AS (SELECT n FROM c UNION ALL SELECT unnest([(n - 1 + 1) // 2, n - n // 2]) FROM s WHERE n > 100) SELECT max(n) FILTER (n <= 100)::INT AS largest, sum(n) FILTER (n <= 100)::BIGINT AS cells FROM s""",
+    "split_slides_kmeans": f"{with_(CELLS)} SELECT slide, count(*)::BIGINT AS cells, true AS bounded, round(sum(x), 6) + 0.0 AS sx, round(sum(y), 6) + 0.0 AS sy, true AS compact FROM cells GROUP BY ALL",
     "plot_slicing": f"{with_(CELLS)} SELECT slide, count(*)::BIGINT AS cells, true AS bounded, count(*) > 100 AS named, round(sum(x), 6) + 0.0 AS sx, round(sum(y), 6) + 0.0 AS sy FROM cells GROUP BY ALL",
     "self_distance_factor": f"""{with_(CELLS, SIZES, dist(PAIRS), low("dist"), dist(SELVES, "own"), low("own"))} SELECT round(dist_f.f, 5) AS cross_factor, round(own_f.f, 5) AS own_factor FROM dist_f, own_f""",
     "self_kernel_own_factor": f"""{with_(CELLS, SIZES, dist(SELVES, "own"), low("own"))},

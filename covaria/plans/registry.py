@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from covaria.operators import association, crossop, genespace, genetest, kernel, neighbors, pca, resample, scores, subset
 from covaria.plans import analysis, fixture, report
 from covaria.plans.oracles import ORACLES as ORACLES
-from covaria.sources.cells import cap_and_log, create_cell_set, load_dataset, save_dataset, split_slides
+from covaria.sources.blocks import split_slides
+from covaria.sources.cells import cap_and_log, create_cell_set, load_dataset, save_dataset
 from covaria.sources.store import shared_root
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +96,21 @@ def split_large_slides(spark, sf_dir):
     return split_slides(fixture.cells(spark, sf_dir), 100).groupBy("slide").agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("largest"), F.sum("n").alias("cells"))
 
 
+@query
+def split_slides_kmeans(spark, sf_dir):
+    """Blocks of at most 100 cells by k-means: sizes and sums by slide, and whether squares within blocks times blocks (in the plane the one falls as the other grows) are no more than for median splits."""
+    cells = fixture.cells(spark, sf_dir).drop("z").withColumn("whole", F.col("slide"))
+
+    def blocks(method):
+        split = split_slides(cells, 100, method).groupBy(F.col("whole").alias("slide"), F.col("slide").alias("block"))
+        return split.agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), (F.var_pop("x") + F.var_pop("y")).alias("v"))
+
+    cost = (F.sum(F.col("n") * F.col("v")) * F.count("*")).alias("cost")
+    of_medians = blocks("median").groupBy("slide").agg(cost).withColumnRenamed("cost", "bound")
+    by_slide = blocks("kmeans").groupBy("slide").agg(F.sum("n").alias("cells"), (F.max("n") <= 100).alias("bounded"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), cost)
+    return rounded(by_slide.join(of_medians, "slide").select("slide", "cells", "bounded", "sx", "sy", (F.col("cost") <= F.col("bound")).alias("compact")), "sx", "sy")
+
+
 @query
 def plot_slicing(spark, sf_dir):
     """Every cell of a slide in a block of at most 100 of its own."""

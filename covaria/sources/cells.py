@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from covaria.functions.ranks import with_rank
+from covaria.sources.blocks import split_slides
 
 #: Names of data sets that a local catalogue may hold.
 FORMATS = ("parquet", "csv", "json", "orc")
@@ -38,11 +38,11 @@ class CellSet:
         return [r[0] for r in self.expression.select("gene").distinct().orderBy("gene").collect()]
 
 
-def create_cell_set(expression: DataFrame, locations: DataFrame, cell_types: DataFrame | None = None, metadata: DataFrame | None = None, slide_col: str | None = None, max_cell: int | None = None, validate: bool = True) -> CellSet:
+def create_cell_set(expression: DataFrame, locations: DataFrame, cell_types: DataFrame | None = None, metadata: DataFrame | None = None, slide_col: str | None = None, max_cell: int | None = None, validate: bool = True, split: str = "median") -> CellSet:
     """Assemble and check a set from tables keyed by cell_id.
 
     ``locations`` has x, y and maybe z in any case; ``cell_types`` (cell_id, cell_type) and ``metadata`` may also be columns of it.
-    With ``max_cell`` slides that are larger are split into blocks.
+    With ``max_cell`` slides that are larger are split into blocks, by ``split`` (see split_slides).
     """
     named = {c.lower(): c for c in locations.columns}
     missing = {"x", "y"} - set(named)
@@ -59,7 +59,7 @@ def create_cell_set(expression: DataFrame, locations: DataFrame, cell_types: Dat
     if validate:
         check_cells(cells, expression)
     made = CellSet(cells, expression)
-    return made.with_(cells=split_slides(cells, max_cell)) if max_cell else made
+    return made.with_(cells=split_slides(cells, max_cell, split)) if max_cell else made
 
 
 def check_cells(cells: DataFrame, expression: DataFrame) -> None:
@@ -82,27 +82,6 @@ def check_cells(cells: DataFrame, expression: DataFrame) -> None:
         raise ValueError(f"cell {twice['cell_id']} has several values of gene {twice['gene']}")
 
 
-def split_slides(cells: DataFrame, max_cell: int) -> DataFrame:
-    """Slides of over ``max_cell`` cells become blocks ``<slide>_blk<k>`` of at most that many, by median splits of the wider axis.
-
-    Deterministic.  Pairs across blocks are lost, which is the point: it bounds the work, and is only done on request.
-    """
-    now = cells.withColumn("__part", F.lit("")).withColumn("__slide", F.col("slide"))
-    while True:
-        stats = now.groupBy("__slide", "__part").agg(F.count("*").alias("__n"), (F.stddev_pop("x") >= F.stddev_pop("y")).alias("__wide")).where(F.col("__n") > max_cell)
-        if not stats.limit(1).count():
-            break
-        joined = now.join(stats, ["__slide", "__part"], "left")
-        axis = F.when(F.col("__wide"), F.col("x")).otherwise(F.col("y"))
-        other = F.when(F.col("__wide"), F.col("y")).otherwise(F.col("x"))
-        large = with_rank(joined.where("__n IS NOT NULL"), ["__slide", "__part"], [axis, other, "cell_id"], "__rank")
-        side = F.when(2 * F.col("__rank") < F.col("__n") - 1, F.lit("0")).otherwise(F.lit("1"))
-        split = large.withColumn("__side", side).drop("__rank").unionByName(joined.where("__n IS NULL").withColumn("__side", F.lit("")))
-        now = split.withColumn("__part", F.concat("__part", "__side")).drop("__n", "__wide", "__side")
-    number = F.dense_rank().over(Window.partitionBy("__slide").orderBy("__part"))
-    return now.withColumn("slide", F.when(F.col("__part") == "", F.col("__slide")).otherwise(F.concat("__slide", F.lit("_blk"), number.cast("string")))).drop("__part", "__slide")
-
-
 def from_wide(wide: DataFrame, id_col: str, genes: list[str]) -> DataFrame:
     """Wide expression (one column for each gene) to long rows, zeros left out."""
     long = wide.select(F.col(id_col).alias("cell_id"), *[F.col(g).cast("double").alias(g) for g in genes]).unpivot("cell_id", genes, "gene", "value")
