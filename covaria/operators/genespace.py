@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from covaria.functions import solve
 from covaria.operators.dense import dense_rows, one_block_at_once, product_lines
-from covaria.operators.kernel import compute_kernel
+from covaria.operators.kernel import compute_kernel, tiled_kernel
 from covaria.operators.panels import kernel_products
 from covaria.operators.scores import dense
+from covaria.operators.tiled import TiledKernel
 from covaria.operators.subset import clip_values, pairs_of, prevalent_genes, sufficient_slides, warn_dropped
 from covaria.sources.store import materialize
 
@@ -92,7 +93,7 @@ def self_lines(rows: DataFrame, moments: DataFrame, n_genes: int) -> DataFrame:
     return sums.join(moments, ["slide", "cell_type"]).select("slide", "cell_type", "k", F.transform(F.slice("line", 1, F.lit(n_genes) - F.col("k")), value).alias("line"))
 
 
-def cross_lines(kernel: DataFrame, cells: DataFrame, rows: DataFrame, moments: DataFrame, n_genes: int) -> DataFrame:
+def cross_lines(kernel: DataFrame | TiledKernel, cells: DataFrame, rows: DataFrame, moments: DataFrame, n_genes: int) -> DataFrame:
     """(sigma, slide, ct_1, ct_2, k, line): Z1' K Z2 / sqrt(n1 n2).
 
     The products of the columns of ones hold what taking out the means needs: Z1' K Z2 = D1 (X1'KX2 - m1 1'KX2 - X1'K1 m2' + m1 1'K1 m2') D2.
@@ -123,7 +124,7 @@ def self_covariances(expression: DataFrame, cells: DataFrame, genes: DataFrame)
     return _named(self_lines(rows, block_moments(expression, cells, numbers, len(names)), len(names)), names, whole=False)
 
 
-def cross_covariances(kernel: DataFrame, expression: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
+def cross_covariances(kernel: DataFrame | TiledKernel, expression: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     """(sigma, slide, ct_1, ct_2, gene_1, gene_2, c): Z1' K Z2 / sqrt(n1 n2)."""
     numbers, names = gene_numbers(genes)
     rows = packed_cells(expression, cells, numbers, len(names))
@@ -169,8 +170,10 @@ def run_gene_space(expression: DataFrame, cells: DataFrame, cell_types: list[str
     numbers, n_genes = gene_numbers(genes)[0], len(names)
     moments = block_moments(used, cells, numbers, n_genes)
     packed = materialize(packed_cells(used, cells, numbers, n_genes), "packed")
-    kernel, _ = compute_kernel(cells, pairs_of(cell_types), [sigma], **({"skip_few": True} | as_options(**kernel_options)))
-    n_slides = kernel.select("slide").distinct().count()
+    chosen = {"skip_few": True} | as_options(**kernel_options)
+    make = tiled_kernel if chosen.get("lower_limit", 1e-7) > 0 else compute_kernel
+    kernel, _ = make(cells, pairs_of(cell_types), [sigma], **chosen)
+    n_slides = len({block[1] for block in kernel.valid()}) if isinstance(kernel, TiledKernel) else kernel.select("slide").distinct().count()
     blocks = n_slides * (len(cell_types) + len(pairs_of(cell_types)))
     if n_genes <= most_genes and 8 * blocks * n_genes**2 <= driver_bytes:
         step = solve.step_of_matrices(*_in_memory(self_lines(packed, moments, n_genes), cross_lines(kernel, cells, packed, moments, n_genes), n_genes, cell_types), cell_types)
@@ -230,14 +233,16 @@ def _applied(packed: DataFrame, moments: DataFrame, axes: solve.Weights, sigma:
     return exploded.withColumn("cc", F.col("cc") + 1)
 
 
-def _step_of_cells(packed: DataFrame, moments: DataFrame, kernel: DataFrame, n_genes: int, n_slides: int) -> solve.Step:
+def _step_of_cells(packed: DataFrame, moments: DataFrame, kernel: DataFrame | TiledKernel, n_genes: int, n_slides: int) -> solve.Step:
     """As solve.step_of_matrices(), without a covariance: axes times cells, kernel times scores, cells' sums by gene."""
     spark = packed.sparkSession
-    slides = kernel.select("slide").distinct()
+    tiles = kernel if isinstance(kernel, TiledKernel) else None
+    found = sorted({(slide, one, two) for _, slide, one, two in tiles.valid()}) if tiles else sorted((r["slide"], r["ct_1"], r["ct_2"]) for r in kernel.select("slide", "ct_1", "ct_2").distinct().collect())
+    slides = F.broadcast(spark.createDataFrame([(x,) for x in sorted({slide for slide, _, _ in found})], "slide string"))
     rows = materialize(packed.join(slides, "slide", "left_semi"), "packed-used")
     by_block = _on_driver(moments.join(slides, "slide", "left_semi"))
-    pairs = sorted((r["slide"], r["ct_1"], r["ct_2"]) for r in kernel.select("slide", "ct_1", "ct_2").distinct().collect())
-    edges = materialize(kernel.select("slide", "ct_1", "ct_2", "i", "j", "k"), "edges")
+    pairs = found
+    edges = None if tiles else materialize(kernel.select("slide", "ct_1", "ct_2", "i", "j", "k"), "edges")
 
     def step(now: solve.Weights) -> tuple[dict[tuple[str, str], float], solve.Weights]:
         u = _applied(rows, moments, {t: w[:, None] for t, w in now.items()}, 0.0, 1).select("slide", "cell_type", "cell_id", F.col("raw").alias("u"))
@@ -245,11 +250,17 @@ def _step_of_cells(packed: DataFrame, moments: DataFrame, kernel: DataFrame, n_g
         squares = {(r["slide"], r["cell_type"]): r["q"] for r in u.groupBy("slide", "cell_type").agg(F.sum(F.col("u") ** 2).alias("q")).collect()}
         dev = {key: max(float(np.sqrt(max(squares[key] / n, 0.0))), 1e-12) for key, (n, _, _) in by_block.items()}
         scale = [(s, a, b, float(1 / (np.sqrt(by_block[s, a][0] * by_block[s, b][0]) * dev[s, a] * dev[s, b] * n_slides))) for s, a, b in pairs]
-        scaled = edges.join(F.broadcast(spark.createDataFrame(scale, "slide string, ct_1 string, ct_2 string, f double")), ["slide", "ct_1", "ct_2"])  # a row for each block
+        factors = F.broadcast(spark.createDataFrame(scale, "slide string, ct_1 string, ct_2 string, f double"))  # a row for each block
         left, right = u.select(F.col("cell_id").alias("i"), F.col("u").alias("u1")), u.select(F.col("cell_id").alias("j"), F.col("u").alias("u2"))
         value = F.sum(F.col("k") * F.col("f") * F.col("other")).alias("q")
-        to_left = scaled.join(right.withColumnRenamed("u2", "other"), "j").groupBy(F.col("i").alias("cell_id")).agg(value)
-        to_right = scaled.join(left.withColumnRenamed("u1", "other"), "i").groupBy(F.col("j").alias("cell_id")).agg(value)
+        if tiles:
+            at = u.withColumn("cc", F.lit(1)).withColumnRenamed("u", "score")
+            of_left, of_right = tiles.smooth(at, at)
+            to_left, to_right = (x.join(factors, ["slide", "ct_1", "ct_2"]).groupBy(F.col(c).alias("cell_id")).agg(F.sum(F.col("s") * F.col("f")).alias("q")) for x, c in ((of_left, "i"), (of_right, "j")))
+        else:
+            scaled = edges.join(factors, ["slide", "ct_1", "ct_2"])
+            to_left = scaled.join(right.withColumnRenamed("u2", "other"), "j").groupBy(F.col("i").alias("cell_id")).agg(value)
+            to_right = scaled.join(left.withColumnRenamed("u1", "other"), "i").groupBy(F.col("j").alias("cell_id")).agg(value)
         q = to_left.unionByName(to_right).groupBy("cell_id").agg(F.sum("q").alias("q"))
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,38 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from covaria.functions.ranks import with_rank
 from covaria.operators.dense import dense_rows, line_batches, sum_lines
+from covaria.operators.places import places
+from covaria.operators.tiled import MOST_COLUMNS, TiledKernel
 from covaria.sources.store import materialize
 
 TILE_CELLS = 256
 BAND_CELLS = 1024
-#: Bits of each coordinate that a place on the curve is made of.
-_BITS = 16
 #: Sorts behind every band.
 _OWN = (1 << 62) - 1
 PAIR = ["slide", "ct_1", "ct_2"]
 _ROWS = "b int, s int, k int, line array<double>"
 
 
-def _spread(v: F.Column) -> F.Column:
-    """Bit i of 16 moves to bit 2i."""
-    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
-
-
-def places(cells: DataFrame) -> DataFrame:
-    """(slide, cell_type, cell_id, place): the cells of each slide and type along a Z-curve over their extent."""
-    group = ["slide", "cell_type"]
-    box = cells.groupBy(*group).agg(*[f(a).alias(f"{a}{n}") for a in "xy" for n, f in ((0, F.min), (1, F.max))])
-    at = cells.join(box, group)
-    most = float((1 << _BITS) - 1)
-    step = lambda a: F.coalesce(F.floor(F.try_divide(F.col(a) - F.col(f"{a}0"), F.col(f"{a}1") - F.col(f"{a}0")) * most), F.lit(0)).cast("long")
-    curve = _spread(step("x")).bitwiseOR(F.shiftleft(_spread(step("y")), 1))
-    return with_rank(at.select(*group, "cell_id", curve.alias("curve")), group, ["curve", "cell_id"], "place").drop("curve")
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Rows with the same (numeric) keys, one group at a time, however batches cut them."""
     held: list[pa.RecordBatch] = []
@@ -139,26 +120,41 @@ def _multiplied(dealt: DataFrame, rows_of: Callable[[pa.RecordBatch], np.ndarray
     return dealt.mapInArrow(run, _ROWS)
 
 
-def kernel_products(kernel: DataFrame, cells: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+def kernel_products(kernel: DataFrame | TiledKernel, cells: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(sigma, slide, ct_1, ct_2, k, line): the lines of X1' K X2 for packed rows (slide, cell_type, cell_id, k, v) of ``width`` columns."""
+    if isinstance(kernel, TiledKernel):
+        if width <= MOST_COLUMNS:
+            return kernel.products(_dense(rows, width), F.col("v"), lambda a, b: a.T @ b)
+        kernel = materialize(kernel.edges(), "edges")
     dealt, blocks, sigmas = _tiled(kernel, places(cells), rows)
     lines = sum_lines(_multiplied(dealt, lambda part: dense_rows(part, width), lambda a, b: a.T @ b), ["b", "s"])
     return _named(lines, blocks, sigmas)
 
 
+def _dense(rows: DataFrame, width: int) -> DataFrame:
+    """(slide, cell_type, cell_id, v): packed rows with their zeros."""
+    cell = ["slide", "cell_type", "cell_id"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in cell)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = np.arange(0, batch.num_rows * width + 1, width, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cell], pa.ListArray.from_arrays(offsets, dense_rows(batch, width).ravel())], names=[*cell, "v"])
+
+    return rows.select(*cell, "k", "v").mapInArrow(fill, f"{kinds}, v array<double>")
+
+
 def _named(lines: DataFrame, blocks: DataFrame, sigmas: list[float]) -> DataFrame:
     sigma = F.element_at(F.array(*[F.lit(s) for s in sigmas] or [F.lit(0.0)]), F.col("s") + 1)
     return lines.join(F.broadcast(blocks), "b").select(sigma.alias("sigma"), *PAIR, "k", "line")
 
 
-def stack_products(kernel: DataFrame, cells: DataFrame, stacks: DataFrame, size: int) -> DataFrame:
+def stack_products(kernel: DataFrame | TiledKernel, cells: DataFrame, stacks: DataFrame, size: int) -> DataFrame:
     """(sigma, ct_1, ct_2, draw, line) for stacks (slide, cell_type, cell_id, v) of ``size`` components for each draw, one after another.
 
     Line is the operator X1' K X2 of a draw, row by row, over all slides; draws count from 1.  A cell whose v is no longer than ``size`` has the
     same scores in every draw and is moved once.
     """
-    dealt, blocks, sigmas = _tiled(kernel, places(cells), stacks.withColumn("k", F.lit(None).cast("array<int>")))
-
     def rows_of(part: pa.RecordBatch) -> np.ndarray:
         return _numbers(part.column("v").flatten()).reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, size))
 
@@ -166,7 +162,12 @@ def stack_products(kernel: DataFrame, cells: DataFrame, stacks: DataFrame, size:
         a, b = smooth.reshape(len(smooth), -1, size), own.reshape(len(own), -1, size)
         return (a.transpose(1, 2, 0) @ b.transpose(1, 0, 2)).reshape(-1, size * size)
 
-    lines = _named(_multiplied(dealt, rows_of, finish), blocks, sigmas).drop("slide")
+    if isinstance(kernel, TiledKernel) and (stacks.agg(F.max(F.size("v"))).first()[0] or 0) <= MOST_COLUMNS:
+        lines = kernel.products(stacks, F.col("v"), finish).drop("slide")
+    else:
+        kernel = materialize(kernel.edges(), "edges") if isinstance(kernel, TiledKernel) else kernel
+        dealt, blocks, sigmas = _tiled(kernel, places(cells), stacks.withColumn("k", F.lit(None).cast("array<int>")))
+        lines = _named(_multiplied(dealt, rows_of, finish), blocks, sigmas).drop("slide")
     return sum_lines(lines, ["sigma", "ct_1", "ct_2"]).select("sigma", "ct_1", "ct_2", (F.col("k") + 1).alias("draw"), "line")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from covaria.functions import solve
 from covaria.operators import association, crossop, genespace, genetest, neighbors, panels, pca, resample, scores, subset
 from covaria.operators import kernel as kernels
+from covaria.operators.tiled import TiledKernel
 from covaria.sources.cells import CellSet
 from covaria.sources.store import materialize
 
@@ -50,6 +51,8 @@ class Analysis:
     gene_space: DataFrame | None = None
     null: DataFrame | None = None
     tested: DataFrame | None = None
+    #: Edges with the kernels that they are read from.
+    tiled: tuple[tuple[DataFrame, TiledKernel], ...] = ()
     n_cc: int = 2
     n_pca: int = 30
     scale_pcs: bool = True
@@ -63,6 +66,10 @@ class Analysis:
         if missing := [n for n in names if getattr(self, n) is None]:
             raise ValueError(f"compute {', '.join(missing)} first")
 
+    def tiles(self, edges: DataFrame | None) -> DataFrame | TiledKernel | None:
+        """The kernel that ``edges`` are read from, or they themselves if they come from elsewhere."""
+        return next((k for e, k in self.tiled if e is edges), edges)
+
     @property
     def types(self) -> list[str]:
         return list(self.data.cell_types)
@@ -108,9 +115,13 @@ class Analysis:
         return self._with(self_distances=made, self_scale_factor=factor, scale_factor=self.scale_factor or factor)
 
     def compute_kernel_matrix(self, sigmas: list[float], method: str = "auto", **options) -> Analysis:
-        k, factor = kernels.compute_kernel(self.data.cells, self.pairs, sigmas, method=method, skip_few=self._several_slides(), factor=options.pop("factor", self.scale_factor), **options)
-        kept = sorted(r[0] for r in k.select("sigma").distinct().collect())
-        return self._with(kernel=k, scale_factor=factor, sigmas=tuple(kept))
+        options = {"method": method, "skip_few": self._several_slides(), "factor": self.scale_factor} | options
+        if options.get("lower_limit", 1e-7) <= 0:
+            k, factor = kernels.compute_kernel(self.data.cells, self.pairs, sigmas, **options)
+            return self._with(kernel=k, scale_factor=factor, sigmas=tuple(sorted(r[0] for r in k.select("sigma").distinct().collect())))
+        found, factor = kernels.tiled_kernel(self.data.cells, self.pairs, sigmas, **options)
+        edges = found.edges()
+        return self._with(kernel=edges, tiled=(*self.tiled, (edges, found)), scale_factor=factor, sigmas=tuple(sorted({block[0] for block in found.valid()})))
 
     def compute_sparse_kernel(self, sigmas: list[float], **options) -> Analysis:
         return self.compute_kernel_matrix(sigmas, method="sparse", **options)
@@ -124,16 +135,23 @@ class Analysis:
             warnings.warn("one type: its kernel is its own kernel", stacklevel=2)
             return self
         chosen = [float(s) for s in (sigmas or self.sigmas)]
-        k, factor = kernels.compute_kernel(self.data.cells, subset.self_pairs(self.types), chosen, skip_few=True, factor=options.pop("factor", self.self_scale_factor), **options)
+        options = {"skip_few": True, "factor": self.self_scale_factor} | options
+        tiled = self.tiled
+        if options.get("lower_limit", 1e-7) > 0:
+            found, factor = kernels.tiled_kernel(self.data.cells, subset.self_pairs(self.types), chosen, **options)
+            k = found.edges()
+            tiled = (*tiled, (k, found))
+        else:
+            k, factor = kernels.compute_kernel(self.data.cells, subset.self_pairs(self.types), chosen, **options)
         if self.self_kernel is not None and not overwrite:
             k = self.self_kernel.where(~F.col("sigma").isin(chosen)).unionByName(k)
-        return self._with(self_kernel=k, self_scale_factor=factor, scale_factor=self.scale_factor or factor, sigmas=self.sigmas or tuple(sorted(chosen)))
+        return self._with(self_kernel=k, tiled=tiled, self_scale_factor=factor, scale_factor=self.scale_factor or factor, sigmas=self.sigmas or tuple(sorted(chosen)))
 
     # ---- canonical correlation -----------------------------------------------------------------------------------
 
     def _operators(self) -> dict:
         self._need("kernel", "pc_scores")
-        return crossop.as_matrices(crossop.cross_operator(self.kernel, self._pcs().select("cell_type", "cell_id", "pc", "score")), self.n_pca)
+        return crossop.as_matrices(crossop.cross_operator(self.tiles(self.kernel), self._pcs().select("cell_type", "cell_id", "pc", "score")), self.n_pca)
 
     def _metrics(self) -> dict[str, np.ndarray] | None:
         if self.scale_pcs:
@@ -211,20 +229,28 @@ class Analysis:
         return neighbors.block_sizes(self.data.cells, self.pairs)
 
     def _norms(self) -> DataFrame:
-        return association.block_norms(self.kernel, self._sizes(), self.self_kernel)
+        return self._norms_of(self.kernel, self.tiles(self.kernel))
+
+    def _norms_of(self, edges: DataFrame, kernel: DataFrame | TiledKernel) -> DataFrame:
+        own = self.tiles(self.self_kernel)
+        if isinstance(kernel, TiledKernel) and (own is None or isinstance(own, TiledKernel)) and kernel.factors is None and (own is None or own.factors is None):
+            return association.block_norms(kernel, self._sizes(), own)
+        if isinstance(kernel, TiledKernel) and own is None:
+            return association.block_norms(kernel if len(self.types) > 1 else edges, self._sizes())
+        return association.block_norms(edges, self._sizes(), self.self_kernel)
 
     def compute_normalized_correlation(self, calculation_mode: str = "per_slide") -> Analysis:
-        found = association.normalized_correlation(self.kernel, self._scores(), self._norms(), calculation_mode)
+        found = association.normalized_correlation(self.tiles(self.kernel), self._scores(), self._norms(), calculation_mode)
         found = materialize(found, "association")
         best = association.choose_sigma(found).first()
         return self._with(association=found, sigma_choice=best["sigma"] if best else None)
 
     def compute_bidir_correlation(self, normalize_K: str = "row_or_col", filter_kernel: bool = True, K_row_sum_cutoff: float = 5e-3, K_col_sum_cutoff: float = 5e-3) -> Analysis:
-        return self._with(bidir=association.bidirectional_correlation(self.kernel, self._scores(), normalize_K, filter_kernel, K_row_sum_cutoff, K_col_sum_cutoff))
+        return self._with(bidir=association.bidirectional_correlation(self.tiles(self.kernel), self._scores(), normalize_K, filter_kernel, K_row_sum_cutoff, K_col_sum_cutoff))
 
     def compute_self_bidir_correlation(self, normalize_K: str = "row_or_col", filter_kernel: bool = True, K_row_sum_cutoff: float = 5e-3, K_col_sum_cutoff: float = 5e-3) -> Analysis:
         self._need("self_kernel")
-        return self._with(self_bidir=association.bidirectional_correlation(self.self_kernel, self._scores(), normalize_K, filter_kernel, K_row_sum_cutoff, K_col_sum_cutoff))
+        return self._with(self_bidir=association.bidirectional_correlation(self.tiles(self.self_kernel), self._scores(), normalize_K, filter_kernel, K_row_sum_cutoff, K_col_sum_cutoff))
 
     def compute_gene_and_cell_scores(self) -> Analysis:
         return self._with(cell_score=self._scores(), gene_score=scores.gene_scores(self.loadings, self.sdev, self.weights, self.scale_pcs))
@@ -269,12 +295,12 @@ class Analysis:
 
     def transferred_correlation(self, transferred: DataFrame, mode: str = "aggregate", sigma: float | None = None) -> DataFrame:
         """Normalised correlation of transferred scores through this (the target's) kernel."""
-        k = self.kernel if sigma is None else self.kernel.where(F.col("sigma") == sigma)
-        out = association.normalized_correlation(k, transferred, association.block_norms(k, self._sizes(), self.self_kernel), mode)
+        edges, k = (self.kernel, self.tiles(self.kernel)) if sigma is None else (self.kernel.where(F.col("sigma") == sigma), self._at(sigma))
+        out = association.normalized_correlation(k, transferred, self._norms_of(edges, k), mode)
         return out.withColumnRenamed("normalized_correlation", "aggregate_correlation") if mode == "aggregate" else out
 
     def transferred_bidir_correlation(self, transferred: DataFrame, mode: str = "aggregate", **options) -> DataFrame:
-        out = association.bidirectional_correlation(self.kernel, transferred, **options)
+        out = association.bidirectional_correlation(self.tiles(self.kernel), transferred, **options)
         return out.groupBy("sigma", "ct_1", "ct_2", "cc").agg(F.avg(F.when(~F.isnan("bidir_correlation"), F.col("bidir_correlation"))).alias("bidir_correlation")) if mode == "aggregate" else out
 
     # ---- permutation inference -----------------------------------------------------------------------------------
@@ -282,6 +308,10 @@ class Analysis:
     def _moved(self, which: str) -> list[str]:
         return self.types[:1] if which == "first_only" else self.types[1:] if which == "second_only" and len(self.types) > 1 else self.types
 
+    def _at(self, sigma: float) -> DataFrame | TiledKernel:
+        k = self.tiles(self.kernel)
+        return k.where(lambda *block: block[0] == sigma) if isinstance(k, TiledKernel) else k.where(F.col("sigma") == sigma)
+
     def _stacks(self, n: int, method: str, which: str, bins: tuple[int, int] | None, match_quantile: bool, seed: int) -> DataFrame:
         """(slide, cell_type, cell_id, v): each cell's scores, and for the chosen types those of all draws behind them, in one array."""
         if which not in PERMU_WHICH or n < 1:
@@ -303,7 +333,7 @@ class Analysis:
         joined = own.join(listed.select(*cell, F.flatten(rows).alias("more")), cell, "left")
         return joined.select(*cell, F.when(F.col("more").isNull(), F.col("v")).otherwise(F.concat("v", "more")).alias("v"))
 
-    def _draw_lines(self, stacks: DataFrame, moved: list[str], n: int, kernel: DataFrame, bijection: bool) -> DataFrame:
+    def _draw_lines(self, stacks: DataFrame, moved: list[str], n: int, kernel: DataFrame | TiledKernel, bijection: bool) -> DataFrame:
         """(draw, sigma, ct_1, ct_2, line): of each draw, 0 for the scores as they are, every pair's operator and, without ct_2, every type's squares.
 
         The kernel is applied to all draws at once, a cell's draws in one row.  What no draw changes is multiplied once.
@@ -316,7 +346,8 @@ class Analysis:
         other = F.col("cell_type").isin([] if bijection else moved)
         squares = panels.stack_squares(first.where(~other), self.n_pca).select(drawn, "cell_type", "line")  # no sum over a type's cells changes
         squares = squares.unionByName(panels.stack_squares(stacks.where(other), self.n_pca).select((F.col("draw") - 1).alias("draw"), "cell_type", "line"))
-        sigmas = F.array(*[F.lit(r[0]) for r in kernel.select("sigma").distinct().collect()])
+        known = {block[0] for block in kernel.valid()} if isinstance(kernel, TiledKernel) else {r[0] for r in kernel.select("sigma").distinct().collect()}
+        sigmas = F.array(*[F.lit(sigma) for sigma in sorted(known)])
         return operators.unionByName(squares.select("draw", F.explode(sigmas).alias("sigma"), F.col("cell_type").alias("ct_1"), F.lit(None).cast("string").alias("ct_2"), "line"))
 
     def permutation_test(self, n_permu: int = 20, method: str = "bin", which: str = "second_only", bins: tuple[int, int] | None = None, match_quantile: bool = False, conservative: bool = False, all_sigmas: bool = False, conditional: bool = False, max_iter: int = 200, tol: float = 1e-5, seed: int = 1) -> Analysis:
@@ -330,8 +361,8 @@ class Analysis:
         self._need("association", "weights")
         if conservative:
             bins, match_quantile, which = bins or (15, 15), True, "second_only"
-        used = self.kernel if all_sigmas or conditional else self.kernel.where(F.col("sigma") == self.sigma_choice)
-        used = materialize(used, "kernel-used")
+        used = self.tiles(self.kernel) if all_sigmas or conditional else self._at(self.sigma_choice)
+        used = used if isinstance(used, TiledKernel) else materialize(used, "kernel-used")
         stacks = materialize(self._stacks(n_permu, method, which, bins, match_quantile, seed), "stacks")
         norms = {(r["sigma"], r["ct_1"], r["ct_2"]): r["norm"] for r in self._norms().groupBy("sigma", "ct_1", "ct_2").agg(F.avg("norm").alias("norm")).collect()}
         observed = self._observed_weights()

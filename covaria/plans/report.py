@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covaria.functions.ranks import with_rank
+from covaria.operators.association import smoothed
+from covaria.operators.tiled import TiledKernel
 from covaria.sources.store import materialize
 
 
@@ -27,11 +29,13 @@ def slicing(cells: DataFrame, split: DataFrame) -> DataFrame:
     return cells.select("cell_id", "slide", "x", "y").join(split.select("cell_id", F.col("slide").alias("block")), "cell_id").select("slide", "block", "cell_id", "x", "y")
 
 
-def smoothed_against_target(kernel: DataFrame, scores: DataFrame, sigma: float, ct_1: str, ct_2: str, cc: int = 1) -> DataFrame:
+def smoothed_against_target(kernel: DataFrame | TiledKernel, scores: DataFrame, sigma: float, ct_1: str, ct_2: str, cc: int = 1) -> DataFrame:
     """(slide, cell_id, smoothed, score): for each cell of the second type, the first type's scores seen through the kernel."""
-    a = scores.where((F.col("cell_type") == ct_1) & (F.col("cc") == cc)).select(F.col("cell_id").alias("i"), F.col("score").alias("a"))
-    k = kernel.where((F.col("sigma") == sigma) & (F.col("ct_1") == ct_1) & (F.col("ct_2") == ct_2))
-    smooth = k.join(a, "i").groupBy("j").agg(F.sum(F.col("k") * F.col("a")).alias("s"))
+    if isinstance(kernel, TiledKernel):
+        k = kernel.where(lambda *block: (block[0], *block[2:]) == (sigma, ct_1, ct_2))
+    else:
+        k = kernel.where((F.col("sigma") == sigma) & (F.col("ct_1") == ct_1) & (F.col("ct_2") == ct_2))
+    smooth = smoothed(k, scores.where(F.col("cc") == cc)).select("j", "s")
     b = scores.where((F.col("cell_type") == ct_2) & (F.col("cc") == cc)).select("slide", "cell_id", "score")
     return b.join(smooth, F.col("cell_id") == F.col("j"), "left").select("slide", "cell_id", F.coalesce("s", F.lit(0.0)).alias("smoothed"), "score")
 

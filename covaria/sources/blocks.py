@@ -64,7 +64,8 @@ def _halved(now: DataFrame, max_cell: int) -> DataFrame | None:
     large = with_rank(joined.where("__n IS NOT NULL"), _OF, [axis, other, "cell_id"], "__rank")
     side = F.when(2 * F.col("__rank") < F.col("__n") - 1, F.lit("0")).otherwise(F.lit("1"))
     split = large.withColumn("__side", side).drop("__rank").unionByName(joined.where("__n IS NULL").withColumn("__side", F.lit("")))
-    return split.withColumn("__part", F.concat("__part", "__side")).drop("__n", "__wide", "__side")
+    # written once: each further round reads it twice, and unwritten rounds would be computed anew, twice as often in each
+    return materialize(split.withColumn("__part", F.concat("__part", "__side")).drop("__n", "__wide", "__side"), "halved")
 
 
 def _nearest(at: np.ndarray, centres: np.ndarray) -> np.ndarray:
