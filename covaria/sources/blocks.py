@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from covaria.sources.store import materialize
 FAN = 64
 #: Blocks whose centres the driver holds at once; more take further passes.
 MOST_AT_ONCE = 4096
+#: Cells of a part up to which one task splits it to the end; larger parts are split by passes over all tasks.
+IN_TASK = 65_536
 #: Rounds of a pass, and the squared movement of a block's centres (in units of its standard deviations) that ends them sooner.
 ROUNDS = 50
 STILL = 1e-4
@@ -44,6 +48,7 @@ def split_slides(cells: DataFrame, max_cell: int, method: str = "median") -> Dat
     if method == "kmeans":
         while (split := _kmeans_pass(now, max_cell)) is not None:
             now = split
+        now = _kmeans_within(now, max_cell)
     while (split := _halved(now, max_cell)) is not None:
         now = split
     parts = materialize(now.select(*_OF).distinct(), "parts")
@@ -73,10 +78,10 @@ def _nearest(at: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _kmeans_pass(now: DataFrame, max_cell: int) -> DataFrame | None:
-    """Parts that are too large, each split at its own centres; None if none can be split."""
+    """Parts that are too large for one task, each split at its own centres; None if none can be split."""
     spark, axes = now.sparkSession, [a for a in "xyz" if a in now.columns]
     stats = now.where(~F.endswith(F.col("__part"), F.lit(_STUCK))).groupBy(*_OF).agg(F.count("*").alias("n"), *[f(a).alias(f"{n}{a}") for a in axes for n, f in (("mean_", F.avg), ("deviation_", F.stddev_pop))])
-    large = stats.where(F.col("n") > max_cell).orderBy(*_OF).limit(MOST_AT_ONCE).toPandas()
+    large = stats.where(F.col("n") > max(max_cell, IN_TASK)).orderBy(*_OF).limit(MOST_AT_ONCE).toPandas()
     if not len(large):
         return None
     large["g"] = np.arange(len(large))
@@ -118,6 +123,52 @@ def _kmeans_pass(now: DataFrame, max_cell: int) -> DataFrame | None:
     return named.withColumn("__part", F.concat("__part", suffix)).select(*now.columns)
 
 
+def _kmeans_within(now: DataFrame, max_cell: int) -> DataFrame:
+    """Parts of at most IN_TASK cells that are too large, each split in one task as by passes, until no block is too large or none can be split."""
+    axes, at = [a for a in "xyz" if a in now.columns], now.columns.index("__part")
+
+    def split(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, [("cell_id", "ascending")]).to_numpy()
+        x = np.column_stack([table.column(a).cast(pa.float64()).to_numpy() for a in axes])[order]
+        names, first = np.empty(len(x), object), table.column("__part")[0].as_py()
+        left = [(np.arange(len(x)), first)]
+        while left:
+            rows, name = left.pop()
+            if len(rows) <= max_cell or name.endswith(_STUCK):
+                names[order[rows]] = name
+                continue
+            labels = _labels(x[rows], min(FAN, -(-len(rows) // max_cell)))
+            known = np.unique(labels)
+            left += [(rows, name + _STUCK)] if len(known) == 1 else [(rows[labels == k], f"{name}.{k:02d}") for k in known]
+        return table.set_column(at, "__part", pa.array(names.tolist(), table.schema.field("__part").type))
+
+    sizes = now.where(~F.endswith(F.col("__part"), F.lit(_STUCK))).groupBy(*_OF).agg(F.count("*").alias("n"))
+    large = materialize(sizes.where((F.col("n") > max_cell) & (F.col("n") <= IN_TASK)).select(*_OF), "within")
+    done = now.join(large, _OF, "left_semi").select(*now.columns).groupBy(*_OF).applyInArrow(split, now.schema)  # at most IN_TASK rows each
+    return materialize(done.unionByName(now.join(large, _OF, "left_anti")), "split-within")
+
+
+def _labels(x: np.ndarray, k: int) -> np.ndarray:
+    """The nearest of k centres, of cells in the order of their ids, as a pass finds them."""
+    spread = np.nanstd(x, axis=0)
+    unit = np.nan_to_num(np.divide(x - np.nanmean(x, axis=0), spread, out=np.zeros_like(x), where=spread > 0))
+    step = np.floor((np.clip(unit, -4.0, 4.0) + 4) * 4095 / 8).astype(np.int64)
+    curve = sum(((step[:, i] >> b) & 1) << (b * x.shape[1] + i) for b in range(12) for i in range(x.shape[1]))
+    rank = np.empty(len(x), np.int64)
+    rank[np.argsort(curve, kind="stable")] = np.arange(len(x))
+    near = rank * k // len(x)
+    centres = np.zeros((k, x.shape[1]))
+    for round_ in range(ROUNDS + 1):
+        n = np.bincount(near, minlength=k)
+        means = np.column_stack([np.bincount(near, unit[:, i], k) for i in range(x.shape[1])]) / np.maximum(n, 1)[:, None]
+        renewed = np.where(n[:, None] > 0, means, centres)
+        moved, centres = ((renewed - centres) ** 2).sum(), renewed
+        near = _nearest(unit, centres)
+        if round_ and moved <= STILL:
+            break
+    return near
+
+
 def _sums(points: DataFrame, centres: Broadcast, units: list[str]) -> pd.DataFrame:
     """Numbers and sums of the points nearest to each centre: a row for a centre, added up in the tasks first."""
 
