@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covaria.functions.quantiles import exact_quantile
+from covaria.operators.tiled import Rule, tiled
 from covaria.sources.store import materialize
 
 AXES = {"Euclidean2D": "xy", "Euclidean3D": "xyz"}
@@ -243,3 +244,25 @@ def compute_distance(cells: DataFrame, pairs: list[tuple[str, str]], dist_type:
     at = scaled(cells, dist_type, scales)
     low = low_quantiles(at, pairs, skip_few)
     return conditioned(distance_edges(at, pairs), low, scale_factor(low, normalize_target, normalize), truncate)
+
+
+def distance_totals(at: DataFrame, pairs: list[tuple[str, str]], quantiles: DataFrame | None = None, factor: float = 1.0, truncate: bool = True) -> DataFrame:
+    """(slide, ct_1, ct_2, n, least, total): number, smallest and sum of all distances of the blocks, with ``quantiles`` as conditioned() makes them.
+
+    All pairs are looked at, tile by tile where they are computed; what is shuffled are cells, once for each chunk they meet.
+    """
+    blocks = sorted(tuple(r[c] for c in [*PAIR, "n_1", "n_2"]) for r in block_sizes(at, pairs).collect())
+    rules = [Rule(0.0, 0.0, 1.0, (math.inf,))] * len(blocks)
+    if quantiles is not None:
+        found = {tuple(r[c] for c in PAIR): r for r in quantiles.collect()}
+        blocks = [b for b in blocks if b[:3] in found]
+        of = [found[b[:3]] for b in blocks]
+        rules = [Rule(math.nan if r["least"] is None else r["least"], (r["low"] or 0.0) if truncate else 0.0, factor, (math.inf,)) for r in of]
+    return tiled(at, blocks, [1.0], 1.0, dict(enumerate(rules)), True).totals()
+
+
+def compute_distance_totals(cells: DataFrame, pairs: list[tuple[str, str]], dist_type: str = "Euclidean2D", normalize: bool = True, truncate: bool = True, normalize_target: float = 0.01, scales=(1.0, 1.0, 1.0), skip_few: bool = False) -> DataFrame:
+    """distance_totals() of what compute_distance() returns."""
+    at = scaled(cells, dist_type, scales)
+    low = low_quantiles(at, pairs, skip_few)
+    return distance_totals(at, pairs, low, scale_factor(low, normalize_target, normalize), truncate)
